@@ -11,8 +11,9 @@ decided by intersecting the sorted arrays of both documents.
 3.  For the rest a tile is one of those first shingles. A first round compares each document with a
     leader in two of its tiles; documents that are joined by then need no comparison any more.
 4.  Tiles that still hold more than one component are compared in blocks of bounded size, within
-    bands of size: popcounts of bitmaps bound the overlap from above, and only pairs that the bound
-    leaves open are intersected. Large groups of near copies never give all their pairs.
+    bands of size: popcounts of bitmaps bound the overlap from above. Of the partners that the bound
+    leaves open a set names the best few, which are intersected; rounds go on until none has more
+    to name. Large groups of near copies are joined in a few rounds and never give all their pairs.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ WORDS, LIMIT = 5, 75
 #: Documents of a tile that are compared with each other at a time; larger tiles are dealt out as pairs of blocks.
 BLOCK_DOCS = 1024
 #: Bits of a signature for each element that a set of the band's largest size has.
-BITS_PER_ELEMENT, LEAST_BITS = 2, 512
+BITS_PER_ELEMENT, LEAST_BITS = 8, 512
+#: Tiles of a set in the early rounds, the most of those rounds, and partners that a set names in one round over all tiles.
+FEW_TILES, EARLY_ROUNDS, NAMED = 6, 3, 8
 FLUSH = 1_500_000
 
 
@@ -175,18 +178,18 @@ def linked(x: np.ndarray, y: np.ndarray, nx: int, ny: int, limit: int) -> bool:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
-    """Of pairs (a, b) of sets those that link."""
+    """Pairs (a, b) of sets with ``link``: whether they reach the limit."""
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), n, m, limit) for x, y, n, m in zip(batch.column(4), batch.column(5), na, nb)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            link = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), n, m, limit) for x, y, n, m in zip(batch.column(4), batch.column(5), na, nb)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(link, pa.bool_())], ["a", "b", "link"])
 
     one = sets.select(F.col("skey").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
     two = sets.select(F.col("skey").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
     full = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb")
-    return full.where(100 * F.least("na", "nb") >= limit * F.greatest("na", "nb")).mapInArrow(verified, "a long, b long")
+    return full.mapInArrow(verified, "a long, b long, link boolean")
 
 
 def _leaders(sets: DataFrame) -> DataFrame:
@@ -198,17 +201,23 @@ def _leaders(sets: DataFrame) -> DataFrame:
     return pairs.select(F.least("skey", "lead.skey").alias("a"), F.greatest("skey", "lead.skey").alias("b")).distinct()
 
 
-def _open_pairs(limit: int):
+def _open_pairs(limit: int, most: int):
     def open_pairs(table: pa.Table) -> pa.Table:
-        """Pairs of different components in the same unit whose sizes and bitmaps leave a link possible."""
+        """Pairs of different components in one unit whose sizes and bitmaps leave a link possible.
+
+        Each set names at most ``most`` partners, those of the highest bounds; ``more`` tells that it had others,
+        which another round will look at again unless links have joined them by then.
+        """
         n = table.num_rows
         tile, low, high = (table[c].to_numpy() for c in ("tile", "i", "j"))
         skey, comp, size, seen, block = (table[c].to_numpy() for c in ("skey", "component", "n", "n_shared", "block"))
         bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["bits"]]
+        refused = [np.array(x.as_py(), np.int64) if x.is_valid else None for x in table["refused"]]
         order = np.lexsort((skey, size, high, low, tile))
         unit = np.stack([tile, low.astype(np.int64), high.astype(np.int64)], 1)[order]
         change = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]).any(1)]) if n else np.zeros(0, np.int64)
-        left, right = [], []
+        found: dict[tuple[int, int], bool] = {}
+        alone = lambda p, q: np.bitwise_count(p & ~q).sum(1).astype(np.int64)
         for s, e in zip(change.tolist(), [*change[1:].tolist(), n]):
             own = order[s:e]
             if (comp[own] == comp[own[0]]).all():
@@ -218,9 +227,10 @@ def _open_pairs(limit: int):
             upto = np.searchsorted(sizes, sizes * 100 // limit, "right")  # the band: partners no larger than n / limit
             widths: dict[int, np.ndarray] = {}
             for k in range(e - s - 1):
-                stop = int(upto[k])
-                rest = np.arange(k + 1, stop)
+                rest = np.arange(k + 1, int(upto[k]))
                 rest = rest[(comps[rest] != comps[k]) & (same | (blocks[rest] != blocks[k]))]
+                if refused[own[k]] is not None:
+                    rest = rest[~np.isin(skey[own[rest]], refused[own[k]])]
                 if not len(rest):
                     continue
                 words = len(bits[own[k]])
@@ -228,30 +238,50 @@ def _open_pairs(limit: int):
                     widths[words] = np.stack([fold(bits[o], words) if len(bits[o]) >= words else np.zeros(words, np.uint64) for o in own])
                 mine, theirs = widths[words][k], widths[words][rest]
                 # every bit that one bitmap has alone is an element that the other set lacks
-                x, y = int(sizes[k]), sizes[rest]
-                alone = lambda p, q: np.bitwise_count(p & ~q).sum(1).astype(np.int64)
-                most = np.minimum(seen[own[k]] - alone(mine, theirs), seen[own[rest]] - alone(theirs, mine))
-                for r in rest[100 * most >= limit * (x + y - most)]:
-                    left.append(skey[own[k]])
-                    right.append(skey[own[r]])
-        a, b = np.minimum(left, right), np.maximum(left, right)
-        if len(left):
-            a, b = np.unique(np.stack([a, b]), axis=1)
-        return pa.table({"a": pa.array(np.asarray(a, np.int64)), "b": pa.array(np.asarray(b, np.int64))})
+                bound = np.minimum(seen[own[k]] - alone(mine, theirs), seen[own[rest]] - alone(theirs, mine))
+                both = int(sizes[k]) + sizes[rest]
+                fits = 100 * bound >= limit * (both - bound)
+                rest, bound = rest[fits], bound[fits]
+                if len(rest):
+                    best = np.lexsort((skey[own[rest]], -bound))[:most]
+                    more = len(rest) > most
+                    for r in rest[best].tolist():
+                        x, y = int(skey[own[k]]), int(skey[own[r]])
+                        pair = (min(x, y), max(x, y))
+                        found[pair] = found.get(pair, False) or more
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(list(found.values()), pa.bool_())})
 
     return open_pairs
 
 
-def _remaining(sets: DataFrame, labels: DataFrame, limit: int, buckets: int) -> DataFrame:
-    """Pairs across components that no bound rules out."""
-    tiles = sets.select("skey", F.explode("prefix").alias("tile")).join(labels, "skey", "left").withColumn("component", F.coalesce("component", "skey"))
+def _open(sets: DataFrame, tiles: DataFrame, labels: DataFrame, refused: DataFrame | None, limit: int, most: int, buckets: int) -> DataFrame:
+    """(a, b, more): pairs across components, in tiles of more than one component, that no bound rules out."""
+    tiles = tiles.join(labels, "skey", "left").withColumn("component", F.coalesce("component", "skey"))
     mixed = tiles.groupBy("tile").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tile", "c")
     parts = F.ceil(F.col("c") / BLOCK_DOCS).cast("int")
     rows = tiles.join(mixed, "tile").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("skey"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "skey", "component")
-    rows = rows.join(sets.select("skey", "n", (F.octet_length("shared") / 8).cast("long").alias("n_shared"), "bits"), "skey").withColumn("bucket", F.pmod(F.xxhash64("tile", "i", "j"), F.lit(buckets)))
-    return rows.groupBy("bucket").applyInArrow(_open_pairs(limit), "a long, b long").distinct()
+    side = sets.select("skey", "n", (F.octet_length("shared") / 8).cast("long").alias("n_shared"), "bits")
+    if refused is None:
+        side = side.withColumn("refused", F.lit(None).cast("array<long>"))
+    else:
+        ways = refused.select(F.col("a").alias("skey"), F.col("b").alias("other")).unionByName(refused.select(F.col("b").alias("skey"), F.col("a").alias("other")))
+        side = side.join(ways.groupBy("skey").agg(F.collect_set("other").alias("refused")), "skey", "left")
+    rows = rows.join(side, "skey").withColumn("bucket", F.pmod(F.xxhash64("tile", "i", "j"), F.lit(buckets)))
+    pairs = rows.groupBy("bucket").applyInArrow(_open_pairs(limit, most), "a long, b long, more boolean")
+    return pairs.groupBy("a", "b").agg(F.bool_or("more").alias("more"))
+
+
+def _merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels after further links, by components of components."""
+    ends = links.select(F.col("a").alias("skey")).unionByName(links.select(F.col("b").alias("skey"))).distinct()
+    known = scratch.save(ends.join(labels, "skey", "full").select("skey", F.coalesce("component", "skey").alias("component")))
+    to = lambda side: known.select(F.col("skey").alias(side), F.col("component").alias(f"c{side}"))
+    across = links.select("a", "b").join(to("a"), "a").join(to("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    above = components(across, scratch).select(F.col("skey").alias("up"), F.col("component").alias("top"))
+    return scratch.save(known.join(above, known["component"] == above["up"], "left").select("skey", F.coalesce("top", "component").alias("component")))
 
 
 def jaccard_components(docs: DataFrame, size: int = WORDS, limit: int = LIMIT) -> DataFrame:
@@ -272,10 +302,25 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, limit: int = LIMIT) -
     back = _shingle_buckets(docs, size, buckets).groupBy("bucket").applyInArrow(_shared(buckets), packed)
     schema = "skey long, n long, prefix array<long>, shared binary, bits binary"
     sets = scratch.save(back.groupBy("bucket").applyInArrow(_candidates(limit), schema))
-    links = scratch.save(_verified(_leaders(sets), sets, limit))
-    first = components(links, scratch)
-    more = scratch.save(_verified(_remaining(sets, first, limit, buckets), sets, limit))
-    labels = first if more.isEmpty() else components(links.unionByName(more), scratch)
+    checked = scratch.save(_verified(_leaders(sets), sets, limit))
+    labels = components(checked.where("link"), scratch)
+    refused = checked.where("NOT link").select("a", "b")
+    tiles = sets.select("skey", F.explode("prefix").alias("tile"))
+    n = F.size("prefix")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(FEW_TILES - 1)), lambda k: F.element_at("prefix", (1 + F.floor(k * (n - 1) / (FEW_TILES - 1))).cast("int")))
+    few = sets.select("skey", F.explode(F.array_distinct(spread)).alias("tile"))
+    early = EARLY_ROUNDS
+    while True:
+        # some rounds over few tiles join what lies close together; the rounds over all tiles end when no set had more partners to name
+        pairs = scratch.save(_open(sets, few if early else tiles, labels, refused, limit, 1 if early else NAMED, buckets))
+        checked = scratch.save(_verified(pairs, sets, limit))
+        joins = not checked.where("link").limit(1).isEmpty()
+        if joins:
+            labels = _merged(labels, checked.where("link"), scratch)
+        refused = refused.unionByName(checked.where("NOT link").select("a", "b"))
+        if not early and pairs.where("more").limit(1).isEmpty():
+            break
+        early = early - 1 if early and joins else 0
     roots = rows.join(labels, "skey", "left").select("doc_id", "n_shingles", F.coalesce("component", "skey").alias("root"))
     least = roots.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = roots.join(least, "root", "left")
