@@ -1 +1,49 @@
-"""Queries of likelihoods, tree space and chains."""
+"""Queries of column likelihoods and tree space; beyond SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cladewise.operators import alignments, trees
+from cladewise.registry import query
+
+from . import bindings as b
+
+TREE = "((((t1:0.1,t2:0.2):0.15,t3:0.3):0.2,(t4:0.1,t5:0.4):0.25):0.1,(t6:0.3,t7:0.2):0.1,t0:0.5);"
+TAXA = [f"t{k}" for k in range(8)]
+ALPHA = [0.2] * 5
+
+
+@query()
+def column_marginal_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    """Log marginal likelihood of every column: one evaluation per distinct column, joined back to positions."""
+    a = b.alignment(spark, folder)
+    value = trees.pattern_likelihoods(alignments.patterns(a), TREE, TAXA, ALPHA)
+    return a.join(value.select("codes", F.round("logml", 6).alias("logml")), "codes").select("pos", "logml")
+
+
+@query()
+def column_expectation(spark: SparkSession, folder: str) -> DataFrame:
+    a = b.alignment(spark, folder)
+    value = trees.pattern_likelihoods(alignments.patterns(a), TREE, TAXA, ALPHA)
+    return a.join(value, "codes").select("pos", *(F.round(F.col("expectation")[k], 6).alias(f"p{k}") for k in range(5)))
+
+
+@query()
+def geodesic_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Distances between trees whose branch lengths come from orders; three shapes in turn."""
+    shapes = ["(((b:1,c:1):{0},d:1):{1},e:1,a:1);", "(((b:1,d:1):{0},c:1):{1},e:1,a:1);", "((b:1,c:1):{0},(d:1,e:1):{1},a:1);"]
+    o = b.table(spark, folder, "orders").select(F.col("o_orderkey").alias("i"), (F.col("o_totalprice") / 100000 + 0.01).alias("x"), (F.col("o_custkey") % 97 / 10.0 + 0.01).alias("y"))
+
+    def newick(col):
+        out = F.lit(None).cast("string")
+        for k, s in enumerate(shapes):
+            pieces = s.replace("{1}", "{0}").split("{0}")
+            out = F.when(F.col(col) % 3 == k, F.concat(F.lit(pieces[0]), F.col("x").cast("string"), F.lit(pieces[1]), F.col("y").cast("string"), F.lit(pieces[2]))).otherwise(out)
+        return out
+
+    t = o.withColumn("first", newick("i"))
+    u = t.select((F.col("i") - 1).alias("i"), F.col("first").alias("second"))
+    pairs = t.join(u, "i").select("i", (F.col("i") + 1).alias("j"), "first", "second")
+    return trees.geodesic_pairs(pairs, ["a", "b", "c", "d", "e"]).withColumn("distance", F.round("distance", 6))
