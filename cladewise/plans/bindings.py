@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,6 +40,10 @@ def counts(spark: SparkSession, folder: str, by: tuple[str, ...] = ("user_id",))
     return e.groupBy(*by).agg(*[F.sum((F.col("k") == k).cast("long")).alias(f"c{k}") for k in range(EVENT_TYPES)])
 
 
+def count_columns() -> list[Column]:
+    return [F.col(f"c{k}") for k in range(EVENT_TYPES)]
+
+
 def counts_sql(by: str = "user_id") -> str:
     sums = ", ".join(f"CAST(sum(CASE WHEN k = {k} THEN 1 ELSE 0 END) AS BIGINT) AS c{k}" for k in range(EVENT_TYPES))
     return (

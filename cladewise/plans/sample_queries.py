@@ -14,8 +14,6 @@ from cladewise.registry import query
 
 from . import bindings as b
 
-C = [F.col(f"c{k}") for k in range(5)]
-
 
 @query(f"WITH {b.HISTORY} SELECT chain, step, posterior FROM (SELECT *, max(step) OVER (PARTITION BY chain) AS last FROM history) WHERE step - 1 >= 100 AND (last - step) % 7 = 0")
 def burnin_thin(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,7 +86,7 @@ _LOGS = " + ".join(f"lgamma(c{k} + 0.2)" for k in range(5)) + " - lgamma(c0 + c1
 
 def _weights(spark: SparkSession, folder: str) -> DataFrame:
     c = b.counts(spark, folder, ("user_id", "day"))
-    return c.select("user_id", "day", mathx.dirichlet_multinomial(C, [0.2] * 5).alias("w"))
+    return c.select("user_id", "day", mathx.dirichlet_multinomial(b.count_columns(), [0.2] * 5).alias("w"))
 
 
 @query(f"""WITH {b.counts_sql('user_id, day')}, w AS (SELECT user_id, day, {_LOGS} AS w FROM counts), m AS (SELECT *, max(w) OVER (PARTITION BY user_id) AS m FROM w)
@@ -141,7 +139,7 @@ def _component_sql(alpha: list[float]) -> str:
 SELECT user_id, CAST(day AS VARCHAR) AS day, CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END AS component, greatest(l0, l1, l2) AS logml FROM v""")
 def background_component_argmax(spark: SparkSession, folder: str) -> DataFrame:
     c = b.counts(spark, folder, ("user_id", "day"))
-    logs = [F.round(mathx.dirichlet_multinomial(C, a), 6) + F.lit(0.0) for a in COMPONENTS]
+    logs = [F.round(mathx.dirichlet_multinomial(b.count_columns(), a), 6) + F.lit(0.0) for a in COMPONENTS]
     c = c.select("user_id", F.col("day").cast("string").alias("day"), *(x.alias(f"l{k}") for k, x in enumerate(logs)))
     best = F.greatest("l0", "l1", "l2")
     return c.select("user_id", "day", F.when(F.col("l0") == best, 0).when(F.col("l1") == best, 1).otherwise(2).alias("component"), best.alias("logml"))
@@ -164,8 +162,9 @@ _TOTAL = "(c0 + c1 + c2 + c3 + c4)"
 def variational_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Mean exponent of each coordinate, weighted by coefficients: a polynomial's approximation by one term."""
     c = b.counts(spark, folder, ("user_id", "day"))
-    n = C[0] + C[1] + C[2] + C[3] + C[4]
-    return c.groupBy("user_id").agg(*(F.round(F.sum(x * n) / F.sum(n), 6).alias(f"e{k}") for k, x in enumerate(C)))
+    columns = b.count_columns()
+    n = sum(columns[1:], columns[0])
+    return c.groupBy("user_id").agg(*(F.round(F.sum(x * n) / F.sum(n), 6).alias(f"e{k}") for k, x in enumerate(columns)))
 
 
 @query(f"""WITH {b.counts_sql('user_id, day')}, t AS (SELECT user_id, c0 % 3 AS a, c1 % 3 AS b, CAST(count(*) AS DOUBLE) AS c FROM counts GROUP BY ALL)
@@ -173,7 +172,7 @@ SELECT x.user_id, x.a + y.a AS a, x.b + y.b AS b, sum(x.c * y.c) AS c FROM t x J
 def polynomial_multiply(spark: SparkSession, folder: str) -> DataFrame:
     """Square of each user's polynomial given as rows (exponents, coefficient); like terms are merged first."""
     c = b.counts(spark, folder, ("user_id", "day"))
-    t = c.groupBy("user_id", (C[0] % 3).alias("a"), (C[1] % 3).alias("b")).agg(F.count("*").cast("double").alias("c"))
+    t = c.groupBy("user_id", (F.col("c0") % 3).alias("a"), (F.col("c1") % 3).alias("b")).agg(F.count("*").cast("double").alias("c"))
     u = t.select("user_id", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("c").alias("c2"))
     m = t.join(u, "user_id").groupBy("user_id", (F.col("a") + F.col("a2")).alias("a"), (F.col("b") + F.col("b2")).alias("b")).agg(F.sum(F.col("c") * F.col("c2")).alias("c"))
     return m.where("c <> 0")

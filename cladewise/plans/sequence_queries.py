@@ -12,7 +12,6 @@ from cladewise.registry import query
 
 from . import bindings as b
 
-C = [F.col(f"c{k}") for k in range(5)]
 r6 = lambda x: F.round(x, 6) + F.lit(0.0)
 
 
@@ -70,7 +69,7 @@ _LG = " + ".join(f"lgamma(c{k} + 0.2)" for k in range(5)) + " - lgamma(c0 + c1 +
 @query(f"WITH {b.counts_sql('user_id, day')} SELECT user_id, CAST(day AS VARCHAR) AS day, round({_LG}, 6) + 0.0 AS logml FROM counts")
 def dirichlet_multinomial_logml(spark: SparkSession, folder: str) -> DataFrame:
     c = b.counts(spark, folder, ("user_id", "day"))
-    return c.select("user_id", F.col("day").cast("string").alias("day"), r6(mathx.dirichlet_multinomial(C, _ALPHA)).alias("logml"))
+    return c.select("user_id", F.col("day").cast("string").alias("day"), r6(mathx.dirichlet_multinomial(b.count_columns(), _ALPHA)).alias("logml"))
 
 
 _N = "(c0 + c1 + c2 + c3 + c4)"
@@ -78,7 +77,7 @@ _N = "(c0 + c1 + c2 + c3 + c4)"
 
 @query(f"WITH {b.counts_sql()} SELECT user_id, " + ", ".join(f"round((c{k} + 0.2) / ({_N} + 1.0), 6) AS p{k}" for k in range(5)) + " FROM counts")
 def posterior_mean_probs(spark: SparkSession, folder: str) -> DataFrame:
-    p = motifs.posterior_mean(C, _ALPHA)
+    p = motifs.posterior_mean(b.count_columns(), _ALPHA)
     return b.counts(spark, folder).select("user_id", *(F.round(x, 6).alias(f"p{k}") for k, x in enumerate(p)))
 
 
@@ -87,12 +86,12 @@ _P = [f"((c{k} + 0.2) / ({_N} + 1.0))" for k in range(5)]
 
 @query(f"WITH {b.counts_sql()} SELECT user_id, round(-(" + " + ".join(f"{p} * ln({p})" for p in _P) + "), 6) AS entropy FROM counts")
 def column_entropy(spark: SparkSession, folder: str) -> DataFrame:
-    return b.counts(spark, folder).select("user_id", F.round(mathx.entropy(motifs.posterior_mean(C, _ALPHA)), 6).alias("entropy"))
+    return b.counts(spark, folder).select("user_id", F.round(mathx.entropy(motifs.posterior_mean(b.count_columns(), _ALPHA)), 6).alias("entropy"))
 
 
 @query(f"WITH {b.counts_sql()} SELECT user_id, round(" + " + ".join(f"{p} * log2({p} / 0.2)" for p in _P) + ", 6) + 0.0 AS information FROM counts")
 def information_content(spark: SparkSession, folder: str) -> DataFrame:
-    p = motifs.posterior_mean(C, _ALPHA)
+    p = motifs.posterior_mean(b.count_columns(), _ALPHA)
     return b.counts(spark, folder).select("user_id", r6(mathx.kl_divergence(p, [F.lit(0.2)] * 5)).alias("information"))
 
 
@@ -109,7 +108,7 @@ FROM x FULL JOIN y ON x.u = y.u AND x.v = y.v AND x.k = y.k AND x.pos = y.pos GR
 def motif_kl_shift(spark: SparkSession, folder: str) -> DataFrame:
     c = b.counts(spark, folder, ("user_id", "day"))
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy("day"))
-    m = c.select(F.col("user_id").alias("motif"), pos.alias("pos"), *(p.alias(f"p{k}") for k, p in enumerate(motifs.posterior_mean(C, _ALPHA))))
+    m = c.select(F.col("user_id").alias("motif"), pos.alias("pos"), *(p.alias(f"p{k}") for k, p in enumerate(motifs.posterior_mean(b.count_columns(), _ALPHA))))
     pairs = m.select(F.col("motif").alias("first")).distinct().join(m.select((F.col("motif") - 1).alias("first")).distinct(), "first", "left_semi")
     return motifs.shifted_kl(m, pairs.withColumn("second", F.col("first") + 1), (-1, 0, 1)).withColumn("kl", r6("kl"))
 
@@ -130,7 +129,7 @@ def pwm_scan_topk(spark: SparkSession, folder: str) -> DataFrame:
 SELECT user_id, CAST(day AS VARCHAR) AS day, CASE WHEN count(*) OVER w = 3 THEN round(sum(s) OVER w, 6) ELSE 0.0 END + 0.0 AS score FROM m
 WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)""")
 def motif_scan_window(spark: SparkSession, folder: str) -> DataFrame:
-    c = b.counts(spark, folder, ("user_id", "day")).withColumn("s", mathx.dirichlet_multinomial(C, _ALPHA))
+    c = b.counts(spark, folder, ("user_id", "day")).withColumn("s", mathx.dirichlet_multinomial(b.count_columns(), _ALPHA))
     w = Window.partitionBy("user_id").orderBy("day").rowsBetween(0, 2)
     score = F.when(F.count("*").over(w) == 3, F.round(F.sum("s").over(w), 6)).otherwise(0.0) + F.lit(0.0)
     return c.select("user_id", F.col("day").cast("string").alias("day"), score.alias("score"))
