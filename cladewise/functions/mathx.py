@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,3 +104,16 @@ def anneal(t0: float, i: Column, n: int) -> Column:
 
 def decay_weight(i: Column) -> Column:
     return F.pow(F.lit(0.5), i)
+
+
+def mutation_probability(d: Column) -> Column:
+    """Probability that a letter is drawn anew along a branch of length d."""
+    return -F.expm1(-d)
+
+
+def dirichlet_moments(alpha: list[Column]) -> tuple[list[Column], list[Column], Callable[[int, int], Column], Column]:
+    """Means, variances, the covariance of two different coordinates, and the mean entropy in nats."""
+    total = _sum(alpha)
+    mean = [a / total for a in alpha]
+    entropy = digamma(total + 1.0) - _sum([m * digamma(a + 1.0) for m, a in zip(mean, alpha)])
+    return mean, [m * (1 - m) / (total + 1.0) for m in mean], lambda i, j: -mean[i] * mean[j] / (total + 1.0), entropy

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,3 +98,14 @@ def align_to_taxa(sequences: DataFrame, taxa: DataFrame) -> DataFrame:
     checked = known.withColumn("span", span)
     bad = F.when(F.col("span.a") != F.col("span.b"), F.raise_error(F.lit("sequences have unequal lengths"))).otherwise(F.col("span.b"))
     return checked.select("leaf_id", F.coalesce("seq", F.expr("repeat('N', span.b)")).alias("seq"), bad.cast("int").alias("n"))
+
+
+def on_taxa(records: DataFrame, taxa: Sequence[str]) -> DataFrame:
+    """(aln, taxon, seq): every alignment of ``records`` (aln, taxon, rec, seq) on the given taxa.
+
+    The record of the smallest ``rec`` of a taxon stays, unknown taxa go, and missing ones are N over the longest sequence.
+    """
+    first = records.where(F.col("taxon").isin(*taxa)).groupBy("aln", "taxon").agg(F.min_by("seq", "rec").alias("seq"))
+    whole = first.groupBy("aln").agg(F.map_from_entries(F.collect_list(F.struct("taxon", "seq"))).alias("own"), F.max(F.length("seq")).alias("n"))
+    whole = whole.withColumn("taxon", F.explode(F.array(*map(F.lit, taxa))))
+    return whole.select("aln", "taxon", F.coalesce(F.try_element_at("own", F.col("taxon")), F.expr("repeat('N', n)")).alias("seq"))

@@ -209,21 +209,54 @@ def _norm(edges: list[int], d: dict[int, float]) -> float:
     return math.sqrt(sum(d[x] ** 2 for x in edges))
 
 
-def geodesic_length(t1: Node, t2: Node, names: list[str]) -> float:
-    """Length of the shortest path between two trees: pieces between common edges, refined by lightest covers."""
-    (e1, l1), (e2, l2) = splits_of(t1, names), splits_of(t2, names)
-    common = set(e1) & set(e2)
-    square = sum((e1[x] - e2[x]) ** 2 for x in common) + sum((x - y) ** 2 for x, y in zip(l1, l2))
-    free = lambda own, other: [x for x in own if x not in common and all(_compatible(x, y) for y in other)]
+Edges = dict[int, float]
+
+
+@dataclass
+class Geodesic:
+    """The shortest path between two trees, each given by its internal edges and its leaves' lengths.
+
+    ``supports`` are the pairs of edge sets (of the first tree, of the second) that replace each other;
+    ``common`` holds, with both lengths, edges that both trees have or that one has and the other could have at length 0.
+    """
+
+    first: Edges
+    second: Edges
+    leaves: list[tuple[float, float]]
+    common: dict[int, tuple[float, float]]
+    supports: list[tuple[list[int], list[int]]]
+
+    def length(self) -> float:
+        square = sum((x - y) ** 2 for x, y in [*self.common.values(), *self.leaves])
+        return math.sqrt(square + sum((_norm(x, self.first) + _norm(y, self.second)) ** 2 for x, y in self.supports))
+
+    def point(self, share: float) -> tuple[Edges, list[float]]:
+        """The tree at ``share`` of the way."""
+        between = lambda x, y: (1 - share) * x + share * y
+        edges = {e: between(x, y) for e, (x, y) in self.common.items()}
+        for a, b in self.supports:
+            left, grown = (1 - share) * _norm(a, self.first), share * _norm(b, self.second)
+            if left > grown:
+                edges |= {e: self.first[e] * (left - grown) / _norm(a, self.first) for e in a}
+            else:
+                edges |= {e: self.second[e] * (grown - left) / _norm(b, self.second) for e in b}
+        return {e: d for e, d in edges.items() if d > 0}, [between(x, y) for x, y in self.leaves]
+
+
+def geodesic(one: tuple[Edges, list[float]], two: tuple[Edges, list[float]]) -> Geodesic:
+    """Pieces between common edges, refined by lightest covers until none is lighter than 1."""
+    (e1, l1), (e2, l2) = one, two
+    both = set(e1) & set(e2)
+    free = lambda own, other: [x for x in own if x not in both and all(_compatible(x, y) for y in other)]
     f1, f2 = free(e1, e2), free(e2, e1)  # edges that the other tree could simply have, at length 0
-    square += sum(e1[x] ** 2 for x in f1) + sum(e2[x] ** 2 for x in f2)
-    pieces: dict[tuple[int, ...], tuple[list[int], list[int]]] = {}
-    borders = sorted(common | set(f1) | set(f2))
-    for side, own, out in ((0, e1, f1), (1, e2, f2)):
+    common = {x: (e1.get(x, 0.0), e2.get(x, 0.0)) for x in [*both, *f1, *f2]}
+    pieces: dict[int, tuple[list[int], list[int]]] = {}
+    for side, own in enumerate((e1, e2)):
         for x in own:
-            if x not in common and x not in out:
-                key = (min((y for y in borders if not x & ~y), key=lambda y: bin(y).count("1"), default=0),)
-                pieces.setdefault(key, ([], []))[side].append(x)
+            if x not in common:
+                border = min((y for y in sorted(common) if not x & ~y), key=lambda y: y.bit_count(), default=0)
+                pieces.setdefault(border, ([], []))[side].append(x)
+    supports = []
     for a, b in pieces.values():
         path, k = [(a, b)], 0
         while k < len(path):
@@ -237,8 +270,12 @@ def geodesic_length(t1: Node, t2: Node, names: list[str]) -> float:
                 path[k : k + 1] = [(sorted(ca), [i for i in y if i not in cb]), ([i for i in x if i not in ca], sorted(cb))]
             else:
                 k += 1
-        square += sum((_norm(x, e1) + _norm(y, e2)) ** 2 for x, y in path)
-    return math.sqrt(square)
+        supports += path
+    return Geodesic(e1, e2, list(zip(l1, l2)), common, supports)
+
+
+def geodesic_length(t1: Node, t2: Node, names: list[str]) -> float:
+    return geodesic(splits_of(t1, names), splits_of(t2, names)).length()
 
 
 def geodesic_pairs(pairs: DataFrame, names: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.operators import alignments, trees
+from cladewise.operators import alignments, splicing, tree_means, tree_sampler, trees
 from cladewise.registry import query
 
 from . import bindings as b
@@ -30,20 +30,56 @@ def column_expectation(spark: SparkSession, folder: str) -> DataFrame:
     return a.join(value, "codes").select("pos", *(F.round(F.col("expectation")[k], 6).alias(f"p{k}") for k in range(5)))
 
 
+LEAVES = ["a", "b", "c", "d", "e"]
+SHAPES = ["(((b:1,c:1):{0},d:1):{1},e:1,a:1);", "(((b:1,d:1):{0},c:1):{1},e:1,a:1);", "((b:1,c:1):{0},(d:1,e:1):{1},a:1);"]
+
+
+def _sample(spark: SparkSession, folder: str) -> DataFrame:
+    """(tree, newick): trees whose branch lengths come from orders; three shapes in turn."""
+    x, y = F.col("o_totalprice") / 100000 + 0.01, F.col("o_custkey") % 97 / 10.0 + 0.01
+    newick = F.lit(None).cast("string")
+    for k, shape in enumerate(SHAPES):
+        parts = shape.replace("{1}", "{0}").split("{0}")
+        text = F.concat(F.lit(parts[0]), x.cast("string"), F.lit(parts[1]), y.cast("string"), F.lit(parts[2]))
+        newick = F.when(F.col("o_orderkey") % 3 == k, text).otherwise(newick)
+    return b.table(spark, folder, "orders").select(F.col("o_orderkey").alias("tree"), newick.alias("newick"))
+
+
 @query()
 def geodesic_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Distances between trees whose branch lengths come from orders; three shapes in turn."""
-    shapes = ["(((b:1,c:1):{0},d:1):{1},e:1,a:1);", "(((b:1,d:1):{0},c:1):{1},e:1,a:1);", "((b:1,c:1):{0},(d:1,e:1):{1},a:1);"]
-    o = b.table(spark, folder, "orders").select(F.col("o_orderkey").alias("i"), (F.col("o_totalprice") / 100000 + 0.01).alias("x"), (F.col("o_custkey") % 97 / 10.0 + 0.01).alias("y"))
-
-    def newick(col):
-        out = F.lit(None).cast("string")
-        for k, s in enumerate(shapes):
-            pieces = s.replace("{1}", "{0}").split("{0}")
-            out = F.when(F.col(col) % 3 == k, F.concat(F.lit(pieces[0]), F.col("x").cast("string"), F.lit(pieces[1]), F.col("y").cast("string"), F.lit(pieces[2]))).otherwise(out)
-        return out
-
-    t = o.withColumn("first", newick("i"))
+    """Distance of each tree from the one of the next number."""
+    t = _sample(spark, folder).select(F.col("tree").alias("i"), F.col("newick").alias("first"))
     u = t.select((F.col("i") - 1).alias("i"), F.col("first").alias("second"))
     pairs = t.join(u, "i").select("i", (F.col("i") + 1).alias("j"), "first", "second")
-    return trees.geodesic_pairs(pairs, ["a", "b", "c", "d", "e"]).withColumn("distance", F.round("distance", 6))
+    return trees.geodesic_pairs(pairs, LEAVES).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def frechet_mean(spark: SparkSession, folder: str) -> DataFrame:
+    """Ends of four random walks toward the mean of the trees."""
+    return tree_means.random_walks(_sample(spark, folder), LEAVES, "mean").withColumn("d", F.round("d", 6))
+
+
+@query()
+def geometric_median(spark: SparkSession, folder: str) -> DataFrame:
+    return tree_means.random_walks(_sample(spark, folder), LEAVES, "median").withColumn("d", F.round("d", 6))
+
+
+@query()
+def mh_trace(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten steps of chains at two temperatures over the trees of the alignment's species."""
+    return tree_sampler.metropolis_hastings(alignments.patterns(b.alignment(spark, folder)), TREE, TAXA, ALPHA, 10, [1.0, 2.0])
+
+
+@query()
+def spliced_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Two exons of every third pair of documents, over blocks made of each document's letters and their complements."""
+    s = b.sequences(spark, folder).withColumn("text", F.translate("seq", "-", "")).where(F.length("text") >= 30)
+    row = lambda src, text: F.struct(F.lit(src).alias("src"), text.alias("text"))
+    rows = s.withColumn("r", F.explode(F.array(row("target", F.col("text")), row("other", F.translate("text", "GATC", "CTAG")))))
+    size = F.length("r.text").cast("long")
+    maf = rows.select(F.lit("f").alias("file"), F.col("doc_id").alias("at"), F.col("doc_id").alias("block"), "r.src", (F.col("doc_id") * (1 << 20)).alias("start"), size.alias("size"), F.lit("+").alias("strand"), "r.text")
+    part = F.explode(F.array(F.lit(0), F.lit(1)))
+    exons = s.where("doc_id % 3 = 0").select(F.col("doc_id").alias("splice"), part.alias("part"))
+    start = (F.col("splice") + F.col("part")) * (1 << 20)
+    return splicing.splice(maf, exons.select("splice", "part", (start + 5).alias("from"), (start + 25).alias("to")), "target")

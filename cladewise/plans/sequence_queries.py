@@ -167,3 +167,54 @@ def range_lookup(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {b.SITES} SELECT doc_id, pos, CAST(sum(CASE WHEN letter <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) - 1 AS ref_pos FROM sites")
 def ref_coordinate(spark: SparkSession, folder: str) -> DataFrame:
     return alignments.reference_coordinates(b.sites(spark, folder)).select("doc_id", "pos", "ref_pos")
+
+
+@query(f"""WITH {b.SEQ}, u AS (SELECT doc_id, replace(seq, '-', '') AS seq FROM seqs)
+SELECT doc_id, array_to_string(list_transform(range(0, length(seq) // 3), lambda i: CASE WHEN instr(substr(seq, 3 * i + 1, 3), 'N') > 0 THEN 'X' ELSE
+substr('{alphabet.CODON_ACIDS}', 16 * (instr('{alphabet.CODON_BASES}', seq[3 * i + 1]) - 1) + 4 * (instr('{alphabet.CODON_BASES}', seq[3 * i + 2]) - 1) + instr('{alphabet.CODON_BASES}', seq[3 * i + 3]), 1) END), '') AS protein FROM u""")
+def codon_translate(spark: SparkSession, folder: str) -> DataFrame:
+    """Gaps go first; a codon with N gives X and an incomplete last codon nothing."""
+    s = b.sequences(spark, folder)
+    return s.select("doc_id", alphabet.translate_codons(alphabet.ungap(F.col("seq"))).alias("protein"))
+
+
+@query(f"""WITH {b.SEQ} SELECT doc_id, lower(replace(seq, '-', '')) AS ungapped, regexp_replace(seq, '[^GATC]', 'N', 'g') AS masked,
+substr(replace(seq, '-', ''), 6, 10) AS part, length(regexp_replace(seq, '[^GATC]', '', 'g')) AS n_letters FROM seqs""")
+def sequence_helpers(spark: SparkSession, folder: str) -> DataFrame:
+    s, ungapped = b.sequences(spark, folder), alphabet.ungap(F.col("seq"))
+    letters = F.length(F.regexp_replace("seq", "[^GATC]", "")).cast("long")
+    return s.select("doc_id", F.lower(ungapped).alias("ungapped"), F.regexp_replace("seq", "[^GATC]", "N").alias("masked"), F.substring(ungapped, 6, 10).alias("part"), letters.alias("n_letters"))
+
+
+@query(f"WITH {b.CELLS} SELECT pos, code FROM cells WHERE vec_id = 3 AND pos BETWEEN 10 AND 19")
+def species_slice(spark: SparkSession, folder: str) -> DataFrame:
+    """One species over a range of positions."""
+    return b.alignment(spark, folder).where("pos BETWEEN 10 AND 19").select(F.col("pos").cast("long").alias("pos"), F.col("codes")[3].alias("code"))
+
+
+@query(f"""WITH {b.SEQ}, k AS (SELECT substr(seq, i, 3) AS w FROM (SELECT seq, unnest(range(1, length(seq) - 1)) AS i FROM seqs))
+SELECT 16 * (instr('GATC', w[1]) - 1) + 4 * (instr('GATC', w[2]) - 1) + instr('GATC', w[3]) - 1 AS code, count(*) AS n FROM k WHERE regexp_full_match(w, '[GATC][GATC][GATC]') GROUP BY 1""")
+def context_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of three plain letters by their number in base 4."""
+    k = alignments.kmer_tally(b.sequences(spark, folder), 3).where(F.col("kmer").rlike("^[GATC]{3}$"))
+    digit = lambda i: F.instr(F.lit("GATC"), F.substring("kmer", i, 1)) - 1
+    return k.select((16 * digit(1) + 4 * digit(2) + digit(3)).cast("long").alias("code"), "n")
+
+
+@query(f"WITH {b.SEQ} SELECT doc_id, printf('%10s (%2d): %s', coalesce(source, ''), CAST(doc_id % 100 AS INT), seq) AS line FROM seqs JOIN documents USING (doc_id)")
+def pretty_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    d = b.table(spark, folder, "documents")
+    seq = F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGTN-]", "")
+    return d.select("doc_id", F.format_string("%10s (%2d): %s", F.coalesce("source", F.lit("")), F.col("doc_id") % 100, seq).alias("line"))
+
+
+TAXA = ("src0", "src1", "src2", "src999")
+
+
+@query(f"""WITH {b.SEQ}, r AS (SELECT lang, source AS taxon, doc_id, seq FROM seqs JOIN documents USING (doc_id)), f AS (SELECT lang, taxon, arg_min(seq, doc_id) AS seq FROM r WHERE taxon IN {TAXA} GROUP BY ALL),
+a AS (SELECT lang, max(length(seq)) AS n FROM f GROUP BY lang) SELECT a.lang, t.taxon, coalesce(f.seq, repeat('N', a.n)) AS seq FROM a, (SELECT unnest({list(TAXA)}) AS taxon) t LEFT JOIN f ON f.lang = a.lang AND f.taxon = t.taxon""")
+def alignment_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Records on the taxa of a tree: the first of a taxon stays, unknown taxa go, missing taxa are N."""
+    d = b.table(spark, folder, "documents").select("doc_id", "lang", F.col("source").alias("taxon"))
+    records = d.join(b.sequences(spark, folder), "doc_id").select(F.col("lang").alias("aln"), "taxon", F.col("doc_id").alias("rec"), "seq")
+    return alignments.on_taxa(records, TAXA).withColumnRenamed("aln", "lang")
