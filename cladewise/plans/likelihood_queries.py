@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.operators import alignments, splicing, tree_means, tree_sampler, trees
+from cladewise.operators import alignments, simulation, splicing, tree_gradients, tree_means, tree_sampler, trees, variational
 from cladewise.registry import query
 
 from . import bindings as b
@@ -83,3 +83,33 @@ def spliced_extraction(spark: SparkSession, folder: str) -> DataFrame:
     exons = s.where("doc_id % 3 = 0").select(F.col("doc_id").alias("splice"), part.alias("part"))
     start = (F.col("splice") + F.col("part")) * (1 << 20)
     return splicing.splice(maf, exons.select("splice", "part", (start + 5).alias("from"), (start + 25).alias("to")), "target")
+
+
+@query()
+def gradient_ascent_trace(spark: SparkSession, folder: str) -> DataFrame:
+    return tree_gradients.gradient_ascent(alignments.patterns(b.alignment(spark, folder)), TREE, TAXA, ALPHA, 4)
+
+
+@query()
+def hmc_trace(spark: SparkSession, folder: str) -> DataFrame:
+    return tree_gradients.hamiltonian(alignments.patterns(b.alignment(spark, folder)), TREE, TAXA, ALPHA, 4)
+
+
+@query()
+def variational_dirichlet(spark: SparkSession, folder: str) -> DataFrame:
+    """The Dirichlet distribution closest to the posterior of each column, joined back to positions."""
+    a = b.alignment(spark, folder)
+    fit = variational.pattern_approximations(alignments.patterns(a), TREE, TAXA, ALPHA)
+    return a.join(fit, "codes").select("pos", *(F.round(F.col("xi")[k], 5).alias(f"xi{k}") for k in range(5)))
+
+
+@query()
+def simulate_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """As many columns as the folder's alignment has."""
+    n = b.alignment(spark, folder).count()
+    return simulation.simulate_columns(spark, n, TREE, TAXA, ALPHA, 1)
+
+
+@query()
+def simulate_gaussian_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return simulation.gaussian_mixture(spark, 1000, [(0.0, 0.0), (5.0, 1.0), (-3.0, 4.0)], [0.5, 0.3, 0.2], 0.5, 1)
