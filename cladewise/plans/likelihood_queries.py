@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.operators import alignments, simulation, splicing, tree_gradients, tree_means, tree_sampler, trees, variational
+from cladewise.operators import alignments, dirichlet_process, simulation, splicing, tree_gradients, tree_means, tree_sampler, trees, variational
 from cladewise.registry import query
 
 from . import bindings as b
@@ -113,3 +113,11 @@ def simulate_alignment(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def simulate_gaussian_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return simulation.gaussian_mixture(spark, 1000, [(0.0, 0.0), (5.0, 1.0), (-3.0, 4.0)], [0.5, 0.3, 0.2], 0.5, 1)
+
+
+@query()
+def gaussian_dpm_trace(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten sweeps over the orders as points of price and key."""
+    o = b.table(spark, folder, "orders")
+    points = o.select(F.col("o_orderkey").alias("i"), (F.col("o_totalprice") / 50000).alias("x"), (F.col("o_orderkey") % 1000 / 100.0).alias("y"))
+    return dirichlet_process.sample(points, dirichlet_process.Model(), 10, 1)[0]
