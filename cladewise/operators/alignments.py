@@ -109,3 +109,10 @@ def on_taxa(records: DataFrame, taxa: Sequence[str]) -> DataFrame:
     whole = first.groupBy("aln").agg(F.map_from_entries(F.collect_list(F.struct("taxon", "seq"))).alias("own"), F.max(F.length("seq")).alias("n"))
     whole = whole.withColumn("taxon", F.explode(F.array(*map(F.lit, taxa))))
     return whole.select("aln", "taxon", F.coalesce(F.try_element_at("own", F.col("taxon")), F.expr("repeat('N', n)")).alias("seq"))
+
+
+def append(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The columns (pos, codes) of one alignment and then those of another on the same taxa."""
+    behind = first.agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("behind"))
+    moved = second.select("pos", "codes").join(F.broadcast(behind)).select((F.col("pos") + F.col("behind")).alias("pos"), "codes")
+    return first.select("pos", "codes").unionByName(moved)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.operators import alignments, dirichlet_process, simulation, splicing, tree_gradients, tree_means, tree_sampler, trees, variational
+from cladewise.operators import alignments, dirichlet_process, integrated, simulation, splicing, tree_gradients, tree_means, tree_sampler, trees, variational
 from cladewise.registry import query
 
 from . import bindings as b
@@ -121,3 +121,25 @@ def gaussian_dpm_trace(spark: SparkSession, folder: str) -> DataFrame:
     o = b.table(spark, folder, "orders")
     points = o.select(F.col("o_orderkey").alias("i"), (F.col("o_totalprice") / 50000).alias("x"), (F.col("o_orderkey") % 1000 / 100.0).alias("y"))
     return dirichlet_process.sample(points, dirichlet_process.Model(), 10, 1)[0]
+
+
+def _marginals(spark: SparkSession, folder: str, make) -> DataFrame:
+    c = b.counts(spark, folder, ("user_id", "day")).withColumn("day", F.col("day").cast("string"))
+    return integrated.marginals(c, [f"c{k}" for k in range(5)], make).withColumn("logml", F.round("logml", 6))
+
+
+@query()
+def integrated_background(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of letters under pseudocounts that have a gamma distribution."""
+    return _marginals(spark, folder, lambda: integrated.gamma_prior(5, 5.0, 0.2, integrated.DRAWS, 1))
+
+
+@query()
+def entropy_background(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of letters whose relative entropy has a beta distribution."""
+    return _marginals(spark, folder, lambda: integrated.entropy_prior(5, 10.0, 10.0, integrated.DRAWS, 1))
+
+
+@query()
+def entropy_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return integrated.entropy_histogram(spark, 4, 200_000, seed=1)

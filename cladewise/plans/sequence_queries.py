@@ -218,3 +218,11 @@ def alignment_fill(spark: SparkSession, folder: str) -> DataFrame:
     d = b.table(spark, folder, "documents").select("doc_id", "lang", F.col("source").alias("taxon"))
     records = d.join(b.sequences(spark, folder), "doc_id").select(F.col("lang").alias("aln"), "taxon", F.col("doc_id").alias("rec"), "seq")
     return alignments.on_taxa(records, TAXA).withColumnRenamed("aln", "lang")
+
+
+@query(f"""WITH {b.CELLS}, a AS (SELECT pos, string_agg(CAST(code AS VARCHAR), '' ORDER BY vec_id) AS codes FROM cells GROUP BY pos)
+SELECT pos, codes FROM a UNION ALL SELECT pos + (SELECT max(pos) + 1 FROM a), codes FROM a WHERE pos < 20""")
+def append_alignments(spark: SparkSession, folder: str) -> DataFrame:
+    """An alignment and behind it its own first columns."""
+    a = b.alignment(spark, folder)
+    return alignments.append(a, a.where("pos < 20")).select(F.col("pos").cast("long").alias("pos"), F.array_join("codes", "").alias("codes"))
