@@ -4,8 +4,8 @@ The corpus' words are counted exactly over all training documents (packed by has
 shuffle). The model predicts classes and then words: frequent words (``HEAD``) are spread over classes
 whose members a second softmax tells apart; every other word is in a class by its last letters,
 inside which its probability is its count's share. A GRU in numpy is fitted by truncated
-backpropagation on a fixed fraction of the training documents: in each round every task starts from
-the same parameters, runs over its own documents, and the tasks' parameters are averaged by Spark.
+backpropagation on every training document, which are dealt to the rounds by hash: in each round every task
+starts from the same parameters, runs over its own documents of the round, and the tasks' parameters are averaged by Spark.
 Scoring carries the state across windows through whole documents.
 """
 
@@ -27,8 +27,8 @@ HEAD, HEAD_CLASSES, TAIL_CLASSES = 1024, 32, 64
 PER_CLASS = HEAD // HEAD_CLASSES
 CLASSES, INPUTS = HEAD_CLASSES + TAIL_CLASSES, HEAD + TAIL_CLASSES
 EMBED, HIDDEN = 16, 24
-#: One of so many training documents fits the network (counts use all), in so many rounds of averaging.
-FIT_ONE_OF, ROUNDS = 8, 3
+#: One of so many training documents fits the network (counts and frequent words use all), in so many rounds of averaging.
+FIT_ONE_OF, ROUNDS = 1, 3
 STREAMS, WINDOW, RATE = 96, 16, 0.01
 #: Tokens scored side by side.
 GROUP_TOKENS = 3_000_000
@@ -455,8 +455,9 @@ def score_documents(docs: DataFrame, fit_one_of: int = FIT_ONE_OF, rounds: int =
     crc = F.crc32(F.encode(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), "UTF-8"))
     out = crc % FOLDS == HELD_OUT
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), out.alias("held_out"), (~out).alias("train"), F.xxhash64(docs["doc_id"], text).alias("key"), F.xxhash64(F.lit(3), docs["doc_id"]).alias("pick"), text.alias("text"))
-    chosen = rows.where("train").where(F.pmod("pick", F.lit(fit_one_of)) == 0)
-    counts = scratch.save(_word_counts(chosen))
+    training = rows.where("train")
+    chosen = training.where(F.pmod("pick", F.lit(fit_one_of)) == 0)
+    counts = scratch.save(_word_counts(training))
     end = int(END_WORD)
     top = counts.where(F.col("word") != end).orderBy(F.desc("n"), "word").limit(HEAD - 1).collect()
     tail_class = F.shiftrightunsigned("word", 58).alias("class")

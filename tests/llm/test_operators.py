@@ -215,6 +215,17 @@ def test_language_model(docs, empty):
     assert language_model.score_documents(empty).count() == 0
 
 
+def test_language_model_learns_from_every_training_document(spark):
+    """Words that only documents outside one eighth of the hash hold are frequent, and the network knows their order."""
+    eighth = F.pmod(F.xxhash64(F.lit(3), F.col("id")), F.lit(8)) == 0
+    text = F.when(eighth, F.repeat(F.lit("red green blue "), 30)).otherwise(F.repeat(F.lit("zig zag zog zug "), 30))
+    got = language_model.score_documents(spark.range(600).select(F.col("id").alias("doc_id"), text.alias("text"))).where("held_out")
+    rows = got.join(spark.range(600).select(F.col("id").alias("doc_id"), eighth.alias("eighth")), "doc_id").collect()
+    own = [r for r in rows if not r["eighth"]]
+    assert own and all(r["score"] > r["base_score"] for r in own)
+    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
 def test_gradients_match_differences():
     import numpy as np
 
