@@ -82,6 +82,24 @@ def alignment(spark: SparkSession, folder: str) -> DataFrame:
     return cells.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["code"]).alias("codes"))
 
 
+#: Species of an alignment block.
+SPECIES = 8
+
+
+def alignment_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """(aln, pos, codes): every embedding, as blocks of eight species; block ``aln`` has ids 8 aln to 8 aln + 7.
+
+    Species that an incomplete block lacks, and places behind a shorter embedding's end, are missing (-1). Embeddings
+    without an id have no block.
+    """
+    e = table(spark, folder, "embeddings").where("vec_id IS NOT NULL")
+    aln = F.floor(F.col("vec_id") / SPECIES).cast("long").alias("aln")
+    cells = e.select(aln, F.pmod("vec_id", F.lit(SPECIES)).cast("int").alias("species"), F.posexplode("embedding").alias("pos", "x"))
+    code = F.pmod(F.floor(F.col("x").cast("double") * 10), F.lit(5)).cast("int")
+    codes = [F.coalesce(F.max(F.when(F.col("species") == k, code)), F.lit(-1)) for k in range(SPECIES)]
+    return cells.groupBy("aln", "pos").agg(F.array(*codes).alias("codes"))
+
+
 CELLS = (
     "cells AS (SELECT vec_id, i - 1 AS pos, CAST(((floor(CAST(embedding[i] AS DOUBLE) * 10) % 5) + 5) % 5 AS INT) AS code "
     "FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id < 8))"

@@ -38,10 +38,10 @@ def running_split_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def hmm_posterior(spark: SparkSession, folder: str) -> DataFrame:
-    """Probabilities of two states, of a narrow and of a wide prior over letters, at every site of the alignment."""
-    a = b.alignment(spark, folder)
+    """Probabilities of two states, of a narrow and of a wide prior over letters, at every site of every alignment block."""
+    a = b.alignment_blocks(spark, folder)
     found = alignments.patterns(a)
     value = lambda alpha, name: trees.pattern_likelihoods(found, TREE, TAXA, [alpha] * 5).select("codes", F.col("logml").alias(name))
-    s = a.join(value(0.1, "x"), "codes").join(value(1.0, "y"), "codes").select(F.lit(0).alias("aln"), "pos", F.array("x", "y").alias("logml"))
+    s = a.join(value(0.1, "x"), "codes").join(value(1.0, "y"), "codes").select("aln", "pos", F.array("x", "y").alias("logml"))
     states = hmm.forward_backward(s, [0.5, 0.5], [[0.95, 0.05], [0.05, 0.95]])
-    return states.select("pos", *(F.round(F.col("posterior")[k], 6).alias(f"p{k}") for k in range(2)))
+    return states.select("aln", "pos", *(F.round(F.col("posterior")[k], 6).alias(f"p{k}") for k in range(2)))

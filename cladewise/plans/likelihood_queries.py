@@ -18,16 +18,16 @@ ALPHA = [0.2] * 5
 @query()
 def column_marginal_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     """Log marginal likelihood of every column: one evaluation per distinct column, joined back to positions."""
-    a = b.alignment(spark, folder)
+    a = b.alignment_blocks(spark, folder)
     value = trees.pattern_likelihoods(alignments.patterns(a), TREE, TAXA, ALPHA)
-    return a.join(value.select("codes", F.round("logml", 6).alias("logml")), "codes").select("pos", "logml")
+    return a.join(value.select("codes", F.round("logml", 6).alias("logml")), "codes").select("aln", "pos", "logml")
 
 
 @query()
 def column_expectation(spark: SparkSession, folder: str) -> DataFrame:
-    a = b.alignment(spark, folder)
+    a = b.alignment_blocks(spark, folder)
     value = trees.pattern_likelihoods(alignments.patterns(a), TREE, TAXA, ALPHA)
-    return a.join(value, "codes").select("pos", *(F.round(F.col("expectation")[k], 6).alias(f"p{k}") for k in range(5)))
+    return a.join(value, "codes").select("aln", "pos", *(F.round(F.col("expectation")[k], 6).alias(f"p{k}") for k in range(5)))
 
 
 LEAVES = ["a", "b", "c", "d", "e"]
@@ -68,7 +68,7 @@ def geometric_median(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def mh_trace(spark: SparkSession, folder: str) -> DataFrame:
     """Ten steps of chains at two temperatures over the trees of the alignment's species."""
-    return tree_sampler.metropolis_hastings(alignments.patterns(b.alignment(spark, folder)), TREE, TAXA, ALPHA, 10, [1.0, 2.0])
+    return tree_sampler.metropolis_hastings(alignments.patterns(b.alignment_blocks(spark, folder)), TREE, TAXA, ALPHA, 10, [1.0, 2.0])
 
 
 @query()
@@ -87,26 +87,26 @@ def spliced_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def gradient_ascent_trace(spark: SparkSession, folder: str) -> DataFrame:
-    return tree_gradients.gradient_ascent(alignments.patterns(b.alignment(spark, folder)), TREE, TAXA, ALPHA, 4)
+    return tree_gradients.gradient_ascent(alignments.patterns(b.alignment_blocks(spark, folder)), TREE, TAXA, ALPHA, 4)
 
 
 @query()
 def hmc_trace(spark: SparkSession, folder: str) -> DataFrame:
-    return tree_gradients.hamiltonian(alignments.patterns(b.alignment(spark, folder)), TREE, TAXA, ALPHA, 4)
+    return tree_gradients.hamiltonian(alignments.patterns(b.alignment_blocks(spark, folder)), TREE, TAXA, ALPHA, 4)
 
 
 @query()
 def variational_dirichlet(spark: SparkSession, folder: str) -> DataFrame:
     """The Dirichlet distribution closest to the posterior of each column, joined back to positions."""
-    a = b.alignment(spark, folder)
+    a = b.alignment_blocks(spark, folder)
     fit = variational.pattern_approximations(alignments.patterns(a), TREE, TAXA, ALPHA)
-    return a.join(fit, "codes").select("pos", *(F.round(F.col("xi")[k], 5).alias(f"xi{k}") for k in range(5)))
+    return a.join(fit, "codes").select("aln", "pos", *(F.round(F.col("xi")[k], 5).alias(f"xi{k}") for k in range(5)))
 
 
 @query()
 def simulate_alignment(spark: SparkSession, folder: str) -> DataFrame:
-    """As many columns as the folder's alignment has."""
-    n = b.alignment(spark, folder).count()
+    """As many columns as the folder's alignment blocks have."""
+    n = b.alignment_blocks(spark, folder).count()
     return simulation.simulate_columns(spark, n, TREE, TAXA, ALPHA, 1)
 
 
