@@ -1,7 +1,8 @@
 """Means and medians in the space of trees, by walks along geodesics.
 
-A walk goes toward one tree at a time. Walks with different orders of the trees run in parallel, one
-task each, and a walk reads at most ``steps`` trees, so that a task stays small whatever the sample's size.
+A walk goes toward one tree at a time, and every tree takes part. For means the trees are split by hash into blocks of
+bounded size; each block is walked for a number of passes in its own task, and the blocks' ends are combined by weight in a
+tree of merges. A median of blocks' medians is not the median of all, so a walk to a median passes over all trees in one task.
 """
 
 from __future__ import annotations
@@ -9,11 +10,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .trees import Edges, geodesic, parse_newick, splits_of
 
 SCHEMA = "walk int, kind string, mask long, d double"
+ENDS = "walk int, block long, weight double, masks array<long>, edges array<double>, leaves array<double>"
+#: Trees that a block has on average, and ends that one task merges.
+BLOCK_TREES, FAN = 256, 16
 
 
 def step_size(k: int, slow: float = 1.0) -> float:
@@ -30,35 +33,62 @@ def toward_median(k: int, weight: float, length: float) -> float:
     return min(1.0, step_size(k) * weight / length) if length > 0 else 0.0
 
 
-def walk(trees: list[tuple[Edges, list[float]]], weights: list[float], steps: int, share) -> tuple[Edges, list[float]]:
-    """Start at the first tree and go toward the next ones in turn."""
-    place = trees[0]
+def walk(trees: list[tuple[Edges, list[float]]], weights: list[float], steps: int, share, start: tuple[Edges, list[float]] | None = None) -> tuple[Edges, list[float]]:
+    """Start at the first tree, or at ``start``, and go toward the next ones in turn."""
+    place, first = (trees[0], 1) if start is None else (start, 0)
     for k in range(steps):
-        n = (k + 1) % len(trees)
+        n = (k + first) % len(trees)
         path = geodesic(place, trees[n])
         place = path.point(share(k, weights[n], path.length()))
     return place
 
 
+def merge(ends: list[tuple[Edges, list[float]]], weights: list[float]) -> tuple[Edges, list[float]]:
+    """Combined by shares of weight, in one pass."""
+    if any(w > 0 for w in weights):
+        ends, weights = [e for e, w in zip(ends, weights) if w > 0], [w for w in weights if w > 0]
+    place, total = ends[0], weights[0]
+    for end, w in zip(ends[1:], weights[1:]):
+        total += w
+        place = geodesic(place, end).point(w / total if total > 0 else 0.0)
+    return place
+
+
 def random_walks(trees: DataFrame, names: list[str], kind: str = "mean", walks: int = 4, steps: int = 100, seed: int = 0) -> DataFrame:
     """(walk, kind, mask, d): edges (``split``: the mask of its leaves) and leaves (``leaf``: its number) of each walk's end.
 
-    ``trees`` has (tree, newick) and may have ``weight`` (1 where missing or null). Every walk takes the ``steps`` + 1 trees of
-    smallest hash in that order, and begins again where there are fewer. Rows without a newick text give nothing;
-    without trees there are no rows.
+    ``trees`` has (tree, newick) and may have ``weight`` (1 where missing or null). Every walk takes all trees, ``steps``
+    passes over each block in an order by hash. Rows without a newick text give nothing; without trees there are no rows.
     """
     share = {"mean": toward_mean, "median": toward_median}[kind]
     weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in trees.columns else F.lit(1.0)
     rows = trees.where("newick IS NOT NULL").select("tree", "newick", weight.alias("weight"))
+    blocks = 1 if kind == "median" else max(1, -(-rows.count() // BLOCK_TREES))
     rows = rows.withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))))
     rows = rows.withColumn("h", F.xxhash64("tree", "newick", "walk", F.lit(seed)))
-    nearest = F.row_number().over(Window.partitionBy("walk").orderBy("h", "tree", "newick"))
-    rows = rows.withColumn("k", nearest).where(F.col("k") <= steps + 1)
+    rows = rows.withColumn("block", F.pmod("h", F.lit(blocks)))
 
-    def walked(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("k")
-        edges, leaves = walk([splits_of(parse_newick(t), names) for t in own["newick"]], own["weight"].tolist(), steps, share)
-        found = [("split", e, d) for e, d in sorted(edges.items())] + [("leaf", n, d) for n, d in enumerate(leaves)]
-        return pd.DataFrame([(int(own["walk"].iloc[0]), *x) for x in found], columns=["walk", "kind", "mask", "d"])
+    def ended(own: pd.DataFrame, weight: float, place: tuple[Edges, list[float]]) -> pd.DataFrame:
+        edges = sorted(place[0].items())
+        row = (int(own["walk"].iloc[0]), int(own["block"].iloc[0]), weight, [e for e, _ in edges], [d for _, d in edges], list(place[1]))
+        return pd.DataFrame([row], columns=["walk", "block", "weight", "masks", "edges", "leaves"])
 
-    return rows.groupBy("walk").applyInPandas(walked, SCHEMA)
+    def walked(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["h", "tree", "newick"])
+        found, weights = [splits_of(parse_newick(t), names) for t in own["newick"]], own["weight"].tolist()
+        start = merge(found, weights) if kind == "median" else None  # the steps to a median are too short to come from afar
+        place = walk(found, weights, steps * len(own) - (start is None), share, start)
+        return ended(own, float(own["weight"].sum()), place)
+
+    def merged(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("block").assign(block=own["block"].min() // FAN)
+        places = [({int(m): d for m, d in zip(r.masks, r.edges)}, list(r.leaves)) for r in own.itertuples()]
+        return ended(own, float(own["weight"].sum()), merge(places, own["weight"].tolist()))
+
+    ends = rows.groupBy("walk", "block").applyInPandas(walked, ENDS)
+    while blocks > 1:
+        blocks = -(-blocks // FAN)
+        ends = ends.groupBy("walk", F.floor(F.col("block") / FAN).alias("part")).applyInPandas(merged, ENDS)
+    edges = F.transform(F.arrays_zip("masks", "edges"), lambda x: F.struct(F.lit("split").alias("kind"), x["masks"].alias("mask"), x["edges"].alias("d")))
+    leaves = F.transform("leaves", lambda d, n: F.struct(F.lit("leaf").alias("kind"), n.cast("long").alias("mask"), d.alias("d")))
+    return ends.select("walk", F.explode(F.concat(edges, leaves)).alias("x")).select("walk", "x.kind", "x.mask", "x.d")

@@ -41,6 +41,34 @@ def test_mean_in_one_topology_is_the_average(spark):
             assert math.isclose(d, sum(e[m] for e in edges) / 8, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("block", [16, 256])
+def test_every_tree_takes_part(spark, monkeypatch, block):
+    """Far more trees than passes: the mean of one topology is the average of all, over several levels of merges too."""
+    monkeypatch.setattr(tree_means, "BLOCK_TREES", block)
+    rows = sample(400)
+    got = tree_means.random_walks(spark.createDataFrame(rows, "tree long, newick string"), NAMES, "mean", 2, 3).toPandas()
+    edges = [tree(t)[0] for _, t in rows]
+    for w in (0, 1):
+        own = got[(got["walk"] == w) & (got["kind"] == "split")]
+        assert set(own["mask"]) == set(edges[0])
+        for m, d in zip(own["mask"], own["d"]):
+            assert math.isclose(d, sum(e[m] for e in edges) / 400, rel_tol=1e-9)
+
+
+def test_blocks_lose_little_against_a_cyclic_walk(spark, monkeypatch):
+    monkeypatch.setattr(tree_means, "BLOCK_TREES", 20)
+    rng = random.Random(8)
+    rows = [(k, t.replace(":1,", f":{rng.uniform(0.5, 2):.3f},")) for k, t in enumerate([ONE] * 60 + [TWO] * 30 + [FAR] * 10)]
+    all_trees = [tree(t) for _, t in rows]
+    for kind, power, share in (("mean", 2, tree_means.toward_mean), ("median", 1, tree_means.toward_median)):
+        loss = lambda place: sum(trees.geodesic(place, t).length() ** power for t in all_trees)  # noqa: B023, E731
+        cyclic = tree_means.walk(all_trees, [1.0] * 100, 100 * 100 - 1, share)
+        got = tree_means.random_walks(spark.createDataFrame(rows, "tree long, newick string"), NAMES, kind, 1).toPandas()
+        split, leaf = got[got["kind"] == "split"], got[got["kind"] == "leaf"].sort_values("mask")
+        place = (dict(zip(map(int, split["mask"]), split["d"])), leaf["d"].tolist())
+        assert loss(place) < 1.1 * loss(cyclic)
+
+
 def test_median_of_copies_and_one_far_tree_stays_with_the_copies(spark):
     rows = [(k, ONE) for k in range(9)] + [(9, FAR)]
     got = tree_means.random_walks(spark.createDataFrame(rows, "tree long, newick string"), NAMES, "median", 2, 200).toPandas()
