@@ -73,14 +73,18 @@ def mh_trace(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def spliced_extraction(spark: SparkSession, folder: str) -> DataFrame:
-    """Two exons of every third pair of documents, over blocks made of each document's letters and their complements."""
-    s = b.sequences(spark, folder).withColumn("text", F.translate("seq", "-", "")).where(F.length("text") >= 30)
+    """Two exons of every document, in its own block and the next id's, over blocks made of each document's letters and their complements.
+
+    Where a block ends inside an exon, or the next id has no document or no letters, the target is filled with N and the
+    other source, if the splice has it at all, with gaps. Documents without an id have no place.
+    """
+    s = b.sequences(spark, folder).withColumn("text", F.translate("seq", "-", "")).where("doc_id IS NOT NULL")
     row = lambda src, text: F.struct(F.lit(src).alias("src"), text.alias("text"))
     rows = s.withColumn("r", F.explode(F.array(row("target", F.col("text")), row("other", F.translate("text", "GATC", "CTAG")))))
     size = F.length("r.text").cast("long")
     maf = rows.select(F.lit("f").alias("file"), F.col("doc_id").alias("at"), F.col("doc_id").alias("block"), "r.src", (F.col("doc_id") * (1 << 20)).alias("start"), size.alias("size"), F.lit("+").alias("strand"), "r.text")
     part = F.explode(F.array(F.lit(0), F.lit(1)))
-    exons = s.where("doc_id % 3 = 0").select(F.col("doc_id").alias("splice"), part.alias("part"))
+    exons = s.select(F.col("doc_id").alias("splice"), part.alias("part"))
     start = (F.col("splice") + F.col("part")) * (1 << 20)
     return splicing.splice(maf, exons.select("splice", "part", (start + 5).alias("from"), (start + 25).alias("to")), "target")
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from cladewise import registry
 from cladewise.operators import splicing
 
 MAF = "file string, at long, block long, src string, start long, size long, strand string, text string, part string"
@@ -78,3 +79,17 @@ def test_splice_refuses(spark, rows, why):
     exons = spark.createDataFrame([("a", 0, 8, 20, None)], EXONS)
     with pytest.raises(Exception, match=why):
         splicing.splice(spark.createDataFrame(rows, MAF), exons, "hg").collect()
+
+
+def test_query_splices_every_document(spark, tmp_path):
+    """Ids of every remainder, blocks that end inside or before an exon, missing neighbours, and no text at all."""
+    texts = {0: "A" * 40, 1: "C" * 10, 2: "G" * 30, 4: "", 5: None}
+    spark.createDataFrame([*texts.items(), (None, "ACGT" * 10)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {(r["splice"], r["src"]): r["seq"] for r in registry.queries()["spliced_extraction"](spark, str(tmp_path)).collect()}
+    part = lambda k, fill: ((texts.get(k) or "")[5:25]).ljust(20, fill)
+    for k in texts:
+        assert rows[k, "target"] == part(k, "N") + part(k + 1, "N")
+    other = lambda k: part(k, "-").translate(str.maketrans("GATC", "CTAG"))
+    assert {k for k, src in rows if src == "other"} == {0, 1, 2}
+    for k in (0, 1, 2):
+        assert rows[k, "other"] == other(k) + other(k + 1)
