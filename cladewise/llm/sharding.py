@@ -21,6 +21,8 @@ from .common import Scratch, text_or_empty
 
 #: Documents that a block has at least on average, and blocks that an old shard has at most.
 BLOCK_ROWS, MAX_BLOCKS = 1024, 4096
+#: Slots of a shard that one task writes.
+FILE_SLOTS = 32768
 
 
 @dataclass(frozen=True)
@@ -112,7 +114,7 @@ def plan_transfers(blocks: dict[int, tuple[int, int]], n_old: int, capacity: lis
 def _divide(parts: dict[int, list[tuple[int, int]]]):
     def divide(rows: pd.DataFrame) -> pd.DataFrame:
         """Documents from large to small, each to the shard of the block that still lacks most bytes."""
-        rows = rows.sort_values(["size", "doc_id", "text_crc32"], ascending=[False, True, True])
+        rows = rows.sort_values(["size", "doc_id", "text_crc32", "uid"], ascending=[False, True, True, True])
         lack, shards = dict(parts[int(rows["block"].iloc[0])]), []
         for size in rows["size"].tolist():
             j = max(lack, key=lambda k: (lack[k], -k))
@@ -136,16 +138,19 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, capacity
     repeat are placed one by one; an empty table gives no rows. Columns beyond doc_id and text are
     read only by ``old_shard``.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "reshard")
-    rows = scratch.save(
-        docs.select(
-            docs["doc_id"].alias("doc_id"),
-            byte_size(docs["text"]).alias("size"),
-            F.crc32(F.encode(text_or_empty(docs["text"]), "UTF-8")).alias("text_crc32"),
-            old_shard.cast("int").alias("old_shard"),
-        )
-    )
+    scratch = Scratch(docs.sparkSession, "reshard")
+    placed, plan = _placed(scratch, scratch.save(_measured(docs, old_shard)), n_old, n_new, capacity)
+    return placed.drop("uid"), plan
+
+
+def _measured(docs: DataFrame, old_shard: Column, *more: Column) -> DataFrame:
+    """Every row with a number of its own; saved once, so that the numbers stay."""
+    crc = F.crc32(F.encode(text_or_empty(docs["text"]), "UTF-8")).alias("text_crc32")
+    return docs.select(docs["doc_id"].alias("doc_id"), byte_size(docs["text"]).alias("size"), crc, old_shard.cast("int").alias("old_shard"), F.monotonically_increasing_id().alias("uid"), *more)
+
+
+def _placed(scratch: Scratch, rows: DataFrame, n_old: int, n_new: int, capacity: list[int] | None) -> tuple[DataFrame, Plan]:
+    spark = rows.sparkSession
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     per_shard = max(1, min(MAX_BLOCKS, count // (n_old * BLOCK_ROWS)))
     block = F.col("old_shard") * per_shard + F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(per_shard)).cast("int")
@@ -155,8 +160,8 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, capacity
     plan = plan_transfers(found, n_old, capacity or equal_capacities(total, n_new))
     cut = [*plan.split]
     moves = spark.createDataFrame([*plan.whole.items()], "block int, shard int")
-    kept = rows.join(F.broadcast(moves), "block").select("doc_id", "size", "text_crc32", "old_shard", "block", "shard")
-    schema = "doc_id long, size long, text_crc32 long, old_shard int, block int, shard int"
+    kept = rows.join(F.broadcast(moves), "block").select("doc_id", "size", "text_crc32", "old_shard", "uid", "block", "shard")
+    schema = "doc_id long, size long, text_crc32 long, old_shard int, uid long, block int, shard int"
     divided = rows.where(F.col("block").isin(cut)).groupBy("block").applyInPandas(_divide(plan.split), schema)
     placed = scratch.save(kept.unionByName(divided))
     # slots: a running count over the blocks of a shard, on the driver, plus a rank within the block
@@ -166,19 +171,33 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, capacity
         offsets.append((shard, b, base.get(shard, 0)))
         base[shard] = base.get(shard, 0) + n
     bases = spark.createDataFrame(offsets, "shard int, block int, base long")
-    rank = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32"))
+    rank = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "uid"))
     out = placed.withColumn("rank", rank).join(F.broadcast(bases), ["shard", "block"])
-    return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("rank") - 1).alias("slot")), plan
+    return out.select("doc_id", "size", "text_crc32", "old_shard", "uid", "shard", (F.col("base") + F.col("rank") - 1).alias("slot")), plan
 
 
-def rewrite_affected(docs: DataFrame, placed: DataFrame, plan: Plan, path: str) -> list[int]:
-    """Write the new files of every shard that gains or loses bytes under ``path``/shard=N; returns those shards.
+def rewrite_affected(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: str | None = None, capacity: list[int] | None = None) -> tuple[DataFrame, list[int]]:
+    """Reshard and write the new files of every shard that gains or loses bytes under ``path``/shard=N.
 
-    Shards that the plan leaves as they are keep their files. ``docs`` must have unique (doc_id, text) rows.
+    Files have (row, old_shard, slot): ``row`` holds all columns of ``docs``, repeated rows and nulls as they are. A task
+    writes a range of a shard's slots in order. Without a path the files lie in scratch. Returns (doc_id, size, text_crc32,
+    old_shard, shard, slot), read back from the files and, for shards that keep their files, from the
+    plan's placement; and the shards written.
     """
-    changed = sorted({k for (i, j) in plan.flows if i != j for k in (i, j)})
-    there = placed.where(F.col("shard").isin(changed)).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot")
-    crc = F.crc32(F.encode(text_or_empty(docs["text"]), "UTF-8"))
-    full = docs.join(there, docs["doc_id"].eqNullSafe(there["__id"]) & (crc == there["__crc"])).drop("__id", "__crc")
-    full.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
-    return changed
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "reshard-files")
+    path = path or f"{scratch.base}/files"
+    held = scratch.save(_measured(docs, old_shard, F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")))
+    placed, plan = _placed(scratch, held.drop("row"), n_old, n_new, capacity)
+    changed = sorted({k for (i, j) in plan.flows if i != j for k in (i, j) if k < n_new})
+    placed = scratch.save(placed)
+    there = placed.where(F.col("shard").isin(changed)).select("uid", "shard", "slot")
+    full = held.select("uid", "row", "old_shard").join(there, "uid").drop("uid")
+    part = F.floor(F.col("slot") / FILE_SLOTS)
+    full = full.repartition("shard", part).sortWithinPartitions("shard", "slot")
+    full.write.mode("overwrite").partitionBy("shard").parquet(path)
+    back = spark.read.schema(full.schema).parquet(path)
+    text = F.col("row.text")
+    crc = F.crc32(F.encode(text_or_empty(text), "UTF-8")).alias("text_crc32")
+    back = back.select(F.col("row.doc_id").alias("doc_id"), byte_size(text).alias("size"), crc, "old_shard", "shard", "slot")
+    return back.unionByName(placed.where(~F.col("shard").isin(changed)).drop("uid")), changed

@@ -63,3 +63,21 @@ def test_sharding_takes_clashing_columns(odd):
     assert len(rows) == 11 and {r["shard"] for r in rows} <= set(range(4))
     for s in range(4):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+
+
+def test_rewritten_files_hold_every_row_once(spark, odd, tmp_path):
+    """Repeated rows, nulls and clashing columns come back from the files as they were; an unchanged shard keeps its files."""
+    path = str(tmp_path / "files")
+    back, changed = sharding.rewrite_affected(odd, F.lit(0), 1, 4, path)
+    assert changed == [0, 1, 2, 3]
+    files = spark.read.parquet(path)
+    whole = lambda rows: sorted(repr(tuple(r)) for r in rows)
+    assert whole(files.select("row.*").collect()) == whole(odd.collect())
+    rows = back.collect()
+    assert len(rows) == 11
+    for s in range(4):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    assert sorted((r["shard"], r["slot"]) for r in files.collect()) == sorted((r["shard"], r["slot"]) for r in rows)
+    kept, changed = sharding.rewrite_affected(odd, F.lit(0), 1, 1, str(tmp_path / "none"))
+    assert changed == [] and kept.count() == 11
+    assert sharding.rewrite_affected(odd.limit(0), F.lit(0), 1, 4)[0].count() == 0
