@@ -4,9 +4,10 @@ A sparse suffix array over anchors. An anchor is a place whose 32-byte string ha
 among the 169 such strings of some 200-byte window, so equal windows hold the same anchor at the
 same distance. Anchors whose 32 bytes occur once in the corpus are dropped after one shuffle of
 packed hashes. Around each of the others up to 168 bytes before it and 200 from it on are sorted in
-both directions by deep-shallow sorting: multikey quicksort to a shallow depth, blind tries below it.
-From the sorted orders and their longest common prefixes every window around an anchor gets exact
-classes of equal strings; windows in a class with two occurrences or more are covered.
+both directions, among the anchors of the same 32 bytes, by deep-shallow sorting: multikey quicksort
+to a shallow depth, blind tries below it. From the sorted orders and their longest common prefixes
+every window around an anchor gets exact classes of equal strings; windows in a class with two
+occurrences or more are covered. A task sorts some thousand contexts at a time.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ LENGTH, GRAM = 200, 32
 #: Depth in bytes to which multikey quicksort orders strings before blind tries take over.
 SHALLOW = 40
 FLUSH = 400_000
+#: Contexts sorted at a time; all those of one 32-byte string are sorted together.
+CHUNK = 8192
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -78,7 +81,7 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
 
 ANCHORS = ["bucket", "keys", "sizes", "places", "hashes"]
 PLACES = ["bucket", "keys", "sizes", "places"]
-CONTEXTS = ["bucket", "lefts", "lengths", "blob", "counts", "keys", "sizes", "places"]
+CONTEXTS = ["bucket", "grams", "lefts", "lengths", "blob", "counts", "keys", "sizes", "places"]
 SPANS = ["bucket", "keys", "sizes", "starts", "ends"]
 
 
@@ -167,7 +170,7 @@ def _contexts(texts: DataFrame, buckets: int) -> DataFrame:
                     mine = lead[o]
                     length = end[mine] - start[mine]
                     occ = order[gather(first[o], count[o])]
-                    rows.append((b, left[mine].astype(np.uint16).tobytes(), length.astype(np.uint16).tobytes(), t.data[gather(start[mine], length)].tobytes(), count[o].astype(np.uint32).tobytes(), key[t.rows][doc[occ]].tobytes(), size[t.rows][doc[occ]].tobytes(), place[occ].astype(np.uint32).tobytes()))
+                    rows.append((b, gram[mine].tobytes(), left[mine].astype(np.uint16).tobytes(), length.astype(np.uint16).tobytes(), t.data[gather(start[mine], length)].tobytes(), count[o].astype(np.uint32).tobytes(), key[t.rows][doc[occ]].tobytes(), size[t.rows][doc[occ]].tobytes(), place[occ].astype(np.uint32).tobytes()))
                 yield from _table(rows, CONTEXTS).to_batches()
 
     return texts.select("key", "size", "text", "places").mapInArrow(contexts, _schema(CONTEXTS))
@@ -231,26 +234,48 @@ class BlindTrie:
         return out
 
 
-def deep_shallow(padded: np.ndarray, sizes: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order of the rows of ``padded`` (bytes, zeros behind ``sizes``), and the common prefix of each with the one before.
+def multikey_quicksort(words: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of ``words`` inside their groups, and for each place the first place of the rows it is tied with.
 
-    Multikey quicksort takes eight bytes as one character and sorts only groups that are still tied; groups
-    tied at depth ``shallow`` are ordered by blind tries.
+    ``group``: the first row of each row's group; groups lie together. Every step takes all groups that are still
+    tied and parts each by one character (eight bytes) into rows below, at and above its pivot; those at the pivot go on to the next character.
+    """
+    n, width = words.shape
+    order, head, depth = np.arange(n), group.copy(), np.zeros(n, np.int64)
+    at = np.arange(n)
+    while True:
+        _, count = runs(head[at])
+        at = at[(np.repeat(count, count) > 1) & (depth[at] < width)]
+        if not len(at):
+            return order, head
+        start, count = runs(head[at])
+        rows = order[at]
+        value = words[rows, depth[at]]
+        ends = np.stack([value[start], value[start + count // 2], value[start + count - 1]])
+        pivot = np.repeat(np.sort(ends, axis=0)[1], count)
+        below, same = value < pivot, value == pivot
+        n_below, n_same = np.add.reduceat(below, start, dtype=np.int64), np.add.reduceat(same, start, dtype=np.int64)
+        first = np.repeat(at[start], count)
+        middle, last = first + np.repeat(n_below, count), first + np.repeat(n_below + n_same, count)
+        home = np.where(below, first, np.where(same, middle, last))
+        place = np.empty(len(at), np.int64)
+        for part in (below, same, ~(below | same)):
+            own = home[part]
+            s, c = runs(own)
+            place[part] = own + np.arange(len(own)) - np.repeat(s, c)
+        order[place], head[place] = rows, home
+        depth[place] = depth[at] + same
+
+
+def deep_shallow(padded: np.ndarray, sizes: np.ndarray, group: np.ndarray | None = None, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order of the rows of ``padded`` (bytes, zeros behind ``sizes``) within their groups, and the common prefix of each with the one before.
+
+    Groups tied at depth ``shallow`` after multikey quicksort are ordered by blind tries.
     """
     n, width = padded.shape
     words = padded[:, : shallow // 8 * 8].copy().view(">u8").astype(np.uint64) if n else np.zeros((0, 0), np.uint64)
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    for w in range(words.shape[1]):
-        tied = np.flatnonzero(np.bincount(group, minlength=n)[group] > 1) if n else np.zeros(0, np.int64)
-        if not len(tied):
-            break
-        rows = order[tied]
-        by = np.lexsort((words[rows, w], group[tied]))
-        order[tied] = rows[by]  # places of a group are contiguous and stay so
-        value, g = words[order[tied], w], group[tied]
-        start = np.r_[True, (g[1:] != g[:-1]) | (value[1:] != value[:-1])]
-        group[tied] = tied[start][np.cumsum(start) - 1]
-    start, count = runs(group)
+    order, head = multikey_quicksort(words, np.zeros(n, np.int64) if group is None else group)
+    start, count = runs(head)
     for s, c in zip(start[count > 1].tolist(), count[count > 1].tolist()):
         rows = order[s : s + c]
         trie = BlindTrie([padded[r, : sizes[r]].tobytes() for r in rows])
@@ -270,11 +295,14 @@ def _classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(right: np.ndarray, rsize: np.ndarray, left: np.ndarray, lsize: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each context the smallest and largest distance of a repeated window's start before its anchor; -1 if none is."""
+def repeated_windows(right: np.ndarray, rsize: np.ndarray, left: np.ndarray, lsize: np.ndarray, times: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each context the smallest and largest distance of a repeated window's start before its anchor; -1 if none is.
+
+    Contexts of one group (see ``multikey_quicksort``) begin with the same 32 bytes, those of two groups don't.
+    """
     n = len(rsize)
-    ro, rc = deep_shallow(right, rsize)
-    lo, lc = deep_shallow(left, lsize)
+    ro, rc = deep_shallow(right, rsize, group)
+    lo, lc = deep_shallow(left, lsize, group)
     least, most = np.full(n, -1), np.full(n, -1)
     for o in range(LENGTH - GRAM + 1):
         there = np.flatnonzero((lsize >= o) & (rsize >= LENGTH - o))
@@ -290,22 +318,46 @@ def repeated_windows(right: np.ndarray, rsize: np.ndarray, left: np.ndarray, lsi
     return least, most
 
 
+def _rows_from(blob: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``width`` bytes from each start, zeros behind each size. ``blob`` has ``width`` bytes more than its last row needs."""
+    out = np.lib.stride_tricks.sliding_window_view(blob, width)[start]
+    out[np.arange(width) >= size[:, None]] = 0
+    return out
+
+
+def _chunks(gram: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The contexts in order of their 32 bytes, about ``most`` at a time; equal ones stay together."""
+    order = np.argsort(gram, kind="stable")
+    start, count = runs(gram[order])
+    done = 0
+    for s, c in zip(start.tolist(), count.tolist()):
+        if s > done and s + c - done > most:
+            yield order[done:s]
+            done = s
+    if done < len(order):
+        yield order[done:]
+
+
 def _covered(buckets: int):
     def covered(table: pa.Table) -> pa.Table:
         """Covered spans of texts around the anchors of one bucket, packed by text."""
+        gram = joined(table["grams"], np.uint64)
         lsize, length = joined(table["lefts"], np.uint16).astype(np.int64), joined(table["lengths"], np.uint16).astype(np.int64)
-        blob, times = joined(table["blob"], np.uint8), joined(table["counts"], np.uint32).astype(np.int64)
+        times = joined(table["counts"], np.uint32).astype(np.int64)
+        begin = np.cumsum(length) - length
+        margin = np.zeros(LENGTH, np.uint8)
+        blob = np.concatenate([margin, joined(table["blob"], np.uint8), margin])
+        back = blob[::-1]
+        least, most = np.full(len(gram), -1), np.full(len(gram), -1)
+        for own in _chunks(gram, CHUNK):
+            anchor = begin[own] + lsize[own] + LENGTH
+            rsize = length[own] - lsize[own]
+            start, count = runs(gram[own])
+            right = _rows_from(blob, anchor, rsize, LENGTH)
+            left = _rows_from(back, len(blob) - anchor, lsize[own], LENGTH - GRAM)
+            least[own], most[own] = repeated_windows(right, rsize, left, lsize[own], times[own], np.repeat(start, count))
         keys, sizes, places = joined(table["keys"], np.uint64), joined(table["sizes"], np.uint32), joined(table["places"], np.uint32).astype(np.int64)
-        n, rsize, begin = len(lsize), length - lsize, np.cumsum(length) - length
-        right, left = np.zeros((n, LENGTH), np.uint8), np.zeros((n, LENGTH - GRAM), np.uint8)
-        row = np.repeat(np.arange(n), rsize)
-        col = gather(np.zeros(n, np.int64), rsize)
-        right[row, col] = blob[(begin + lsize)[row] + col]
-        row = np.repeat(np.arange(n), lsize)
-        col = gather(np.zeros(n, np.int64), lsize)
-        left[row, col] = blob[(begin + lsize)[row] - 1 - col]
-        least, most = repeated_windows(right, rsize, left, lsize, times)
-        owner = np.repeat(np.arange(n), times)
+        owner = np.repeat(np.arange(len(gram)), times)
         hit = most[owner] >= 0
         owner, keys, sizes, places = owner[hit], keys[hit], sizes[hit], places[hit]
         start, end = (places - most[owner]).astype(np.uint32), (places + LENGTH - least[owner]).astype(np.uint32)
@@ -359,7 +411,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def covered_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Rows of all documents (doc_id, key, size, sha, copies) and covered spans by (doc_id, key, size) of texts that occur once."""
-    buckets = 2 * shuffle_partitions(docs.sparkSession)
+    buckets = 4 * shuffle_partitions(docs.sparkSession)
     keyed = _keyed(docs)
     rows = scratch.save(keyed.select("doc_id", "key", "size", F.sha2("text", 256).alias("sha")))
     texts = rows.groupBy("key", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
