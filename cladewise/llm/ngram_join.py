@@ -5,56 +5,97 @@ decided by intersecting the sorted arrays of both documents.
 
 1.  Each document's distinct shingles go, packed by hash bucket, to one shuffle that finds for every
     shingle the number of distinct sets it lies in. Copies (equal sets) count once. Shingles of one
-    set alone can't be shared, so only the others go back to their documents.
+    set alone can't be shared, so only the others go back to their documents. Shingles that a first
+    count finds in more than one of ``HOT_SHARE`` documents skip that shuffle: they are shared and
+    come last in the order, so nothing need be counted.
 2.  In the order (number of sets, hash) two sets that link share a shingle among their first
     n - ceil(limit * n) + 1 ones. Most documents have that many shingles of their own and are done.
-3.  For the rest a tile is one of those first shingles. A first round compares each document with a
-    leader in two of its tiles; documents that are joined by then need no comparison any more.
-4.  Tiles that still hold more than one component are compared in blocks of bounded size, within
-    bands of size: popcounts of bitmaps bound the overlap from above. Of the partners that the bound
-    leaves open a set names the best few, which are intersected; rounds go on until none has more
-    to name. Large groups of near copies are joined in a few rounds and never give all their pairs.
+3.  For the rest a tile is one of those first shingles and a band of sizes; only neighbouring bands can
+    link. A first round compares each document with a leader in two of its tiles; documents that are
+    joined by then need no comparison any more.
+4.  Tiles that still hold more than one component are cut into units of bounded bytes, which stream
+    through the tasks. Within a unit, popcounts of bitmaps bound the overlap from above. Of the partners
+    that the bound leaves open a set names the best few, which are intersected; in the next round it goes
+    on where it stopped, naming twice as many, until none has more to name. Large groups of near
+    copies are joined in a few rounds and never give all their pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions
+from .common import Scratch, shuffle_partitions, text_or_empty
 from .components import components
 from .vectors import binary, gather, joined, mix, runs, set_digest, shingles_of, signed, slices, words_of
 
 WORDS, LIMIT = 5, 75
-#: Documents of a tile that are compared with each other at a time; larger tiles are dealt out as pairs of blocks.
-BLOCK_DOCS = 1024
+#: Documents of a tile, and bytes of their bitmaps, that are compared with each other at a time.
+BLOCK_DOCS, BLOCK_BYTES = 1024, 8_000_000
 #: Bits of a signature for each element that a set of the band's largest size has.
 BITS_PER_ELEMENT, LEAST_BITS = 8, 512
-#: Tiles of a set in the early rounds, the most of those rounds, and partners that a set names in one round over all tiles.
+#: Tiles of a set in the early rounds, the most of those rounds, and partners that a set names in the first round over all tiles.
 FEW_TILES, EARLY_ROUNDS, NAMED = 6, 3, 8
 FLUSH = 1_500_000
+#: A shingle that lies in more than one of so many documents is hot (so there are at most so many times a text's shingles of them),
+#: and the least number of documents for that. A flush of ``FLUSH`` shingles reports those it holds ``SEEN`` times at least.
+HOT_SHARE, HOT_LEAST, SEEN = 200, 10_000, 8
+OFTEN = np.iinfo(np.uint32).max
 
 
-def document_sets(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles and ``skey``, a digest that stands for the set (null for an empty one)."""
+def document_sets(docs: DataFrame, size: int = WORDS, seen: int = SEEN) -> DataFrame:
+    """doc_id, tkey (a hash of the text), n_shingles and ``skey``, a digest that stands for the set (null for an empty one).
+
+    Further rows have ``shingle`` and ``times`` alone: a shingle that lies in so many of the documents of one flush, ``seen`` at least.
+    """
+
+    names = ["doc_id", "tkey", "n_shingles", "skey", "shingle", "times"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def frequent() -> pa.RecordBatch:
+            values = np.sort(np.concatenate(held))
+            start, count = runs(values)
+            often = count >= seen
+            none = pa.nulls(int(often.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(signed(values[start[often]])), pa.array(count[often])], names)
+
         for batch in batches:
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(2)):
                 values, bounds = shingles_of(words_of(texts), size)
                 n = np.diff(bounds)
                 key = pa.array(signed(set_digest(values, bounds)), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[texts.rows], pa.array(n, pa.int64()), key], ["doc_id", "n_shingles", "skey"])
+                none = pa.nulls(len(n), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[texts.rows], batch.column(1)[texts.rows], pa.array(n, pa.int64()), key, none, none], names)
+                held.append(values)
+                total += len(values)
+                if total >= FLUSH:
+                    yield frequent()
+                    held, total = [], 0
+        if total:
+            yield frequent()
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return rows.mapInArrow(sets, "doc_id long, n_shingles long, skey long")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("tkey"), docs["text"].alias("text"))
+    return rows.mapInArrow(sets, "doc_id long, tkey long, n_shingles long, skey long, shingle long, times long")
 
 
-PACKED = "bucket int, keys binary, sizes binary, counts binary, values binary"
+def _hot(rows: DataFrame, least: int) -> np.ndarray:
+    """Shingles that ``document_sets`` reports in more than one of HOT_SHARE documents: at most HOT_SHARE times the mean number of a text's shingles."""
+    reported = rows.where("times IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= least)
+    if reported.limit(1).isEmpty():
+        return np.zeros(0, np.uint64)
+    bar = max(least, rows.where("times IS NULL").count() // HOT_SHARE)
+    return np.sort(reported.where(F.col("times") > bar).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
+PACKED = "bucket int, hot boolean, keys binary, sizes binary, counts binary, values binary"
 
 
 def _pack(bucket: np.ndarray, doc: np.ndarray, keys: np.ndarray, sizes: np.ndarray, values: list[np.ndarray]) -> Iterator[tuple]:
@@ -68,8 +109,20 @@ def _pack(bucket: np.ndarray, doc: np.ndarray, keys: np.ndarray, sizes: np.ndarr
         yield int(bucket[own[0]]), keys[d].tobytes(), sizes[d].astype(np.uint32).tobytes(), dc.astype(np.uint32).tobytes(), *(v[own].tobytes() for v in values)
 
 
-def _shingle_buckets(docs: DataFrame, size: int, buckets: int) -> DataFrame:
-    """Shingles packed by bucket. The low 16 bits of a hash give its bucket, the other 48 go along."""
+def _distinct(*columns: np.ndarray) -> np.ndarray:
+    """Places of the first of each group of equal rows."""
+    order = np.lexsort(columns)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    return np.sort(order[new])
+
+
+def _shingle_buckets(docs: DataFrame, size: int, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Shingles packed by bucket; equal sets of a flush go once.
+
+    The low 16 bits of a hash give its bucket, the other 48 go along. A hot shingle's bucket comes from the set too, and it goes along whole.
+    """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -79,11 +132,18 @@ def _shingle_buckets(docs: DataFrame, size: int, buckets: int) -> DataFrame:
             values = np.concatenate([v for v, _ in held])
             n = np.concatenate([np.diff(b) for _, b in held])
             keys = np.concatenate([set_digest(v, b) for v, b in held])
-            doc = np.repeat(np.arange(len(n)), n)
-            bucket = ((values & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int32)
-            high = values.view(np.uint8).reshape(-1, 8)[:, 2:]
-            rows = list(_pack(bucket, doc, keys, n, [high]))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(binary([r[k] for r in rows]) for k in range(1, 5))], ["bucket", "keys", "sizes", "counts", "values"])
+            one = _distinct(keys, n)
+            values = values[gather((np.cumsum(n) - n)[one], n[one])]
+            doc = np.repeat(one, n[one])
+            common = np.isin(values, hot)
+            rows = []
+            for kind, own in ((False, ~common), (True, common)):
+                v, d = values[own], doc[own]
+                low = (mix(v ^ keys[d]) if kind else v) & np.uint64(0xFFFF)
+                bucket = (low * np.uint64(buckets) >> np.uint64(16)).astype(np.int32)
+                sent = v if kind else v.view(np.uint8).reshape(-1, 8)[:, 2:]
+                rows += [(r[0], kind, *r[1:]) for r in _pack(bucket, d, keys, n, [sent])]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), *(binary([r[k] for r in rows]) for k in range(2, 6))], ["bucket", "hot", "keys", "sizes", "counts", "values"])
 
         for batch in batches:
             for texts in slices(batch.column(0)):
@@ -99,16 +159,20 @@ def _shingle_buckets(docs: DataFrame, size: int, buckets: int) -> DataFrame:
 
 
 def _shared(buckets: int):
+    def sets_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return joined(table["keys"], np.uint64), joined(table["sizes"], np.uint32), joined(table["counts"], np.uint32).astype(np.int64)
+
     def shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         """Shingles of one bucket that lie in two sets or more, packed by bucket of the set."""
-        keys, sizes = joined(table["keys"], np.uint64), joined(table["sizes"], np.uint32)
-        counts = joined(table["counts"], np.uint32).astype(np.int64)
-        raw = joined(table["values"], np.uint8).reshape(-1, 6)
+        cold, hot = table.filter(pc.invert(table["hot"])), table.filter(table["hot"])
+        keys, sizes, counts = sets_of(cold)
+        raw = joined(cold["values"], np.uint8).reshape(-1, 6)
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, 2:] = raw
+        # the low bits only tell shingles of different buckets apart
         values = wide.view(np.uint64).ravel() | np.uint64(key[0].as_py())
         starts = np.cumsum(counts) - counts
-        _, one = np.unique(np.stack([keys, sizes.astype(np.uint64)]), axis=1, return_index=True) if len(keys) else (None, np.zeros(0, np.int64))
+        one = _distinct(keys, sizes)
         values = values[gather(starts[one], counts[one])]
         doc = np.repeat(one, counts[one])
         order = np.argsort(values, kind="stable")
@@ -118,8 +182,14 @@ def _shared(buckets: int):
         keep = often > 1
         values, doc, often = values[keep], doc[keep], often[keep]
         order = np.argsort(doc, kind="stable")
-        values, doc, often = values[order], doc[order], often[order]
-        rows = list(_pack((mix(keys) % np.uint64(buckets)).astype(np.int32)[doc], doc, keys, sizes, [values, often]))
+        parts = [(doc[order], keys, sizes, values[order], often[order])]
+        if len(hot):
+            keys, sizes, counts = sets_of(hot)
+            values, doc = joined(hot["values"], np.uint64), np.repeat(np.arange(len(keys)), counts)
+            one = _distinct(values, keys[doc], sizes[doc])
+            # the sets are told apart, so the same set's shingles need not lie together
+            parts.append((np.arange(len(one)), keys[doc[one]], sizes[doc[one]], values[one], np.full(len(one), OFTEN)))
+        rows = [r for d, k, n, v, o in parts for r in _pack((mix(k) % np.uint64(buckets)).astype(np.int32)[d], d, k, n, [v, o])]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32())} | {c: binary([r[k] for r in rows]) for k, c in enumerate(("keys", "sizes", "counts", "values", "often"), 1)})
 
     return shared
@@ -201,77 +271,151 @@ def _leaders(sets: DataFrame) -> DataFrame:
     return pairs.select(F.least("skey", "lead.skey").alias("a"), F.greatest("skey", "lead.skey").alias("b")).distinct()
 
 
-def _open_pairs(limit: int, most: int):
-    def open_pairs(table: pa.Table) -> pa.Table:
-        """Pairs of different components in one unit whose sizes and bitmaps leave a link possible.
-
-        Each set names at most ``most`` partners, those of the highest bounds; ``more`` tells that it had others,
-        which another round will look at again unless links have joined them by then.
-        """
-        n = table.num_rows
-        tile, low, high = (table[c].to_numpy() for c in ("tile", "i", "j"))
-        skey, comp, size, seen, block = (table[c].to_numpy() for c in ("skey", "component", "n", "n_shared", "block"))
-        bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["bits"]]
-        refused = [np.array(x.as_py(), np.int64) if x.is_valid else None for x in table["refused"]]
-        order = np.lexsort((skey, size, high, low, tile))
-        unit = np.stack([tile, low.astype(np.int64), high.astype(np.int64)], 1)[order]
-        change = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]).any(1)]) if n else np.zeros(0, np.int64)
-        found: dict[tuple[int, int], bool] = {}
-        alone = lambda p, q: np.bitwise_count(p & ~q).sum(1).astype(np.int64)
-        for s, e in zip(change.tolist(), [*change[1:].tolist(), n]):
-            own = order[s:e]
-            if (comp[own] == comp[own[0]]).all():
-                continue
-            same = low[own[0]] == high[own[0]]
-            sizes, comps, blocks = size[own], comp[own], block[own]
-            upto = np.searchsorted(sizes, sizes * 100 // limit, "right")  # the band: partners no larger than n / limit
-            widths: dict[int, np.ndarray] = {}
-            for k in range(e - s - 1):
-                rest = np.arange(k + 1, int(upto[k]))
-                rest = rest[(comps[rest] != comps[k]) & (same | (blocks[rest] != blocks[k]))]
-                if refused[own[k]] is not None:
-                    rest = rest[~np.isin(skey[own[rest]], refused[own[k]])]
-                if not len(rest):
-                    continue
-                words = len(bits[own[k]])
-                if words not in widths:
-                    widths[words] = np.stack([fold(bits[o], words) if len(bits[o]) >= words else np.zeros(words, np.uint64) for o in own])
-                mine, theirs = widths[words][k], widths[words][rest]
-                # every bit that one bitmap has alone is an element that the other set lacks
-                bound = np.minimum(seen[own[k]] - alone(mine, theirs), seen[own[rest]] - alone(theirs, mine))
-                both = int(sizes[k]) + sizes[rest]
-                fits = 100 * bound >= limit * (both - bound)
-                rest, bound = rest[fits], bound[fits]
-                if len(rest):
-                    best = np.lexsort((skey[own[rest]], -bound))[:most]
-                    more = len(rest) > most
-                    for r in rest[best].tolist():
-                        x, y = int(skey[own[k]]), int(skey[own[r]])
-                        pair = (min(x, y), max(x, y))
-                        found[pair] = found.get(pair, False) or more
-        a, b = zip(*found) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(list(found.values()), pa.bool_())})
-
-    return open_pairs
-
-
-def _open(sets: DataFrame, tiles: DataFrame, labels: DataFrame, refused: DataFrame | None, limit: int, most: int, buckets: int) -> DataFrame:
-    """(a, b, more): pairs across components, in tiles of more than one component, that no bound rules out."""
-    tiles = tiles.join(labels, "skey", "left").withColumn("component", F.coalesce("component", "skey"))
-    mixed = tiles.groupBy("tile").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tile", "c")
-    parts = F.ceil(F.col("c") / BLOCK_DOCS).cast("int")
-    rows = tiles.join(mixed, "tile").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("skey"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "skey", "component")
+def _load(docs, weight) -> Column:
+    """Blocks that so many documents with bitmaps of so many bytes need."""
+    return F.greatest(F.ceil(docs / BLOCK_DOCS), F.ceil(weight / BLOCK_BYTES)).cast("int")
+
+
+def _tiles(sets: DataFrame, taken: Column, limit: int) -> DataFrame:
+    """(tile, band, skey, w): a set that is at most 100 / limit times as large as another lies in its band or the next one."""
+    step = math.log(max(1.01, 100 / limit)) * 1.0001
+    return sets.select("skey", F.octet_length("bits").alias("w"), F.floor(F.log("n") / step).alias("band"), F.explode(taken).alias("tile"))
+
+
+def _units(tiles: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(unit, side, skey): the parts of the tiles that hold more than one component, of bounded size.
+
+    A small tile is one unit. A large one is cut by band into blocks, those of a large component apart from
+    those of all others; a unit is a block, or two blocks of one band or of neighbouring ones, and none lies within one component.
+    """
+    rows = tiles.join(labels, "skey", "left").withColumn("component", F.coalesce("component", "skey"))
+    mixed = rows.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c"), F.sum("w").alias("w"))
+    mixed = mixed.where("x <> y").select("tile", (_load(F.col("c"), F.col("w")) > 1).alias("large"))
+    rows = scratch.save(rows.join(mixed, "tile"))
+    whole = rows.where("NOT large").select(F.xxhash64("tile").alias("unit"), F.lit(0).alias("side"), "skey")
+    rows = rows.where("large")
+    if rows.limit(1).isEmpty():
+        return scratch.save(whole)
+    at = ["tile", "band"]
+    per = rows.groupBy(*at, "component").agg(F.count("*").alias("c"), F.sum("w").alias("w"))
+    big = per.select(*at, "component", _load(F.col("c"), F.col("w")).alias("own")).where("own > 1")
+    rest = per.where(_load(F.col("c"), F.col("w")) <= 1).groupBy(*at).agg(_load(F.sum("c"), F.sum("w")).alias("parts"))
+    rows = rows.join(big, [*at, "component"], "left").join(rest, at, "left")
+    apart = F.struct("component", F.pmod(F.xxhash64("skey"), F.col("own")).alias("k"))
+    among = F.struct(F.lit(None).cast("long").alias("component"), F.pmod(F.xxhash64("component"), F.col("parts")).alias("k"))
+    block = F.when(F.col("own").isNotNull(), F.xxhash64(*at, F.lit("apart"), apart)).otherwise(F.xxhash64(*at, F.lit("among"), among))
+    rows = scratch.save(rows.select(*at, "skey", "component", block.alias("block")))
+    blocks = scratch.save(rows.groupBy(*at, "block").agg(F.min("component").alias("x"), F.max("component").alias("y")))
+    one, two = (blocks.select("tile", *(F.col(c).alias(f"{c}{k}") for c in ("band", "block", "x", "y"))) for k in (1, 2))
+    near = F.col("band2") - F.col("band1")
+    pairs = one.join(two, "tile").where(((near == 1) | (near == 0) & (F.col("block1") <= F.col("block2"))) & (F.least("x1", "x2") != F.greatest("y1", "y2")))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("block1").alias("block")), F.struct(F.lit(1).alias("side"), F.col("block2").alias("block")))
+    sides = F.when(F.col("block1") == F.col("block2"), F.slice(sides, 1, 1)).otherwise(sides)
+    units = pairs.select(F.xxhash64("block1", "block2").alias("unit"), F.explode(sides).alias("s")).select("unit", "s.side", "s.block")
+    cut = rows.select("block", "skey").join(units, "block").select("unit", "side", "skey")
+    return scratch.save(whole.unionByName(cut))
+
+
+def _partners(unit: pa.Table, limit: int, most: int) -> Iterator[tuple]:
+    """Sets of one unit, in order of size, with partners from other components whose sizes and bitmaps leave a link possible.
+
+    A set names the first ``most`` partners by bound and key behind those it has named before; ``more`` tells that there are others.
+    """
+    side, skey, comps, sizes, seen = (unit[c].to_numpy() for c in ("side", "skey", "component", "n", "n_shared"))
+    if (comps == comps[0]).all():
+        return
+    after, key_after = unit["bound"].to_numpy(), unit["last"].to_numpy()
+    bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in unit["bits"]]
+    across = bool((side != side[0]).any())
+    upto = np.searchsorted(sizes, sizes * 100 // limit, "right")  # partners no larger than n / limit
+    alone = lambda p, q: np.bitwise_count(p & ~q).sum(1).astype(np.int64)
+    widths: dict[int, np.ndarray] = {}
+    for k in range(len(sizes) - 1):
+        if after[k] < 0:
+            continue
+        rest = np.arange(k + 1, int(upto[k]))
+        rest = rest[comps[rest] != comps[k]]
+        if across:
+            rest = rest[side[rest] != side[k]]
+        if not len(rest):
+            continue
+        words = len(bits[k])
+        if words not in widths:
+            widths[words] = np.stack([fold(b, words) if len(b) >= words else np.zeros(words, np.uint64) for b in bits])
+        mine, theirs = widths[words][k], widths[words][rest]
+        # every bit that one bitmap has alone is an element that the other set lacks
+        bound = np.minimum(seen[k] - alone(mine, theirs), seen[rest] - alone(theirs, mine))
+        both = int(sizes[k]) + sizes[rest]
+        fits = (100 * bound >= limit * (both - bound)) & ((bound < after[k]) | (bound == after[k]) & (skey[rest] > key_after[k]))
+        rest, bound = rest[fits], bound[fits]
+        if len(rest):
+            best = np.lexsort((skey[rest], -bound))[:most]
+            yield int(skey[k]), skey[rest[best]], len(rest) > most, int(bound[best[-1]]), int(skey[rest[best[-1]]])
+
+
+def _naming(limit: int, most: int):
+    names = ["unit", "skey", "partners", "more", "bound", "last"]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int64(), pa.int64()]
+
+    def naming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of unit; one unit is held at a time."""
+        now, held, out = None, [], []
+
+        def table() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+
+        for batch in batches:
+            unit = batch.column(0).to_numpy()
+            start, count = runs(unit)
+            for s, c in zip(start.tolist(), count.tolist()):
+                if now != unit[s]:
+                    if held:
+                        out += [(now, *r) for r in _partners(pa.Table.from_batches(held), limit, most)]
+                    now, held = int(unit[s]), []
+                held.append(batch.slice(s, c))
+            if len(out) >= 2000:
+                yield table()
+                out = []
+        if held:
+            out += [(now, *r) for r in _partners(pa.Table.from_batches(held), limit, most)]
+        if out:
+            yield table()
+
+    return naming
+
+
+NAMING = "unit long, skey long, partners array<long>, more boolean, bound long, last long"
+
+
+def _joined_by_rounds(sets: DataFrame, units: DataFrame, labels: DataFrame, checked: DataFrame, limit: int, most: int, rounds: int | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Labels and checked pairs after rounds over the units.
+
+    ``rounds``: None goes on until no set has more partners to name, which decides every pair; a number is the most rounds, which also end when one joins nothing.
+    """
     side = sets.select("skey", "n", (F.octet_length("shared") / 8).cast("long").alias("n_shared"), "bits")
-    if refused is None:
-        side = side.withColumn("refused", F.lit(None).cast("array<long>"))
-    else:
-        ways = refused.select(F.col("a").alias("skey"), F.col("b").alias("other")).unionByName(refused.select(F.col("b").alias("skey"), F.col("a").alias("other")))
-        side = side.join(ways.groupBy("skey").agg(F.collect_set("other").alias("refused")), "skey", "left")
-    rows = rows.join(side, "skey").withColumn("bucket", F.pmod(F.xxhash64("tile", "i", "j"), F.lit(buckets)))
-    pairs = rows.groupBy("bucket").applyInArrow(_open_pairs(limit, most), "a long, b long, more boolean")
-    return pairs.groupBy("a", "b").agg(F.bool_or("more").alias("more"))
+    rows = units.withColumns({"bound": F.lit(1 << 40), "last": F.lit(0).cast("long")})
+    done = 0
+    while True:
+        own = rows.join(labels, "skey", "left").withColumn("component", F.coalesce("component", "skey"))
+        if done:  # links of the last round may have made a unit one component
+            own = scratch.save(own)
+            own = own.join(own.groupBy("unit").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("unit"), "unit")
+        full = own.join(side, "skey").select("unit", "side", "skey", "component", "n", "n_shared", "bound", "last", "bits")
+        ordered = full.repartition(shuffle_partitions(sets.sparkSession), "unit").sortWithinPartitions("unit", "n", "skey")
+        named = scratch.save(ordered.mapInArrow(_naming(limit, most), NAMING))
+        pairs = named.select("skey", F.explode("partners").alias("other")).select(F.least("skey", "other").alias("a"), F.greatest("skey", "other").alias("b")).distinct()
+        new = scratch.save(_verified(pairs.join(checked, ["a", "b"], "left_anti"), sets, limit))
+        checked = checked.unionByName(new.select("a", "b"))
+        joins = not new.where("link").limit(1).isEmpty()
+        if joins:
+            labels = _merged(labels, new.where("link"), scratch)
+        done += 1
+        more = named.where("more")
+        if more.limit(1).isEmpty() or rounds is not None and (done == rounds or not joins):
+            return labels, checked
+        rows = units.join(more.select("unit").distinct(), "unit").join(more.select("unit", "skey", "bound", "last"), ["unit", "skey"], "left")
+        rows = rows.withColumns({"bound": F.coalesce("bound", F.lit(-1)), "last": F.coalesce("last", F.lit(0))})
+        most *= 2 if rounds is None else 1
 
 
 def _merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -284,7 +428,30 @@ def _merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(known.join(above, known["component"] == above["up"], "left").select("skey", F.coalesce("top", "component").alias("component")))
 
 
-def jaccard_components(docs: DataFrame, size: int = WORDS, limit: int = LIMIT) -> DataFrame:
+def _rooted(docs: DataFrame, size: int, limit: int, hot_least: int, seen: int) -> DataFrame:
+    """doc_id, tkey, n_shingles and ``root``, the component of the document's set (null for an empty one)."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "ngram-join")
+    buckets = min(1 << 16, 2 * shuffle_partitions(spark))
+    found = scratch.save(document_sets(docs, size, seen))
+    rows = found.where("times IS NULL").select("doc_id", "tkey", "n_shingles", "skey")
+    packed = "bucket int, keys binary, sizes binary, counts binary, values binary, often binary"
+    back = _shingle_buckets(docs, size, buckets, _hot(found, hot_least)).groupBy("bucket").applyInArrow(_shared(buckets), packed)
+    schema = "skey long, n long, prefix array<long>, shared binary, bits binary"
+    sets = scratch.save(back.groupBy("bucket").applyInArrow(_candidates(limit), schema))
+    led = scratch.save(_verified(_leaders(sets), sets, limit))
+    labels, checked = components(led.where("link"), scratch), led.select("a", "b")
+    n = F.size("prefix")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(FEW_TILES - 1)), lambda k: F.element_at("prefix", (1 + F.floor(k * (n - 1) / (FEW_TILES - 1))).cast("int")))
+    # some rounds over few tiles join what lies close together, so that few tiles still hold more than one component
+    few = _units(_tiles(sets, F.array_distinct(spread), limit), labels, scratch)
+    labels, checked = _joined_by_rounds(sets, few, labels, checked, limit, 1, EARLY_ROUNDS, scratch)
+    units = _units(_tiles(sets, F.col("prefix"), limit), labels, scratch)
+    labels, _ = _joined_by_rounds(sets, units, labels, checked, limit, NAMED, None, scratch)
+    return rows.join(labels, "skey", "left").select("doc_id", "tkey", "n_shingles", F.coalesce("component", "skey").alias("root"))
+
+
+def jaccard_components(docs: DataFrame, size: int = WORDS, limit: int = LIMIT, hot_least: int = HOT_LEAST, seen: int = SEEN) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Two documents link when 100 * intersection >= ``limit`` * union of their sets of ``size``-word shingles;
@@ -294,45 +461,33 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, limit: int = LIMIT) -
     Sets are told apart by a 64-bit digest and their size; shingles by 48 bits of hash and their bucket.
     Columns beyond doc_id and text are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram-join")
-    buckets = min(1 << 16, 2 * shuffle_partitions(spark))
-    rows = scratch.save(document_sets(docs, size))
-    packed = "bucket int, keys binary, sizes binary, counts binary, values binary, often binary"
-    back = _shingle_buckets(docs, size, buckets).groupBy("bucket").applyInArrow(_shared(buckets), packed)
-    schema = "skey long, n long, prefix array<long>, shared binary, bits binary"
-    sets = scratch.save(back.groupBy("bucket").applyInArrow(_candidates(limit), schema))
-    checked = scratch.save(_verified(_leaders(sets), sets, limit))
-    labels = components(checked.where("link"), scratch)
-    refused = checked.where("NOT link").select("a", "b")
-    tiles = sets.select("skey", F.explode("prefix").alias("tile"))
-    n = F.size("prefix")
-    spread = F.transform(F.sequence(F.lit(0), F.lit(FEW_TILES - 1)), lambda k: F.element_at("prefix", (1 + F.floor(k * (n - 1) / (FEW_TILES - 1))).cast("int")))
-    few = sets.select("skey", F.explode(F.array_distinct(spread)).alias("tile"))
-    early = EARLY_ROUNDS
-    while True:
-        # some rounds over few tiles join what lies close together; the rounds over all tiles end when no set had more partners to name
-        pairs = scratch.save(_open(sets, few if early else tiles, labels, refused, limit, 1 if early else NAMED, buckets))
-        checked = scratch.save(_verified(pairs, sets, limit))
-        joins = not checked.where("link").limit(1).isEmpty()
-        if joins:
-            labels = _merged(labels, checked.where("link"), scratch)
-        refused = refused.unionByName(checked.where("NOT link").select("a", "b"))
-        if not early and pairs.where("more").limit(1).isEmpty():
-            break
-        early = early - 1 if early and joins else 0
-    roots = rows.join(labels, "skey", "left").select("doc_id", "n_shingles", F.coalesce("component", "skey").alias("root"))
+    roots = _rooted(docs, size, limit, hot_least, seen)
     least = roots.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = roots.join(least, "root", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, size: int = WORDS, limit: int = LIMIT) -> DataFrame:
-    """``docs`` with only the document of the smallest doc_id of every component, all columns as they were."""
+    """``docs`` with one document of every component, all columns as they were.
+
+    The row of the smallest doc_id stays (nulls last; of several texts under that doc_id, the one of the smallest hash).
+    Rows without words link with nothing and all stay, repeated ones too. Of rows that repeat a doc_id and its text one stays; only where
+    such rows exist does that take another shuffle of the texts. An empty table stays empty.
+    """
     scratch = Scratch(docs.sparkSession, "ngram-join-kept")
-    report = scratch.save(jaccard_components(docs, size, limit))
-    gone = report.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    roots = scratch.save(_rooted(docs, size, limit, HOT_LEAST, SEEN).where("root IS NOT NULL").select("doc_id", "tkey", "root"))
+    first = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tkey") == F.col("first.tkey"))
+    gone = roots.join(first, "root").where(~stays).select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key")).distinct()
+    text = F.xxhash64(docs["text"])
+    repeated = roots.groupBy("doc_id", "tkey").count().where("count > 1")
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (text == gone["__key"]), "left_anti")
+    if repeated.limit(1).isEmpty():
+        return out
+    own = F.when(F.regexp_like(text_or_empty(docs["text"]), F.lit(r"[^\x20\x09-\x0D]")), F.lit(None).cast("long")).otherwise(F.monotonically_increasing_id())
+    names = [f"`{c}`" for c in docs.columns]
+    marked = out.select(*names, text.alias("__text"), own.alias("__own"))
+    return marked.dropDuplicates(["doc_id", "__text", "__own"]).select(*names)
 
 
 #: The same components for DuckDB; doc_id must be unique.

@@ -92,6 +92,35 @@ def test_ngram_join(docs, empty):
     assert ngram_join.keep_one_of_each(docs).count() == sum(r[0] == r[2] for r in want.values())
 
 
+def test_ngram_join_of_large_tiles_and_hot_shingles(spark, docs, monkeypatch):
+    """Every tile in blocks of two, one partner named at a time, and frequent shingles beside the counting shuffle."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(ngram_join, "NAMED", 1)
+    monkeypatch.setattr(ngram_join, "EARLY_ROUNDS", 1)
+    rng = random.Random(8)
+    shared = [f"s{k}" for k in range(30)]
+    rows = []
+    for k in range(60):  # most words are everybody's, so that the first shingles are too; some pairs link and some don't
+        own = list(shared)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            own[rng.randrange(30)] = f"v{rng.randrange(6)}"
+        rows.append((1000 + k, " ".join(own[: rng.randrange(22, 31)])))
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = sql(both, ngram_join.REPORT_SQL)
+    for least, seen in ((3, 2), (10_000, 8)):
+        assert {r["doc_id"]: tuple(r) for r in ngram_join.jaccard_components(both, hot_least=least, seen=seen).collect()} == want
+
+
+def test_one_of_each_component_stays(spark):
+    base = " ".join(f"w{k}" for k in range(40))
+    rows = [(3, base), (5, base + " tail"), (5, "an unrelated text of some more words than five"), (None, base + " end"), (None, "words of its own that no other row of the table has"), (7, base), (7, base), (9, None), (9, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.keep_one_of_each(table).collect()), key=repr)
+    assert kept == sorted([rows[0], rows[2], rows[4], rows[7], rows[8]], key=repr)
+    twice = table.where("doc_id = 7")
+    assert ngram_join.keep_one_of_each(twice).count() == 1
+
+
 def test_suffix_dedup(docs, empty):
     data = {r["doc_id"]: (r["text"] or "").encode() for r in docs.select("doc_id", "text").collect()}
     seen = collections.Counter(t[i : i + 200] for t in data.values() for i in range(len(t) - 199))
