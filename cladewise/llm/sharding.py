@@ -4,7 +4,8 @@ From the byte sizes of the old shards and the capacities of the new ones a small
 solved whose cost is the number of bytes that change shards. The flows are then laid over blocks
 of documents: whole blocks move, and only the few blocks that a flow's border cuts are divided.
 What reaches the driver is one row per block, and the number of blocks has a fixed bound
-(``n_old * MAX_BLOCKS``); documents never do.
+(``n_old * MAX_BLOCKS``); documents never do. Files of the shards that change are written anew,
+for which a text is shuffled once (twice in a divided block).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections import deque
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,7 +23,7 @@ from .common import Scratch, text_or_empty
 #: Documents that a block has at least on average, and blocks that an old shard has at most.
 BLOCK_ROWS, MAX_BLOCKS = 1024, 4096
 #: Slots of a shard that one task writes.
-FILE_SLOTS = 32768
+FILE_SLOTS = 8192
 
 
 @dataclass(frozen=True)
@@ -113,14 +114,14 @@ def plan_transfers(blocks: dict[int, tuple[int, int]], n_old: int, capacity: lis
 
 def _divide(parts: dict[int, list[tuple[int, int]]]):
     def divide(rows: pd.DataFrame) -> pd.DataFrame:
-        """Documents from large to small, each to the shard of the block that still lacks most bytes."""
-        rows = rows.sort_values(["size", "doc_id", "text_crc32", "uid"], ascending=[False, True, True, True])
+        """Documents from large to small, each to the shard of the block that still lacks most bytes; ``rank``: its place in that shard's part."""
+        rows = rows.sort_values("at")
         lack, shards = dict(parts[int(rows["block"].iloc[0])]), []
         for size in rows["size"].tolist():
             j = max(lack, key=lambda k: (lack[k], -k))
             lack[j] -= size
             shards.append(j)
-        return rows.assign(shard=shards)
+        return rows[["block", "at"]].assign(shard=shards, rank=pd.Series(shards, rows.index).groupby(shards).cumcount())
 
     return divide
 
@@ -139,65 +140,120 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, capacity
     read only by ``old_shard``.
     """
     scratch = Scratch(docs.sparkSession, "reshard")
-    placed, plan = _placed(scratch, scratch.save(_measured(docs, old_shard)), n_old, n_new, capacity)
-    return placed.drop("uid"), plan
+    rows = scratch.save(_measured(docs, old_shard))
+    plan, layout = _layout(scratch, rows, n_old, n_new, capacity)
+    return layout.placed(rows).select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot"), plan
 
 
 def _measured(docs: DataFrame, old_shard: Column, *more: Column) -> DataFrame:
-    """Every row with a number of its own; saved once, so that the numbers stay."""
     crc = F.crc32(F.encode(text_or_empty(docs["text"]), "UTF-8")).alias("text_crc32")
-    return docs.select(docs["doc_id"].alias("doc_id"), byte_size(docs["text"]).alias("size"), crc, old_shard.cast("int").alias("old_shard"), F.monotonically_increasing_id().alias("uid"), *more)
+    return docs.select(docs["doc_id"].alias("doc_id"), byte_size(docs["text"]).alias("size"), crc, old_shard.cast("int").alias("old_shard"), *more)
 
 
-def _placed(scratch: Scratch, rows: DataFrame, n_old: int, n_new: int, capacity: list[int] | None) -> tuple[DataFrame, Plan]:
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``at``: a row's place in its block, from large to small. Rows alike in doc_id, size and checksum can change places with each other."""
+    order = Window.partitionBy("block").orderBy(F.desc("size"), "doc_id", "text_crc32")
+    return rows.withColumn("at", F.row_number().over(order))
+
+
+@dataclass
+class _Layout:
+    """Where blocks go. ``moves``: (block, shard, base) of whole blocks; ``parts``: (block, at, shard, slot) of divided ones."""
+
+    per_shard: int
+    moves: DataFrame
+    cut: list[int]
+    parts: DataFrame
+
+    def blocks(self, rows: DataFrame) -> DataFrame:
+        key = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(self.per_shard)).cast("int")
+        return rows.withColumn("block", F.col("old_shard") * self.per_shard + key)
+
+    def placed(self, rows: DataFrame, shards: list[int] | None = None) -> DataFrame:
+        """``rows`` with shard, slot and ``file`` (a range of slots), dealt out by shard and file; only those of ``shards`` if given."""
+        rows = self.blocks(rows)
+        here = F.lit(True) if shards is None else F.col("shard").isin(shards)
+        file = lambda slot: F.floor(slot / FILE_SLOTS)
+        whole = rows.join(F.broadcast(self.moves), "block").where(here).withColumn("file", file(F.col("base"))).repartition("shard", "file")
+        order = Window.partitionBy("shard", "file", "block").orderBy(F.desc("size"), "doc_id", "text_crc32")
+        whole = whole.withColumn("slot", F.col("base") + F.row_number().over(order) - 1).drop("base", "block")
+        if not self.cut:
+            return whole
+        divided = _numbered(rows.where(F.col("block").isin(self.cut))).join(self.parts, ["block", "at"]).where(here)
+        divided = divided.drop("block", "at").withColumn("file", file(F.col("slot"))).repartition("shard", "file")
+        return whole.unionByName(divided)
+
+
+def _layout(scratch: Scratch, rows: DataFrame, n_old: int, n_new: int, capacity: list[int] | None) -> tuple[Plan, _Layout]:
     spark = rows.sparkSession
     count, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    per_shard = max(1, min(MAX_BLOCKS, count // (n_old * BLOCK_ROWS)))
-    block = F.col("old_shard") * per_shard + F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(per_shard)).cast("int")
-    rows = rows.withColumn("block", block)
-    sums = rows.groupBy("block").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    found = {r["block"]: (r["block"] // per_shard, r["size"]) for r in sums.collect()}  # n_old * MAX_BLOCKS rows at most
-    plan = plan_transfers(found, n_old, capacity or equal_capacities(total, n_new))
-    cut = [*plan.split]
-    moves = spark.createDataFrame([*plan.whole.items()], "block int, shard int")
-    kept = rows.join(F.broadcast(moves), "block").select("doc_id", "size", "text_crc32", "old_shard", "uid", "block", "shard")
-    schema = "doc_id long, size long, text_crc32 long, old_shard int, uid long, block int, shard int"
-    divided = rows.where(F.col("block").isin(cut)).groupBy("block").applyInPandas(_divide(plan.split), schema)
-    placed = scratch.save(kept.unionByName(divided))
+    layout = _Layout(max(1, min(MAX_BLOCKS, count // (n_old * BLOCK_ROWS))), rows, [], rows)
+    rows = layout.blocks(rows)
+    sums = {r["block"]: (r["size"], r["n"]) for r in rows.groupBy("block").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}  # n_old * MAX_BLOCKS rows at most
+    plan = plan_transfers({b: (b // layout.per_shard, size) for b, (size, _) in sums.items()}, n_old, capacity or equal_capacities(total, n_new))
+    layout.cut = [*plan.split]
+    counts = [(shard, block, sums[block][1]) for block, shard in plan.whole.items()]
+    if layout.cut:
+        cut = _numbered(rows.where(F.col("block").isin(layout.cut))).select("block", "at", "size")
+        layout.parts = scratch.save(cut.groupBy("block").applyInPandas(_divide(plan.split), "block int, at int, shard int, rank long"))
+        counts += [(r["shard"], r["block"], r["count"]) for r in layout.parts.groupBy("shard", "block").count().collect()]
     # slots: a running count over the blocks of a shard, on the driver, plus a rank within the block
-    counts = sorted((r["shard"], r["block"], r["count"]) for r in placed.groupBy("shard", "block").count().collect())
     base, offsets = {}, []
-    for shard, b, n in counts:
-        offsets.append((shard, b, base.get(shard, 0)))
+    for shard, block, n in sorted(counts):
+        offsets.append((block, shard, base.get(shard, 0)))
         base[shard] = base.get(shard, 0) + n
-    bases = spark.createDataFrame(offsets, "shard int, block int, base long")
-    rank = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "uid"))
-    out = placed.withColumn("rank", rank).join(F.broadcast(bases), ["shard", "block"])
-    return out.select("doc_id", "size", "text_crc32", "old_shard", "uid", "shard", (F.col("base") + F.col("rank") - 1).alias("slot")), plan
+    bases = spark.createDataFrame(offsets, "block int, shard int, base long")
+    layout.moves = bases.where(~F.col("block").isin(layout.cut)) if layout.cut else bases
+    if layout.cut:
+        layout.parts = layout.parts.join(F.broadcast(bases), ["block", "shard"]).select("block", "at", "shard", (F.col("base") + F.col("rank")).alias("slot"))
+    return plan, layout
 
 
 def rewrite_affected(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, path: str | None = None, capacity: list[int] | None = None) -> tuple[DataFrame, list[int]]:
     """Reshard and write the new files of every shard that gains or loses bytes under ``path``/shard=N.
 
-    Files have (row, old_shard, slot): ``row`` holds all columns of ``docs``, repeated rows and nulls as they are. A task
-    writes a range of a shard's slots in order. Without a path the files lie in scratch. Returns (doc_id, size, text_crc32,
-    old_shard, shard, slot), read back from the files and, for shards that keep their files, from the
-    plan's placement; and the shards written.
+    ``path`` is a new folder (scratch without one); ``swap_shards`` puts its shards in the place of old ones. Files have (row, old_shard, slot):
+    ``row`` holds all columns of ``docs``, repeated rows and nulls as they are. A task writes ranges of a shard's slots in order.
+    Returns (doc_id, size, text_crc32, old_shard, shard, slot), read back from the files and, for
+    shards that keep their files, from the plan's placement; and the shards written.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "reshard-files")
     path = path or f"{scratch.base}/files"
-    held = scratch.save(_measured(docs, old_shard, F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")))
-    placed, plan = _placed(scratch, held.drop("row"), n_old, n_new, capacity)
+    rows = scratch.save(_measured(docs, old_shard))
+    plan, layout = _layout(scratch, rows, n_old, n_new, capacity)
     changed = sorted({k for (i, j) in plan.flows if i != j for k in (i, j) if k < n_new})
-    placed = scratch.save(placed)
-    there = placed.where(F.col("shard").isin(changed)).select("uid", "shard", "slot")
-    full = held.select("uid", "row", "old_shard").join(there, "uid").drop("uid")
-    part = F.floor(F.col("slot") / FILE_SLOTS)
-    full = full.repartition("shard", part).sortWithinPartitions("shard", "slot")
-    full.write.mode("overwrite").partitionBy("shard").parquet(path)
+    held = _measured(docs, old_shard, F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    full = layout.placed(held, changed).select("row", "old_shard", "shard", "slot").sortWithinPartitions("shard", "slot")
+    full.write.partitionBy("shard").parquet(path)
     back = spark.read.schema(full.schema).parquet(path)
     text = F.col("row.text")
     crc = F.crc32(F.encode(text_or_empty(text), "UTF-8")).alias("text_crc32")
+    names = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot"]
     back = back.select(F.col("row.doc_id").alias("doc_id"), byte_size(text).alias("size"), crc, "old_shard", "shard", "slot")
-    return back.unionByName(placed.where(~F.col("shard").isin(changed)).drop("uid")), changed
+    rest = sorted({*range(n_new)} - {*changed})
+    return (back.unionByName(layout.placed(rows, rest).select(*names)) if rest else back), changed
+
+
+def swap_shards(spark: SparkSession, root: str, written: str, changed: list[int]) -> None:
+    """Put the folders of the shards written under ``written`` in the place of those under ``root``; all other shards' files stay untouched.
+
+    A shard that lost all rows has no new folder and loses its old one. Whoever runs this again after it broke off ends it.
+    """
+    jvm = spark.sparkContext._jvm
+    to = lambda base, k: jvm.org.apache.hadoop.fs.Path(f"{base}/shard={k}")
+    files = to(root, 0).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = jvm.org.apache.hadoop.fs.Path(f"{written}/_swapped")
+    files.mkdirs(done)
+    for k in changed:
+        mark = jvm.org.apache.hadoop.fs.Path(done, f"shard-{k}")
+        if files.exists(mark):
+            continue
+        new, old = to(written, k), to(root, k)
+        aside = jvm.org.apache.hadoop.fs.Path(done, f"old-{k}")
+        if files.exists(old) and not files.exists(aside):
+            files.rename(old, aside)
+        if files.exists(new):
+            files.rename(new, old)
+        files.mkdirs(mark)
+        files.delete(aside, True)

@@ -81,3 +81,43 @@ def test_rewritten_files_hold_every_row_once(spark, odd, tmp_path):
     kept, changed = sharding.rewrite_affected(odd, F.lit(0), 1, 1, str(tmp_path / "none"))
     assert changed == [] and kept.count() == 11
     assert sharding.rewrite_affected(odd.limit(0), F.lit(0), 1, 4)[0].count() == 0
+
+
+def test_only_affected_shards_change(spark, tmp_path):
+    """Two of four shards even out; the files of the others stay byte for byte, and together they hold every row once."""
+    from pathlib import Path
+
+    rows = [(k, "x" * (99 if k % 4 == 0 else 19 if k % 4 == 3 else 59), None, "web", k) for k in range(80)] + [(0, "x" * 99, None, "web", 0)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    root, new = str(tmp_path / "root"), str(tmp_path / "new")
+    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("slot"), (F.col("doc_id") % 4).cast("int").alias("old_shard"), (F.col("doc_id") % 4).cast("int").alias("shard"))
+    held.write.partitionBy("shard").parquet(root)
+    sizes = [sum(len(r[1]) + 1 for r in rows if r[0] % 4 == s) for s in range(4)]
+    total = sum(sizes)
+    want = [total - sizes[1] - sizes[2] - sizes[3] - 600, sizes[1], sizes[2], sizes[3] + 600]
+    before = {p: p.read_bytes() for s in (1, 2) for p in Path(root, f"shard={s}").glob("*.parquet")}
+    back, changed = sharding.rewrite_affected(docs, F.col("doc_id") % 4, 4, 4, new, want)
+    assert changed == [0, 3] and back.count() == len(rows)
+    found = {r["shard"]: r["size"] for r in back.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
+    assert all(abs(found[s] - want[s]) <= 100 for s in range(4))
+    sharding.swap_shards(spark, root, new, changed)
+    sharding.swap_shards(spark, root, new, changed)
+    assert {p: p.read_bytes() for p in before} == before
+    after = spark.read.parquet(root)
+    whole = lambda rows: sorted(repr(tuple(r)) for r in rows)
+    assert whole(after.select("row.*").collect()) == whole(docs.collect())
+
+
+def test_sharding_moves_no_more_than_the_best_of_all_plans():
+    """Against every way to deal whole units of bytes from two old shards to three new ones."""
+    import itertools
+
+    for supply, capacity in (([5, 4], [3, 3, 3]), ([7, 0], [1, 2, 4]), ([2, 6], [4, 4, 0])):
+        flows = sharding.min_cost_flow(supply, capacity)
+        best = min(
+            sum(x for (i, j), x in zip(itertools.product(range(2), range(3)), f) if i != j)
+            for f in itertools.product(*[range(max(supply) + 1)] * 6)
+            if [sum(f[:3]), sum(f[3:])] == supply and [f[j] + f[3 + j] for j in range(3)] == capacity
+        )
+        assert sum(x for (i, j), x in flows.items() if i != j) == best
+        assert [sum(x for (i, _), x in flows.items() if i == k) for k in range(2)] == supply
