@@ -5,7 +5,8 @@ shuffle). The model predicts classes and then words: frequent words (``HEAD``) a
 whose members a second softmax tells apart; every other word is in a class by its last letters,
 inside which its probability is its count's share. A GRU in numpy is fitted by truncated
 backpropagation on every training document, which are dealt to the rounds by hash: in each round every task
-starts from the same parameters, runs over its own documents of the round, and the tasks' parameters are averaged by Spark.
+starts from the same parameters, runs over its own documents of the round with one optimiser, and the tasks'
+parameters, as packed arrays, are averaged by Spark in a tree.
 Scoring carries the state across windows through whole documents.
 """
 
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +25,17 @@ from .common import Scratch, shuffle_partitions, text_or_empty
 from .vectors import LOWER, Texts, binary, gather, joined, mix, runs, slices, words_of
 
 #: Frequent words with the end of the text among them, their classes, and classes of all other words.
-HEAD, HEAD_CLASSES, TAIL_CLASSES = 1024, 32, 64
+HEAD, HEAD_CLASSES, TAIL_BITS = 1024, 32, 5
+TAIL_CLASSES = 1 << TAIL_BITS
 PER_CLASS = HEAD // HEAD_CLASSES
 CLASSES, INPUTS = HEAD_CLASSES + TAIL_CLASSES, HEAD + TAIL_CLASSES
-EMBED, HIDDEN = 16, 24
-#: One of so many training documents fits the network (counts and frequent words use all), in so many rounds of averaging.
-FIT_ONE_OF, ROUNDS = 1, 3
-STREAMS, WINDOW, RATE = 96, 16, 0.01
+EMBED, HIDDEN = 12, 12
+#: Rounds of averaging.
+ROUNDS = 3
+#: Most parallel streams of a task, tokens of a window, windows that a chunk of tokens has at least, tokens of a chunk, and the rate of learning.
+STREAMS, WINDOW, LEAST_WINDOWS, CHUNK, RATE = 384, 16, 64, 400_000, 0.01
+#: Tokens counted at a time in search of frequent words; of each, words that are rarer than one in ``RARE`` aren't reported.
+COUNTED_TOKENS, RARE = 3_000_000, 500_000
 #: Tokens scored side by side.
 GROUP_TOKENS = 3_000_000
 END = 0
@@ -46,8 +52,12 @@ def word_ids(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     data = LOWER[texts.data]
     last = data[words.end - 1].astype(np.uint64)
     before = np.where(words.end - words.start > 1, data[np.maximum(words.end - 2, 0)], 0).astype(np.uint64)
-    tail = mix(last * np.uint64(257) + before) >> np.uint64(58)
-    return (words.hashes >> np.uint64(6)) | (tail << np.uint64(58)), words.bounds
+    tail = mix(last * np.uint64(257) + before) >> np.uint64(64 - TAIL_BITS)
+    return (words.hashes >> np.uint64(TAIL_BITS)) | (tail << np.uint64(64 - TAIL_BITS)), words.bounds
+
+
+def _tail_class(ids: np.ndarray) -> np.ndarray:
+    return (ids >> np.uint64(64 - TAIL_BITS)).astype(np.int64)
 
 
 def tokens_of(texts: Texts, head: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +70,7 @@ def tokens_of(texts: Texts, head: np.ndarray, place: np.ndarray) -> tuple[np.nda
     doc = np.repeat(np.arange(len(counts)), counts)
     at = np.minimum(np.searchsorted(head, ids), len(head) - 1) if len(head) else np.zeros(len(ids), np.int64)
     known = head[at] == ids if len(head) else np.zeros(len(ids), bool)
-    number = np.where(known, place[at] if len(head) else 0, HEAD + (ids >> np.uint64(58)).astype(np.int64))
+    number = np.where(known, place[at] if len(head) else 0, HEAD + _tail_class(ids))
     out = np.full(len(ids) + len(counts), END, np.int16)
     out[np.arange(len(ids)) + doc] = number
     return out, bounds + np.arange(len(counts) + 1), ids[~known], doc[~known]
@@ -99,40 +109,45 @@ class Model:
         return Model(out, self.head, self.place)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def _step(p: dict[str, np.ndarray], xa: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """One step of the GRU from the input's part of the gates and the state before."""
     u = h @ p["wh"]
-    g = _sigmoid(xa[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
+    g = 1 / (1 + np.exp(-(xa[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])))
     r, z = g[:, :HIDDEN], g[:, HIDDEN:]
     n = np.tanh(xa[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
     return n + z * (h - n), r, z, n, u[:, 2 * HIDDEN :]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of exponentials, their sums (a product with ones, faster than a sum over a short axis), and the exponents taken."""
+    if x.size and x.max() > 60:  # else no exponential of a 32-bit float overflows
+        x = x - x.max(1, keepdims=True)
+    e = np.exp(x)
+    return e, e @ np.ones(x.shape[1], x.dtype) + np.finfo(x.dtype).tiny, x
 
 
 def _classes_of(target: np.ndarray) -> np.ndarray:
     return np.where(target < HEAD, target // PER_CLASS, target - HEAD + HEAD_CLASSES)
 
 
-def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of the probability of each target's class, times that of the word inside it for frequent words."""
-    cls = _classes_of(target)
-    out = _log_softmax(h @ p["wc"].T + p["bc"])[np.arange(len(target)), cls]
+def _by_class(cls: np.ndarray, target: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Rows of frequent words, class by class, with the class' first word."""
     head = np.flatnonzero(target < HEAD)
-    order = head[np.argsort(cls[head], kind="stable")]
+    order = head[np.argsort(cls[head].astype(np.uint8), kind="stable")]
     start, count = runs(cls[order])
     for s, c in zip(start.tolist(), count.tolist()):
         rows = order[s : s + c]
-        k = int(cls[rows[0]]) * PER_CLASS
-        inside = _log_softmax(h[rows] @ p["wi"][k : k + PER_CLASS].T + p["bi"][k : k + PER_CLASS])
-        out[rows] += inside[np.arange(c), target[rows] - k]
+        yield rows, int(cls[rows[0]]) * PER_CLASS
+
+
+def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of each target's class, times that of the word inside it for frequent words."""
+    cls = _classes_of(target)
+    _, total, x = _exp(h @ p["wc"].T + p["bc"])
+    out = x[np.arange(len(target)), cls] - np.log(total)
+    for rows, k in _by_class(cls, target):
+        _, total, x = _exp(h[rows] @ p["wi"][k : k + PER_CLASS].T + p["bi"][k : k + PER_CLASS])
+        out[rows] += x[np.arange(len(rows)), target[rows] - k] - np.log(total)
     return out
 
 
@@ -172,59 +187,58 @@ def gradients(p: dict[str, np.ndarray], given: np.ndarray, target: np.ndarray, h
     A state is set to zero where the input is an end of text; the window's first state is a constant.
     """
     steps, width = given.shape
-    inputs = p["emb"] @ p["wx"] + p["b"]
-    h, kept = h0, []
+    inputs = (p["emb"] @ p["wx"] + p["b"])[given]
+    going = given != END
+    h, kept, hs = h0, [], np.empty((steps, width, HIDDEN), h0.dtype)
     for t in range(steps):
-        h = h * (given[t] != END)[:, None]
-        new, r, z, n, u = _step(p, inputs[given[t]], h)
+        h = h * going[t][:, None]
+        new, r, z, n, u = _step(p, inputs[t], h)
         kept.append((h, r, z, n, u))
-        h = new
-    last = h
-    hs = np.concatenate([n + z * (h - n) for h, r, z, n, u in kept])
+        hs[t] = h = new
+    last, hs = h, hs.reshape(-1, HIDDEN)
     flat = target.ravel()
     count = len(flat)
     cls = _classes_of(flat)
-    logp = _log_softmax(hs @ p["wc"].T + p["bc"])
-    loss = -float(logp[np.arange(count), cls].sum())
-    d = np.exp(logp)
-    d[np.arange(count), cls] -= 1
-    d /= count
+    d, total, x = _exp(hs @ p["wc"].T + p["bc"])
+    at = np.arange(count)
+    loss = float(np.log(total).sum() - x[at, cls].sum())
+    d *= (1 / (total * count))[:, None]
+    d[at, cls] -= 1 / count
     g = {k: np.zeros_like(v) for k, v in p.items()}
     g["wc"], g["bc"] = d.T @ hs, d.sum(0)
     dh_out = d @ p["wc"]
-    head = np.flatnonzero(flat < HEAD)
-    order = head[np.argsort(cls[head], kind="stable")]
-    start, n_of = runs(cls[order])
-    for s, c in zip(start.tolist(), n_of.tolist()):
-        rows = order[s : s + c]
-        k = int(cls[rows[0]]) * PER_CLASS
-        inside = _log_softmax(hs[rows] @ p["wi"][k : k + PER_CLASS].T + p["bi"][k : k + PER_CLASS])
-        mine = flat[rows] - k
-        loss -= float(inside[np.arange(c), mine].sum())
-        e = np.exp(inside)
-        e[np.arange(c), mine] -= 1
-        e /= count
-        g["wi"][k : k + PER_CLASS] = e.T @ hs[rows]
+    for rows, k in _by_class(cls, flat):
+        own = hs[rows]
+        e, total, x = _exp(own @ p["wi"][k : k + PER_CLASS].T + p["bi"][k : k + PER_CLASS])
+        at, mine = np.arange(len(rows)), flat[rows] - k
+        loss += float(np.log(total).sum() - x[at, mine].sum())
+        e *= (1 / (total * count))[:, None]
+        e[at, mine] -= 1 / count
+        g["wi"][k : k + PER_CLASS] = e.T @ own
         g["bi"][k : k + PER_CLASS] = e.sum(0)
         dh_out[rows] += e @ p["wi"][k : k + PER_CLASS]
     dh_out = dh_out.reshape(steps, width, HIDDEN)
-    da = np.empty((steps, width, 3 * HIDDEN), np.float32)
-    dh = np.zeros((width, HIDDEN), np.float32)
+    da = np.empty((steps, width, 3 * HIDDEN), h0.dtype)
+    du = np.empty((steps, width, 3 * HIDDEN), h0.dtype)
+    dh, back = np.zeros((width, HIDDEN), h0.dtype), np.ascontiguousarray(p["wh"].T)
     for t in range(steps - 1, -1, -1):
         h, r, z, n, u = kept[t]
         dh = dh + dh_out[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (h - n) * z * (1 - z)
-        dr = dn * u * r * (1 - r)
-        da[t, :, :HIDDEN], da[t, :, HIDDEN : 2 * HIDDEN], da[t, :, 2 * HIDDEN :] = dr, dz, dn
-        du = np.concatenate([dr, dz, dn * r], 1)
-        g["wh"] += h.T @ du
-        dh = (dh * z + du @ p["wh"].T) * (given[t] != END)[:, None]
-    flat_a = da.reshape(-1, 3 * HIDDEN)
-    by_input = np.zeros((INPUTS, 3 * HIDDEN), np.float32)
-    order = np.argsort(given.ravel(), kind="stable")
-    start, _ = runs(given.ravel()[order])
-    by_input[given.ravel()[order][start]] = np.add.reduceat(flat_a[order], start)
+        keep = dh * z
+        dn = (dh - keep) * (1 - n * n)
+        du[t, :, HIDDEN : 2 * HIDDEN] = keep * (h - n) * (1 - z)
+        dr = dn * r
+        du[t, :, 2 * HIDDEN :] = dr
+        du[t, :, :HIDDEN] = dr * u * (1 - r)
+        da[t, :, 2 * HIDDEN :] = dn
+        dh = (keep + du[t] @ back) * going[t][:, None]
+    da[:, :, : 2 * HIDDEN] = du[:, :, : 2 * HIDDEN]
+    g["wh"] = np.concatenate([k[0] for k in kept]).T @ du.reshape(-1, 3 * HIDDEN)
+    flat_a, ids = da.reshape(-1, 3 * HIDDEN), given.ravel()
+    by_input = np.zeros((INPUTS, 3 * HIDDEN), h0.dtype)
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    start, _ = runs(ids[order])
+    by_input[ids[order][start]] = np.add.reduceat(flat_a[order], start)
     g["b"] = flat_a.sum(0)
     g["wx"] = p["emb"].T @ by_input
     g["emb"] = by_input @ p["wx"].T
@@ -248,50 +262,88 @@ class Adam:
             params[k] -= (self.rate / (1 - 0.9**self.t)) * self.m[k] / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
 
 
-def fit(params: dict[str, np.ndarray], stream: np.ndarray, rate: float = RATE) -> dict[str, np.ndarray]:
-    """One run of truncated backpropagation over a stream of texts, dealt to parallel streams."""
-    params = {k: v.copy() for k, v in params.items()}
-    width = int(min(STREAMS, max(1, len(stream) // (4 * WINDOW))))
+def fit(params: dict[str, np.ndarray], adam: Adam, stream: np.ndarray) -> None:
+    """Truncated backpropagation over a stream of texts, dealt to parallel streams; changes ``params``."""
+    width = int(min(STREAMS, max(1, len(stream) // (LEAST_WINDOWS * WINDOW))))
     length = len(stream) // width
     if length < 1:
-        return params
+        return
     grid = stream[: width * length].reshape(width, length).T.astype(np.int64)
     given = np.vstack([np.full((1, width), END), grid[:-1]])
-    adam, h = Adam(params, rate), np.zeros((width, HIDDEN), np.float32)
+    h = np.zeros((width, HIDDEN), np.float32)
     for at in range(0, length, WINDOW):
         g, h, _ = gradients(params, given[at : at + WINDOW], grid[at : at + WINDOW], h)
         adam.update(params, g)
-    return params
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
+def _frequent_words(docs: DataFrame) -> DataFrame:
+    """(word, n): occurrences of words in all documents, as far as they are not rare where they were counted; and (class, n): all words of each tail class."""
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, ends = [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            ids = np.concatenate(held)
+            classes = np.bincount(_tail_class(ids), minlength=TAIL_CLASSES)
+            words, count = np.unique(ids, return_counts=True)
+            often = count * RARE > len(ids)
+            words, count = np.r_[words[often], END_WORD], np.r_[count[often], ends]
+            none = pa.nulls(len(words), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(words.view(np.int64)), pa.nulls(TAIL_CLASSES, pa.int64())]), pa.concat_arrays([none, pa.array(np.arange(TAIL_CLASSES))]), pa.array(np.r_[count, classes])],
+                ["word", "class", "n"],
+            )
+
         for batch in batches:
             for texts in slices(batch.column(0)):
-                ids, count = np.unique(word_ids(texts)[0], return_counts=True)
-                ends = len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[ids, END_WORD].view(np.int64)), pa.array(np.r_[count, ends])], ["word", "n"])
+                held.append(word_ids(texts)[0])
+                total, ends = total + len(held[-1]), ends + len(texts)
+                if total >= COUNTED_TOKENS:
+                    yield flush()
+                    held, total, ends = [], 0, 0
+        if held:
+            yield flush()
+
+    return docs.select("text").mapInArrow(counted, "word long, class long, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
+
 
-    return docs.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _averaged(parts: DataFrame, scratch: Scratch) -> bytes | None:
+    """The weighted mean of packed arrays (k, values, weight), 64 at a time until one is left."""
 
+    def added(table: pa.Table) -> pa.Table:
+        weight = table["weight"].to_numpy()
+        total = sum(np.frombuffer(x.as_buffer(), np.float64) * w for x, w in zip(table["values"], weight))
+        return pa.table({"k": pa.array([table["k"][0].as_py() // 64], pa.int64()), "values": binary([(total / weight.sum()).tobytes()]), "weight": pa.array([weight.sum()])})
 
-def _fit_round(docs: DataFrame, model: Model) -> Model:
+    while True:
+        parts = scratch.save(parts.groupBy(F.floor(F.col("k") / 64)).applyInArrow(added, "k long, values binary, weight double"))
+        rows = parts.limit(2).collect()
+        if len(rows) < 2:
+            return bytes(rows[0]["values"]) if rows else None
+
+
+def _fit_round(docs: DataFrame, model: Model, scratch: Scratch) -> Model:
     """Every task fits the model on its documents; Spark averages the parameters, weighted by tokens."""
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params, seen = model.params, 0
+        params, held, total, seen = {k: v.copy() for k, v in model.params.items()}, [], 0, 0
+        adam = Adam(params)
         for batch in batches:
             for texts in slices(batch.column(0)):
-                stream = tokens_of(texts, model.head, model.place)[0]
-                params = fit(params, stream)
-                seen += len(stream)
-        if seen:
-            values = Model(params, model.head, model.place).flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values.astype(np.float64) * seen), pa.array(np.full(len(values), float(seen)))], ["k", "x", "w"])
+                held.append(tokens_of(texts, model.head, model.place)[0])
+                total += len(held[-1])
+                if total >= CHUNK:
+                    for at in range(0, total, CHUNK):
+                        fit(params, adam, np.concatenate(held)[at : at + CHUNK] if len(held) > 1 else held[0][at : at + CHUNK])
+                    seen, held, total = seen + total, [], 0
+        if total:
+            fit(params, adam, np.concatenate(held))
+        if seen + total:
+            values = Model(params, model.head, model.place).flat().astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), binary([values.tobytes()]), pa.array([float(seen + total)])], ["k", "values", "weight"])
 
-    means = docs.select("text").mapInArrow(fitted, "k long, x double, w double").groupBy("k").agg((F.sum("x") / F.sum("w")).alias("x"))
-    rows = means.orderBy("k").toPandas()  # as many rows as the model has parameters
-    return model.with_flat(rows["x"].to_numpy()) if len(rows) else model
+    mean = _averaged(docs.select("text").mapInArrow(fitted, "k long, values binary, weight double"), scratch)
+    return model if mean is None else model.with_flat(np.frombuffer(mean))
 
 
 COUNTED = "bucket int, docs binary, trained binary, counts binary, words binary, times binary"
@@ -372,7 +424,7 @@ def _summed(buckets: int):
             c = np.empty(len(word), np.int64)
             c[order] = np.repeat(of_word, count)
             known = of_word > 0
-            masses = np.bincount((word[order][start] >> np.uint64(58)).astype(np.int64)[known], (of_word + 1.0)[known], TAIL_CLASSES)
+            masses = np.bincount(_tail_class(word[order][start])[known], (of_word + 1.0)[known], TAIL_CLASSES)
             order = np.argsort(doc, kind="stable")
             start, _ = runs(doc[order])
             sums = np.add.reduceat((times * np.log10(c + 1.0))[order], start)
@@ -440,13 +492,13 @@ def _scored(docs: DataFrame, model: Model, heads: np.ndarray, masses: np.ndarray
     return docs.select("doc_id", "held_out", "key", "text").mapInArrow(scored, SCORED)
 
 
-def score_documents(docs: DataFrame, fit_one_of: int = FIT_ONE_OF, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents with crc32(doc_id as text) mod 7 = 2 are held out of all counts and of the fit; a null doc_id
     counts as the empty string there. A null text is empty and has one token, the end. Rows that repeat
     are scored alike and counted each. With no training documents at all every word is unknown. Words
-    are told apart by 58 bits of hash and the class of their last letters.
+    are told apart by 59 bits of hash and the class of their last letters.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "language-model")
@@ -456,21 +508,18 @@ def score_documents(docs: DataFrame, fit_one_of: int = FIT_ONE_OF, rounds: int =
     out = crc % FOLDS == HELD_OUT
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), out.alias("held_out"), (~out).alias("train"), F.xxhash64(docs["doc_id"], text).alias("key"), F.xxhash64(F.lit(3), docs["doc_id"]).alias("pick"), text.alias("text"))
     training = rows.where("train")
-    chosen = training.where(F.pmod("pick", F.lit(fit_one_of)) == 0)
-    counts = scratch.save(_word_counts(training))
+    counts = scratch.save(_frequent_words(training))
     end = int(END_WORD)
     top = counts.where(F.col("word") != end).orderBy(F.desc("n"), "word").limit(HEAD - 1).collect()
-    tail_class = F.shiftrightunsigned("word", 58).alias("class")
-    total = {r["class"]: r["n"] for r in counts.where(F.col("word") != end).groupBy(tail_class).agg(F.sum("n").alias("n")).collect()}
+    classes = {r["class"]: r["n"] for r in counts.where("class IS NOT NULL").collect()}
     ends = counts.where(F.col("word") == end).agg(F.sum("n")).first()[0] or 0
     head_ids = np.array([end, *(r["word"] for r in top)], np.int64).view(np.uint64)
     head_counts = np.array([ends, *(r["n"] for r in top)], np.float64)
-    tails = np.array([total.get(k, 0) for k in range(TAIL_CLASSES)], np.float64)
-    np.subtract.at(tails, (head_ids[1:] >> np.uint64(58)).astype(np.int64), head_counts[1:])
+    tails = np.array([classes.get(k, 0) for k in range(TAIL_CLASSES)], np.float64)
+    np.subtract.at(tails, _tail_class(head_ids[1:]), head_counts[1:])
     model = Model.new(head_ids, head_counts, tails)
     for k in range(rounds):
-        part = F.pmod(F.floor(F.col("pick") / fit_one_of), F.lit(rounds)) == k
-        model = _fit_round(chosen.where(part), model)
+        model = _fit_round(training.where(F.pmod("pick", F.lit(rounds)) == k), model, scratch)
     sums = scratch.save(_packed_words(rows, model, buckets).groupBy("bucket").applyInArrow(_summed(buckets), SUMS))
     facts = sums.where("octet_length(masses) > 0 OR octet_length(heads) > 0").select("masses", "heads", "tokens", "distinct").toPandas()
     heads = sum((np.frombuffer(x, np.int64) for x in facts["heads"] if len(x)), np.zeros(HEAD, np.int64))

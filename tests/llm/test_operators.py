@@ -229,7 +229,7 @@ def test_mixing(docs, empty):
 
 
 def test_language_model(docs, empty):
-    got = by_id(language_model.score_documents(docs, fit_one_of=1, rounds=2))
+    got = by_id(language_model.score_documents(docs, rounds=2))
     words = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")) + [None] for r in docs.select("doc_id", "text").collect()}
     c = collections.Counter()
     for d, w in words.items():
@@ -260,7 +260,7 @@ def test_gradients_match_differences():
 
     rng = np.random.default_rng(0)
     p = {k: rng.normal(0, 0.3, s) for k, s in language_model.SHAPES.items()}
-    given, target = rng.integers(0, 1088, (4, 3)), rng.integers(0, 1088, (4, 3))
+    given, target = rng.integers(0, language_model.INPUTS, (4, 3)), rng.integers(0, language_model.INPUTS, (4, 3))
     h = rng.normal(0, 0.3, (3, language_model.HIDDEN))
     g, _, loss = language_model.gradients(p, given, target, h)
     for k in ("wh", "wx", "emb", "wc", "wi", "b"):
