@@ -1,9 +1,10 @@
 """Operator 8, main text of web pages by block rules in two passes.
 
-The page is read as a stream of tags and cut into blocks. The first pass decides blocks by where they
-stand (navigation, forms, comments and so on are never text) and by stop-word density, length and link
-density; it leaves short or doubtful blocks open. In the second pass an open block takes the label of
-its nearest decided neighbours.
+The page is read once, as a stream of tags, and cut into blocks; what stands in navigation, forms,
+comments, adverts and so on is left out on the way. The first pass decides blocks by stop-word density,
+length and link density, and leaves short or doubtful ones open. In the second pass an open block takes the
+label of its nearest decided neighbours. A marked article only narrows the choice: once a block inside it
+is decided as text, blocks outside are not.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame
 
 from .quality import STOP_WORDS
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+PLAIN = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SKIPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "title", "audio", "video", "canvas"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
@@ -35,9 +37,13 @@ NEVER_CLASS = set(
     "recommendations newsletter subscribe subscription signup login register search form toolbar copyright legal disclaimer".split()
 )
 MAIN_TAGS, MAIN_ROLES = {"article", "main"}, {"main", "article"}
-MAIN_CLASS = {"article", "post", "entry", "content", "story", "main", "body", "articlebody"}
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: What keeps a new block inside an open paragraph from ending it.
+HOLDS_P = ("table", "td", "th", "button", "li")
 STOPS = frozenset(STOP_WORDS)
+#: Words and share of stop words from which a block is text; a share of link characters above ``LINKED`` isn't.
+LONG, LONG_STOPS, MIDDLE, MIDDLE_STOPS, LINKED = 25, 0.12, 12, 0.25, 0.5
 GOOD, BAD, OPEN = 1, -1, 0
 
 
@@ -45,12 +51,71 @@ GOOD, BAD, OPEN = 1, -1, 0
 class Block:
     text: str
     main: bool
-    never: bool
     heading: bool
     link_chars: int
-    region: int
     label: int = OPEN
-    resolved: int = OPEN
+
+
+@dataclass
+class _Open:
+    """An open element. ``serial`` grows along the stack; ``blocks``: elements below it that aren't inline; ``gone``: ended out of order."""
+
+    tag: str
+    never: bool
+    main: bool
+    serial: int
+    blocks: int
+    gone: bool = False
+
+
+class _Stack:
+    """Open elements with running counts, so that every tag costs a bounded number of steps besides the elements it ends."""
+
+    def __init__(self) -> None:
+        self.stack: list[_Open] = []
+        self.by_tag: dict[str, list[_Open]] = {}
+        self.never = self.main = self.headings = self.links = self.blocks = self.serial = 0
+
+    def _count(self, e: _Open, by: int) -> None:
+        self.never += by * e.never
+        self.main += by * e.main
+        self.headings += by * (e.tag in HEADINGS)
+        self.links += by * (e.tag == "a")
+        self.blocks += by * (e.tag not in INLINE)
+
+    def last(self, tag: str) -> _Open | None:
+        found = self.by_tag.get(tag)
+        return found[-1] if found else None
+
+    def push(self, tag: str, never: bool, main: bool) -> None:
+        self.serial += 1
+        e = _Open(tag, never, main, self.serial, self.blocks)
+        self.stack.append(e)
+        self.by_tag.setdefault(tag, []).append(e)
+        self._count(e, 1)
+
+    def end(self, e: _Open) -> None:
+        """End ``e`` and all inside it; an inline element that holds open blocks ends alone."""
+        if e.tag in INLINE and self.blocks > e.blocks:
+            self.by_tag[e.tag].pop()
+            self._count(e, -1)
+            e.gone = True
+            return
+        while True:
+            top = self.stack.pop()
+            if not top.gone:
+                self.by_tag[top.tag].pop()
+                self._count(top, -1)
+            if top is e:
+                return
+
+    def make_room(self, tag: str) -> None:
+        """End what a new element of that tag ends: an open paragraph, or the list item beside it."""
+        serial = lambda t: e.serial if (e := self.last(t)) else 0
+        if tag in CLOSES_P and serial("p") > max(map(serial, HOLDS_P)):
+            self.end(self.last("p"))
+        if tag == "li" and serial("li") > max(serial("ul"), serial("ol")):
+            self.end(self.last("li"))
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -70,136 +135,132 @@ def _never(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
     return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")))
 
 
+def _tag_end(page: str, at: int, lost: set[str]) -> int:
+    """Where the tag ends whose attributes begin at ``at``: its '>' outside quotes, -1 if there is none. ``lost``: quotes that nothing closes any more."""
+    while True:
+        at = PLAIN.match(page, at).end()
+        if at == len(page):
+            return -1
+        c = page[at]
+        if c == ">":
+            return at
+        close = -1 if c in lost else page.find(c, at + 1)
+        if close < 0:
+            lost.add(c)
+        at = max(at, close) + 1
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order. Unclosed and crossed tags are taken as browsers take them, roughly; a tag cut off at the end is no text."""
+    """The page's blocks in order, in time that grows with the page's length. Unclosed and crossed tags are taken as browsers take them, roughly; a tag cut off at the end is no text."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, never text, main
     parts: list[str] = []
-    link = heading = region = at = 0
-    never = main = False
-    links_open = 0
+    open_ = _Stack()
+    lost: set[str] = set()
+    link = at = 0
 
     def flush() -> None:
         nonlocal link
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, main, never, bool(heading), link, region))
+            out.append(Block(text, open_.main > 0, open_.headings > 0, link))
         parts.clear()
         link = 0
 
-    def settle() -> None:
-        nonlocal never, main, heading, links_open
-        never = any(s[1] for s in stack)
-        main = any(s[2] for s in stack)
-        heading = sum(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack)
-        links_open = sum(s[0] == "a" for s in stack)
-
     def text_is(raw: str) -> None:
         nonlocal link
-        if raw and not never:
+        if raw and not open_.never:
             raw = html.unescape(raw)
             parts.append(raw)
-            if links_open:
+            if open_.links:
                 link += len("".join(raw.split()))
 
     while at < len(page):
-        m = TOKEN.search(page, at)
-        text_is(page[at : m.start() if m else len(page)])
-        if not m:
+        here = page.find("<", at)
+        if here < 0:
+            text_is(page[at:])
             break
-        at = m.end()
-        tag = (m[2] or m[6] or "").lower()
-        if not tag or not (m[4] or m[8]):
+        m = NAME.match(page, here)
+        if not m:
+            mark = next((x for x in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")) if page.startswith(x[0], here)), None)
+            text_is(page[at : here if mark else here + 1])
+            at = here + 1
+            if mark:
+                end = page.find(mark[1], here + len(mark[0]))
+                at = len(page) if end < 0 else end + len(mark[1])
             continue
-        closing, attrs = m[1] or m[5], m[3] or m[7] or ""
+        text_is(page[at:here])
+        end = _tag_end(page, m.end(), lost)
+        if end < 0:
+            break
+        closing, tag, attrs, at = m[1], m[2].lower(), page[m.end() : end], end + 1
         if tag not in INLINE:
             flush()
         if closing:
-            places = [k for k, s in enumerate(stack) if s[0] == tag]
-            if places and tag in INLINE and any(s[0] not in INLINE for s in stack[places[-1] + 1 :]):
-                del stack[places[-1]]
-            elif places:
-                del stack[places[-1] :]
-            else:
-                continue
-            if tag not in INLINE:
-                region += tag in ("article", "main", "section", "div", "nav", "aside", "footer", "header")
-            settle()
+            if found := open_.last(tag):
+                open_.end(found)
             continue
-        if tag in RAW or tag in SKIPPED:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+        if tag in SKIPPED:
+            end = None if tag in lost else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if not end:
+                lost.add(tag)
             at = end.end() if end else len(page) if tag in RAW else at
             continue
         if tag in VOID or attrs.endswith("/") and tag not in CLOSES_P | {"a", "span", "div"}:
             continue
-        if tag in CLOSES_P:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-            if k is not None and not any(s[0] in ("table", "td", "th", "button", "li") for s in stack[k:]):
-                del stack[k:]
-                settle()
-        if tag == "li":
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("li", "ul", "ol")), None)
-            if k is not None and stack[k][0] == "li":
-                del stack[k:]
-                settle()
+        open_.make_room(tag)
         found = _attributes(attrs)
         is_main = tag in MAIN_TAGS or found.get("role", "").lower() in MAIN_ROLES
-        bad = _never(tag, found, main or is_main)
-        stack.append((tag, bad, is_main and not bad))
-        if tag not in INLINE:
-            region += tag in ("article", "main", "section", "div", "nav", "aside", "footer", "header")
-        never, main = never or bad, main or (is_main and not bad)
-        heading += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        links_open += tag == "a"
+        never = _never(tag, found, open_.main > 0 or is_main)
+        open_.push(tag, never, is_main and not never)
     flush()
     return out
 
 
+def _decide(b: Block, stops: frozenset[str]) -> int:
+    """First pass: a block by itself."""
+    words = b.text.split()
+    density = sum(w.strip(".,;:!?\"'()").lower() in stops for w in words) / len(words)
+    links = b.link_chars / max(1, len(b.text) - len(words) + 1)
+    if links > LINKED:
+        return OPEN if b.main else BAD
+    if b.heading:
+        return OPEN
+    if len(words) >= LONG and density >= LONG_STOPS or len(words) >= MIDDLE and density >= MIDDLE_STOPS:
+        return GOOD
+    return BAD if len(words) >= LONG and density < LONG_STOPS / 4 and links > LINKED / 2 else OPEN
+
+
 def classify(blocks: list[Block], stops: frozenset[str] = STOPS) -> list[Block]:
-    """Label every block; in pages that mark their article, blocks outside it are no text."""
-    marked = any(b.main and not b.never for b in blocks)
+    """Label every block.
+
+    Open blocks take the label of the nearer decided neighbour on the same side of the article's border, a heading that of
+    the next one; of two as near, text wins. Where no block is decided as text, open ones are text, and if an article is marked, only those inside.
+    """
     for b in blocks:
-        words = b.text.split()
-        density = sum(w.strip(".,;:!?\"'()").lower() in stops for w in words) / len(words)
-        links = b.link_chars / max(1, len(b.text) - len(words) + 1)
-        if b.never or marked and not b.main:
-            b.label = BAD
-        elif b.main:
-            b.label = OPEN if links > 0.9 or len(words) < 4 else GOOD
-        elif links > 0.5:
-            b.label = BAD
-        elif b.heading:
-            b.label = OPEN
-        elif len(words) >= 25 and density >= 0.12 or len(words) >= 12 and density >= 0.25:
-            b.label = GOOD
-        elif len(words) >= 25 and density < 0.03 and links > 0.2:
+        b.label = _decide(b, stops)
+    good = [b for b in blocks if b.label == GOOD]
+    marked = any(b.main for b in good) or not good and any(b.main for b in blocks)
+    for b in blocks:
+        if marked and not b.main:
             b.label = BAD
-    decided = [(k, b.label) for k, b in enumerate(blocks) if b.label]
-    if not decided and blocks:
+    if not good:
         for b in blocks:
-            b.label = GOOD
+            b.label = b.label or GOOD
         return blocks
-    before: list[tuple[int, int] | None] = []
-    last = None
+    sides: list[list[tuple[int, int] | None]] = []
+    for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
+        near, found = {True: None, False: None}, [None] * len(blocks)
+        for k in order:
+            b = blocks[k]
+            found[k] = near[b.main]
+            if b.label:
+                near[b.main] = (k, b.label)
+        sides.append(found)
     for k, b in enumerate(blocks):
-        if b.label:
-            last = (k, b.label, b.main)
-        before.append(last)
-    nxt = None
-    for k in range(len(blocks) - 1, -1, -1):
-        b = blocks[k]
-        if b.label:
-            nxt = (k, b.label, b.main)
-            continue
-        sides = [s for s in (before[k], nxt) if s and s[2] == b.main]  # a neighbour across the article's border decides nothing
-        if not sides:
-            b.resolved = GOOD if b.main else BAD
-        elif b.main or b.heading and nxt and nxt in sides:
-            b.resolved = (nxt if nxt in sides else sides[0])[1] if not b.main else GOOD if any(s[1] == GOOD for s in sides) else BAD
-        else:
-            b.resolved = min(sides, key=lambda s: (abs(s[0] - k), s[1]))[1]
-    for b in blocks:
-        b.label = b.label or b.resolved
+        if b.label == OPEN:
+            before, after = sides[0][k], sides[1][k]
+            near = [after] if b.heading and after else [x for x in (before, after) if x]
+            b.label = min(near, key=lambda x: (abs(x[0] - k), -x[1]))[1] if near else GOOD if b.main else BAD
     return blocks
 
 
@@ -208,7 +269,12 @@ def main_text(page: str | None) -> str:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """One row per row of ``pages``: page_id, url, text, n_chars. A null or empty page gives an empty text. No shuffle."""
+    """One row per row of ``pages``: page_id, url, text, n_chars. No shuffle.
+
+    A null or empty page, and one without text outside tags, gives an empty text. Rows that repeat give
+    the same row each; an empty table gives none. A very long page takes time and memory in proportion to its length.
+    Columns beyond page_id, url and html are not read.
+    """
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
