@@ -73,5 +73,21 @@ def text_or_empty(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+#: A group with more than one in so many rows is large; there are fewer large groups than that.
+LARGE_SHARE = 1000
+
+
+def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of their group (inner join on ``keys``, which are not null); ``size`` is a group's number of rows.
+
+    The fewer than LARGE_SHARE large groups are broadcast, so that their rows stay where they are; all others are joined by shuffle.
+    Both tables are read twice, so they are best saved ones.
+    """
+    bar = total // LARGE_SHARE
+    large = F.broadcast(groups.where(F.col(size) > bar))
+    rest = rows.join(large.select(*keys), keys, "left_anti").join(groups.where(F.col(size) <= bar), keys)
+    return rows.join(large, keys).unionByName(rest)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -12,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, joined_to_groups, text_or_empty
 
 BLOCK = 2048
+#: Blocks are sorted by so many first code points, and among those that begin alike by their hashes.
+SORTED = 64
 #: Runs of white space that are not one plain space already.
 UNEVEN_WHITE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -33,8 +35,14 @@ def _keys(block: Column, seed: int) -> list[Column]:
 
 
 def _named(scratch: Scratch, distinct: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
-    """Names for distinct rows: sorted within each partition of the shuffle, numbered in that order."""
-    return scratch.save(distinct.sortWithinPartitions(*by).select(*keep, F.monotonically_increasing_id().alias("name")))
+    """Names for distinct rows: their places, from 0, in the order of ``by`` over all rows, whatever the partitions."""
+    placed = scratch.save(distinct.sort(*by).select(*keep, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
+    before, total = [], 0
+    for r in placed.groupBy("part").count().orderBy("part").collect():  # one row per partition of the sort
+        before.append((r["part"], total))
+        total += r["count"]
+    offsets = placed.sparkSession.createDataFrame(before, "part int, before long")
+    return placed.join(F.broadcast(offsets), "part").select(*keep, (F.col("before") + F.col("place")).alias("name"))
 
 
 def dedup_report(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -50,11 +58,12 @@ def dedup_report(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     seed = 7
     while True:
         blocks = texts.select(F.explode(_blocks(F.col("text"), block)).alias("b")).select(*_keys(F.col("b"), seed), "b").distinct()
-        names = _named(scratch, blocks, ["b"], ["h1", "h2"])
-        if names.groupBy("h1", "h2").count().where("count > 1").limit(1).isEmpty():
+        found = scratch.save(blocks.select(F.substring("b", 1, SORTED).alias("start"), "h1", "h2"))
+        if found.groupBy("h1", "h2").count().where("count > 1").limit(1).isEmpty():
             break
-        scratch.drop(names)
+        scratch.drop(found)
         seed += 2
+    names = _named(scratch, found, ["start", "h1", "h2"], ["h1", "h2"])
     rows = scratch.save(
         texts.select(
             F.monotonically_increasing_id().alias("uid"),
@@ -86,8 +95,8 @@ def dedup_report(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         named = named.unionByName(more)
     rows = scratch.save(rows.drop("keys").join(named, "uid"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
-    groups = rows.groupBy("level", "name").agg(first.alias("first"), F.count("*").alias("group_size"))
-    return rows.join(groups, ["level", "name"]).select(
+    groups = scratch.save(rows.groupBy("level", "name").agg(first.alias("first"), F.count("*").alias("group_size")))
+    return joined_to_groups(rows, groups, ["level", "name"], "group_size", rows.count()).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",
