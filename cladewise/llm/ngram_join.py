@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions, text_or_empty
+from .common import Scratch, joined_to_groups, shuffle_partitions, text_or_empty
 from .components import components
 from .vectors import binary, gather, joined, mix, runs, set_digest, shingles_of, signed, slices, words_of
 
@@ -295,7 +295,7 @@ def _units(tiles: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     whole = rows.where("NOT large").select(F.xxhash64("tile").alias("unit"), F.lit(0).alias("side"), "skey")
     rows = rows.where("large")
     if rows.limit(1).isEmpty():
-        return scratch.save(whole)
+        return _distinct_units(whole, scratch)
     at = ["tile", "band"]
     per = rows.groupBy(*at, "component").agg(F.count("*").alias("c"), F.sum("w").alias("w"))
     big = per.select(*at, "component", _load(F.col("c"), F.col("w")).alias("own")).where("own > 1")
@@ -313,7 +313,15 @@ def _units(tiles: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     sides = F.when(F.col("block1") == F.col("block2"), F.slice(sides, 1, 1)).otherwise(sides)
     units = pairs.select(F.xxhash64("block1", "block2").alias("unit"), F.explode(sides).alias("s")).select("unit", "s.side", "s.block")
     cut = rows.select("block", "skey").join(units, "block").select("unit", "side", "skey")
-    return scratch.save(whole.unionByName(cut))
+    return _distinct_units(whole.unionByName(cut), scratch)
+
+
+def _distinct_units(units: DataFrame, scratch: Scratch) -> DataFrame:
+    """Without units of the same sets and sides as another one: a passage that documents share gives them many tiles, and one is enough."""
+    units = scratch.save(units)
+    member = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "side", "skey"))
+    alike = units.groupBy("unit").agg(F.count("*").alias("c"), member(1).alias("x"), member(2).alias("y"))
+    return scratch.save(units.join(alike.groupBy("c", "x", "y").agg(F.min("unit").alias("unit")).select("unit"), "unit"))
 
 
 def _partners(unit: pa.Table, limit: int, most: int) -> Iterator[tuple]:
@@ -461,9 +469,11 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, limit: int = LIMIT, h
     Sets are told apart by a 64-bit digest and their size; shingles by 48 bits of hash and their bucket.
     Columns beyond doc_id and text are not read.
     """
-    roots = _rooted(docs, size, limit, hot_least, seen)
-    least = roots.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = roots.join(least, "root", "left")
+    scratch = Scratch(docs.sparkSession, "ngram-join-report")
+    roots = scratch.save(_rooted(docs, size, limit, hot_least, seen).select("doc_id", "n_shingles", "root"))
+    found = roots.where("root IS NOT NULL")
+    least = scratch.save(found.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")))
+    out = joined_to_groups(found, least, ["root"], "rows", roots.count()).unionByName(roots.where("root IS NULL"), allowMissingColumns=True)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -476,9 +486,10 @@ def keep_one_of_each(docs: DataFrame, size: int = WORDS, limit: int = LIMIT) ->
     """
     scratch = Scratch(docs.sparkSession, "ngram-join-kept")
     roots = scratch.save(_rooted(docs, size, limit, HOT_LEAST, SEEN).where("root IS NOT NULL").select("doc_id", "tkey", "root"))
-    first = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("first"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey"))
+    first = scratch.save(roots.groupBy("root").agg(least.alias("first"), F.count("*").alias("rows")))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tkey") == F.col("first.tkey"))
-    gone = roots.join(first, "root").where(~stays).select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key")).distinct()
+    gone = joined_to_groups(roots, first, ["root"], "rows", roots.count()).where(~stays).select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key")).distinct()
     text = F.xxhash64(docs["text"])
     repeated = roots.groupBy("doc_id", "tkey").count().where("count > 1")
     out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]) & (text == gone["__key"]), "left_anti")
