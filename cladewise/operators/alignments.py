@@ -4,20 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .running import numbered
+
 GAP = 4
 
 
 def kmer_tally(sequences: DataFrame, k: int) -> DataFrame:
-    """Counts of all k-mers."""
-    starts = F.sequence(F.lit(1), F.length("seq") - (k - 1))
-    s = sequences.where(F.length("seq") >= k).select(F.explode(F.transform(starts, lambda i: F.substring("seq", i, F.lit(k)))).alias("kmer"))
+    """Counts of all k-mers. A text's windows come from one pass over it (a look-ahead that takes no letter)."""
+    s = sequences.select(F.explode(windows(F.col("seq"), k)).alias("kmer"))
     return s.groupBy("kmer").agg(F.count("*").alias("n"))
 
 
+def windows(seq: Column, k: int) -> Column:
+    """All strings of k letters in a row, in order of their starts."""
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
+
+
+def letter_tally(sequences: DataFrame, letters: str) -> DataFrame:
+    """(letter, n) of each of the letters that occurs; one row per text and letter at most is aggregated."""
+    count = lambda c: (F.length("seq") - F.length(F.replace("seq", F.lit(c)))).cast("long")
+    sums = sequences.agg(*(F.sum(count(c)).alias(c) for c in letters))
+    found = F.explode(F.array(*(F.struct(F.lit(c).alias("letter"), F.col(f"`{c}`").alias("n")) for c in letters)))
+    return sums.select(found.alias("x")).select("x.letter", "x.n").where("n > 0")
+
+
 def profile(sites: DataFrame) -> DataFrame:
     """Counts and frequencies of letters by position."""
     n = sites.groupBy("pos", "letter").agg(F.count("*").alias("n"))
@@ -25,42 +39,36 @@ def profile(sites: DataFrame) -> DataFrame:
 
 
 def patterns(alignment: DataFrame) -> DataFrame:
-    """Distinct columns with their number."""
+    """Distinct columns with their number, over all blocks."""
     return alignment.groupBy("codes").agg(F.count("*").alias("n"))
 
 
 def strip_gaps(alignment: DataFrame, species: int) -> DataFrame:
-    """Columns where the species has no gap, numbered anew."""
+    """Columns of (aln, pos, codes) where the species has no gap, numbered anew within each alignment."""
     keep = alignment.where(F.element_at("codes", species + 1) != GAP)
-    return keep.select((F.row_number().over(Window.orderBy("pos")) - 1).alias("pos"), "codes")
+    return numbered(keep, "place", "pos", by=["aln"]).select("aln", (F.col("place") - 1).alias("pos"), "codes")
 
 
-def gap_runs(sites: DataFrame, least: int) -> DataFrame:
-    """Runs of at least ``least`` gaps or missing letters in a row: (doc_id, start, n)."""
-    island = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
-    missing = sites.where(F.col("letter").isin("-", "N")).withColumn("island", island)
-    return missing.groupBy("doc_id", "island").agg(F.min("pos").alias("start"), F.count("*").alias("n")).where(F.col("n") >= least).drop("island")
+def gap_runs(sequences: DataFrame, least: int) -> DataFrame:
+    """Texts with runs of at least ``least`` gaps or missing letters in a row: doc_id, n_runs, n_masked (letters in runs), first_start. No shuffle."""
+    found = F.regexp_extract_all("seq", F.lit(f"[-N]{{{least},}}"), F.lit(0))
+    first = F.regexp_instr("seq", F.lit(f"[-N]{{{least},}}")) - 1
+    rows = sequences.select("doc_id", found.alias("runs"), first.cast("long").alias("first_start")).where(F.size("runs") > 0)
+    letters = F.aggregate("runs", F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), letters.alias("n_masked"), "first_start")
 
 
-def mask_gaps(sites: DataFrame, least: int) -> DataFrame:
-    """Sites with letters of such runs set to N."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    gap = F.col("letter").isin("-", "N")
-    marked = sites.withColumn("gap", gap).withColumn("island", F.sum((~gap).cast("int")).over(w))
-    size = F.sum(gap.cast("int")).over(Window.partitionBy("doc_id", "island"))
-    return marked.select("doc_id", "pos", F.when(F.col("gap") & (size >= least), "N").otherwise(F.col("letter")).alias("letter"))
+def mask_gaps(seq: Column, least: int) -> Column:
+    """The sequence with all letters of such runs set to N."""
+    parts = F.regexp_extract_all(seq, F.lit("[-N]+|[^-N]+"), F.lit(0))
+    masked = F.transform(parts, lambda x: F.when(x.rlike("^[-N]") & (F.length(x) >= least), F.repeat(F.lit("N"), F.length(x))).otherwise(x))
+    return F.array_join(masked, "")
 
 
-def context_counts(sites: DataFrame, order: int) -> DataFrame:
+def context_counts(sequences: DataFrame, order: int) -> DataFrame:
     """Letters after each context of ``order`` letters; gaps and missing letters break contexts."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    before = [F.lag("letter", k).over(w).alias(f"l{k}") for k in range(order, 0, -1)]
-    rows = sites.select("letter", *before)
-    known = F.col("letter").isin(*"ACGT")
-    for k in range(1, order + 1):
-        known &= F.col(f"l{k}").isin(*"ACGT")
-    context = F.concat(*(f"l{k}" for k in range(order, 0, -1)))
-    return rows.where(known).groupBy(context.alias("context"), "letter").agg(F.count("*").alias("n"))
+    known = kmer_tally(sequences, order + 1).where(F.col("kmer").rlike("^[ACGT]+$"))
+    return known.select(F.substring("kmer", 1, order).alias("context"), F.substring("kmer", order + 1, 1).alias("letter"), "n")
 
 
 def reference_coordinates(sites: DataFrame) -> DataFrame:
@@ -74,17 +82,10 @@ def site_slice(alignment: DataFrame, start: int, stop: int) -> DataFrame:
     return alignment.where(F.col("pos").between(start, stop - 1))
 
 
-def append(first: DataFrame, second: DataFrame) -> DataFrame:
-    """The second alignment's columns behind the first one's."""
-    offset = first.agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("offset"))
-    moved = second.join(F.broadcast(offset)).select((F.col("pos") + F.col("offset")).cast("int").alias("pos"), "codes")
-    return first.select("pos", "codes").unionByName(moved)
-
-
 def shuffle_columns(alignment: DataFrame, seed: int) -> DataFrame:
-    """The same columns in an order that depends on the seed alone."""
-    order = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "pos"), "pos")) - 1
-    return alignment.select(order.alias("pos"), "codes")
+    """The same columns of (aln, pos, codes), in each alignment in an order that depends on the seed alone."""
+    drawn = alignment.withColumn("__draw", F.xxhash64(F.lit(seed), "aln", "pos"))
+    return numbered(drawn, "place", "__draw", ["pos"], by=["aln"]).select("aln", (F.col("place") - 1).alias("pos"), "codes")
 
 
 def align_to_taxa(sequences: DataFrame, taxa: DataFrame) -> DataFrame:
@@ -92,10 +93,10 @@ def align_to_taxa(sequences: DataFrame, taxa: DataFrame) -> DataFrame:
 
     ``sequences`` (rec, taxon, seq); ``taxa`` (taxon, leaf_id). Sequences of unequal length raise an error.
     """
-    first = sequences.withColumn("k", F.row_number().over(Window.partitionBy("taxon").orderBy("rec"))).where("k = 1")
+    first = sequences.groupBy("taxon").agg(F.min_by("seq", "rec").alias("seq"))
     known = first.join(F.broadcast(taxa), "taxon", "right")
-    span = F.struct(F.min(F.length("seq")).over(Window.partitionBy(F.lit(1))).alias("a"), F.max(F.length("seq")).over(Window.partitionBy(F.lit(1))).alias("b"))
-    checked = known.withColumn("span", span)
+    span = known.agg(F.struct(F.min(F.length("seq")).alias("a"), F.max(F.length("seq")).alias("b")).alias("span"))
+    checked = known.join(F.broadcast(span))
     bad = F.when(F.col("span.a") != F.col("span.b"), F.raise_error(F.lit("sequences have unequal lengths"))).otherwise(F.col("span.b"))
     return checked.select("leaf_id", F.coalesce("seq", F.expr("repeat('N', span.b)")).alias("seq"), bad.cast("int").alias("n"))
 
@@ -112,7 +113,7 @@ def on_taxa(records: DataFrame, taxa: Sequence[str]) -> DataFrame:
 
 
 def append(first: DataFrame, second: DataFrame) -> DataFrame:
-    """The columns (pos, codes) of one alignment and then those of another on the same taxa."""
-    behind = first.agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("behind"))
-    moved = second.select("pos", "codes").join(F.broadcast(behind)).select((F.col("pos") + F.col("behind")).alias("pos"), "codes")
-    return first.select("pos", "codes").unionByName(moved)
+    """The columns (aln, pos, codes) of each alignment and then those of another of the same name on the same taxa."""
+    behind = first.groupBy("aln").agg((F.max("pos") + 1).alias("behind"))
+    moved = second.select("aln", "pos", "codes").join(behind, "aln", "left").select("aln", (F.col("pos") + F.coalesce("behind", F.lit(0))).alias("pos"), "codes")
+    return first.select("aln", "pos", "codes").unionByName(moved)

@@ -6,18 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .running import numbered
+
 
 def thin(history: DataFrame, drop: int, every: int) -> DataFrame:
     """Samples from number ``drop`` on (from 0), every so-many-th counted back from the chain's last."""
     p = F.col("step") - 1
-    last = F.max("step").over(Window.partitionBy("chain")) - 1
-    return history.withColumn("last", last).where((p >= drop) & ((F.col("last") - p) % every == 0)).drop("last")
+    last = history.groupBy("chain").agg((F.max("step") - 1).alias("last")).withColumnRenamed("chain", "own")
+    # one row per chain, whose number is the sampler's parameter
+    found = history.join(F.broadcast(last), F.col("chain").eqNullSafe(F.col("own")))
+    return found.where((p >= drop) & ((F.col("last") - p) % every == 0)).drop("last", "own")
 
 
 def take_last(history: DataFrame, n: int) -> DataFrame:
     """The last n samples at temperature 1 or below of every chain."""
-    k = F.row_number().over(Window.partitionBy("chain").orderBy(F.desc("step")))
-    return history.where("temperature <= 1").withColumn("k", k).where(F.col("k") <= n).drop("k")
+    cold = history.where("temperature <= 1").withColumn("__back", -F.col("step"))
+    return numbered(cold, "k", "__back", by=["chain"]).where(F.col("k") <= n).drop("k", "__back")
 
 
 def map_sample(history: DataFrame) -> DataFrame:
@@ -27,9 +31,10 @@ def map_sample(history: DataFrame) -> DataFrame:
 
 
 def deltas(history: DataFrame) -> DataFrame:
-    """Change of the posterior from the step before."""
-    before = F.lag("posterior").over(Window.partitionBy("chain").orderBy("step"))
-    return history.withColumn("delta", F.col("posterior") - before)
+    """Change of the posterior from the step before. A chain's steps are numbered without gaps, so that its rows can lie anywhere."""
+    before = history.select(F.col("chain").alias("own"), (F.col("step") + 1).alias("next"), F.col("posterior").alias("before"))
+    found = history.join(before, F.col("chain").eqNullSafe(F.col("own")) & (F.col("step") == F.col("next")), "left")
+    return found.withColumn("delta", F.col("posterior") - F.col("before")).drop("own", "next", "before")
 
 
 def contingency(labels: DataFrame, a: str, b: str) -> DataFrame:

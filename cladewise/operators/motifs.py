@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .alignments import windows
+
 LETTERS = "GATC"
 
 
@@ -25,19 +27,28 @@ def pwm_from_counts(counts: Sequence[Sequence[float]], pseudo: float, background
 
 
 def pwm_scan(sequences: DataFrame, pwm: Sequence[Sequence[float]]) -> DataFrame:
-    """(doc_id, pos, score) of every window of plain letters; positions from 1."""
-    n = len(pwm)
-    starts = F.sequence(F.lit(1), F.length("seq") - (n - 1))
-    windows = sequences.where(F.length("seq") >= n).select("doc_id", F.posexplode(F.transform(starts, lambda i: F.substring("seq", i, F.lit(n)))).alias("k", "w"))
-    windows = windows.where(~F.col("w").rlike("[-N]"))
+    """(doc_id, pos, score) of every window of plain letters; positions from 1. No shuffle."""
+    found = sequences.select("doc_id", F.posexplode(windows(F.col("seq"), len(pwm))).alias("k", "w")).where(~F.col("w").rlike("[-N]"))
+    return found.select("doc_id", (F.col("k") + 1).alias("pos"), _score(F.col("w"), pwm).alias("score"))
+
+
+def _score(word: Column, pwm: Sequence[Sequence[float]]) -> Column:
     score = F.lit(0.0)
     for j, row in enumerate(pwm):
-        letter = F.substring("w", j + 1, 1)
+        letter = F.substring(word, j + 1, 1)
         term = F.lit(row[3])
         for x in (2, 1, 0):
             term = F.when(letter == LETTERS[x], row[x]).otherwise(term)
         score = score + term
-    return windows.select("doc_id", (F.col("k") + 1).alias("pos"), score.alias("score"))
+    return score
+
+
+def pwm_best(sequences: DataFrame, pwm: Sequence[Sequence[float]], most: int, digits: int = 6) -> DataFrame:
+    """(doc_id, pos, score) of each sequence's best windows, of equal rounded scores the earlier ones. A sequence is one row, so nothing is shuffled."""
+    found = F.filter(F.transform(windows(F.col("seq"), len(pwm)), lambda w, i: F.struct(w.alias("w"), (i + 1).cast("long").alias("pos"))), lambda x: ~x["w"].rlike("[-N]"))
+    scored = F.transform(found, lambda x: F.struct((-(F.round(_score(x["w"], pwm), digits) + F.lit(0.0))).alias("loss"), x["pos"].alias("pos")))
+    best = sequences.select("doc_id", F.explode(F.slice(F.array_sort(scored), 1, most)).alias("x"))
+    return best.select("doc_id", "x.pos", (-F.col("x.loss") + F.lit(0.0)).alias("score"))
 
 
 def pwm_sql(pwm: Sequence[Sequence[float]], word: str) -> str:

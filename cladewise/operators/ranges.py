@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the public binning scheme: first bin of each level from the finest, with its shift.
 LEVELS = ((585, 17), (73, 20), (9, 23), (1, 26), (0, 29))
+#: The bin of ranges that no other one holds; it is a candidate of every query.
+WHOLE = -1
 
 
 def smallest_bin(start: Column, stop: Column) -> Column:
-    """The smallest bin that holds [start, stop) whole."""
-    out = F.lit(None).cast("long")
+    """The smallest bin that holds [start, stop) whole; WHOLE for a range across a border of the largest bins."""
+    out = F.when(start.isNotNull() & stop.isNotNull(), F.lit(WHOLE).cast("long"))
     for offset, shift in reversed(LEVELS):
         a, b = F.shiftright(start, shift), F.shiftright(stop - 1, shift)
         out = F.when(a == b, a + offset).otherwise(out)
@@ -20,12 +22,12 @@ def smallest_bin(start: Column, stop: Column) -> Column:
 
 def bin_sql(start: str, stop: str) -> str:
     cases = " ".join(f"WHEN ({start} >> {s}) = (({stop} - 1) >> {s}) THEN ({start} >> {s}) + {o}" for o, s in LEVELS)
-    return f"CASE {cases} END"
+    return f"CASE {cases} WHEN {start} IS NOT NULL AND {stop} IS NOT NULL THEN {WHOLE} END"
 
 
 def candidate_bins(start: Column, stop: Column) -> Column:
     """All bins whose ranges may overlap [start, stop)."""
-    return F.concat(*(F.sequence(F.shiftright(start, s) + o, F.shiftright(stop - 1, s) + o) for o, s in LEVELS))
+    return F.concat(F.array(F.lit(WHOLE).cast("long")), *(F.sequence(F.shiftright(start, s) + o, F.shiftright(stop - 1, s) + o) for o, s in LEVELS))
 
 
 def bin_range_join(queries: DataFrame, targets: DataFrame, qs: str, qe: str, start: str, stop: str) -> DataFrame:

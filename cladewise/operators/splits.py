@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .running import numbered
+
 
 def consensus(splits: DataFrame, share: float = 0.5) -> DataFrame:
     """Splits of more than a share of the trees: (split, n, mean_d)."""
@@ -26,9 +28,13 @@ def topologies(splits: DataFrame) -> DataFrame:
 
 
 def topology_rank(splits: DataFrame) -> DataFrame:
-    """(topology, n, rank) by falling frequency, ties in order of the topology."""
+    """(topology, n, rank) by falling frequency; equal frequencies share a rank.
+
+    Ranks are numbers of the distinct frequencies, of which m trees have fewer than the root of 2 m.
+    """
     n = topologies(splits).groupBy("topology").agg(F.count("*").alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "topology")).cast("long"))
+    ranks = n.select("n").distinct().withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"))).cast("long"))
+    return n.join(F.broadcast(ranks), "n").select("topology", "n", "rank")
 
 
 def same_topology_mean(splits: DataFrame) -> DataFrame:
@@ -85,6 +91,6 @@ def distances_to(splits: DataFrame, centre: DataFrame) -> DataFrame:
 def credibility_radius(distances: DataFrame, level: float) -> DataFrame:
     """The order statistic at ceil(n * level), at most the last, of column ``distance``."""
     n = distances.agg(F.count("*").alias("n"))
-    ranked = distances.withColumn("k", F.row_number().over(Window.orderBy("distance")) - 1)
+    ranked = numbered(distances, "k", "distance").withColumn("k", F.col("k") - 1)
     at = F.least(F.ceil(F.col("n") * level), F.col("n") - 1)
     return ranked.join(F.broadcast(n)).where(F.col("k") == at).select(F.col("distance").alias("radius"), "n")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cladewise.operators import running
+
 #: Event types in order of name, which number the coordinates of a count vector.
 EVENT_TYPES = 5
 
@@ -35,8 +37,10 @@ SITES = SEQ + ", sites AS (SELECT doc_id, i - 1 AS pos, seq[i] AS letter FROM (S
 def counts(spark: SparkSession, folder: str, by: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """Count vectors c0..c4 of the event types in order of name."""
     e = table(spark, folder, "events").withColumn("day", F.to_date("ts"))
-    kinds = e.select("event_type").distinct().select("event_type", (F.row_number().over(Window.orderBy("event_type")) - 1).alias("k"))
-    e = e.join(F.broadcast(kinds.where(f"k < {EVENT_TYPES}")), "event_type")
+    # one row per event type; a type beyond the coordinates at hand is an error, not dropped
+    kinds = e.where("event_type IS NOT NULL").select("event_type").distinct().select("event_type", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("event_type")) - 1).alias("k"))
+    checked = F.when(F.col("k") < EVENT_TYPES, F.col("k")).otherwise(F.raise_error(F.lit(f"more than {EVENT_TYPES} event types")).cast("int"))
+    e = e.join(F.broadcast(kinds.select("event_type", checked.alias("k"))), "event_type")
     return e.groupBy(*by).agg(*[F.sum((F.col("k") == k).cast("long")).alias(f"c{k}") for k in range(EVENT_TYPES)])
 
 
@@ -64,8 +68,9 @@ SPLITS = "splits AS (SELECT l_orderkey AS tree, l_suppkey AS split, sum(l_quanti
 def history(spark: SparkSession, folder: str) -> DataFrame:
     """(chain, step, posterior, temperature): four chains of samples in order of time."""
     e = table(spark, folder, "events").withColumn("chain", F.col("user_id") % 4)
-    step = F.row_number().over(Window.partitionBy("chain").orderBy("ts", "event_id"))
-    return e.select("chain", step.cast("long").alias("step"), "event_id", F.col("value").alias("posterior")).withColumn("temperature", 1 + (F.col("step") <= 100).cast("int"))
+    e = e.select("chain", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", F.col("value").alias("posterior"))
+    e = running.numbered(e, "step", "at", ["event_id"], by=["chain"])
+    return e.select("chain", "step", "event_id", "posterior").withColumn("temperature", 1 + (F.col("step") <= 100).cast("int"))
 
 
 HISTORY = (
@@ -74,14 +79,6 @@ HISTORY = (
 )
 
 
-def alignment(spark: SparkSession, folder: str) -> DataFrame:
-    """(pos, codes): eight species over the dimensions of the first eight embeddings; codes 0 to 4, gap 4."""
-    e = table(spark, folder, "embeddings").where("vec_id < 8")
-    cells = e.select("vec_id", F.posexplode("embedding").alias("pos", "x"))
-    cells = cells.select("pos", F.struct("vec_id", F.pmod(F.floor(F.col("x").cast("double") * 10), F.lit(5)).cast("int").alias("code")).alias("s"))
-    return cells.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["code"]).alias("codes"))
-
-
 #: Species of an alignment block.
 SPECIES = 8
 
@@ -100,7 +97,9 @@ def alignment_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return cells.groupBy("aln", "pos").agg(F.array(*codes).alias("codes"))
 
 
+#: ``cells`` (aln, species, pos, code) and ``blocks`` (aln, pos, codes), as ``alignment_blocks``.
 CELLS = (
-    "cells AS (SELECT vec_id, i - 1 AS pos, CAST(((floor(CAST(embedding[i] AS DOUBLE) * 10) % 5) + 5) % 5 AS INT) AS code "
-    "FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id < 8))"
+    f"cells AS (SELECT vec_id // {SPECIES} AS aln, vec_id % {SPECIES} AS species, i - 1 AS pos, CAST(((floor(CAST(embedding[i] AS DOUBLE) * 10) % 5) + 5) % 5 AS INT) AS code "
+    "FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id IS NOT NULL)), "
+    f"blocks AS (SELECT aln, pos, [{', '.join(f'coalesce(max(CASE WHEN species = {k} THEN code END), -1)' for k in range(SPECIES))}] AS codes FROM cells GROUP BY aln, pos)"
 )

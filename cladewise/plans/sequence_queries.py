@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cladewise.functions import alphabet, mathx
-from cladewise.operators import alignments, motifs, ranges
+from cladewise.operators import alignments, motifs, ranges, running
 from cladewise.registry import query
 
 from . import bindings as b
@@ -17,7 +17,7 @@ r6 = lambda x: F.round(x, 6) + F.lit(0.0)
 
 @query(f"WITH {b.SITES} SELECT letter, count(*) AS n FROM sites GROUP BY letter")
 def letter_tally(spark: SparkSession, folder: str) -> DataFrame:
-    return b.sites(spark, folder).groupBy("letter").agg(F.count("*").alias("n"))
+    return alignments.letter_tally(b.sequences(spark, folder), "ACGTN-")
 
 
 @query(f"WITH {b.SEQ} SELECT kmer, count(*) AS n FROM (SELECT substr(seq, i, 3) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 1)) AS i FROM seqs)) GROUP BY kmer")
@@ -41,25 +41,31 @@ def column_profile(spark: SparkSession, folder: str) -> DataFrame:
     return alignments.profile(b.sites(spark, folder)).select("pos", "letter", "n", F.round("freq", 6).alias("freq"))
 
 
-@query(f"WITH {b.CELLS}, p AS (SELECT pos, string_agg(CAST(code AS VARCHAR), ',' ORDER BY vec_id) AS pattern FROM cells GROUP BY pos) SELECT pattern, count(*) AS n FROM p GROUP BY pattern")
+@query(f"WITH {b.CELLS} SELECT array_to_string(codes, ',') AS pattern, count(*) AS n FROM blocks GROUP BY codes")
 def alignment_pattern_counts(spark: SparkSession, folder: str) -> DataFrame:
-    p = alignments.patterns(b.alignment(spark, folder))
+    p = alignments.patterns(b.alignment_blocks(spark, folder))
     return p.select(F.array_join("codes", ",").alias("pattern"), "n")
 
 
-@query(f"""WITH {b.CELLS}, k AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS new_pos FROM cells WHERE vec_id = 0 AND code <> 4)
-SELECT new_pos AS pos, vec_id AS species, code FROM cells JOIN k USING (pos)""")
+@query(f"""WITH {b.CELLS}, k AS (SELECT aln, codes, row_number() OVER (PARTITION BY aln ORDER BY pos) - 1 AS pos FROM blocks WHERE codes[1] <> 4)
+SELECT aln, pos, i - 1 AS species, codes[i] AS code FROM (SELECT *, unnest(range(1, 9)) AS i FROM k)""")
 def strip_reference_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    a = alignments.strip_gaps(b.alignment(spark, folder), 0)
-    return a.select("pos", F.posexplode("codes").alias("species", "code"))
+    a = alignments.strip_gaps(b.alignment_blocks(spark, folder), 0)
+    return a.select("aln", "pos", F.posexplode("codes").alias("species", "code")).withColumn("species", F.col("species").cast("long"))
 
 
 @query(f"""WITH {b.SITES}, m AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM sites WHERE letter IN ('-', 'N')),
 i AS (SELECT doc_id, island, min(pos) AS start, count(*) AS n FROM m GROUP BY ALL HAVING count(*) >= 3)
 SELECT doc_id, count(*) AS n_runs, CAST(sum(n) AS BIGINT) AS n_masked, min(start) AS first_start FROM i GROUP BY doc_id""")
 def mask_gap_runs(spark: SparkSession, folder: str) -> DataFrame:
-    i = alignments.gap_runs(b.sites(spark, folder), 3)
-    return i.groupBy("doc_id").agg(F.count("*").alias("n_runs"), F.sum("n").alias("n_masked"), F.min("start").cast("long").alias("first_start"))
+    return alignments.gap_runs(b.sequences(spark, folder), 3)
+
+
+@query(f"""WITH {b.SEQ} SELECT doc_id, array_to_string(list_transform(regexp_extract_all(seq, '[-N]+|[^-N]+'),
+lambda x: CASE WHEN regexp_matches(x, '^[-N]') AND length(x) >= 3 THEN repeat('N', length(x)) ELSE x END), '') AS masked FROM seqs""")
+def masked_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences with runs of three gaps or missing letters and more as N."""
+    return b.sequences(spark, folder).select("doc_id", alignments.mask_gaps(F.col("seq"), 3).alias("masked"))
 
 
 _ALPHA = [0.2] * 5
@@ -120,9 +126,14 @@ PWM = motifs.pwm_from_counts([[8, 1, 1, 2], [1, 9, 1, 1], [2, 1, 8, 1], [1, 1, 1
 v AS (SELECT doc_id, pos, round({motifs.pwm_sql(PWM, "w")}, 6) + 0.0 AS score FROM s WHERE NOT regexp_matches(w, '[-N]'))
 SELECT doc_id, pos, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS k FROM v) WHERE k <= 3""")
 def pwm_scan_topk(spark: SparkSession, folder: str) -> DataFrame:
-    hits = motifs.pwm_scan(b.sequences(spark, folder), PWM).withColumn("score", r6("score"))
-    k = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos"))
-    return hits.withColumn("k", k).where("k <= 3").select("doc_id", F.col("pos").cast("long").alias("pos"), "score")
+    return motifs.pwm_best(b.sequences(spark, folder), PWM, 3)
+
+
+@query(f"""WITH {b.SEQ}, s AS (SELECT doc_id, i AS pos, substr(seq, i, 4) AS w FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - 2)) AS i FROM seqs)),
+v AS (SELECT doc_id, pos, round({motifs.pwm_sql(PWM, "w")}, 6) + 0.0 AS score FROM s WHERE NOT regexp_matches(w, '[-N]')) SELECT doc_id, pos, score FROM v WHERE score >= 5.0""")
+def pwm_scan_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Every window whose score reaches a threshold."""
+    return motifs.pwm_scan(b.sequences(spark, folder), PWM).select("doc_id", F.col("pos").cast("long").alias("pos"), r6("score").alias("score")).where("score >= 5.0")
 
 
 @query(f"""WITH {b.counts_sql('user_id, day')}, m AS (SELECT user_id, day, {_LG} AS s FROM counts)
@@ -138,7 +149,7 @@ def motif_scan_window(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {b.SITES}, l AS (SELECT letter, lag(letter, 1) OVER w AS a, lag(letter, 2) OVER w AS b2 FROM sites WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
 SELECT b2 || a AS context, letter, count(*) AS n FROM l WHERE a IN ('A','C','G','T') AND b2 IN ('A','C','G','T') AND letter IN ('A','C','G','T') GROUP BY ALL""")
 def markov_context_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return alignments.context_counts(b.sites(spark, folder), 2)
+    return alignments.context_counts(b.sequences(spark, folder), 2)
 
 
 _REGIONS = "regions AS (SELECT doc_id, CAST(sum(n_chars) OVER (ORDER BY doc_id) - n_chars AS BIGINT) AS start, CAST(sum(n_chars) OVER (ORDER BY doc_id) AS BIGINT) AS stop FROM documents)"
@@ -147,8 +158,8 @@ _REGIONS = "regions AS (SELECT doc_id, CAST(sum(n_chars) OVER (ORDER BY doc_id)
 def _regions(spark: SparkSession, folder: str) -> DataFrame:
     """Half-open intervals: the documents end to end."""
     d = b.table(spark, folder, "documents").select("doc_id", "n_chars")
-    stop = F.sum("n_chars").over(Window.orderBy("doc_id"))
-    return d.select("doc_id", (stop - F.col("n_chars")).alias("start"), stop.alias("stop"))
+    d = running.running_sum(d, F.col("n_chars"), "doc_id")
+    return d.select("doc_id", (F.col("running") - F.col("n_chars")).alias("start"), F.col("running").alias("stop"))
 
 
 @query(f"WITH {_REGIONS} SELECT doc_id, {ranges.bin_sql('start', 'stop')} AS bin FROM regions WHERE stop > start")
@@ -186,10 +197,10 @@ def sequence_helpers(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("doc_id", F.lower(ungapped).alias("ungapped"), F.regexp_replace("seq", "[^GATC]", "N").alias("masked"), F.substring(ungapped, 6, 10).alias("part"), letters.alias("n_letters"))
 
 
-@query(f"WITH {b.CELLS} SELECT pos, code FROM cells WHERE vec_id = 3 AND pos BETWEEN 10 AND 19")
+@query(f"WITH {b.CELLS} SELECT aln, pos, codes[4] AS code FROM blocks WHERE pos BETWEEN 10 AND 19")
 def species_slice(spark: SparkSession, folder: str) -> DataFrame:
-    """One species over a range of positions."""
-    return b.alignment(spark, folder).where("pos BETWEEN 10 AND 19").select(F.col("pos").cast("long").alias("pos"), F.col("codes")[3].alias("code"))
+    """One species of every alignment over a range of positions."""
+    return alignments.site_slice(b.alignment_blocks(spark, folder), 10, 20).select("aln", F.col("pos").cast("long").alias("pos"), F.col("codes")[3].alias("code"))
 
 
 @query(f"""WITH {b.SEQ}, k AS (SELECT substr(seq, i, 3) AS w FROM (SELECT seq, unnest(range(1, length(seq) - 1)) AS i FROM seqs))
@@ -220,9 +231,9 @@ def alignment_fill(spark: SparkSession, folder: str) -> DataFrame:
     return alignments.on_taxa(records, TAXA).withColumnRenamed("aln", "lang")
 
 
-@query(f"""WITH {b.CELLS}, a AS (SELECT pos, string_agg(CAST(code AS VARCHAR), '' ORDER BY vec_id) AS codes FROM cells GROUP BY pos)
-SELECT pos, codes FROM a UNION ALL SELECT pos + (SELECT max(pos) + 1 FROM a), codes FROM a WHERE pos < 20""")
+@query(f"""WITH {b.CELLS}, a AS (SELECT aln, pos, array_to_string(codes, '') AS codes FROM blocks), n AS (SELECT aln, max(pos) + 1 AS behind FROM a GROUP BY aln)
+SELECT aln, pos, codes FROM a UNION ALL SELECT aln, pos + behind, codes FROM a JOIN n USING (aln) WHERE pos < 20""")
 def append_alignments(spark: SparkSession, folder: str) -> DataFrame:
-    """An alignment and behind it its own first columns."""
-    a = b.alignment(spark, folder)
-    return alignments.append(a, a.where("pos < 20")).select(F.col("pos").cast("long").alias("pos"), F.array_join("codes", "").alias("codes"))
+    """Every alignment and behind it its own first columns."""
+    a = b.alignment_blocks(spark, folder)
+    return alignments.append(a, alignments.site_slice(a, 0, 20)).select("aln", F.col("pos").cast("long").alias("pos"), F.array_join("codes", "").alias("codes"))

@@ -40,8 +40,7 @@ _TOPOLOGY = "t AS (SELECT tree, string_agg(CAST(split AS VARCHAR), ',' ORDER BY
 
 @query(f"WITH {b.SPLITS}, {_TOPOLOGY} SELECT topology, count(*) AS n, dense_rank() OVER (ORDER BY count(*) DESC) AS rank FROM t GROUP BY topology")
 def topology_rank(spark: SparkSession, folder: str) -> DataFrame:
-    n = sp.topologies(b.splits(spark, folder)).groupBy("topology").agg(F.count("*").alias("n"))
-    return n.select(F.array_join("topology", ",").alias("topology"), "n", F.dense_rank().over(Window.orderBy(F.desc("n"))).cast("long").alias("rank"))
+    return sp.topology_rank(b.splits(spark, folder)).select(F.array_join("topology", ",").alias("topology"), "n", "rank")
 
 
 @query(f"WITH {b.SPLITS}, {_TOPOLOGY} SELECT topology, split, count(*) AS n, round(avg(d), 6) AS mean_d FROM splits JOIN t USING (tree) GROUP BY ALL")
