@@ -212,7 +212,7 @@ def test_mixing(docs, empty):
             present[k[d]] += v
         share = {k: (v / total) ** mixing.TEMPER for k, v in present.items() if v}
         targets.append({k: v / sum(share.values()) * total for k, v in share.items()})
-    for _ in range(mixing.SWEEPS):
+    for _ in range(2000):
         for d in range(3):
             now = collections.defaultdict(float)
             for k, v in w.items():
@@ -222,12 +222,27 @@ def test_mixing(docs, empty):
     for r in rows:
         k = r["source"], r["lang"], r["topic"]
         want = w[k] / cells[k] / most if cells[k] else 1.0
-        assert math.isclose(r["probability"], want, rel_tol=1e-9)
+        assert math.isclose(r["probability"], want, rel_tol=1e-6, abs_tol=1e-12) and r["gap"] <= mixing.TOLERANCE
     kept = {r["doc_id"] for r in rows if r["selected"]}
     assert {r["doc_id"] for r in mixing.mix_documents(docs).collect()} == kept
     assert mixing.mix_report(empty).count() == 0
 
 
+def test_mixing_by_shuffles_gives_the_same(docs, monkeypatch):
+    rows = {r["doc_id"]: round(r["probability"], 9) for r in mixing.mix_report(docs).collect()}
+    monkeypatch.setattr(mixing, "SMALL_CELLS", 0)
+    assert {r["doc_id"]: round(r["probability"], 9) for r in mixing.mix_report(docs).collect()} == rows
+
+
+def test_topics_part_vocabularies(spark):
+    """Two vocabularies with some words in common: no topic holds documents of both."""
+    rng = random.Random(4)
+    words = [[f"alpha{k}word" for k in range(12)], [f"omega{k}term" for k in range(12)]]
+    rows = [(k, " ".join(rng.choice(words[k % 2]) if rng.random() < 0.9 else "common" for _ in range(400)), "en", "web") for k in range(40)]
+    found = {r["doc_id"]: r["topic"] for r in mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not {found[k] for k in range(0, 40, 2)} & {found[k] for k in range(1, 40, 2)}
+
+
 def test_language_model(docs, empty):
     got = by_id(language_model.score_documents(docs, rounds=2))
     words = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")) + [None] for r in docs.select("doc_id", "text").collect()}
