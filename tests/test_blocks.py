@@ -1,5 +1,8 @@
 """Queries of alignment blocks take every embedding."""
 
+import math
+
+import numpy as np
 import pytest
 
 from cladewise import registry
@@ -19,7 +22,7 @@ def test_missing_species_of_a_block_are_unknown(spark, folder):
     rows = {(r["aln"], r["pos"]): r["codes"] for r in bindings.alignment_blocks(spark, folder).collect()}
     assert set(rows) == {(a, p) for a in (0, 2) for p in range(3)}
     for p in range(3):
-        assert rows[0, p] == [int(float(f"{(k * 7 + p * 3) % 11 / 10.0:.1f}") * 10 + 1e-6) % 5 for k in range(8)]
+        assert rows[0, p] == [math.floor(float(np.float32((k * 7 + p * 3) % 11 / 10.0)) * 10) % 5 for k in range(8)]
         assert -1 not in rows[2, p][:3] and rows[2, p][3:] == [-1] * 5
 
 
