@@ -13,8 +13,9 @@ decided by intersecting the sorted arrays of both documents.
 3.  For the rest a tile is one of those first shingles and a band of sizes; only neighbouring bands can
     link. A first round compares each document with a leader in two of its tiles; documents that are
     joined by then need no comparison any more.
-4.  Tiles that still hold more than one component are cut into units of bounded bytes, which stream
-    through the tasks. Within a unit, popcounts of bitmaps bound the overlap from above. Of the partners
+4.  Tiles that still hold more than one component give their pairs if they hold few documents
+    (``PAIR_DOCS``); each pair of fitting sizes is taken once, however many tiles it shares. Larger ones are cut into units of
+    bounded bytes, which stream through the tasks. In both, popcounts come before the arrays: within a unit, popcounts of bitmaps bound the overlap from above. Of the partners
     that the bound leaves open a set names the best few, which are intersected; in the next round it goes
     on where it stopped, naming twice as many, until none has more to name. Large groups of near
     copies are joined in a few rounds and never give all their pairs.
@@ -38,6 +39,8 @@ from .vectors import binary, gather, joined, mix, runs, set_digest, shingles_of,
 WORDS, LIMIT = 5, 75
 #: Documents of a tile, and bytes of their bitmaps, that are compared with each other at a time.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 8_000_000
+#: Documents up to which a tile's pairs are listed, without their bitmaps.
+PAIR_DOCS = 64
 #: Bits of a signature for each element that a set of the band's largest size has.
 BITS_PER_ELEMENT, LEAST_BITS = 8, 512
 #: Tiles of a set in the early rounds, the most of those rounds, and partners that a set names in the first round over all tiles.
@@ -262,6 +265,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
     return full.mapInArrow(verified, "a long, b long, link boolean")
 
 
+def upper_bound(p: np.ndarray, q: np.ndarray, seen_p, seen_q):
+    """The most elements that two sets can have in common, from their bitmaps of one width (rows of ``q``) and numbers of shared elements.
+
+    Every bit that one bitmap has alone is an element that the other set lacks.
+    """
+    alone = lambda x, y: np.bitwise_count(x & ~y).sum(-1).astype(np.int64)
+    return np.minimum(seen_p - alone(p, q), seen_q - alone(q, p))
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
+    """Pairs (a, b) whose bitmaps leave a link possible."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n, m, i, j in zip(batch.column(2), batch.column(3), *(batch.column(c).to_pylist() for c in range(4, 8))):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                words = min(len(p), len(q))
+                bound = int(upper_bound(fold(p, words), fold(q, words), i, j))
+                keep.append(100 * bound >= limit * (n + m - bound))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda k: sets.select(F.col("skey").alias(k), F.col("n").alias(f"n{k}"), (F.octet_length("shared") / 8).cast("long").alias(f"s{k}"), F.col("bits").alias(f"w{k}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb", "na", "nb", "sa", "sb")
+    return full.mapInArrow(bounded, "a long, b long")
+
+
+def _listed(units: DataFrame, sets: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """Pairs (a, b) of different components in one of the small units whose sizes and numbers of shared elements leave a link possible."""
+    light = sets.select("skey", "n", (F.octet_length("shared") / 8).cast("long").alias("s"))
+    rows = units.join(labels, "skey", "left").withColumn("component", F.coalesce("component", "skey")).join(light, "skey")
+    one, two = (rows.select("unit", F.col("skey").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("component", "n", "s"))) for k in "ab")
+    sizes = 100 * F.least("na", "nb") >= limit * F.greatest("na", "nb")
+    shared = (100 + limit) * F.least("sa", "sb") >= limit * (F.col("na") + F.col("nb"))
+    return one.join(two, "unit").where((F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & sizes & shared).select("a", "b").distinct()
+
+
 def _leaders(sets: DataFrame) -> DataFrame:
     """Pairs of each set with the leader of its rarest and of its most frequent tile."""
     ends = F.array_distinct(F.array(F.element_at("prefix", 1), F.element_at("prefix", -1)))
@@ -336,7 +376,6 @@ def _partners(unit: pa.Table, limit: int, most: int) -> Iterator[tuple]:
     bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in unit["bits"]]
     across = bool((side != side[0]).any())
     upto = np.searchsorted(sizes, sizes * 100 // limit, "right")  # partners no larger than n / limit
-    alone = lambda p, q: np.bitwise_count(p & ~q).sum(1).astype(np.int64)
     widths: dict[int, np.ndarray] = {}
     for k in range(len(sizes) - 1):
         if after[k] < 0:
@@ -351,8 +390,7 @@ def _partners(unit: pa.Table, limit: int, most: int) -> Iterator[tuple]:
         if words not in widths:
             widths[words] = np.stack([fold(b, words) if len(b) >= words else np.zeros(words, np.uint64) for b in bits])
         mine, theirs = widths[words][k], widths[words][rest]
-        # every bit that one bitmap has alone is an element that the other set lacks
-        bound = np.minimum(seen[k] - alone(mine, theirs), seen[rest] - alone(theirs, mine))
+        bound = upper_bound(mine, theirs, seen[k], seen[rest])
         both = int(sizes[k]) + sizes[rest]
         fits = (100 * bound >= limit * (both - bound)) & ((bound < after[k]) | (bound == after[k]) & (skey[rest] > key_after[k]))
         rest, bound = rest[fits], bound[fits]
@@ -455,6 +493,12 @@ def _rooted(docs: DataFrame, size: int, limit: int, hot_least: int, seen: int) -
     few = _units(_tiles(sets, F.array_distinct(spread), limit), labels, scratch)
     labels, checked = _joined_by_rounds(sets, few, labels, checked, limit, 1, EARLY_ROUNDS, scratch)
     units = _units(_tiles(sets, F.col("prefix"), limit), labels, scratch)
+    small = units.groupBy("unit").agg(F.count("*").alias("c"), F.max("side").alias("side")).where((F.col("c") <= PAIR_DOCS) & (F.col("side") == 0)).select("unit")
+    pairs = _listed(units.join(small, "unit"), sets, labels, limit).join(checked, ["a", "b"], "left_anti")
+    found = scratch.save(_verified(_bounded(pairs, sets, limit), sets, limit).where("link"))
+    if not found.limit(1).isEmpty():
+        labels = _merged(labels, found, scratch)
+    units = scratch.save(units.join(small, "unit", "left_anti"))
     labels, _ = _joined_by_rounds(sets, units, labels, checked, limit, NAMED, None, scratch)
     return rows.join(labels, "skey", "left").select("doc_id", "tkey", "n_shingles", F.coalesce("component", "skey").alias("root"))
 

@@ -97,6 +97,7 @@ def test_ngram_join_of_large_tiles_and_hot_shingles(spark, docs, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 2)
     monkeypatch.setattr(ngram_join, "NAMED", 1)
     monkeypatch.setattr(ngram_join, "EARLY_ROUNDS", 1)
+    monkeypatch.setattr(ngram_join, "PAIR_DOCS", 0)
     rng = random.Random(8)
     shared = [f"s{k}" for k in range(30)]
     rows = []
