@@ -145,23 +145,21 @@ def sample_sites(sequences: DataFrame, state: State, model: Model, seed: int) ->
 
 
 def site_letters(sequences: DataFrame, state: State, model: Model, seed: int) -> DataFrame:
-    """(cluster, offset, letter, n): letters of the drawn sites by motif and offset, flanks included; cluster -1: all letters of the sequences, -2: sites by motif as offset."""
+    """(cluster, offset, letter, n): letters of the drawn sites by motif and offset, flanks included; cluster -1: sites by motif as offset."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies: dict[tuple[int, int, int], int] = {}
 
-        def add(k: int, offset: int, letter: int, n: int = 1) -> None:
-            tallies[k, offset, letter] = tallies.get((k, offset, letter), 0) + n
+        def add(k: int, offset: int, letter: int) -> None:
+            tallies[k, offset, letter] = tallies.get((k, offset, letter), 0) + 1
 
         for batch in batches:
             for key, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rng = np.random.Generator(np.random.PCG64([seed, state.step, key & 0xFFFFFFFFFFFFFFFF]))
                 codes = _CODE[np.frombuffer(seq.encode(), np.uint8)]
-                for c, n in enumerate(np.bincount(codes, minlength=6)[:5].tolist()):
-                    add(-1, 0, c, n)
                 for start, k, reverse in draw_sites(seq, state, model, rng):
                     m = state.motifs[k]
-                    add(-2, k, 0)
+                    add(-1, k, 0)
                     for j in range(-m.flank, m.length + m.flank):
                         at = start + (m.length - 1 - j if reverse else j)
                         if 0 <= at < len(codes) and codes[at] < 5:
@@ -228,8 +226,8 @@ def _next(motifs: list[Motif], ground: np.ndarray, model: Model, rng: np.random.
     for m in [*motifs, *new]:
         counts = m.core() if m.counts is not None else np.zeros((m.length, 5))
         m.theta = np.maximum(np.array([rng.dirichlet(alpha + c) for c in counts]), 1e-12)
-    share = np.maximum(rng.dirichlet(np.array(model.background) + ground), 1e-12)
-    return State([*motifs, *new], np.maximum(weights, 1e-300), share, step, temperature)
+    share = np.array(model.background) + ground
+    return State([*motifs, *new], np.maximum(weights, 1e-300), share / share.sum(), step, temperature)
 
 
 def process_joint(sizes: list[int], alpha: float) -> float:
@@ -239,32 +237,30 @@ def process_joint(sizes: list[int], alpha: float) -> float:
 def sample(sequences: DataFrame, model: Model, steps: int, burnin: int = 0, t0: float = 5.0, seed: int = 0) -> tuple[DataFrame, State]:
     """Trace of the sweeps, and the state behind the last, with whose motifs ``sample_sites`` places sites.
 
-    The first ``burnin`` sweeps cool from temperature ``t0`` to 1. The likelihood is that of the counts, motifs and background each under
-    their prior; the posterior adds the prior of sites and of the process. Sequences without letters add nothing; without any the prior is sampled.
+    The first ``burnin`` sweeps cool from temperature ``t0`` to 1. The background has the shares of all letters. The likelihood is that of the
+    motifs' counts under their prior and of all other letters; the posterior adds the prior of sites and of the process. Sequences without letters add nothing; without any the prior is sampled.
     """
     rng = np.random.default_rng(seed)
     temperature = lambda i: t0 ** (1 - i / burnin) if i < burnin else 1.0
-    state, rows = _next([], np.zeros(5), model, rng, 0, temperature(0)), []
-    alpha, ground = np.array(model.motif), np.array(model.background)
+    lengths = (F.coalesce(F.sum(F.length("seq") - F.length(F.replace("seq", F.lit(c)))), F.lit(0)) for c in LETTERS)
+    everything = np.array(sequences.agg(*lengths).first(), float)
+    state, rows = _next([], everything, model, rng, 0, temperature(0)), []
+    alpha = np.array(model.motif)
     for step in range(steps + burnin):
         found = [Motif(m.length, 0, np.zeros((m.length + 2 * m.flank, 5))) for m in state.motifs]
-        everything = np.zeros(5)
         for r in site_letters(sequences, state, model, seed).collect():  # motifs x offsets x letters
             if r["cluster"] == -1:
-                everything[r["letter"]] = r["n"]
-            elif r["cluster"] == -2:
                 found[r["offset"]].size = r["n"]
             else:
                 found[r["cluster"]].counts[r["offset"] + found[r["cluster"]].flank, r["letter"]] = r["n"]
         motifs = [m for m in found if m.size]
         rest = everything - sum((m.core().sum(0) for m in motifs), np.zeros(5))
-        likelihood = sum(log_marginal(m.core(), alpha) for m in motifs) + float((rest * np.log(ground / ground.sum())).sum())
+        likelihood = sum(log_marginal(m.core(), alpha) for m in motifs) + float((rest * np.log(state.background)).sum())
         sizes = [m.size for m in motifs]
         posterior = likelihood + float(rest.sum()) * math.log1p(-model.rate) + sum(sizes) * math.log(model.rate) + process_joint(sizes, model.alpha)
         rows.append((step, state.temperature, len(motifs), int(sum(sizes)), likelihood, posterior))
         motifs = _moves(motifs, state, model, rng)
-        rest = everything - sum((m.core().sum(0) for m in motifs), np.zeros(5))
-        state = _next(motifs, np.maximum(rest, 0), model, rng, step + 1, temperature(step + 1))
+        state = _next(motifs, everything, model, rng, step + 1, temperature(step + 1))
     return sequences.sparkSession.createDataFrame(rows, TRACE), state
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cladewise.functions import mathx
-from cladewise.operators import motifs, partitions
+from cladewise.operators import binding_sites, motifs, partitions
 from cladewise.registry import query
 
 from . import bindings as b
@@ -64,6 +64,48 @@ def motif_count_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("*", *(F.round(x, 6).alias(f"p{k}") for k, x in enumerate(p)))
 
 
+_STATE = f"""{b.SITES}, {_ELEMENTS}, met AS (SELECT cluster, CASE WHEN reverse THEN 9 - (s.pos - e.pos) ELSE s.pos - e.pos END AS "offset",
+CASE WHEN reverse THEN translate(letter, 'GATC', 'CTAG') ELSE letter END AS letter FROM elements e JOIN sites s ON s.doc_id = e.seq AND s.pos BETWEEN e.pos AND e.pos + 9),
+m AS (SELECT cluster, "offset", {_COUNTED} FROM met GROUP BY ALL)"""
+_COLUMN_LOGML = " + ".join(f"lgamma(c{k} + 1.0)" for k in range(5)) + f" - lgamma(c0 + c1 + c2 + c3 + c4 + 5.0) + {math.lgamma(5.0)!r}"
+#: Pseudocounts of single background letters, share of starts of sites, and concentration of the process.
+GROUND, RATE, CONCENTRATION = [1.0, 1.0, 1.0, 1.0, 5.0], 0.01, 0.5
+
+
+def _state(spark: SparkSession, folder: str) -> DataFrame:
+    sites = b.sites(spark, folder).select(F.col("doc_id").alias("seq"), "pos", *((F.col("letter") == c).cast("long").alias(f"c{k}") for k, c in enumerate("GATC-")))
+    return motifs.motif_counts(_elements(spark, folder), sites, 10)
+
+
+@query(f"""WITH {_STATE} SELECT cluster, round(sum({_COLUMN_LOGML}), 5) + 0.0 AS logml FROM m GROUP BY cluster""")
+def cluster_log_marginals(spark: SparkSession, folder: str) -> DataFrame:
+    """Log marginal of each motif's letters, every offset under a uniform Dirichlet prior."""
+    found = binding_sites.cluster_log_marginals(_state(spark, folder), [1.0] * 5)
+    return found.withColumn("logml", F.round("logml", 5) + F.lit(0.0))
+
+
+@query(f"""WITH {_STATE}, f AS (SELECT sum({_COLUMN_LOGML}) AS motifs, {", ".join(f"sum(c{k}) AS s{k}" for k in range(5))} FROM m),
+n AS (SELECT {", ".join(f"count(*) FILTER (letter = '{c}') AS n{k}" for k, c in enumerate("GATC-"))} FROM sites),
+z AS (SELECT CAST(sum(n) AS BIGINT) AS sites, count(*) AS clusters, sum(lgamma(CAST(n AS DOUBLE))) AS members FROM (SELECT cluster, count(*) AS n FROM elements GROUP BY cluster)),
+l AS (SELECT *, motifs {" ".join(f"+ (n{k} - s{k}) * ({math.log(a / sum(GROUND))!r})" for k, a in enumerate(GROUND))} AS likelihood FROM f, n, z)
+SELECT sites, clusters, round(likelihood, 3) AS likelihood, round(likelihood + ({" + ".join(f"n{k} - s{k}" for k in range(5))}) * ({math.log1p(-RATE)!r}) + sites * ({math.log(RATE)!r})
++ clusters * ({math.log(CONCENTRATION)!r}) + {math.lgamma(CONCENTRATION)!r} - lgamma(sites + {CONCENTRATION}) + members, 3) AS posterior FROM l""")
+def sampler_state_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    """Likelihood and posterior of a state that is given: sites of three motifs, every other letter background."""
+    counts, s = _state(spark, folder), b.sequences(spark, folder)
+    letters = s.agg(*(F.sum((F.length("seq") - F.length(F.replace("seq", F.lit(c)))).cast("long")).alias(f"n{k}") for k, c in enumerate("GATC-")))
+    sizes = _elements(spark, folder).groupBy("cluster").agg(F.count("*").alias("n"))
+    x = binding_sites.state_log_likelihood(counts, sizes, letters, [1.0] * 5, GROUND, RATE, CONCENTRATION)
+    return x.withColumns({c: F.round(c, 3) for c in ("likelihood", "posterior")})
+
+
+@query()
+def tfbs_trace(spark: SparkSession, folder: str) -> DataFrame:
+    """Sweeps of the sampler of motifs and sites over every document's letters, after a burn-in that cools."""
+    trace, _ = binding_sites.sample(b.sequences(spark, folder), binding_sites.Model(lengths=(6, 8)), steps=2, burnin=2, seed=3)
+    return trace
+
+
 @query(f"WITH {b.SEQ}, {_ELEMENTS} SELECT cluster, seq, pos, reverse, seq % 15 AS start, pos - seq % 15 AS into_region FROM elements WHERE pos BETWEEN seq % 15 AND seq % 15 + 11")
 def locate_elements(spark: SparkSession, folder: str) -> DataFrame:
     """Elements inside the regions [start, start + 12) of their sequence."""
@@ -259,9 +301,14 @@ def cone_path_point(spark: SparkSession, folder: str) -> DataFrame:
 FROM p JOIN n USING (pair) WHERE (x IS NULL) <> (y IS NULL)""")
 def cover_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Weights of the edges of one tree alone in the graph of incompatible edges; they sum to 1 on each side."""
-    p = _cone(spark, folder).where("isnull(x) <> isnull(y)")
+    p = _cone(spark, folder)
+    # p is hashed by pair and split; one more exchange by pair serves the sums and the rows
+    x, y, own = F.col("x"), F.col("y"), Window.partitionBy("pair")
+    norm = lambda c, other: F.sqrt(F.sum(F.when(other.isNull(), c * c).otherwise(0.0)).over(own))
+    p = p.select("pair", "split", "x", "y", norm(x, y).alias("a"), norm(y, x).alias("b"), F.count(x).over(own).alias("nx"), F.count(y).over(own).alias("ny"))
+    p = p.where("nx > 0 AND ny > 0 AND isnull(x) <> isnull(y)")
     w = F.when(F.col("y").isNull(), F.col("x") * F.col("x") / (F.col("a") * F.col("a"))).otherwise(F.col("y") * F.col("y") / (F.col("b") * F.col("b")))
-    return p.join(_norms(_cone(spark, folder)), "pair").select("pair", "split", F.when(F.col("y").isNull(), 0).otherwise(1).alias("side"), F.round(w, 6).alias("weight"))
+    return p.select("pair", "split", F.when(F.col("y").isNull(), 0).otherwise(1).alias("side"), F.round(w, 6).alias("weight"))
 
 
 @query("SELECT k, round(1 / (2 * (1 + k / 4.0)), 6) AS step, round(1 / (1 + k / 4.0) / (1 + 1 / (1 + k / 4.0)), 6) AS mean_share FROM (SELECT unnest(range(100)) AS k)")
