@@ -316,26 +316,29 @@ def _load(docs, weight) -> Column:
     return F.greatest(F.ceil(docs / BLOCK_DOCS), F.ceil(weight / BLOCK_BYTES)).cast("int")
 
 
-def _tiles(sets: DataFrame, taken: Column, limit: int) -> DataFrame:
-    """(tile, band, skey, w): a set that is at most 100 / limit times as large as another lies in its band or the next one."""
-    step = math.log(max(1.01, 100 / limit)) * 1.0001
-    return sets.select("skey", F.octet_length("bits").alias("w"), F.floor(F.log("n") / step).alias("band"), F.explode(taken).alias("tile"))
+def _tiles(sets: DataFrame, labels: DataFrame, taken: Column) -> DataFrame:
+    """(tile, skey, component, w): ``component`` is null for a set that is joined with no other one."""
+    known = sets.select("skey", F.octet_length("bits").alias("w"), taken.alias("tiles")).join(labels, "skey", "left")
+    return known.select("skey", "component", "w", F.explode("tiles").alias("tile"))
 
 
-def _units(tiles: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+def _units(tiles: DataFrame, sets: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
     """(unit, side, skey): the parts of the tiles that hold more than one component, of bounded size.
 
     A small tile is one unit. A large one is cut by band into blocks, those of a large component apart from
     those of all others; a unit is a block, or two blocks of one band or of neighbouring ones, and none lies within one component.
+    A set that is at most 100 / limit times as large as another lies in its band or the next one.
     """
-    rows = tiles.join(labels, "skey", "left").withColumn("component", F.coalesce("component", "skey"))
-    mixed = rows.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c"), F.sum("w").alias("w"))
+    component = F.coalesce("component", "skey")
+    mixed = tiles.groupBy("tile").agg(F.min(component).alias("x"), F.max(component).alias("y"), F.count("*").alias("c"), F.sum("w").alias("w"))
     mixed = mixed.where("x <> y").select("tile", (_load(F.col("c"), F.col("w")) > 1).alias("large"))
-    rows = scratch.save(rows.join(mixed, "tile"))
+    rows = scratch.save(tiles.join(mixed, "tile"))
     whole = rows.where("NOT large").select(F.xxhash64("tile").alias("unit"), F.lit(0).alias("side"), "skey")
-    rows = rows.where("large")
+    rows = rows.where("large").withColumn("component", component)
     if rows.limit(1).isEmpty():
         return _distinct_units(whole, scratch)
+    step = math.log(max(1.01, 100 / limit)) * 1.0001
+    rows = rows.join(sets.select("skey", F.floor(F.log("n") / step).alias("band")), "skey")
     at = ["tile", "band"]
     per = rows.groupBy(*at, "component").agg(F.count("*").alias("c"), F.sum("w").alias("w"))
     big = per.select(*at, "component", _load(F.col("c"), F.col("w")).alias("own")).where("own > 1")
@@ -364,6 +367,12 @@ def _distinct_units(units: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(units.join(alike.groupBy("c", "x", "y").agg(F.min("unit").alias("unit")).select("unit"), "unit"))
 
 
+def _parted(units: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Units whose pairs are too many to list, and those of few sets."""
+    few = units.groupBy("unit").agg(F.count("*").alias("c"), F.max("side").alias("side")).where((F.col("c") <= PAIR_DOCS) & (F.col("side") == 0)).select("unit")
+    return scratch.save(units.join(few, "unit", "left_anti")), scratch.save(units.join(few, "unit"))
+
+
 def _partners(unit: pa.Table, limit: int, most: int) -> Iterator[tuple]:
     """Sets of one unit, in order of size, with partners from other components whose sizes and bitmaps leave a link possible.
 
@@ -489,17 +498,18 @@ def _rooted(docs: DataFrame, size: int, limit: int, hot_least: int, seen: int) -
     labels, checked = components(led.where("link"), scratch), led.select("a", "b")
     n = F.size("prefix")
     spread = F.transform(F.sequence(F.lit(0), F.lit(FEW_TILES - 1)), lambda k: F.element_at("prefix", (1 + F.floor(k * (n - 1) / (FEW_TILES - 1))).cast("int")))
-    # some rounds over few tiles join what lies close together, so that few tiles still hold more than one component
-    few = _units(_tiles(sets, F.array_distinct(spread), limit), labels, scratch)
-    labels, checked = _joined_by_rounds(sets, few, labels, checked, limit, 1, EARLY_ROUNDS, scratch)
-    units = _units(_tiles(sets, F.col("prefix"), limit), labels, scratch)
-    small = units.groupBy("unit").agg(F.count("*").alias("c"), F.max("side").alias("side")).where((F.col("c") <= PAIR_DOCS) & (F.col("side") == 0)).select("unit")
-    pairs = _listed(units.join(small, "unit"), sets, labels, limit).join(checked, ["a", "b"], "left_anti")
-    found = scratch.save(_verified(_bounded(pairs, sets, limit), sets, limit).where("link"))
-    if not found.limit(1).isEmpty():
-        labels = _merged(labels, found, scratch)
-    units = scratch.save(units.join(small, "unit", "left_anti"))
-    labels, _ = _joined_by_rounds(sets, units, labels, checked, limit, NAMED, None, scratch)
+    # some rounds over few of the large tiles join what lies close together, so that fewer tiles still hold more than one component
+    few, _ = _parted(_units(_tiles(sets, labels, F.array_distinct(spread)), sets, limit, scratch), scratch)
+    if not few.limit(1).isEmpty():
+        labels, checked = _joined_by_rounds(sets, few, labels, checked, limit, 1, EARLY_ROUNDS, scratch)
+    large, small = _parted(_units(_tiles(sets, labels, F.col("prefix")), sets, limit, scratch), scratch)
+    pairs = scratch.save(_bounded(_listed(small, sets, labels, limit).join(checked, ["a", "b"], "left_anti"), sets, limit))
+    found = scratch.save(_verified(pairs, sets, limit))
+    checked = checked.unionByName(found.select("a", "b"))
+    if not found.where("link").limit(1).isEmpty():
+        labels = _merged(labels, found.where("link"), scratch)
+    if not large.limit(1).isEmpty():
+        labels, _ = _joined_by_rounds(sets, large, labels, checked, limit, NAMED, None, scratch)
     return rows.join(labels, "skey", "left").select("doc_id", "tkey", "n_shingles", F.coalesce("component", "skey").alias("root"))
 
 
