@@ -98,6 +98,31 @@ def uniform_process(size: Column, k: Column, alpha: float) -> Column:
     return F.when(size == 0, math.log(alpha) - F.log(alpha + k)).otherwise(-F.log(alpha + k))
 
 
+def poppe_process(size: Column, n: Column, k: Column) -> Column:
+    """Log predictive weight of a cluster of ``size`` among n items in k clusters; certain where there is no cluster yet."""
+    fresh = F.when(k == 1, -F.log(n + 1.0)).otherwise(F.log(k * (k - 1.0) / (n * (n + 1.0))))
+    member = F.when(k == 1, F.log(n / (n + 1.0))).otherwise(F.log((size + 1.0) / (n + 1.0) * (n - k + 1.0) / n))
+    return F.when((k == 0) & (size == 0), 0.0).when(size == 0, fresh).otherwise(member)
+
+
+def process_joint(sizes: Column, alpha: float) -> Column:
+    """Log joint prior of all clusters as an aggregate over their sizes."""
+    size = sizes.cast("double")
+    return F.count(size) * math.log(alpha) + math.lgamma(alpha) - lgamma(F.coalesce(F.sum(size), F.lit(0.0)) + alpha) + F.coalesce(F.sum(lgamma(size)), F.lit(0.0))
+
+
+def kahan_sum(values: Column) -> Column:
+    """Sum of an array in its order with a running correction of what rounding lost; nulls are left out."""
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
+
+    def step(a: Column, x: Column) -> Column:
+        y = x - a["c"]
+        t = a["s"] + y
+        return F.struct(t.alias("s"), ((t - a["s"]) - y).alias("c"))
+
+    return F.aggregate(F.filter(values, lambda x: x.isNotNull()), zero, step, lambda a: a["s"])
+
+
 def anneal(t0: float, i: Column, n: int) -> Column:
     return t0 * F.pow(F.lit(1 / t0), i / float(n))
 

@@ -88,6 +88,21 @@ def shuffle_columns(alignment: DataFrame, seed: int) -> DataFrame:
     return numbered(drawn, "place", "__draw", ["pos"], by=["aln"]).select("aln", (F.col("place") - 1).alias("pos"), "codes")
 
 
+def set_cells(alignment: DataFrame, cells: DataFrame) -> DataFrame:
+    """The alignment (aln, pos, codes) with the cells (aln, pos, species, code) written over; each once. A species outside a column raises an error."""
+    new = cells.groupBy("aln", "pos").agg(F.map_from_entries(F.collect_list(F.struct("species", "code"))).alias("new"), F.min("species").alias("__low"), F.max("species").alias("__high"))
+    found = alignment.join(new, ["aln", "pos"], "left")
+    written = F.transform("codes", lambda c, k: F.coalesce(F.try_element_at("new", k), c))
+    outside = (F.col("__low") < 0) | (F.col("__high") >= F.size("codes"))
+    codes = F.when(F.col("new").isNull(), F.col("codes")).when(outside, F.raise_error(F.lit("no such species")).cast("array<int>")).otherwise(written)
+    return found.select("aln", "pos", codes.alias("codes"))
+
+
+def distinct_taxa(records: DataFrame) -> DataFrame:
+    """One row: all taxa of (taxon, ...) in order. A tree's taxa are few, whatever the number of records."""
+    return records.agg(F.array_sort(F.collect_set("taxon")).alias("taxa"))
+
+
 def align_to_taxa(sequences: DataFrame, taxa: DataFrame) -> DataFrame:
     """(leaf_id, seq): the first record of each taxon, unknown taxa dropped, absent ones filled with N.
 
@@ -101,12 +116,13 @@ def align_to_taxa(sequences: DataFrame, taxa: DataFrame) -> DataFrame:
     return checked.select("leaf_id", F.coalesce("seq", F.expr("repeat('N', span.b)")).alias("seq"), bad.cast("int").alias("n"))
 
 
-def on_taxa(records: DataFrame, taxa: Sequence[str]) -> DataFrame:
+def on_taxa(records: DataFrame, taxa: Sequence[str], last: bool = False) -> DataFrame:
     """(aln, taxon, seq): every alignment of ``records`` (aln, taxon, rec, seq) on the given taxa.
 
-    The record of the smallest ``rec`` of a taxon stays, unknown taxa go, and missing ones are N over the longest sequence.
+    The record of the smallest ``rec`` of a taxon stays (``last``: of the largest), unknown taxa go, and missing ones are N over the longest sequence.
     """
-    first = records.where(F.col("taxon").isin(*taxa)).groupBy("aln", "taxon").agg(F.min_by("seq", "rec").alias("seq"))
+    choose = F.max_by if last else F.min_by
+    first = records.where(F.col("taxon").isin(*taxa)).groupBy("aln", "taxon").agg(choose("seq", "rec").alias("seq"))
     whole = first.groupBy("aln").agg(F.map_from_entries(F.collect_list(F.struct("taxon", "seq"))).alias("own"), F.max(F.length("seq")).alias("n"))
     whole = whole.withColumn("taxon", F.explode(F.array(*map(F.lit, taxa))))
     return whole.select("aln", "taxon", F.coalesce(F.try_element_at("own", F.col("taxon")), F.expr("repeat('N', n)")).alias("seq"))

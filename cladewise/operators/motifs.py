@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .alignments import windows
 
@@ -72,6 +73,26 @@ def shifted_kl(columns: DataFrame, pairs: DataFrame, shifts: Sequence[int], back
     return one.join(two, key, "full").groupBy("first", "second", "shift").agg(F.avg(term).alias("kl"))
 
 
+def free_room(starts: DataFrame, by: str, pos: str, most: int) -> DataFrame:
+    """``starts`` with ``free``: places from a start to the next one of its sequence, ``most`` at the most (no next one: ``most``)."""
+    after = F.lead(pos).over(Window.partitionBy(by).orderBy(pos))
+    return starts.withColumn("free", F.least(F.coalesce(after - F.col(pos), F.lit(most)), F.lit(most)).cast("long"))
+
+
+def valid_starts(candidates: DataFrame, starts: DataFrame, by: str, pos: str, length: int) -> DataFrame:
+    """``candidates`` with ``valid``: whether no start lies within ``length`` places from them on, but for one at their own place."""
+    both = candidates.select(by, pos, F.lit(0).alias("__kind")).unionByName(starts.select(by, pos, F.lit(1).alias("__kind")))
+    # at one place a start comes before the candidate, so that the next start is one behind it
+    ahead = Window.partitionBy(by).orderBy(pos, F.desc("__kind")).rowsBetween(1, Window.unboundedFollowing)
+    next_ = F.first(F.when(F.col("__kind") == 1, F.col(pos)), ignorenulls=True).over(ahead)
+    return both.withColumn("valid", F.coalesce(next_ >= F.col(pos) + length, F.lit(True))).where("__kind = 0").select(by, pos, "valid")
+
+
+def average_counts(counts: DataFrame) -> DataFrame:
+    """(cluster, average): letters, gaps apart, for each offset of (cluster, offset, c0..c4) on average."""
+    return counts.groupBy("cluster").agg(F.avg(F.col("c0") + F.col("c1") + F.col("c2") + F.col("c3")).alias("average"))
+
+
 def motif_counts(elements: DataFrame, sites: DataFrame, length: int) -> DataFrame:
     """Count vectors of each cluster's positions, summed over its elements; elements on the reverse strand read complements backwards.
 

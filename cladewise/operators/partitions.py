@@ -27,6 +27,17 @@ def pair_distances(samples: DataFrame) -> DataFrame:
     return both.join(i, "i").join(j, "j").select("i", "j", F.coalesce(distance, F.lit(0.0)).alias("distance"))
 
 
+def edited(elements: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """A partition's elements (cluster, seq, pos) without those of ``gone`` and with those of ``new``; each element is there once."""
+    key = ["cluster", "seq", "pos"]
+    return elements.select(*key).join(gone.select(*key), key, "left_anti").unionByName(new.select(*key)).distinct()
+
+
+def used_sites(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(seq, pos) of the sites that either partition uses."""
+    return one.select("seq", "pos").unionByName(two.select("seq", "pos")).distinct()
+
+
 def estimates(distances: DataFrame) -> DataFrame:
     """(sample, mean_loss, median_loss, is_mean, is_median): sums of squared and of plain distances to the others; smallest sample of equal ones."""
     d = distances.select(F.explode(F.array("i", "j")).alias("sample"), "distance")

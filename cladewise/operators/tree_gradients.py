@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tree_sampler import log_prior, nodes
+from .tree_sampler import _shape, log_prior, nodes
 from .trees import Node, column_polynomial, log_marginal, parse_newick, to_newick
 
 TRACE = "step int, posterior double, accepted boolean, newick string"
@@ -39,7 +39,7 @@ def column_gradient(root: Node, codes: dict[str, int], alpha: list[float]) -> tu
 def posterior_gradient(patterns: DataFrame, root: Node, taxa: list[str], alpha: list[float], shape: float, scale: float) -> tuple[float, np.ndarray]:
     """Log posterior and its gradient over the distinct columns (codes, n), in one job."""
     lengths = [n.d for n in nodes(root)]
-    text = to_newick(root)
+    text = _shape(root)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = parse_newick(text)

@@ -31,12 +31,22 @@ def log_prior(root: Node, shape: float, scale: float) -> float:
     return sum((shape - 1) * math.log(x) - x / scale - math.lgamma(shape) - shape * math.log(scale) for x in d)
 
 
+def _shape(node: Node) -> str:
+    """The tree's text without lengths, every inner node in place."""
+    text = lambda n: (f"({','.join(map(text, n.children))})" if n.children else "") + n.name
+    return text(node) + ";"
+
+
 def log_posteriors(patterns: DataFrame, roots: list[Node], taxa: list[str], alpha: list[float], shape: float, scale: float) -> list[float]:
     """Of every tree, from the distinct columns (codes, n) in one job with partial sums."""
-    texts = [to_newick(r) for r in roots]
+    # lengths go apart from the text, which has six decimals and leaves edges of length 0 out
+    texts, lengths = [_shape(r) for r in roots], [[n.d for n in nodes(r)] for r in roots]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [parse_newick(t) for t in texts]
+        for root, ds in zip(own, lengths):
+            for n, d in zip(nodes(root), ds):
+                n.d = d
         for batch in batches:
             sums = [0.0] * len(own)
             for codes, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,18 +50,78 @@ def parse_newick(text: str) -> Node:
 
 
 def to_newick(node: Node) -> str:
-    def part(n: Node) -> str:
-        inner = "(" + ",".join(map(part, n.children)) + ")" if n.children else ""
-        return f"{inner}{n.name}:{n.d:.6f}"
+    """Six decimals; an inner edge of length 0 is left out, its children stand in its parent's list."""
 
-    inner = "(" + ",".join(map(part, node.children)) + ")" if node.children else ""
-    return inner + node.name + ";"
+    def parts(n: Node) -> Iterator[str]:
+        for c in n.children:
+            if c.children and c.d == 0 and not c.name:
+                yield from parts(c)
+            else:
+                yield (f"({','.join(parts(c))})" if c.children else "") + f"{c.name}:{c.d:.6f}"
+
+    return (f"({','.join(parts(node))})" if node.children else "") + node.name + ";"
 
 
 def leaves(node: Node) -> list[Node]:
     return [x for c in node.children for x in leaves(c)] if node.children else [node]
 
 
+def find(root: Node, name: str) -> Node | None:
+    """The node of that name, above its descendants; the first of several."""
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        if n.name == name:
+            return n
+        stack += reversed(n.children)
+    return None
+
+
+def leaf_numbers(root: Node, reference: list[str]) -> dict[str, int]:
+    """Numbers of a tree's leaves as those of a reference tree; both must have the same leaves, each once."""
+    found = [x.name for x in leaves(root)]
+    if sorted(found) != sorted(reference):
+        raise ValueError("the trees differ in their leaves")
+    number = {n: k for k, n in enumerate(reference)}
+    return {n: number[n] for n in found}
+
+
+def tree_of_splits(edges: dict[int, float], lengths: list[float], names: list[str]) -> Node:
+    """The tree of compatible edges (masks without leaf 0): each edge below the smallest one that holds it, leaf 0 as the root's last child."""
+    root, nodes = Node(), {}
+    order = sorted(edges, key=lambda m: (-m.bit_count(), m))
+    for k, m in enumerate(order):
+        nodes[m] = Node(edges[m])
+        above = [x for x in order[:k] if m & ~x == 0]
+        if any(m & x and m & ~x for x in order[:k]):
+            raise ValueError("edges that can't be in one tree")
+        (nodes[above[-1]] if above else root).children.append(nodes[m])
+    for leaf in range(1, len(names)):
+        above = [x for x in order if x >> leaf & 1]
+        (nodes[above[-1]] if above else root).children.append(Node(lengths[leaf], names[leaf]))
+    root.children.append(Node(lengths[0], names[0]))
+    return root
+
+
+def newick_of_splits(splits: DataFrame, names: list[str]) -> DataFrame:
+    """(tree, newick) from (tree, kind, mask, d): rows of inner edges (``split``: their mask) and of leaves (``leaf``: their number). A leaf without a row has length 0."""
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for own in batch.column(1).to_pylist():
+                lengths = [0.0] * len(names)
+                for e in own:
+                    if e["kind"] == "leaf":
+                        lengths[e["mask"]] = e["d"]
+                texts.append(to_newick(tree_of_splits({e["mask"]: e["d"] for e in own if e["kind"] == "split"}, lengths, names)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["tree", "newick"])
+
+    # a tree is one row: it has fewer than two edges per leaf
+    own = splits.groupBy(F.col("tree").cast("long").alias("tree")).agg(F.collect_list(F.struct("kind", F.col("mask").cast("long").alias("mask"), F.col("d").cast("double").alias("d"))).alias("own"))
+    return own.mapInArrow(written, "tree long, newick string")
+
+
 Poly = dict[tuple[int, ...], float]
 
 
@@ -111,6 +172,60 @@ def column_polynomial(root: Node, codes: dict[str, int], letters: int) -> Poly:
     return total(up(root))
 
 
+def pruned_polynomial(root: Node, codes: dict[str, int], letters: int) -> Poly:
+    """The same polynomial by pruning, letter by letter of every inner node; it has many more terms on the way. No outgroup, no missing data."""
+    unit = [tuple(int(i == k) for i in range(letters)) for k in range(letters)]
+    zero = (0,) * letters
+
+    def below(n: Node) -> list[Poly]:
+        """By letter of ``n``: what lies below it."""
+        out = [{zero: 1.0}] * letters
+        for c in n.children:
+            p = -math.expm1(-c.d)
+            inner = below(c) if c.children else [{zero: 1.0} if j == codes[c.name] else {} for j in range(letters)]
+            fresh = _add(*(_times({unit[j]: p}, x, 1.0) for j, x in enumerate(inner)))
+            out = [_times(out[i], _add(fresh, _times(inner[i], {zero: 1.0}, 1 - p)), 1.0) for i in range(letters)]
+        return out
+
+    return _add(*(_times({unit[j]: 1.0}, x, 1.0) for j, x in enumerate(below(root))))
+
+
+def value_at(poly: Poly, theta: list[float]) -> float:
+    return sum(c * math.prod(t**e for t, e in zip(theta, es)) for es, c in poly.items())
+
+
+def log_posterior_density(poly: Poly, alpha: list[float], theta: list[float]) -> float:
+    """Log density of the letters' probabilities given a column, at ``theta``."""
+    prior = math.lgamma(sum(alpha)) + sum((a - 1) * math.log(t) - math.lgamma(a) for a, t in zip(alpha, theta))
+    return math.log(value_at(poly, theta)) + prior - log_marginal(poly, alpha)
+
+
+def comb_tree(n: int) -> Node:
+    """A comb of n inner joins of unit branches, with a unit leaf beside it at the root."""
+    last = Node(1.0, "x0")
+    for k in range(1, n):
+        last = Node(1.0, "", [last, Node(1.0, f"x{k}")])
+    return Node(0.0, "", [last, Node(1.0, f"x{n}")])
+
+
+def expected_terms(spark: SparkSession, sizes: list[int], columns: int = 1000, letters: int = 4, prune: bool = False, seed: int = 0) -> DataFrame:
+    """(x, terms): mean number of terms of the polynomials of random columns on combs; x = 2 n - 1. Draws depend on the seed alone."""
+    evaluate = pruned_polynomial if prune else column_polynomial
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = []
+            for n, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rng, tree = random.Random(seed * 1_000_003 + n * 10_007 + k), comb_tree(n)
+                codes = {x.name: rng.randrange(letters) for x in leaves(tree)}
+                terms.append(len(evaluate(tree, codes, letters)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.int64())], ["n", "terms"])
+
+    todo = spark.createDataFrame([(n,) for n in sizes], "n int").join(spark.range(columns)).select("n", F.col("id").alias("k"))
+    rows = todo.repartition(spark.sparkContext.defaultParallelism).mapInArrow(counted, "n int, terms long")
+    return rows.groupBy((2 * F.col("n") - 1).alias("x")).agg(F.avg("terms").alias("terms"))
+
+
 def log_marginal(poly: Poly, alpha: list[float]) -> float:
     """Log of the polynomial's mean under a Dirichlet distribution; letters without prior weight and count are left out."""
 

@@ -65,6 +65,21 @@ def geometric_median(spark: SparkSession, folder: str) -> DataFrame:
     return tree_means.random_walks(_sample(spark, folder), LEAVES, "median").withColumn("d", F.round("d", 6))
 
 
+@query()
+def expected_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms of the polynomials of random columns, by closed parts and by pruning, on small combs."""
+    sizes = [1, 2, 3, 4, 5]
+    closed = trees.expected_terms(spark, sizes, 300).withColumnRenamed("terms", "decomposition")
+    return closed.join(trees.expected_terms(spark, sizes, 300, prune=True).withColumnRenamed("terms", "pruning"), "x")
+
+
+@query()
+def mean_tree_newick(spark: SparkSession, folder: str) -> DataFrame:
+    """The ends of four walks toward the mean, as trees."""
+    ends = tree_means.random_walks(_sample(spark, folder), LEAVES, "mean")
+    return trees.newick_of_splits(ends.select(F.col("walk").alias("tree"), "kind", "mask", "d"), LEAVES).withColumnRenamed("tree", "walk")
+
+
 @query()
 def mh_trace(spark: SparkSession, folder: str) -> DataFrame:
     """Ten steps of chains at two temperatures over the trees of the alignment's species."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cladewise.functions import mathx
+from cladewise.functions import mathx, signed_log
 from cladewise.operators import binding_sites, motifs, partitions
 from cladewise.registry import query
 
@@ -118,9 +118,81 @@ def locate_elements(spark: SparkSession, folder: str) -> DataFrame:
 SELECT seq, pos, free, free >= 200 AS fits FROM g""")
 def free_range(spark: SparkSession, folder: str) -> DataFrame:
     """Room from a start to the next one of the sequence, 1000 at most, and whether a motif of 200 fits."""
-    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    room = F.least(F.coalesce(after - F.col("o_orderkey"), F.lit(1000)), F.lit(1000)).cast("long")
-    return b.table(spark, folder, "orders").select(F.col("o_custkey").alias("seq"), F.col("o_orderkey").alias("pos"), room.alias("free"), (room >= 200).alias("fits"))
+    starts = b.table(spark, folder, "orders").select(F.col("o_custkey").alias("seq"), F.col("o_orderkey").alias("pos"))
+    return motifs.free_room(starts, "seq", "pos", 1000).withColumn("fits", F.col("free") >= 200)
+
+
+@query("""WITH s AS (SELECT o_custkey AS seq, o_orderkey AS pos FROM orders WHERE o_orderkey % 3 <> 1), c AS (SELECT o_custkey AS seq, o_orderkey AS pos FROM orders)
+SELECT c.seq, c.pos, NOT EXISTS (SELECT 1 FROM s WHERE s.seq = c.seq AND s.pos > c.pos AND s.pos < c.pos + 500) AS valid FROM c""")
+def valid_foreground_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether a motif of 500 fits at a place before the next start of its sequence."""
+    c = b.table(spark, folder, "orders").select(F.col("o_custkey").alias("seq"), F.col("o_orderkey").alias("pos"))
+    return motifs.valid_starts(c, c.where("pos % 3 <> 1"), "seq", "pos", 500)
+
+
+@query(f"WITH {_STATE} SELECT cluster, round(avg(c0 + c1 + c2 + c3), 6) AS average FROM m GROUP BY cluster")
+def average_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return motifs.average_counts(_state(spark, folder)).withColumn("average", F.round("average", 6))
+
+
+_PARTITION = "SELECT user_id % 5 AS cluster, user_id AS seq, event_id AS pos FROM events WHERE user_id IS NOT NULL"
+
+
+@query(f"""WITH p AS ({_PARTITION}) SELECT cluster, seq, pos FROM p WHERE pos % 4 <> 0 UNION SELECT (cluster + 1) % 5, seq, pos FROM p WHERE pos % 4 = 0""")
+def partition_edit(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fourth element leaves its subset and joins the next one."""
+    e = b.table(spark, folder, "events").where("user_id IS NOT NULL")
+    p = e.select((F.col("user_id") % 5).alias("cluster"), F.col("user_id").alias("seq"), F.col("event_id").alias("pos"))
+    some = p.where("pos % 4 = 0")
+    return partitions.edited(p, some, some.withColumn("cluster", (F.col("cluster") + 1) % 5))
+
+
+@query("SELECT DISTINCT user_id AS seq, event_id // 3 AS pos FROM events WHERE event_type IN ('click', 'view') AND user_id IS NOT NULL UNION SELECT DISTINCT user_id, event_id // 2 FROM events WHERE value > 20 AND user_id IS NOT NULL")
+def used_sites(spark: SparkSession, folder: str) -> DataFrame:
+    """Sites that one of two partitions uses."""
+    e = b.table(spark, folder, "events").where("user_id IS NOT NULL")
+    site = lambda n: (F.col("user_id").alias("seq"), F.floor(F.col("event_id") / n).cast("long").alias("pos"))
+    return partitions.used_sites(e.where("event_type IN ('click', 'view')").select(*site(3)), e.where("value > 20").select(*site(2)))
+
+
+@query("""WITH s AS (SELECT user_id, count(*) AS size FROM events WHERE user_id IS NOT NULL GROUP BY user_id), t AS (SELECT CAST(sum(size) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS k FROM s)
+SELECT user_id, round(ln((size + 1.0) / (n + 1) * (n - k + 1) / n), 6) AS member, round(ln(k * (k - 1) / (n * (n + 1))), 6) AS fresh FROM s, t WHERE k > 1""")
+def poppe_process_weights(spark: SparkSession, folder: str) -> DataFrame:
+    s = b.table(spark, folder, "events").where("user_id IS NOT NULL").groupBy("user_id").agg(F.count("*").alias("size"))
+    x = s.join(F.broadcast(s.agg(F.sum("size").cast("double").alias("n"), F.count("*").cast("double").alias("k")))).where("k > 1")
+    weight = lambda size: F.round(mathx.poppe_process(size, F.col("n"), F.col("k")), 6)
+    return x.select("user_id", weight(F.col("size")).alias("member"), weight(F.lit(0)).alias("fresh"))
+
+
+@query(f"""WITH s AS (SELECT event_type, user_id, count(*) AS size FROM events WHERE user_id IS NOT NULL GROUP BY ALL) SELECT event_type,
+round(count(*) * ({math.log(0.5)!r}) + {math.lgamma(0.5)!r} - lgamma(CAST(sum(size) AS DOUBLE) + 0.5) + sum(lgamma(CAST(size AS DOUBLE))), 4) AS joint FROM s GROUP BY event_type""")
+def process_joint_prior(spark: SparkSession, folder: str) -> DataFrame:
+    """Joint prior of a partition of each event type's events by user."""
+    s = b.table(spark, folder, "events").where("user_id IS NOT NULL").groupBy("event_type", "user_id").agg(F.count("*").alias("size"))
+    return s.groupBy("event_type").agg(F.round(mathx.process_joint(F.col("size"), 0.5), 4).alias("joint"))
+
+
+@query("SELECT user_id, round(fsum(value), 6) + 0.0 AS total FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def kahan_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums with a running correction, in order of event: a user's values are one row."""
+    own = F.array_sort(F.collect_list(F.struct("event_id", "value")))
+    e = b.table(spark, folder, "events").where("user_id IS NOT NULL").groupBy("user_id").agg(own.alias("own"))
+    return e.select("user_id", r6(mathx.kahan_sum(F.transform("own", lambda x: x["value"]))).alias("total"))
+
+
+_SIGNED = ", ".join(f"CAST(sign({x}) AS INT) AS {n}_sign, round(CASE WHEN {x} <> 0 THEN ln(abs({x})) END, 6) + 0.0 AS {n}_log" for n, x in (("total", "(a + b)"), ("difference", "(a - b)"), ("product", "(a * b)"), ("ratio", "(CASE WHEN b <> 0 THEN a / b END)"), ("cube", "(b * b * b)")))
+
+
+@query(f"""WITH x AS (SELECT o_orderkey, o_totalprice - 150000 AS a, CAST(o_custkey % 201 - 100 AS DOUBLE) AS b FROM orders WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL)
+SELECT o_orderkey, a < b AS less, {_SIGNED} FROM x""")
+def signed_log_arithmetic(spark: SparkSession, folder: str) -> DataFrame:
+    """Arithmetic on numbers kept as sign and log."""
+    x = b.table(spark, folder, "orders").where("o_totalprice IS NOT NULL AND o_custkey IS NOT NULL")
+    x = x.select("o_orderkey", signed_log.of(F.col("o_totalprice") - 150000).alias("a"), signed_log.of((F.col("o_custkey") % 201 - 100).cast("double")).alias("b"))
+    p, q = F.col("a"), F.col("b")
+    results = {"total": signed_log.add(p, q), "difference": signed_log.subtract(p, q), "product": signed_log.multiply(p, q), "ratio": signed_log.divide(p, q), "cube": signed_log.power(q, 3)}
+    columns = [c for n, v in results.items() for c in (v["sign"].alias(f"{n}_sign"), r6(v["log"]).alias(f"{n}_log"))]  # the ratio is null where the divisor is 0
+    return x.select("o_orderkey", signed_log.less(p, q).alias("less"), *columns)
 
 
 _N = "(c0 + c1 + c2 + c3 + c4)"

@@ -231,6 +231,40 @@ def alignment_fill(spark: SparkSession, folder: str) -> DataFrame:
     return alignments.on_taxa(records, TAXA).withColumnRenamed("aln", "lang")
 
 
+@query(f"""WITH {b.SEQ}, r AS (SELECT lang, source AS taxon, doc_id, seq FROM seqs JOIN documents USING (doc_id)), f AS (SELECT lang, taxon, arg_max(seq, doc_id) AS seq FROM r WHERE taxon IN {TAXA} GROUP BY ALL),
+a AS (SELECT lang, max(length(seq)) AS n FROM f GROUP BY lang) SELECT a.lang, t.taxon, coalesce(f.seq, repeat('N', a.n)) AS seq FROM a, (SELECT unnest({list(TAXA)}) AS taxon) t LEFT JOIN f ON f.lang = a.lang AND f.taxon = t.taxon""")
+def alignment_overwrite(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``alignment_fill``, but a later record of a taxon takes the place of an earlier one."""
+    d = b.table(spark, folder, "documents").select("doc_id", "lang", F.col("source").alias("taxon"))
+    records = d.join(b.sequences(spark, folder), "doc_id").select(F.col("lang").alias("aln"), "taxon", F.col("doc_id").alias("rec"), "seq")
+    return alignments.on_taxa(records, TAXA, last=True).withColumnRenamed("aln", "lang")
+
+
+@query("SELECT array_to_string(list_sort(list(DISTINCT source)), ' ') AS taxa, count(DISTINCT source) AS n FROM documents WHERE source IS NOT NULL")
+def taxa_list(spark: SparkSession, folder: str) -> DataFrame:
+    """The taxa of all records, in order."""
+    found = alignments.distinct_taxa(b.table(spark, folder, "documents").select(F.col("source").alias("taxon")))
+    return found.select(F.array_join("taxa", " ").alias("taxa"), F.size("taxa").cast("long").alias("n"))
+
+
+@query(f"WITH {b.SEQ} SELECT doc_id, split_part(lower(coalesce(source, '')) || '.chr' || doc_id, '.', 1) AS name, length(replace(seq, '-', '')) AS letters FROM seqs JOIN documents USING (doc_id)")
+def reference_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """Record names without their contigs, and the letters of each record that aren't gaps."""
+    d = b.table(spark, folder, "documents")
+    seq = F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGTN-]", "")
+    name = F.split_part(F.concat(F.lower(F.coalesce("source", F.lit(""))), F.lit(".chr"), F.col("doc_id").cast("string")), F.lit("."), F.lit(1))
+    return d.select("doc_id", name.alias("name"), F.length(alphabet.ungap(seq)).cast("long").alias("letters"))
+
+
+@query(f"""WITH {b.CELLS} SELECT aln, pos, array_to_string(list_transform(codes, lambda c, k: CASE WHEN pos % 5 = 0 AND k = 3 THEN 4 WHEN pos % 5 = 0 AND k = 1 THEN 0 ELSE c END), ',') AS codes FROM blocks""")
+def alignment_cells_set(spark: SparkSession, folder: str) -> DataFrame:
+    """Two cells of every fifth column are written over."""
+    a = b.alignment_blocks(spark, folder)
+    cells = a.where("pos % 5 = 0").select("aln", "pos", F.explode(F.create_map(F.lit(2), F.lit(4), F.lit(0), F.lit(0))).alias("species", "code"))
+    new = alignments.set_cells(a, cells)
+    return new.select("aln", F.col("pos").cast("long").alias("pos"), F.array_join("codes", ",").alias("codes"))
+
+
 @query(f"""WITH {b.CELLS}, a AS (SELECT aln, pos, array_to_string(codes, '') AS codes FROM blocks), n AS (SELECT aln, max(pos) + 1 AS behind FROM a GROUP BY aln)
 SELECT aln, pos, codes FROM a UNION ALL SELECT aln, pos + behind, codes FROM a JOIN n USING (aln) WHERE pos < 20""")
 def append_alignments(spark: SparkSession, folder: str) -> DataFrame:
