@@ -28,6 +28,8 @@ ODD_BREAKS = regex.compile("[\x1c-\x1f]")
 END = "</w>"
 #: Words whose tokens a worker remembers before it starts anew.
 REMEMBERED = 400_000
+#: Characters of the longest word or chunk that is remembered, which bounds the memory's bytes.
+LONGEST = 64
 
 
 def byte_symbols() -> list[str]:
@@ -167,13 +169,17 @@ class _Chunks(dict):
         for word in WORD.findall(text):
             ids = words.get(word)
             if ids is None:
+                ids = self.vocabulary.encode_word(word)
                 if len(words) >= REMEMBERED:
                     words.clear()
-                ids = words[word] = self.vocabulary.encode_word(word)
+                if len(word) <= LONGEST:
+                    words[word] = ids
             parts.append(ids)
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self[chunk] = b"".join(parts)
+        ids = b"".join(parts)
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
         return ids
 
 
@@ -217,7 +223,8 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256; a null text has no tokens.
 
-    ``path`` is the vocabulary's file on every executor. No shuffle; texts of any length are encoded whole.
+    ``path`` is the vocabulary's file on every executor. No shuffle; texts and words of any length are encoded whole. Rows that
+    repeat give the same row each, an empty table gives none, and columns beyond doc_id and text are not read.
     """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

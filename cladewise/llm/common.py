@@ -15,9 +15,12 @@ WHITE = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests on one machine), one of our own."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset and Spark runs in one process, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cladewise-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -121,3 +121,73 @@ def test_sharding_moves_no_more_than_the_best_of_all_plans():
         )
         assert sum(x for (i, j), x in flows.items() if i != j) == best
         assert [sum(x for (i, _), x in flows.items() if i == k) for k in range(2)] == supply
+
+
+def test_html_takes_odd_pages(spark):
+    """Very long and deeply nested pages in time, repeated rows, an empty table and columns with clashing names."""
+    import time
+
+    from cladewise.llm import html_text
+
+    began = time.time()
+    assert html_text.main_text("<div>" * 100_000 + "word") == "word"
+    assert html_text.main_text("<svg>" * 20_000) == ""
+    html_text.main_text("<b><div>" * 20_000 + "</b>" * 20_000 + '<a ">' * 20_000)
+    assert time.time() - began < 20  # seconds; a second on an idle machine
+    page = "<body><p>" + "the one of and to in " * 10 + "</p></body>"
+    table = spark.createDataFrame([(1, "u", page), (1, "u", page), (None, None, "x" * 100_000)], "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("text", "n_chars")})
+    rows = html_text.extract_pages(table).collect()
+    assert len(rows) == 3 and sorted(r["n_chars"] for r in rows)[0] == sorted(r["n_chars"] for r in rows)[1] and max(r["n_chars"] for r in rows) == 100_000
+    assert html_text.extract_pages(table.where("false")).count() == 0
+
+
+def test_html_without_an_article_gives_the_same_text():
+    from cladewise.llm import html_text
+
+    body = "<h1>A heading</h1><p>" + "this is the story of a man and his dog in the town " * 3 + "</p><p>Short.</p><p>" + "and then it was the end of all that they had to say " * 3 + "</p>"
+    around = '<nav><a href="/">Home</a></nav><div class="ad">Buy now and save a lot of the money.</div>{}<div class="comments">I like the text of this a lot and so do all of my friends in the town.</div><footer>the end</footer>'
+    with_mark, without = (html_text.main_text("<html><body>" + around.format(f"<{t}>{body}</{t}>") + "</body></html>") for t in ("article", "div"))
+    assert with_mark == without and with_mark.startswith("A heading this") and with_mark.endswith("say") and " Short. " in with_mark
+
+
+def naive_labels(blocks):
+    """The two passes as their docstrings say, with a search over all blocks for each open one."""
+    from cladewise.llm import html_text as h
+
+    first = [h._decide(b, h.STOPS) for b in blocks]
+    good = [k for k, x in enumerate(first) if x == h.GOOD]
+    marked = any(blocks[k].main for k in good) or not good and any(b.main for b in blocks)
+    first = [h.BAD if marked and not b.main else x for b, x in zip(blocks, first)]
+    out = []
+    for k, (b, x) in enumerate(zip(blocks, first)):
+        sides = [(abs(j - k), -y, j) for j, y in enumerate(first) if y and blocks[j].main == b.main]
+        before, after = [s for s in sides if s[2] < k], [s for s in sides if s[2] > k]
+        near = [min(after)] if b.heading and after else [min(s) for s in (before, after) if s]
+        out.append(x or (h.GOOD if not good else min(near)[1] * -1 if near else h.GOOD if b.main else h.BAD))
+    return out
+
+
+def test_html_labels_against_the_plain_rules():
+    import random
+
+    from cladewise.llm import html_text as h
+
+    rng = random.Random(6)
+    for _ in range(300):
+        blocks = []
+        for _ in range(rng.randrange(12)):
+            words = [rng.choice(["the", "of", "and", "house", "tree", "river"]) for _ in range(rng.choice([1, 3, 14, 30]))]
+            text = " ".join(words)
+            blocks.append(h.Block(text, rng.random() < 0.4, rng.random() < 0.2, rng.choice([0, 0, len(text)])))
+        want = naive_labels(blocks)
+        assert [b.label for b in h.classify(blocks)] == want
+
+
+def test_chat_takes_long_texts_and_clashing_columns(spark):
+    from cladewise.llm import chat
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    long_text = "some words <|im_end|> and \\<| more of them " * 5000
+    table = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", long_text)], "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("ids", "mask", "n_turns")})
+    row = chat.conversation_digests(chat.format_turns(table, path), path).first()
+    assert (row["n_turns"], row["loss_chars"]) == (2, len(long_text))

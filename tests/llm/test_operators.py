@@ -155,6 +155,10 @@ def test_bpe(docs):
         back = tok.decode(ids, skip_special_tokens=False).encode()
         g = got[r["doc_id"]]
         assert (g["n_tokens"], g["ids_sha256"], g["decoded_sha256"]) == (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back).hexdigest())
+    long_word = docs.sparkSession.createDataFrame([(1, "ab" * 30_000), (1, "ab" * 30_000)], "doc_id long, text string").withColumn("ids", F.lit(1))
+    ids = tok.encode("ab" * 30_000, add_special_tokens=False).ids
+    assert {r["n_tokens"] for r in bpe.bpe_digests(long_word, path).collect()} == {len(ids)}
+    assert bpe.bpe_digests(long_word.where("false"), path).count() == 0
     round_trip = bpe.decode_documents(bpe.encode_documents(extra, path), path).where("doc_id = 1001").first()
     assert round_trip["text"] == ""
 
