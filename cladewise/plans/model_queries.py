@@ -180,7 +180,7 @@ def kahan_sums(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("user_id", r6(mathx.kahan_sum(F.transform("own", lambda x: x["value"]))).alias("total"))
 
 
-_SIGNED = ", ".join(f"CAST(sign({x}) AS INT) AS {n}_sign, round(CASE WHEN {x} <> 0 THEN ln(abs({x})) END, 6) + 0.0 AS {n}_log" for n, x in (("total", "(a + b)"), ("difference", "(a - b)"), ("product", "(a * b)"), ("ratio", "(CASE WHEN b <> 0 THEN a / b END)"), ("cube", "(b * b * b)")))
+_SIGNED = ", ".join(f"coalesce(CAST(sign({x}) AS INT), 0) AS {n}_sign, round(CASE WHEN {x} <> 0 THEN ln(abs({x})) END, 6) + 0.0 AS {n}_log" for n, x in (("total", "(a + b)"), ("difference", "(a - b)"), ("product", "(a * b)"), ("ratio", "(CASE WHEN b <> 0 THEN a / b END)"), ("cube", "(b * b * b)")))
 
 
 @query(f"""WITH x AS (SELECT o_orderkey, o_totalprice - 150000 AS a, CAST(o_custkey % 201 - 100 AS DOUBLE) AS b FROM orders WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL)
@@ -191,7 +191,7 @@ def signed_log_arithmetic(spark: SparkSession, folder: str) -> DataFrame:
     x = x.select("o_orderkey", signed_log.of(F.col("o_totalprice") - 150000).alias("a"), signed_log.of((F.col("o_custkey") % 201 - 100).cast("double")).alias("b"))
     p, q = F.col("a"), F.col("b")
     results = {"total": signed_log.add(p, q), "difference": signed_log.subtract(p, q), "product": signed_log.multiply(p, q), "ratio": signed_log.divide(p, q), "cube": signed_log.power(q, 3)}
-    columns = [c for n, v in results.items() for c in (v["sign"].alias(f"{n}_sign"), r6(v["log"]).alias(f"{n}_log"))]  # the ratio is null where the divisor is 0
+    columns = [c for n, v in results.items() for c in (F.coalesce(v["sign"], F.lit(0)).alias(f"{n}_sign"), r6(v["log"]).alias(f"{n}_log"))]  # the ratio is null where the divisor is 0
     return x.select("o_orderkey", signed_log.less(p, q).alias("less"), *columns)
 
 

@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages over ``documents``: rules, copies, near copies, mixture, tokens.
 
 Every stage takes what its predecessor kept and returns documents with their columns; the last one
-returns the tokens' digests of each document.
+returns the tokens' digests of each document. Nulls, empty texts, repeated rows and empty tables are those of
+the operators' docstrings: a null text has no words and is rejected by the first stage, a null doc_id is kept
+and comes last where ids decide, of rows that repeat one stays, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, scratch.save(stage(spark, docs, sf_dir))
+        if k:  # no later stage reads the table before
+            scratch.drop(before)
     return docs
