@@ -2,8 +2,8 @@
 
 Given the mixture's weights and means the points are independent, so a sweep over all points is one
 Spark job without Python: each point takes the component of the largest score with Gumbel noise from a
-hash of its id. The weights (broken sticks, cut off at ``most`` components) and means are drawn on the driver from one row of
-sums per component. Nothing is stored by point; the assignments of any sweep can be computed again.
+hash of its id. The weights (broken sticks, until what is left weighs less than ``rest``, whatever the number of components) and means
+are drawn on the driver from one row of sums per component. Nothing is stored by point; the assignments of any sweep can be computed again.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ class Model:
     sigma: tuple[tuple[float, float], tuple[float, float]] = ((1.0, 0.0), (0.0, 1.0))
     sigma0: tuple[tuple[float, float], tuple[float, float]] = ((100.0, 0.0), (0.0, 100.0))
     mu0: tuple[float, float] = (0.0, 0.0)
-    most: int = 30
+    rest: float = 1e-9
 
 
 @dataclass
@@ -55,15 +55,21 @@ def assigned(points: DataFrame, state: State, model: Model, seed: int) -> DataFr
 
 
 def _drawn(sums: dict[int, tuple[int, float, float]], model: Model, rng: np.random.Generator, step: int) -> State:
-    n = np.array([sums.get(k, (0, 0.0, 0.0))[0] for k in range(model.most)], float)
+    """``sums``: number and coordinate sums of the components that have points, numbered from 0."""
+    n = np.array([sums[k][0] for k in range(len(sums))], float)
     behind = n[::-1].cumsum()[::-1] - n
-    stick = rng.beta(1 + n, model.alpha + behind)
-    stick[-1] = 1.0
-    weights = stick * np.concatenate([[1.0], np.cumprod(1 - stick[:-1])])
+    weights, left = [], 1.0
+    while len(weights) < len(n) or left > model.rest:
+        k = len(weights)
+        stick = rng.beta(1 + n[k], model.alpha + behind[k]) if k < len(n) else rng.beta(1, model.alpha)
+        weights.append(left * stick)
+        left *= 1 - stick
+    weights[-1] += left
+    weights = np.array(weights)
     inv, inv0 = np.linalg.inv(np.array(model.sigma)), np.linalg.inv(np.array(model.sigma0))
     means = []
-    for k in range(model.most):
-        cov = np.linalg.inv(n[k] * inv + inv0)
+    for k in range(len(weights)):
+        cov = np.linalg.inv((n[k] if k < len(n) else 0.0) * inv + inv0)
         total = np.array(sums.get(k, (0, 0.0, 0.0))[1:])
         means.append(rng.multivariate_normal(cov @ (inv @ total + inv0 @ np.array(model.mu0)), cov))
     return State(weights, np.array(means), step)

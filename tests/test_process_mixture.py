@@ -11,7 +11,7 @@ from cladewise.sources import options as opt
 def test_planted_clusters_are_found(spark):
     centres = [(0.0, 0.0), (6.0, 1.0), (-4.0, 5.0)]
     points = simulation.gaussian_mixture(spark, 900, centres, [0.5, 0.3, 0.2], 0.5, 4).cache()
-    model = dp.Model(alpha=0.5, sigma=((0.25, 0.0), (0.0, 0.25)), most=12)
+    model = dp.Model(alpha=0.5, sigma=((0.25, 0.0), (0.0, 0.25)))
     trace, state = dp.sample(points, model, 25, 2)
     rows = trace.orderBy("step").collect()
     assert rows[-1]["likelihood"] > rows[0]["likelihood"] and rows[-1]["likelihood"] > -2.2 * 900
@@ -32,7 +32,14 @@ def test_density_and_empty_tables(spark):
     d = np.array([1.0, 1.5])
     assert np.isclose(got, -0.5 * d @ np.linalg.inv(sigma) @ d - np.log(2 * np.pi) - 0.5 * np.log(np.linalg.det(sigma)))
     none = spark.createDataFrame([(1, None, 2.0)], "i long, x double, y double")
-    assert [r["clusters"] for r in dp.sample(none, dp.Model(most=4), 2)[0].collect()] == [0, 0]
+    assert [r["clusters"] for r in dp.sample(none, dp.Model(), 2)[0].collect()] == [0, 0]
+
+
+def test_components_have_no_bound():
+    """Sixty clusters keep their points; the sticks go on behind them until next to nothing is left."""
+    state = dp._drawn({k: (10, 10.0 * k, 0.0) for k in range(60)}, dp.Model(alpha=2.0), np.random.default_rng(0), 1)
+    assert len(state.weights) > 60 and abs(state.weights.sum() - 1) < 1e-12 and (state.weights[:60] > 0).all()
+    assert np.allclose(state.means[:60, 0], range(60), atol=2)
 
 
 TEXT = """[TFBS-Sampler]
