@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladewise.operators.ranges import candidate_bins, smallest_bin
+
 _BED = r"^(chr\w+)[ \t]+([0-9]+)[ \t]+([0-9]+)"
 
 
@@ -54,3 +56,60 @@ def maf_to_sequences(rows: DataFrame) -> DataFrame:
     """MAF rows as FASTA records (file, at, block, rec, taxon, contig, seq)."""
     name = F.split("src", r"\.", 2)
     return rows.select("file", "at", "block", "rec", name[0].alias("taxon"), F.get(name, F.lit(1)).alias("contig"), F.col("text").alias("seq"))
+
+
+def sequences_to_maf(records: DataFrame) -> DataFrame:
+    """FASTA records (file, at, rec, taxon, contig, seq) as MAF rows, one block per file. Starts are 0, and a source is as long as its letters."""
+    letters = F.length(F.regexp_replace("seq", "-", "")).cast("long")
+    zero = F.lit(0).cast("long")
+    return records.select(
+        "file", zero.alias("at"), zero.alias("block"), F.struct("at", "rec").alias("rec"), F.concat_ws(".", "taxon", "contig").alias("src"),
+        zero.alias("start"), letters.alias("size"), F.lit("+").alias("strand"), letters.alias("src_size"), F.col("seq").alias("text"),
+    )
+
+
+def reference_rows(rows: DataFrame, species: str) -> DataFrame:
+    """(file, at, block, chrom, start, end): where each block lies on the reference species; of several rows of it the first. Blocks without it are left out."""
+    name = F.split("src", r"\.", 2)
+    own = rows.where(name[0] == species).groupBy("file", "at", "block").agg(F.min_by(F.struct(F.get(name, F.lit(1)).alias("chrom"), "start", "size", "text"), "rec").alias("r"))
+    return own.select("file", "at", "block", F.col("r.chrom").alias("chrom"), F.col("r.start").alias("start"), (F.col("r.start") + F.col("r.size")).alias("end"), F.col("r.text").alias("reference"))
+
+
+def write_index(rows: DataFrame, species: str, path: str) -> None:
+    """Places of all blocks on the reference species as a table, by chromosome and in order of bin, so that a lookup reads the row groups it needs."""
+    own = reference_rows(rows, species).where("end > start").drop("reference").withColumns({"species": F.lit(species), "bin": smallest_bin(F.col("start"), F.col("end"))})
+    own.repartition("chrom", F.floor(F.col("bin") / 64)).sortWithinPartitions("chrom", "bin", "start").write.partitionBy("chrom").parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, species: str, regions: DataFrame) -> DataFrame:
+    """(id, chrom, region_start, region_end, file, at, block) of the blocks that overlap ``regions`` (id, chrom, start, end).
+
+    An index of another species raises an error. Regions of one chromosome after the other are an equi-join on bins.
+    """
+    index = spark.read.parquet(path)
+    same = F.when(F.col("species") == species, F.col("chrom").cast("string")).otherwise(F.raise_error(F.lit(f"not an index of {species}")))
+    index = index.select("file", "at", "block", "start", "end", "bin", same.alias("chrom"))
+    q = regions.select("id", F.col("chrom").alias("q"), F.col("start").alias("region_start"), F.col("end").alias("region_end"))
+    q = q.withColumn("bin", F.explode(candidate_bins(F.col("region_start"), F.col("region_end"))))
+    found = index.join(q, ["bin"]).where((F.col("chrom") == F.col("q")) & (F.col("start") < F.col("region_end")) & (F.col("end") > F.col("region_start")))
+    return found.select("id", "chrom", "region_start", "region_end", "file", "at", "block")
+
+
+def trim_to_regions(rows: DataFrame, found: DataFrame, species: str) -> DataFrame:
+    """MAF rows of the blocks of ``found`` (see ``lookup``), with ``id``, cut to their regions: as many letters of the reference go at each end as lie outside, and what is aligned with them.
+
+    Starts and sizes of all rows are those of the letters that are left. Gaps of the reference next to a cut stay.
+    """
+    block = ["file", "at", "block"]
+    ref = reference_rows(rows, species).select(*block, F.col("start").alias("first"), F.col("end").alias("last"), "reference")
+    whole = found.join(ref, block)
+    places = F.filter(F.transform(F.split("reference", ""), lambda c, i: F.when(c != "-", i)), lambda i: i.isNotNull())
+    before, behind = F.greatest(F.col("region_start") - F.col("first"), F.lit(0)).cast("int"), F.greatest(F.col("last") - F.col("region_end"), F.lit(0)).cast("int")
+    cut = whole.withColumn("places", places).select(
+        "id", *block,
+        F.when(before > 0, F.element_at("places", F.greatest(before, F.lit(1))) + 1).otherwise(0).alias("left"),
+        F.when(behind > 0, F.element_at("places", -F.greatest(behind, F.lit(1)))).otherwise(F.length("reference")).alias("right"),
+    )
+    letters = lambda x: F.length(F.regexp_replace(x, "-", "")).cast("long")
+    met = rows.join(cut, block).withColumns({"gone": F.substring(F.col("text"), F.lit(1), F.col("left")), "text": F.substring(F.col("text"), F.col("left") + 1, F.col("right") - F.col("left"))})
+    return met.select("id", *block, "rec", "src", (F.col("start") + letters(F.col("gone"))).alias("start"), letters(F.col("text")).alias("size"), "strand", "src_size", "text")
