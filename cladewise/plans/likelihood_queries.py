@@ -76,7 +76,7 @@ def expected_terms(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def mean_tree_newick(spark: SparkSession, folder: str) -> DataFrame:
     """The ends of four walks toward the mean, as trees."""
-    ends = tree_means.random_walks(_sample(spark, folder), LEAVES, "mean")
+    ends = tree_means.random_walks(_sample(spark, folder), LEAVES, "mean", steps=10)
     return trees.newick_of_splits(ends.select(F.col("walk").alias("tree"), "kind", "mask", "d"), LEAVES).withColumnRenamed("tree", "walk")
 
 
