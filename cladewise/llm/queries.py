@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, html_text, language_model, mixing, ngram_join, quality, sharding, suffix_dedup
+from . import bpe, chat, exact_dedup, html_text, language_model, minhash, mixing, ngram_join, quality, sharding, spelling, suffix_dedup, token_alignment
 
 OLD_SHARDS, SHARDS = 12, 16
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -65,7 +65,22 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.score_documents(_table(spark, folder, "documents"))
 
 
-OPERATORS = (op1_sharding, op2_exact_dedup, op3_chat_format, op4_ngram_join, op5_quality_rules, op6_suffix_dedup, op7_bpe, op8_html_text, op9_mixing, op10_lm_score)
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.alignment_report(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variant_groups(_table(spark, folder, "documents"))
+
+
+OPERATORS = (
+    op1_sharding, op2_exact_dedup, op3_chat_format, op4_ngram_join, op5_quality_rules, op6_suffix_dedup, op7_bpe, op8_html_text, op9_mixing,
+    op10_lm_score, op11_token_alignment, op12_minhash, op13_spelling,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -78,4 +93,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat_format": chat.REPORT_SQL,
         "op4_ngram_join": ngram_join.REPORT_SQL,
         "op5_quality_rules": quality.REPORT_SQL,
+        "op12_minhash": minhash.REPORT_SQL,
+        "op13_spelling": spelling.REPORT_SQL,
     }
