@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from cladewise.plans import format_queries, likelihood_queries, model_queries, sample_queries, sequence_queries, tree_queries  # noqa: F401
+    from cladewise.plans import background_queries, format_queries, likelihood_queries, model_queries, sample_queries, sequence_queries, tree_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
