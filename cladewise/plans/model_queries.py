@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cladewise.functions import mathx, signed_log
-from cladewise.operators import binding_sites, motifs, partitions
+from cladewise.operators import binding_sites, motifs, partitions, refinement
 from cladewise.registry import query
 
 from . import bindings as b
@@ -40,6 +40,30 @@ def partition_estimates(spark: SparkSession, folder: str) -> DataFrame:
     return e.withColumn("mean_loss", F.round("mean_loss", 6)).withColumn("median_loss", F.round("median_loss", 6))
 
 
+_ESTIMATE = f"{_SAMPLES}, estimate AS (SELECT item, cluster FROM samples WHERE sample = 2)"
+
+
+@query(f"""WITH {_ESTIMATE}, cells AS (SELECT sample, e.cluster AS own, s.cluster AS theirs, count(*) AS n FROM samples s JOIN estimate e USING (item) GROUP BY ALL),
+sizes AS (SELECT cluster, count(*) AS size FROM estimate GROUP BY cluster),
+change AS (SELECT h.sample, h.own, h.theirs, (SELECT size FROM sizes WHERE cluster = 0) - z.size + 1 - 2 * (coalesce(t.n, 0) - h.n + 1) AS change
+FROM cells h LEFT JOIN cells t ON t.own = 0 AND t.sample = h.sample AND t.theirs = h.theirs JOIN sizes z ON z.cluster = h.own WHERE h.own <> 0)
+SELECT item, e.cluster, CAST(sum(change) AS BIGINT) AS gain FROM estimate e JOIN samples s USING (item) JOIN change c ON c.sample = s.sample AND c.own = e.cluster AND c.theirs = s.cluster GROUP BY item, e.cluster""")
+def deletion_gains(spark: SparkSession, folder: str) -> DataFrame:
+    """Change of a partition's summed distance to all samples for each element that would leave its cluster for the background."""
+    samples = _samples(spark, folder)
+    return refinement.deletion_gains(samples, samples.where("sample = 2").select("item", "cluster"))
+
+
+@query()
+def refined_partition(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of the clusters of one sample before and after elements left for the background, as long as that brings it closer to all samples."""
+    samples = _samples(spark, folder)
+    estimate = samples.where("sample = 2").select("item", "cluster")
+    refined, _ = refinement.refine(samples, estimate)
+    after = refined.groupBy("cluster").agg(F.count("*").alias("after"))
+    return estimate.groupBy("cluster").agg(F.count("*").alias("before")).join(after, "cluster", "full").select("cluster", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+
+
 _ELEMENTS = "elements AS (SELECT doc_id AS seq, doc_id % 3 AS cluster, doc_id % 20 AS pos, doc_id % 2 = 1 AS reverse FROM seqs WHERE length(seq) >= 40)"
 
 
