@@ -8,8 +8,8 @@
     posterior probability that the similarity reaches the limit after m of n equal ones is P(Bin(n + 1, t) <= m);
     a pair goes as soon as that falls below ``MISS``. Survivors are decided by intersecting the full sorted sets.
 4.  A first round compares each set with a leader in two of its bands. Band keys that still hold more than one
-    component give units of bounded size (as in the n-gram join): pairs of small units are listed once, in large ones each set
-    names its best surviving partners, round by round, until none is left. Components never give all their pairs.
+    component give units of bounded size (as in the n-gram join). In each unit a set names its best surviving partners of other
+    components, round by round, until none is left. Components never give all their pairs.
 
 A hash shared by chance only makes a candidate more. What can be lost is a link whose bands all differ or whose bytes agree far too seldom: at
 the limit itself about 1e-7 a pair, and less above it.
@@ -22,12 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, joined_to_groups, shuffle_partitions
 from .components import components
-from .ngram_join import _leaders, _merged, _parted, _tiles, _units, _verified
+from .ngram_join import _leaders, _merged, _tiles, _units, _verified
 from .vectors import binary, joined, mix, runs, set_digest, shingles_of, signed, slices, words_of
 
 WORDS, LIMIT = 5, 85
@@ -35,8 +35,8 @@ ROWS, BANDS = 6, 36
 HASHES, BATCH = ROWS * BANDS, 24
 #: The posterior probability of a link below which a pair is given up.
 MISS = 1e-7
-#: Partners that a set names in the first round over large units; twice as many in each further round.
-NAMED = 8
+#: Partners that a set names in the first round, and how many times as many in each further one.
+NAMED, MORE = 8, 8
 #: Shingles hashed at a time, so that they stay in a core's cache.
 CHUNK = 1 << 15
 _RANDOM = np.random.Generator(np.random.PCG64(20260302))
@@ -125,31 +125,23 @@ def document_signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
                 least = minima(values, bounds)
                 empty = n == 0
                 bands = band_keys(least)
-                rows = [[None if e else x.tobytes() for e, x in zip(empty, table)] for table in (bands, least.astype(np.uint8))]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(signed(bands).ravel()))
                 key = pa.array(signed(set_digest(values, bounds)), mask=empty)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[texts.rows], batch.column(1)[texts.rows], pa.array(n, pa.int64()), key, *map(binary, rows)], names)
+                columns = [batch.column(0)[texts.rows], batch.column(1)[texts.rows], pa.array(n, pa.int64()), key, lists, binary([x.tobytes() for x in least.astype(np.uint8)])]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     doc_id = docs["doc_id"].cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, docs["text"]).alias("rkey"), docs["text"].alias("text"))
-    return rows.mapInArrow(signatures, "doc_id long, rkey long, n_shingles long, skey long, bands binary, bits binary")
+    return rows.mapInArrow(signatures, "doc_id long, rkey long, n_shingles long, skey long, bands array<long>, bits binary")
 
 
 def _banded(reps: DataFrame, scratch: Scratch) -> DataFrame:
     """Sets that share a band key with another: skey, rkey, times, n, ``prefix`` (the shared keys) and bits."""
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = joined([x for x in batch.column(1)], np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * BANDS), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["skey", "tiles"])
-
-    tiles = reps.select("skey", "bands").mapInArrow(keys, "skey long, tiles array<long>").select("skey", F.explode("tiles").alias("tile"))
-    tiles = scratch.save(tiles)
+    reps = scratch.save(reps)
+    tiles = reps.select("skey", F.explode("bands").alias("tile"))
     shared = tiles.groupBy("tile").agg(F.count("*").alias("c")).where("c > 1").select("tile")
-    own = tiles.join(shared, "tile").groupBy("skey").agg(F.sort_array(F.collect_list("tile")).alias("prefix"))
-    out = scratch.save(reps.join(own, "skey").select("skey", "rkey", "times", "n", "prefix", "bits"))
-    scratch.drop(tiles)
-    return out
+    own = tiles.join(shared.hint("merge"), "tile").groupBy("skey").agg(F.sort_array(F.collect_list("tile")).alias("prefix"))
+    return scratch.save(reps.join(own.hint("merge"), "skey").select("skey", "rkey", "times", "n", "prefix", "bits"))
 
 
 def _full_sets(docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
@@ -164,7 +156,7 @@ def _full_sets(docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.diff(bounds), pa.int64()), binary(parts)], ["skey", "n", "shared"])
 
     rows = docs.select(F.xxhash64(docs["doc_id"].cast("long"), docs["text"]).alias("rkey"), docs["text"].alias("text"))
-    out = rows.join(sets.select("rkey"), "rkey", "left_semi").select("text").mapInArrow(arrays, "skey long, n long, shared binary")
+    out = rows.join(sets.select("rkey").hint("merge"), "rkey", "left_semi").select("text").mapInArrow(arrays, "skey long, n long, shared binary")
     if sets.where("times > 1").limit(1).isEmpty():
         return out
     return out.groupBy("skey").agg(F.first("n").alias("n"), F.first("shared").alias("shared"))
@@ -183,18 +175,6 @@ def _pruned(pairs: DataFrame, sets: DataFrame, bars: list[int]) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInArrow(pruned, "a long, b long")
 
 
-def _fitting(na: Column, nb: Column, limit: int) -> Column:
-    return 100 * F.least(na, nb) >= limit * F.greatest(na, nb)
-
-
-def _listed(units: DataFrame, sets: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """Pairs (a, b) of different components in one of the small units, of sizes that leave a link possible."""
-    rows = units.join(labels, "skey", "left").withColumn("component", F.coalesce("component", "skey")).join(sets.select("skey", "n"), "skey")
-    one, two = (rows.select("unit", F.col("skey").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("component", "n"))) for k in "ab")
-    differ = (F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb"))
-    return one.join(two, "unit").where(differ & _fitting(F.col("na"), F.col("nb"), limit)).select("a", "b").distinct()
-
-
 def _partners(unit: pa.Table, limit: int, bars: list[int], most: int) -> Iterator[tuple]:
     """Sets of one unit, in order of size, each with its ``most`` best surviving partners behind those it has named before."""
     side, skey, comps, sizes, equal_after, key_after = (unit[c].to_numpy() for c in ("side", "skey", "component", "n", "bound", "last"))
@@ -242,7 +222,7 @@ def _naming(limit: int, bars: list[int], most: int):
 
 
 def _by_rounds(sets: DataFrame, full: DataFrame, units: DataFrame, labels: DataFrame, checked: DataFrame, limit: int, bars: list[int], scratch: Scratch) -> DataFrame:
-    """Labels after every surviving pair of the large units lies in one component or is decided."""
+    """Labels after every surviving pair of the units lies in one component or is decided."""
     rows, most = units.withColumns({"bound": F.lit(HASHES + 1).cast("long"), "last": F.lit(0).cast("long")}), NAMED
     while True:
         own = scratch.save(rows.join(labels, "skey", "left").withColumn("component", F.coalesce("component", "skey")))
@@ -260,7 +240,7 @@ def _by_rounds(sets: DataFrame, full: DataFrame, units: DataFrame, labels: DataF
             return labels
         rows = units.join(more.select("unit").distinct(), "unit").join(more.select("unit", "skey", "bound", "last"), ["unit", "skey"], "left")
         rows = rows.withColumns({"bound": F.coalesce("bound", F.lit(-1)), "last": F.coalesce("last", F.lit(0))})
-        most *= 2
+        most *= MORE
 
 
 def _rooted(docs: DataFrame, size: int, limit: int, miss: float) -> DataFrame:
@@ -274,14 +254,9 @@ def _rooted(docs: DataFrame, size: int, limit: int, miss: float) -> DataFrame:
     full = scratch.save(_full_sets(docs, sets, size))
     led = scratch.save(_verified(_pruned(_leaders(sets), sets, bars), full, limit))
     labels, checked = components(led.where("link"), scratch), led.select("a", "b")
-    large, small = _parted(_units(_tiles(sets, labels, F.col("prefix")), sets, limit, scratch), scratch)
-    pairs = scratch.save(_pruned(_listed(small, sets, labels, limit).join(checked, ["a", "b"], "left_anti"), sets, bars))
-    found = scratch.save(_verified(pairs, full, limit))
-    checked = checked.unionByName(found.select("a", "b"))
-    if not found.where("link").limit(1).isEmpty():
-        labels = _merged(labels, found.where("link"), scratch)
-    if not large.limit(1).isEmpty():
-        labels = _by_rounds(sets, full, large, labels, checked, limit, bars, scratch)
+    units = _units(_tiles(sets, labels, F.col("prefix")), sets, limit, scratch)
+    if not units.limit(1).isEmpty():
+        labels = _by_rounds(sets, full, units, labels, checked, limit, bars, scratch)
     return rows.join(labels, "skey", "left").select("doc_id", "n_shingles", F.coalesce("component", "skey").alias("root"))
 
 
