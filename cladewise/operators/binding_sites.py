@@ -241,27 +241,50 @@ def sample(sequences: DataFrame, model: Model, steps: int, burnin: int = 0, t0:
     motifs' counts under their prior and of all other letters; the posterior adds the prior of sites and of the process. Sequences without letters add nothing; without any the prior is sampled.
     """
     rng = np.random.default_rng(seed)
-    temperature = lambda i: t0 ** (1 - i / burnin) if i < burnin else 1.0
+    everything = letter_totals(sequences)
+    state, rows = _next([], everything, model, rng, 0, temperature(0, burnin, t0)), []
+    for _ in range(steps + burnin):
+        row, state = sweep(sequences, model, state, everything, seed, rng, burnin, t0)
+        rows.append(row)
+    return sequences.sparkSession.createDataFrame(rows, TRACE), state
+
+
+def temperature(step: int, burnin: int, t0: float) -> float:
+    return t0 ** (1 - step / burnin) if step < burnin else 1.0
+
+
+def letter_totals(sequences: DataFrame) -> np.ndarray:
     lengths = (F.coalesce(F.sum(F.length("seq") - F.length(F.replace("seq", F.lit(c)))), F.lit(0)) for c in LETTERS)
-    everything = np.array(sequences.agg(*lengths).first(), float)
-    state, rows = _next([], everything, model, rng, 0, temperature(0)), []
+    return np.array(sequences.agg(*lengths).first(), float)
+
+
+def sweep(sequences: DataFrame, model: Model, state: State, everything: np.ndarray, seed: int, rng: np.random.Generator, burnin: int, t0: float) -> tuple[tuple, State]:
+    """The trace's row of one sweep, and the state for the next; all sites are drawn in one job."""
+    motifs = motifs_of(site_letters(sequences, state, model, seed), [m.length for m in state.motifs])
+    likelihood, posterior = posterior_of(motifs, everything, state.background, model)
+    row = (state.step, state.temperature, len(motifs), sum(m.size for m in motifs), likelihood, posterior)
+    motifs = _moves(motifs, state, model, rng)
+    return row, _next(motifs, everything, model, rng, state.step + 1, temperature(state.step + 1, burnin, t0))
+
+
+def motifs_of(letters: DataFrame, lengths: list[int]) -> list[Motif]:
+    """Motifs with sites, from counts as those of ``site_letters``: a table of motifs x offsets x letters."""
+    found = [Motif(length, 0, np.zeros((length + 2 * math.ceil(length / 2), 5))) for length in lengths]
+    for r in letters.collect():
+        if r["cluster"] == -1:
+            found[r["offset"]].size = r["n"]
+        else:
+            found[r["cluster"]].counts[r["offset"] + found[r["cluster"]].flank, r["letter"]] = r["n"]
+    return [m for m in found if m.size]
+
+
+def posterior_of(motifs: list[Motif], everything: np.ndarray, background: np.ndarray, model: Model) -> tuple[float, float]:
+    """Log likelihood and posterior: motifs' counts under their prior, all other letters under the background, and the priors of sites and process."""
     alpha = np.array(model.motif)
-    for step in range(steps + burnin):
-        found = [Motif(m.length, 0, np.zeros((m.length + 2 * m.flank, 5))) for m in state.motifs]
-        for r in site_letters(sequences, state, model, seed).collect():  # motifs x offsets x letters
-            if r["cluster"] == -1:
-                found[r["offset"]].size = r["n"]
-            else:
-                found[r["cluster"]].counts[r["offset"] + found[r["cluster"]].flank, r["letter"]] = r["n"]
-        motifs = [m for m in found if m.size]
-        rest = everything - sum((m.core().sum(0) for m in motifs), np.zeros(5))
-        likelihood = sum(log_marginal(m.core(), alpha) for m in motifs) + float((rest * np.log(state.background)).sum())
-        sizes = [m.size for m in motifs]
-        posterior = likelihood + float(rest.sum()) * math.log1p(-model.rate) + sum(sizes) * math.log(model.rate) + process_joint(sizes, model.alpha)
-        rows.append((step, state.temperature, len(motifs), int(sum(sizes)), likelihood, posterior))
-        motifs = _moves(motifs, state, model, rng)
-        state = _next(motifs, everything, model, rng, step + 1, temperature(step + 1))
-    return sequences.sparkSession.createDataFrame(rows, TRACE), state
+    rest = everything - sum((m.core().sum(0) for m in motifs), np.zeros(5))
+    likelihood = sum(log_marginal(m.core(), alpha) for m in motifs) + float((rest * np.log(background)).sum())
+    sizes = [m.size for m in motifs]
+    return likelihood, likelihood + float(rest.sum()) * math.log1p(-model.rate) + sum(sizes) * math.log(model.rate) + process_joint(sizes, model.alpha)
 
 
 def cluster_log_marginals(counts: DataFrame, alpha: list[float]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cladewise.functions import mathx, signed_log
-from cladewise.operators import binding_sites, motifs, partitions, refinement
+from cladewise.operators import binding_sites, motifs, partitions, refinement, saved, site_search
 from cladewise.registry import query
 
 from . import bindings as b
@@ -130,6 +130,24 @@ def tfbs_trace(spark: SparkSession, folder: str) -> DataFrame:
     return trace
 
 
+@query()
+def map_site_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Trace of a search for the most probable state of motifs and sites in every document's letters, from the first places of three given words."""
+    words = F.element_at(F.array(*map(F.lit, ("TTATT", "ATTAA", "ACATT"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    s = b.sequences(spark, folder)
+    sites = s.select("doc_id", (F.col("doc_id") % 3).cast("int").alias("cluster"), (F.instr("seq", words) - 1).alias("pos"), F.lit(False).alias("reverse")).where("pos >= 0")
+    _, trace = site_search.optimise(s, sites, [5, 5, 5], binding_sites.Model(lengths=(5, 8)), rounds=4, tries=2)
+    return trace.withColumn("posterior", F.round("posterior", 3))
+
+
+@query()
+def population_trace(spark: SparkSession, folder: str) -> DataFrame:
+    """Two chains of the sampler over every document's letters, stopped behind their first sweep and gone on with from the stored states."""
+    store, model, s = saved.Saved(spark, "population").base, binding_sites.Model(lengths=(6, 8)), b.sequences(spark, folder)
+    site_search.population(s, model, 2, 1, store, seed=3)
+    return site_search.population(s, model, 2, 1, store, seed=3)
+
+
 @query(f"WITH {b.SEQ}, {_ELEMENTS} SELECT cluster, seq, pos, reverse, seq % 15 AS start, pos - seq % 15 AS into_region FROM elements WHERE pos BETWEEN seq % 15 AND seq % 15 + 11")
 def locate_elements(spark: SparkSession, folder: str) -> DataFrame:
     """Elements inside the regions [start, start + 12) of their sequence."""
