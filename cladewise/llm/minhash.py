@@ -8,8 +8,8 @@
     posterior probability that the similarity reaches the limit after m of n equal ones is P(Bin(n + 1, t) <= m);
     a pair goes as soon as that falls below ``MISS``. Survivors are decided by intersecting the full sorted sets.
 4.  A first round compares each set with a leader in two of its bands. Band keys that still hold more than one
-    component give units of bounded size (as in the n-gram join). In each unit a set names its best surviving partners of other
-    components, round by round, until none is left. Components never give all their pairs.
+    component give units of bounded size (as in the n-gram join), each held by one task with its sets. There the pairs of sets from
+    different components are pruned and decided, a joined component's further pairs aren't, and only links that join leave the task.
 
 A hash shared by chance only makes a candidate more. What can be lost is a link whose bands all differ or whose bytes agree far too seldom: at
 the limit itself about 1e-7 a pair, and less above it.
@@ -28,15 +28,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, joined_to_groups, shuffle_partitions
 from .components import components
 from .ngram_join import _leaders, _merged, _tiles, _units, _verified
-from .vectors import binary, joined, mix, runs, set_digest, shingles_of, signed, slices, words_of
+from .vectors import binary, gather, joined, mix, runs, set_digest, shingles_of, signed, slices, words_of
 
 WORDS, LIMIT = 5, 85
 ROWS, BANDS = 6, 36
 HASHES, BATCH = ROWS * BANDS, 24
 #: The posterior probability of a link below which a pair is given up.
 MISS = 1e-7
-#: Partners that a set names in the first round, and how many times as many in each further one.
-NAMED, MORE = 8, 8
 #: Shingles hashed at a time, so that they stay in a core's cache.
 CHUNK = 1 << 15
 _RANDOM = np.random.Generator(np.random.PCG64(20260302))
@@ -175,72 +173,68 @@ def _pruned(pairs: DataFrame, sets: DataFrame, bars: list[int]) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInArrow(pruned, "a long, b long")
 
 
-def _partners(unit: pa.Table, limit: int, bars: list[int], most: int) -> Iterator[tuple]:
-    """Sets of one unit, in order of size, each with its ``most`` best surviving partners behind those it has named before."""
-    side, skey, comps, sizes, equal_after, key_after = (unit[c].to_numpy() for c in ("side", "skey", "component", "n", "bound", "last"))
+def unit_links(unit: pa.Table, limit: int, bars: list[int]) -> list[tuple[int, int]]:
+    """Links that join the components of one unit: each pair of sets from different ones is pruned by batches, and survivors are decided on their full sets.
+
+    Sets come in order of size. Once a link has joined two components their other pairs need no decision.
+    """
+    side, skey, comps, sizes = (unit[c].to_numpy() for c in ("side", "skey", "component", "n"))
     if (comps == comps[0]).all():
-        return
+        return []
     bits = joined(unit["bits"].combine_chunks(), np.uint8).reshape(-1, HASHES)
+    _, elements = np.unique(joined(unit["shared"].combine_chunks(), np.uint64), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    own = np.zeros(int(elements.max()) + 1, bool)
+    root = np.unique(comps, return_inverse=True)[1]
     across = bool((side != side[0]).any())
     upto = np.searchsorted(sizes, sizes * 100 // limit, "right")
+    out = []
     for k in range(len(sizes) - 1):
-        if equal_after[k] < 0:
-            continue
         rest = np.arange(k + 1, int(upto[k]))
-        rest = rest[(comps[rest] != comps[k]) & ((side[rest] != side[k]) if across else True)]
-        left, equal = survivors(bits[k], bits[rest], bars)
-        rest = rest[left]
-        new = (equal < equal_after[k]) | (equal == equal_after[k]) & (skey[rest] > key_after[k])
-        rest, equal = rest[new], equal[new]
-        if len(rest):
-            best = np.lexsort((skey[rest], -equal))[:most]
-            yield int(skey[k]), skey[rest[best]], len(rest) > most, int(equal[best[-1]]), int(skey[rest[best[-1]]])
-
+        rest = rest[(root[rest] != root[k]) & ((side[rest] != side[k]) if across else True)]
+        rest = rest[survivors(bits[k], bits[rest], bars)[0]]
+        if not len(rest):
+            continue
+        mine = elements[starts[k] : starts[k] + sizes[k]]
+        own[mine] = True
+        n = sizes[rest]
+        both = np.add.reduceat(own[elements[gather(starts[rest], n)]].astype(np.int64), np.cumsum(n) - n)
+        own[mine] = False
+        for r in rest[100 * both >= limit * (sizes[k] + n - both)].tolist():
+            if root[r] != root[k]:
+                out.append((int(skey[k]), int(skey[r])))
+                root[root == root[r]] = root[k]
+    return out
 
-def _naming(limit: int, bars: list[int], most: int):
-    kinds = {"unit": pa.int64(), "skey": pa.int64(), "partners": pa.list_(pa.int64()), "more": pa.bool_(), "bound": pa.int64(), "last": pa.int64()}
 
-    def naming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linking(limit: int, bars: list[int]):
+    def linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in order of unit; one unit is held at a time."""
         now, held = None, []
 
-        def named() -> Iterator[pa.RecordBatch]:
-            rows = [(now, *r) for r in _partners(pa.Table.from_batches(held), limit, bars, most)] if held else []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
+        def links() -> Iterator[pa.RecordBatch]:
+            found = unit_links(pa.Table.from_batches(held), limit, bars) if held else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
         for batch in batches:
             for s, c in zip(*(x.tolist() for x in runs(batch.column(0).to_numpy()))):
                 part = batch.slice(s, c)
                 if now != part.column(0)[0].as_py():
-                    yield from named()
+                    yield from links()
                     now, held = part.column(0)[0].as_py(), []
                 held.append(part)
-        yield from named()
-
-    return naming
-
-
-def _by_rounds(sets: DataFrame, full: DataFrame, units: DataFrame, labels: DataFrame, checked: DataFrame, limit: int, bars: list[int], scratch: Scratch) -> DataFrame:
-    """Labels after every surviving pair of the units lies in one component or is decided."""
-    rows, most = units.withColumns({"bound": F.lit(HASHES + 1).cast("long"), "last": F.lit(0).cast("long")}), NAMED
-    while True:
-        own = scratch.save(rows.join(labels, "skey", "left").withColumn("component", F.coalesce("component", "skey")))
-        own = own.join(own.groupBy("unit").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("unit"), "unit")
-        rich = own.join(sets.select("skey", "n", "bits"), "skey").select("unit", "side", "skey", "component", "n", "bound", "last", "bits")
-        ordered = rich.repartition(shuffle_partitions(sets.sparkSession), "unit").sortWithinPartitions("unit", "n", "skey")
-        named = scratch.save(ordered.mapInArrow(_naming(limit, bars, most), "unit long, skey long, partners array<long>, more boolean, bound long, last long"))
-        pairs = named.select("skey", F.explode("partners").alias("other")).select(F.least("skey", "other").alias("a"), F.greatest("skey", "other").alias("b")).distinct()
-        new = scratch.save(_verified(pairs.join(checked, ["a", "b"], "left_anti"), full, limit))
-        checked = checked.unionByName(new.select("a", "b"))
-        if not new.where("link").limit(1).isEmpty():
-            labels = _merged(labels, new.where("link"), scratch)
-        more = named.where("more")
-        if more.limit(1).isEmpty():
-            return labels
-        rows = units.join(more.select("unit").distinct(), "unit").join(more.select("unit", "skey", "bound", "last"), ["unit", "skey"], "left")
-        rows = rows.withColumns({"bound": F.coalesce("bound", F.lit(-1)), "last": F.coalesce("last", F.lit(0))})
-        most *= MORE
+        yield from links()
+
+    return linking
+
+
+def _linked_units(units: DataFrame, sets: DataFrame, labels: DataFrame, limit: int, bars: list[int]) -> DataFrame:
+    """Links (a, b) from all units, each held by one task with its sets."""
+    own = units.join(labels, "skey", "left").withColumn("component", F.coalesce("component", "skey"))
+    rich = own.join(sets.select("skey", "n", "bits", "shared"), "skey").select("unit", "side", "skey", "component", "n", "bits", "shared")
+    ordered = rich.repartition(shuffle_partitions(sets.sparkSession), "unit").sortWithinPartitions("unit", "n", "skey")
+    return ordered.mapInArrow(_linking(limit, bars), "a long, b long")
 
 
 def _rooted(docs: DataFrame, size: int, limit: int, miss: float) -> DataFrame:
@@ -250,13 +244,16 @@ def _rooted(docs: DataFrame, size: int, limit: int, miss: float) -> DataFrame:
     filled = rows.where("skey IS NOT NULL")
     first = filled.groupBy("skey").agg(F.min("rkey").alias("rkey"))
     one = filled.groupBy("skey", "rkey").agg(F.count("*").alias("times"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    sets = _banded(one.join(first, ["skey", "rkey"]), scratch)
-    full = scratch.save(_full_sets(docs, sets, size))
-    led = scratch.save(_verified(_pruned(_leaders(sets), sets, bars), full, limit))
-    labels, checked = components(led.where("link"), scratch), led.select("a", "b")
-    units = _units(_tiles(sets, labels, F.col("prefix")), sets, limit, scratch)
-    if not units.limit(1).isEmpty():
-        labels = _by_rounds(sets, full, units, labels, checked, limit, bars, scratch)
+    banded = _banded(one.join(first, ["skey", "rkey"]), scratch)
+    full = _full_sets(docs, banded, size)
+    sets = scratch.save(banded.join(full.select("skey", "shared"), "skey").select("skey", "n", "prefix", "bits", "shared"))
+    led = scratch.save(_verified(_pruned(_leaders(sets), sets, bars), sets, limit).where("link"))
+    labels = components(led, scratch)
+    weighed = sets.withColumn("bits", F.concat("bits", "shared"))  # a unit's bytes are those of both
+    units = _units(_tiles(weighed, labels, F.col("prefix")), sets, limit, scratch)
+    links = scratch.save(_linked_units(units, sets, labels, limit, bars))
+    if not links.limit(1).isEmpty():
+        labels = _merged(labels, links, scratch)
     return rows.join(labels, "skey", "left").select("doc_id", "n_shingles", F.coalesce("component", "skey").alias("root"))
 
 

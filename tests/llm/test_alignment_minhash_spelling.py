@@ -122,11 +122,8 @@ def components_by_sql(texts):
 
 @pytest.mark.parametrize("blocks", [1024, 2])
 def test_minhash(spark, monkeypatch, blocks):
-    """In whole tiles and in units of two documents, one partner named at a time."""
+    """In whole tiles, and in blocks of two documents."""
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", blocks)
-    if blocks == 2:
-        monkeypatch.setattr(minhash, "NAMED", 1)
-        monkeypatch.setattr(minhash, "MORE", 2)
     texts = near_texts()
     want = components_by_sql(texts)
     got = {r["doc_id"]: tuple(r) for r in minhash.near_duplicates(frame(spark, texts)).collect()}
@@ -139,7 +136,7 @@ def test_minhash_of_odd_rows(spark):
     base = " ".join(f"w{k}" for k in range(60))
     rows = [(None, base), (4, base), (4, base), (2, base + " tail"), (None, "words of its own that no other row has at all"), (None, None), (7, "")]
     got = collections.Counter(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == collections.Counter([(None, 56, 2, False), (4, 56, 2, False), (4, 56, 2, False), (2, 57, 2, True), (None, 6, None, True), (None, 0, None, True), (7, 0, 7, True)])
+    assert got == collections.Counter([(None, 56, 2, False), (4, 56, 2, False), (4, 56, 2, False), (2, 57, 2, True), (None, 7, None, True), (None, 0, None, True), (7, 0, 7, True)])
 
 
 def test_posterior_bounds():
