@@ -3,14 +3,24 @@
 A walk goes toward one tree at a time, and every tree takes part. For means the trees are split by hash into blocks of
 bounded size; each block is walked for a number of passes in its own task, and the blocks' ends are combined by weight in a
 tree of merges. A median of blocks' medians is not the median of all, so a walk to a median passes over all trees in one task.
+
+``geometric_median`` has no such task. One job a pass measures all trees from the present place and lets each pull its own copy of it by the same
+length; the place goes to the mean of the copies. With the harmonic mean of the distances as the length that is
+Weiszfeld's iteration, in which every tree's pull weighs by the inverse of its distance. Copies lie close together, so the mean of
+theirs is found in blocks as well as in one go.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .saved import Saved
 from .trees import Edges, geodesic, parse_newick, splits_of
 
 SCHEMA = "walk int, kind string, mask long, d double"
@@ -92,3 +102,113 @@ def random_walks(trees: DataFrame, names: list[str], kind: str = "mean", walks:
     edges = F.transform(F.arrays_zip("masks", "edges"), lambda x: F.struct(F.lit("split").alias("kind"), x["masks"].alias("mask"), x["edges"].alias("d")))
     leaves = F.transform("leaves", lambda d, n: F.struct(F.lit("leaf").alias("kind"), n.cast("long").alias("mask"), d.alias("d")))
     return ends.select("walk", F.explode(F.concat(edges, leaves)).alias("x")).select("walk", "x.kind", "x.mask", "x.d")
+
+
+# medians by one job a pass
+
+Place = tuple[Edges, list[float]]
+#: How much shorter pulls become where they gain nothing, and the shortest ones, as a share of the harmonic mean of the distances.
+SHRINK, LEAST_PULL = 6, 0.003
+PREPARED = "weight double, masks array<long>, edges array<double>, leaves array<double>"
+PULLED = "part long, weight double, loss double, inverse double, masks array<long>, edges array<double>, leaves array<double>"
+TRACE = "pass int, loss double, pull double"
+
+
+def _between(place: Place, other: Place, share: float) -> Place:
+    """The point at ``share`` of the way; trees of the same edges lie on a straight line."""
+    if place[0].keys() == other[0].keys():
+        return {e: (1 - share) * d + share * other[0][e] for e, d in place[0].items()}, [(1 - share) * x + share * y for x, y in zip(place[1], other[1])]
+    return geodesic(place, other).point(share)
+
+
+def _prepared(trees: DataFrame, names: list[str]) -> DataFrame:
+    """weight, masks, edges, leaves of every tree (newick, maybe weight: 1 where missing or null); trees without weight take no part."""
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [splits_of(parse_newick(t), names) for t in batch.column(0).to_pylist()]
+            arrays = [[list(e) for e, _ in found], [list(e.values()) for e, _ in found], [x for _, x in found]]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(a, pa.list_(t)) for a, t in zip(arrays, (pa.int64(), pa.float64(), pa.float64())))], ["weight", "masks", "edges", "leaves"])
+
+    weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in trees.columns else F.lit(1.0)
+    rows = trees.where("newick IS NOT NULL").select("newick", weight.alias("weight")).where("weight > 0")
+    return rows.mapInArrow(parsed, PREPARED)
+
+
+def _row(place: Place) -> tuple[list[int], list[float], list[float]]:
+    return list(place[0]), list(place[0].values()), list(place[1])
+
+
+def _mean_of_parts(pulled: DataFrame, parts: int) -> tuple[Place, float, float, float] | None:
+    """The parts' places merged by weight in a tree, with the sums of weights, losses and inverse distances."""
+
+    def merged(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("part")
+        place, total = None, 0.0
+        for r in own.itertuples():
+            here, total = ({int(m): d for m, d in zip(r.masks, r.edges)}, list(r.leaves)), total + r.weight
+            place = here if place is None else _between(place, here, r.weight / total)
+        return pd.DataFrame([(int(own["part"].iloc[0]) // FAN, total, own["loss"].sum(), own["inverse"].sum(), *_row(place))], columns=own.columns)
+
+    while parts > 1:
+        parts = -(-parts // FAN)
+        pulled = pulled.groupBy(F.floor(F.col("part") / FAN).alias("of")).applyInPandas(lambda own: merged(own), PULLED)
+    r = pulled.first()
+    return r and (({int(m): d for m, d in zip(r["masks"], r["edges"])}, list(r["leaves"])), r["weight"], r["loss"], r["inverse"])
+
+
+def _pull(trees: DataFrame, place: Place | None, length: float) -> tuple[Place, float, float, float] | None:
+    """One job: the mean of copies of ``place`` that every tree has pulled by ``length``, as above; without a place, the mean of the trees."""
+    parts = trees.rdd.getNumPartitions()
+
+    def pulled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        mean, total, loss, inverse = None, 0.0, 0.0, 0.0
+        for batch in batches:
+            for weight, masks, edges, leaves in zip(*(c.to_pylist() for c in batch.columns)):
+                copy: Place = (dict(zip(masks, edges)), leaves)
+                if place is not None:
+                    way = geodesic(place, copy)
+                    d = way.length()
+                    loss, inverse = loss + weight * d, inverse + weight / max(d, 1e-12)
+                    copy = way.point(min(1.0, length / d)) if d > 0 else place
+                total += weight
+                mean = copy if mean is None else _between(mean, copy, weight / total)
+        if mean is not None:
+            columns = [[TaskContext.get().partitionId()], [total], [loss], [inverse], *([x] for x in _row(mean))]
+            kinds = [pa.int64(), *[pa.float64()] * 3, pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "weight", "loss", "inverse", "masks", "edges", "leaves"])
+
+    return _mean_of_parts(trees.mapInArrow(pulled, PULLED), parts)
+
+
+def geometric_median(trees: DataFrame, names: list[str], passes: int = 60, enough: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+    """(walk, kind, mask, d) of the tree with the least weighted sum of distances to all ``trees``, as ``random_walks`` gives ends, and the trace (pass, loss, pull).
+
+    From the trees' mean on it goes by the harmonic mean of the distances. Where a pass gains less than ``enough`` of the loss, it goes back to the
+    best place and pulls a SHRINK-th as far, since the mean of copies in many orthants is off by a part of the pull; it ends below LEAST_PULL
+    of the harmonic mean, or after ``passes`` passes. Rows without a newick text or a positive weight take no part; without trees there are no rows.
+    """
+    spark = trees.sparkSession
+    own = Saved(spark, "median").save(_prepared(trees, names))
+    start = _pull(own, None, 0.0)
+    if start is None:
+        return spark.createDataFrame([], SCHEMA), spark.createDataFrame([], TRACE)
+    place = best = start[0]
+    _, weight, _, inverse = _pull(own, place, 0.0)
+    pull, shrink, least, trace = weight / inverse, 1.0, math.inf, []
+    for k in range(passes):
+        after, weight, loss, inverse = _pull(own, place, pull)
+        trace.append((k, loss, pull))
+        enough_gained = loss < least * (1 - enough)
+        if loss < least:
+            best, least = place, loss
+        if not enough_gained:
+            shrink /= SHRINK
+            if shrink < LEAST_PULL:
+                break
+        pull = shrink * weight / inverse
+        place = after if enough_gained else _pull(own, best, pull)[0]
+    rows = [(0, "split", int(m), float(d)) for m, d in best[0].items()] + [(0, "leaf", k, float(d)) for k, d in enumerate(best[1])]
+    return spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(trace, TRACE)

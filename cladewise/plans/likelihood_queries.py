@@ -62,7 +62,9 @@ def frechet_mean(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def geometric_median(spark: SparkSession, folder: str) -> DataFrame:
-    return tree_means.random_walks(_sample(spark, folder), LEAVES, "median").withColumn("d", F.round("d", 6))
+    """The tree of least summed distance to all trees, by one job a pass."""
+    found, _ = tree_means.geometric_median(_sample(spark, folder), LEAVES)
+    return found.withColumn("d", F.round("d", 6))
 
 
 @query()

@@ -125,3 +125,38 @@ def test_partition_estimates_against_all_pairs(spark):
     assert len(got) == 6 and got[1, 3] == 0
     best = partitions.estimates(d).where("is_median").collect()
     assert [r["sample"] for r in best] == [min(range(4), key=lambda s: round(sum(x for k, x in got.items() if s in k), 9))]
+
+
+def random_tree(rng):
+    while True:
+        names = list(NAMES)
+        rng.shuffle(names)
+        text = f"(({names[0]}:{rng.random():.4f},{names[1]}:{rng.random():.4f}):{rng.random():.4f},({names[2]}:{rng.random():.4f},{names[3]}:{rng.random():.4f}):{rng.random():.4f}"
+        return text + "".join(f",{n}:{rng.random():.4f}" for n in names[4:]) + ");"
+
+
+def test_median_by_passes_is_as_good_as_a_long_walk(spark):
+    rng = random.Random(11)
+    near = [random_tree(rng)] * 1
+    texts = [random_tree(rng) for _ in range(60)] + near * 10
+    rows = [(k, t, float(1 + k % 3)) for k, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "tree long, newick string, weight double").repartition(5)
+    own = [(tree(t), w) for _, t, w in rows]
+    loss = lambda place: sum(w * trees.geodesic(place, t).length() for t, w in own)
+    found, trace = tree_means.geometric_median(table, NAMES)
+    got = found.collect()
+    place = ({r["mask"]: r["d"] for r in got if r["kind"] == "split"}, [r["d"] for r in sorted((r for r in got if r["kind"] == "leaf"), key=lambda r: r["mask"])])
+    walked = tree_means.walk([t for t, _ in own], [w for _, w in own], 4000, tree_means.toward_median)
+    assert loss(place) <= 1.002 * loss(walked)
+    steps = [r["loss"] for r in trace.orderBy("pass").collect()]
+    assert min(steps) < steps[0] and abs(min(steps) - loss(place)) < 1e-6 * steps[0]
+
+
+def test_median_of_odd_tables(spark):
+    none = spark.createDataFrame([(1, None)], "tree long, newick string")
+    found, trace = tree_means.geometric_median(none, NAMES)
+    assert found.count() == 0 and trace.count() == 0
+    text = random_tree(random.Random(1))
+    one = tree_means.geometric_median(spark.createDataFrame([(1, text), (2, text), (3, None)], "tree long, newick string"), NAMES)[0]
+    edges, _ = trees.splits_of(trees.parse_newick(text), NAMES)
+    assert {r["mask"]: round(r["d"], 6) for r in one.where("kind = 'split'").collect()} == {m: round(d, 6) for m, d in edges.items()}
