@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.operators import alignments, dirichlet_process, integrated, simulation, splicing, tree_gradients, tree_means, tree_sampler, trees, variational
+from cladewise.operators import alignments, dirichlet_process, divergence, integrated, simulation, splicing, tree_gradients, tree_means, tree_sampler, trees, variational
 from cladewise.registry import query
 
 from . import bindings as b
@@ -124,6 +124,14 @@ def variational_dirichlet(spark: SparkSession, folder: str) -> DataFrame:
     return a.join(fit, "codes").select("aln", "pos", *(F.round(F.col("xi")[k], 5).alias(f"xi{k}") for k in range(5)))
 
 
+@query()
+def column_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Divergence of each distinct column's closest Dirichlet distribution from its posterior, by stratified sampling, with its error."""
+    fit = variational.pattern_approximations(alignments.patterns(b.alignment_blocks(spark, folder)), TREE, TAXA, ALPHA)
+    targets = divergence.column_targets(fit.withColumn("key", F.xxhash64("codes")), TREE, TAXA, ALPHA)
+    return divergence.divergences(targets, ALPHA, 4000, 4)
+
+
 @query()
 def simulate_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """As many columns as the folder's alignment blocks have."""
