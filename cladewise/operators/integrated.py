@@ -6,6 +6,7 @@ holds it, and joined back. The draws are made anew in every task from the seed;
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -96,3 +97,38 @@ def entropy_histogram(spark: SparkSession, letters: int, n: int, bins: int = BIN
 
     sums = spark.range(-(-n // 1000)).mapInPandas(drawn, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
     return sums.where("n > 0").withColumn("pdf", F.col("n") * bins / F.lit(float(n)))
+
+
+def _fingerprint(counts: DataFrame, columns: Sequence[str], parameters: dict) -> str:
+    """Of the parameters and of the distinct count vectors, whatever their order, number of copies or other columns."""
+    vectors = counts.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna().distinct()
+    own = vectors.agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(k), *columns)).alias(f"h{k}") for k in range(2))).first()
+    return json.dumps({"parameters": parameters, "columns": len(columns), "vectors": list(own)}, sort_keys=True)
+
+
+class StaleMarginals(ValueError):
+    """Stored marginals are of other counts or parameters."""
+
+
+def stored_marginals(counts: DataFrame, columns: Sequence[str], make: Callable[[], Evaluate], parameters: dict, folder: str, renew: bool = False) -> DataFrame:
+    """``marginals`` by way of a table in ``folder``, which is made where there is none.
+
+    ``parameters`` names all that ``make`` depends on. A table that was made from other parameters or other count vectors is refused with
+    ``StaleMarginals``, or made anew with ``renew``. The fingerprint is written last, so a table cut short counts as none.
+    """
+    spark, own = counts.sparkSession, _fingerprint(counts, columns, parameters)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/fingerprint/_SUCCESS")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    if there and not renew:
+        found = spark.read.schema("value string").text(f"{folder}/fingerprint").first()
+        if found is None or found["value"] != own:
+            raise StaleMarginals(f"{folder} holds marginals of other counts or parameters")
+    known = [F.col(c).cast("double").alias(c) for c in columns]
+    if not there or renew:
+        vectors = counts.select(*known).dropna().distinct()
+        marginals(vectors, columns, make).write.mode("overwrite").parquet(f"{folder}/marginals")
+        spark.createDataFrame([(own,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/fingerprint")
+    schema = ", ".join(f"{c} double" for c in columns) + ", logml double"
+    table = spark.read.schema(schema).parquet(f"{folder}/marginals").select(*(F.col(c).alias(f"__{c}") for c in columns), "logml")
+    same = [counts[c].cast("double") == table[f"__{c}"] for c in columns]
+    return counts.join(table, same, "left").drop(*(f"__{c}" for c in columns))

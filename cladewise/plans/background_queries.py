@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.operators import backgrounds
+from cladewise.operators import alignment_blocks, backgrounds, integrated, logo, saved
 from cladewise.registry import query
 
 from . import bindings as b
@@ -101,3 +101,43 @@ def mixture_background_trace(spark: SparkSession, folder: str) -> DataFrame:
     """Rounds of the same mixture until no column changes its component: how many did, and the log probability."""
     _, trace = backgrounds.fit_mixture(column_counts(spark, folder), COLUMNS, list(COMPONENTS), WEIGHTS)
     return trace.withColumn("log_likelihood", F.round("log_likelihood", 4))
+
+
+_PRIOR = [1.0, 1.0, 1.0, 1.0, 2.0]
+_WHOLE = f"(c0 + c1 + c2 + c3 + c4 + {sum(_PRIOR)})"
+
+
+@query(f"""WITH {_PATTERNS}, most AS (SELECT max(c0 + c1 + c2 + c3 + c4) AS most FROM columns_)
+SELECT aln, pos, round({" + ".join(f"(c{k} + {p}) / {_WHOLE} * ({_digamma_sql(f'(c{k} + {p + 1})')} - ({math.log(p / sum(_PRIOR))!r}))" for k, p in enumerate(_PRIOR))} - {_digamma_sql(f'({_WHOLE} + 1.0)')}, 6) + 0.0 AS entropy,
+round((c0 + c1 + c2 + c3 + c4) / most::DOUBLE, 6) AS weight FROM columns_, most""")
+def logo_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Relative entropy and weight of every alignment column, as a logo shows them."""
+    found = logo.logo_entropy(column_counts(spark, folder), COLUMNS, _PRIOR)
+    return found.select("aln", "pos", (F.round("entropy", 6) + F.lit(0.0)).alias("entropy"), F.round("weight", 6).alias("weight"))
+
+
+@query()
+def logo_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """Credible intervals of the columns' relative entropies, one row per distinct column."""
+    found = logo.entropy_intervals(column_counts(spark, folder), COLUMNS, _PRIOR)
+    return found.withColumns({c: F.round(c, 6) for c in ("low", "high")})
+
+
+@query("""WITH RECURSIVE r AS (SELECT source AS file, doc_id, lang AS taxon, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents),
+p AS (SELECT *, lag(pos) OVER (PARTITION BY file, taxon ORDER BY pos) AS prev FROM r),
+jump AS (SELECT r.file, r.pos, min(p.pos) AS stop FROM r JOIN p ON p.file = r.file AND p.prev >= r.pos AND p.taxon IS NOT NULL GROUP BY r.file, r.pos),
+starts AS (SELECT DISTINCT file, CAST(0 AS BIGINT) AS pos FROM r UNION ALL SELECT s.file, j.stop FROM starts s JOIN jump j ON j.file = s.file AND j.pos = s.pos)
+SELECT r.file, r.doc_id, r.pos, count(*) - 1 AS block FROM r JOIN starts s ON s.file = r.file AND s.pos <= r.pos GROUP BY r.file, r.doc_id, r.pos""")
+def block_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of the documents of each source, in order of id: one ends where a language comes again."""
+    d = b.table(spark, folder, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("at"), F.lit(0).alias("rec"), "doc_id", F.col("lang").alias("taxon"))
+    return alignment_blocks.blocks_of(d).select("file", "doc_id", "pos", "block")
+
+
+@query()
+def cached_background(spark: SparkSession, folder: str) -> DataFrame:
+    """Marginals of the columns' counts under gamma pseudocounts, from a stored table with a fingerprint of what it was made of."""
+    make, store = lambda: integrated.gamma_prior(5, 5.0, 0.2, integrated.DRAWS, 1), saved.Saved(spark, "marginals").base
+    counts = column_counts(spark, folder)
+    found = integrated.stored_marginals(counts, COLUMNS, make, {"prior": "gamma", "shape": 5.0, "scale": 0.2, "draws": integrated.DRAWS, "seed": 1}, store)
+    return found.select("aln", "pos", F.round("logml", 6).alias("logml"))
