@@ -26,10 +26,12 @@ SKIPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr img".split())
-NEVER_TEXT = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head", "header", "fieldset", "datalist", "input"}
-NEVER_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form", "toolbar"}
-#: Words of class and id attributes that mark what isn't the article.
-NEVER_CLASS = set(
+#: Elements whose text is no text of the page at all.
+NEVER_TEXT = {"form", "menu", "dialog", "button", "head", "fieldset", "datalist", "input"}
+#: Hints that a block isn't of the article: elements, roles, and words of class and id attributes.
+HINT_TAGS = {"nav", "footer", "aside", "header"}
+HINT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form", "toolbar"}
+HINT_WORDS = set(
     "ad ads adv advert adverts advertisement advertising advertorial adsense sponsor sponsored promo promotion promoted banner "
     "sidebar side aside rail widget widgets nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager "
     "header masthead topbar footer bottombar cookie cookies consent gdpr notice notices notification alert popup modal overlay "
@@ -39,12 +41,18 @@ NEVER_CLASS = set(
 MAIN_TAGS, MAIN_ROLES = {"article", "main"}, {"main", "article"}
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that hold a block without being a container of blocks.
+HOLDERS = HEADINGS | set("p li dt dd td th tr tbody thead tfoot caption pre blockquote figcaption summary address".split())
 #: What keeps a new block inside an open paragraph from ending it.
 HOLDS_P = ("table", "td", "th", "button", "li")
 STOPS = frozenset(STOP_WORDS)
 #: Words and share of stop words from which a block is text; a share of link characters above ``LINKED`` isn't.
 LONG, LONG_STOPS, MIDDLE, MIDDLE_STOPS, LINKED = 25, 0.12, 12, 0.25, 0.5
 GOOD, BAD, OPEN = 1, -1, 0
+#: How much further away text in another container counts.
+APART = 2
+#: The part of the fullest container's text below which a container's text isn't decided by itself.
+SMALL = 0.2
 
 
 @dataclass
@@ -53,6 +61,8 @@ class Block:
     main: bool
     heading: bool
     link_chars: int
+    container: int = 0
+    hints: int = 0
     label: int = OPEN
 
 
@@ -63,6 +73,7 @@ class _Open:
     tag: str
     never: bool
     main: bool
+    hint: bool
     serial: int
     blocks: int
     gone: bool = False
@@ -74,11 +85,13 @@ class _Stack:
     def __init__(self) -> None:
         self.stack: list[_Open] = []
         self.by_tag: dict[str, list[_Open]] = {}
-        self.never = self.main = self.headings = self.links = self.blocks = self.serial = 0
+        self.containers: list[int] = [0]
+        self.never = self.main = self.hints = self.headings = self.links = self.blocks = self.serial = 0
 
     def _count(self, e: _Open, by: int) -> None:
         self.never += by * e.never
         self.main += by * e.main
+        self.hints += by * e.hint
         self.headings += by * (e.tag in HEADINGS)
         self.links += by * (e.tag == "a")
         self.blocks += by * (e.tag not in INLINE)
@@ -87,10 +100,12 @@ class _Stack:
         found = self.by_tag.get(tag)
         return found[-1] if found else None
 
-    def push(self, tag: str, never: bool, main: bool) -> None:
+    def push(self, tag: str, never: bool, main: bool, hint: bool) -> None:
         self.serial += 1
-        e = _Open(tag, never, main, self.serial, self.blocks)
+        e = _Open(tag, never, main, hint, self.serial, self.blocks)
         self.stack.append(e)
+        if tag not in INLINE and tag not in HOLDERS:
+            self.containers.append(e.serial)
         self.by_tag.setdefault(tag, []).append(e)
         self._count(e, 1)
 
@@ -103,6 +118,8 @@ class _Stack:
             return
         while True:
             top = self.stack.pop()
+            if top.serial == self.containers[-1]:
+                self.containers.pop()
             if not top.gone:
                 self.by_tag[top.tag].pop()
                 self._count(top, -1)
@@ -122,17 +139,19 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)} if "=" in text or text.strip(" /") else {}
 
 
-def _never(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
-    if tag in NEVER_TEXT and not (tag == "header" and in_main):
+def _never(tag: str, attrs: dict[str, str]) -> bool:
+    if tag in NEVER_TEXT or attrs.get("aria-hidden") == "true" or "hidden" in attrs:
         return True
-    if attrs.get("role", "").lower() in NEVER_ROLE or attrs.get("aria-hidden") == "true" or "hidden" in attrs:
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")))
+
+
+def _hint(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
+    if tag in HINT_TAGS and not (tag == "header" and in_main) or attrs.get("role", "").lower() in HINT_ROLES:
         return True
     words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", attrs.get("class", "") + " " + attrs.get("id", "")).lower()))
     if tag in ("body", "html", "article", "main") and not words & {"comment", "comments", "ad", "advert", "sponsored", "related"}:
         return False
-    if words & NEVER_CLASS:
-        return True
-    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")))
+    return bool(words & HINT_WORDS)
 
 
 def _tag_end(page: str, at: int, lost: set[str]) -> int:
@@ -162,7 +181,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal link
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, open_.main > 0, open_.headings > 0, link))
+            out.append(Block(text, open_.main > 0, open_.headings > 0, link, open_.containers[-1], open_.hints))
         parts.clear()
         link = 0
 
@@ -210,8 +229,8 @@ def blocks_of(page: str) -> list[Block]:
         open_.make_room(tag)
         found = _attributes(attrs)
         is_main = tag in MAIN_TAGS or found.get("role", "").lower() in MAIN_ROLES
-        never = _never(tag, found, open_.main > 0 or is_main)
-        open_.push(tag, never, is_main and not never)
+        hint = _hint(tag, found, open_.main > 0 or is_main)
+        open_.push(tag, _never(tag, found), is_main and not hint, hint)
     flush()
     return out
 
@@ -233,37 +252,72 @@ def _decide(b: Block, stops: frozenset[str]) -> int:
 def classify(blocks: list[Block], stops: frozenset[str] = STOPS) -> list[Block]:
     """Label every block.
 
-    Open blocks take the label of the nearer decided neighbour on the same side of the article's border, a heading that of
-    the next one; of two as near, text wins. Where no block is decided as text, open ones are text, and if an article is marked, only those inside.
+    First each by itself: links, stop words and length decide long blocks. Hints of elements, roles and class words turn a block down, but not where hinted
+    blocks hold more text than all others. A marked article turns down blocks outside it if it has text; without a mark, a block of text whose
+    container holds a SMALL part of what the fullest one does is open again, and where no block is text, the fullest containers are. Then open blocks inherit (``_inherit``).
     """
     for b in blocks:
         b.label = _decide(b, stops)
-    good = [b for b in blocks if b.label == GOOD]
-    marked = any(b.main for b in good) or not good and any(b.main for b in blocks)
+    size = lambda own: sum(len(b.text) for b in own)
+    plain = [b for b in blocks if not b.hints and b.label != BAD]
+    heeded = any(b.label == GOOD or b.main and not b.heading for b in plain) or size(plain) >= size(b for b in blocks if b.hints and b.label == GOOD)
     for b in blocks:
-        if marked and not b.main:
+        if heeded and b.hints:
             b.label = BAD
-    if not good:
+    inside = [b for b in blocks if b.main and b.label != BAD]
+    good = [b for b in inside if b.label == GOOD]
+    marked = bool(good) or bool(inside) and size(inside) >= size(b for b in blocks if b.label == GOOD)
+    if marked:
         for b in blocks:
-            b.label = b.label or GOOD
-        return blocks
-    sides: list[list[tuple[int, int] | None]] = []
-    for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
-        near, found = {True: None, False: None}, [None] * len(blocks)
-        for k in order:
-            b = blocks[k]
-            found[k] = near[b.main]
-            if b.label:
-                near[b.main] = (k, b.label)
-        sides.append(found)
-    for k, b in enumerate(blocks):
-        if b.label == OPEN:
-            before, after = sides[0][k], sides[1][k]
-            near = [after] if b.heading and after else [x for x in (before, after) if x]
-            b.label = min(near, key=lambda x: (abs(x[0] - k), -x[1]))[1] if near else GOOD if b.main else BAD
+            b.label = BAD if not b.main else b.label if good else b.label or GOOD
+    else:
+        held: dict[int, int] = {}
+        for b in blocks:
+            if b.label != BAD:
+                held[b.container] = held.get(b.container, 0) + len(b.text)
+        fullest = max(held.values(), default=0)
+        for b in blocks:
+            if b.label == GOOD and held[b.container] < SMALL * fullest:
+                b.label = OPEN
+        if not any(b.label == GOOD for b in blocks):
+            for b in blocks:
+                if b.label == OPEN and 3 * held[b.container] >= fullest:
+                    b.label = GOOD
+    _inherit(blocks, marked)
     return blocks
 
 
+def _inherit(blocks: list[Block], marked: bool) -> None:
+    """Second pass: open blocks take a label from the nearest decided neighbours.
+
+    Between two of text a block is text. A heading has the label of the next one. At the margins a block in the container of its neighbour
+    of text is text too; another one takes the nearer label, where a page without a marked article ends in one that isn't text, and text in another container counts
+    as APART places further.
+    """
+    n = len(blocks)
+    before, after = [-1] * n, [n] * n
+    for k in range(1, n):
+        before[k] = k - 1 if blocks[k - 1].label else before[k - 1]
+    for k in range(n - 2, -1, -1):
+        after[k] = k + 1 if blocks[k + 1].label else after[k + 1]
+    decided = [b.label for b in blocks]
+    for k, b in enumerate(blocks):
+        if decided[k]:
+            continue
+        sides = [(abs(j - k), decided[j] if 0 <= j < n else BAD, j) for j in (before[k], after[k]) if not marked or 0 <= j < n]
+        text = [s for s in sides if s[1] == GOOD]
+        if len(text) == len(sides):
+            b.label = GOOD
+        elif b.heading and (not marked or after[k] < n):
+            b.label = sides[-1][1]
+        elif not text:
+            b.label = BAD
+        else:
+            same = blocks[text[0][2]].container == b.container
+            other = min(s[0] for s in sides if s[1] == BAD)
+            b.label = GOOD if marked and text[0][0] <= other or same or text[0][0] + APART < other else BAD
+
+
 def main_text(page: str | None) -> str:
     return " ".join(b.text for b in classify(blocks_of(page or "")) if b.label == GOOD)
 

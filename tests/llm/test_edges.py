@@ -154,16 +154,44 @@ def naive_labels(blocks):
     """The two passes as their docstrings say, with a search over all blocks for each open one."""
     from cladewise.llm import html_text as h
 
-    first = [h._decide(b, h.STOPS) for b in blocks]
-    good = [k for k, x in enumerate(first) if x == h.GOOD]
-    marked = any(blocks[k].main for k in good) or not good and any(b.main for b in blocks)
-    first = [h.BAD if marked and not b.main else x for b, x in zip(blocks, first)]
+    label, everyone = [h._decide(b, h.STOPS) for b in blocks], range(len(blocks))
+    size = lambda own: sum(len(blocks[k].text) for k in own)
+    plain = [k for k in everyone if not blocks[k].hints and label[k] != h.BAD]
+    hinted = [k for k in everyone if blocks[k].hints and label[k] == h.GOOD]
+    decided_plain = [k for k in plain if label[k] == h.GOOD or blocks[k].main and not blocks[k].heading]
+    if decided_plain or size(plain) >= size(hinted):
+        label = [h.BAD if blocks[k].hints else label[k] for k in everyone]
+    inside = [k for k in everyone if blocks[k].main and label[k] != h.BAD]
+    marked = any(label[k] == h.GOOD for k in inside) or bool(inside) and size(inside) >= size(k for k in everyone if label[k] == h.GOOD)
+    if marked:
+        text = any(label[k] == h.GOOD for k in inside)
+        label = [h.BAD if not blocks[k].main else label[k] if text else label[k] or h.GOOD for k in everyone]
+    else:
+        held = {c: size(k for k in everyone if blocks[k].container == c and label[k] != h.BAD) for c in {b.container for b in blocks}}
+        label = [h.OPEN if label[k] == h.GOOD and held[blocks[k].container] < h.SMALL * max(held.values()) else label[k] for k in everyone]
+        if h.GOOD not in label:
+            label = [h.GOOD if label[k] == h.OPEN and 3 * held[blocks[k].container] >= max(held.values()) else label[k] for k in everyone]
     out = []
-    for k, (b, x) in enumerate(zip(blocks, first)):
-        sides = [(abs(j - k), -y, j) for j, y in enumerate(first) if y and blocks[j].main == b.main]
-        before, after = [s for s in sides if s[2] < k], [s for s in sides if s[2] > k]
-        near = [min(after)] if b.heading and after else [min(s) for s in (before, after) if s]
-        out.append(x or (h.GOOD if not good else min(near)[1] * -1 if near else h.GOOD if b.main else h.BAD))
+    for k in everyone:
+        before = max((j for j in range(k) if label[j]), default=-1)
+        after = min((j for j in range(k + 1, len(blocks)) if label[j]), default=len(blocks))
+        ends = {j: label[j] if 0 <= j < len(blocks) else None if marked else h.BAD for j in (before, after)}
+        met = [x for x in ends.values() if x is not None]
+        near = {x: min((abs(j - k) for j in ends if ends[j] == x), default=None) for x in (h.GOOD, h.BAD)}
+        if label[k]:
+            out.append(label[k])
+        elif all(x == h.GOOD for x in met):
+            out.append(h.GOOD)
+        elif blocks[k].heading and ends[after] is not None:
+            out.append(ends[after])
+        elif near[h.GOOD] is None:
+            out.append(h.BAD)
+        elif marked:
+            same = any(ends[j] == h.GOOD and blocks[j].container == blocks[k].container for j in ends)
+            out.append(h.GOOD if near[h.GOOD] <= near[h.BAD] or same or near[h.GOOD] + h.APART < near[h.BAD] else h.BAD)
+        else:
+            same = any(ends[j] == h.GOOD and blocks[j].container == blocks[k].container for j in ends)
+            out.append(h.GOOD if same or near[h.GOOD] + h.APART < near[h.BAD] else h.BAD)
     return out
 
 
@@ -173,12 +201,13 @@ def test_html_labels_against_the_plain_rules():
     from cladewise.llm import html_text as h
 
     rng = random.Random(6)
-    for _ in range(300):
-        blocks = []
+    for _ in range(600):
+        blocks, container, kinds = [], 0, rng.choice([(0, 0.4), (0.2, 0.4), (0, 0)])
         for _ in range(rng.randrange(12)):
             words = [rng.choice(["the", "of", "and", "house", "tree", "river"]) for _ in range(rng.choice([1, 3, 14, 30]))]
             text = " ".join(words)
-            blocks.append(h.Block(text, rng.random() < 0.4, rng.random() < 0.2, rng.choice([0, 0, len(text)])))
+            container += rng.random() < 0.4
+            blocks.append(h.Block(text, rng.random() < kinds[1], rng.random() < 0.2, rng.choice([0, 0, len(text)]), container, int(rng.random() < kinds[0])))
         want = naive_labels(blocks)
         assert [b.label for b in h.classify(blocks)] == want
 
