@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.operators import alignments, dirichlet_process, divergence, integrated, simulation, splicing, tree_gradients, tree_means, tree_sampler, trees, variational
+from cladewise.operators import alignments, dirichlet_process, divergence, integrated, simulation, splicing, symbolic, tree_gradients, tree_means, tree_sampler, trees, variational
 from cladewise.registry import query
 
 from . import bindings as b
@@ -124,6 +124,13 @@ def variational_dirichlet(spark: SparkSession, folder: str) -> DataFrame:
     return a.join(fit, "codes").select("aln", "pos", *(F.round(F.col("xi")[k], 5).alias(f"xi{k}") for k in range(5)))
 
 
+@query()
+def symbolic_polynomials(spark: SparkSession, folder: str) -> DataFrame:
+    """Polynomials of all distinct columns, expanded from the tree's terms over sets of leaves."""
+    found = symbolic.expanded_columns(alignments.patterns(b.alignment_blocks(spark, folder)), TREE, TAXA, len(ALPHA))
+    return found.select(F.array_join("codes", ",").alias("codes"), "n", F.array_join("exponents", ",").alias("exponents"), F.round("coefficient", 9).alias("coefficient"))
+
+
 @query()
 def column_divergence(spark: SparkSession, folder: str) -> DataFrame:
     """Divergence of each distinct column's closest Dirichlet distribution from its posterior, by stratified sampling, with its error."""
