@@ -58,3 +58,23 @@ def translate_codons(seq: Column) -> Column:
     starts = F.sequence(F.lit(1), F.length(seq) - 2, F.lit(3))
     codons = F.transform(starts, lambda i: F.coalesce(F.element_at(table, F.upper(F.substring(seq, i, F.lit(3)))), F.lit("X")))
     return F.when(F.length(seq) < 3, F.lit("")).otherwise(F.array_join(codons, ""))
+
+
+def alphabetic(seq: Column, alphabet: str) -> Column:
+    """Whether every letter belongs to the alphabet, in either case; true for an empty sequence."""
+    return F.translate(F.upper(seq), alphabet.upper(), "") == ""
+
+
+def ordinals(seq: Column, alphabet: str) -> Column:
+    """Places of the letters in the alphabet as an array, -1 for others."""
+    return F.transform(F.filter(F.split(seq, ""), lambda x: x != ""), lambda x: (F.instr(F.lit(alphabet), F.upper(x)) - 1).cast("int"))
+
+
+def characters(places: Column, alphabet: str) -> Column:
+    """The letters at these places; a place outside the alphabet gives no letter."""
+    return F.array_join(F.transform(places, lambda k: F.when(k >= 0, F.substring(F.lit(alphabet), k + 1, F.lit(1))).otherwise("")), "")
+
+
+def first_alphabet(seq: Column, alphabets: dict[str, str]) -> Column:
+    """Name of the first alphabet that has all letters of the sequence; null if none has."""
+    return F.coalesce(*(F.when(alphabetic(seq, letters), F.lit(name)) for name, letters in alphabets.items()))

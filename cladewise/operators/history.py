@@ -53,3 +53,12 @@ def running_logsumexp(value: Column, window) -> Column:
     """Log of the running sum of exponentials, safe for large values."""
     most = F.max(value).over(window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return most + F.log(F.sum(F.exp(value - most)).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def value_lines(history: DataFrame, chains: int, value: str = "posterior") -> DataFrame:
+    """(step, line): a table's lines ``x y1 y2 ...`` with the chains' values by step in six decimals; step 0 is the header. Chains are 0 to ``chains`` - 1; steps that not all have are left out."""
+    wide = history.groupBy("step").pivot("chain", list(range(chains))).agg(F.max(value))
+    names = [str(k) for k in range(chains)]
+    line = F.concat_ws(" ", F.col("step").cast("string"), *(F.format_string("%.6f", F.col(f"`{k}`")) for k in names))
+    header = history.sparkSession.createDataFrame([(0, " ".join(["x", *(f"y{k + 1}" for k in range(chains))]))], "step int, line string")
+    return header.unionByName(wide.where(" AND ".join(f"`{k}` IS NOT NULL" for k in names)).select(F.col("step").cast("int").alias("step"), line.alias("line")))

@@ -103,3 +103,12 @@ def motif_counts(elements: DataFrame, sites: DataFrame, length: int) -> DataFram
     swap = {0: 3, 1: 2, 2: 1, 3: 0, 4: 4}
     sums = [F.sum(F.when(F.col("reverse"), F.col(f"c{swap[k]}")).otherwise(F.col(f"c{k}"))).alias(f"c{k}") for k in range(5)]
     return met.groupBy("cluster", "offset").agg(*sums)
+
+
+def site_kinds(sites: DataFrame, elements: DataFrame, length: int) -> DataFrame:
+    """``sites`` (seq, pos) with ``is_start``, whether an element (seq, pos) starts there, and ``is_background``, whether none covers the place."""
+    starts = elements.select("seq", "pos").distinct()
+    covered = starts.select("seq", F.explode(F.sequence("pos", F.col("pos") + (length - 1))).alias("pos"), F.col("pos").alias("first"))
+    covered = covered.groupBy("seq", "pos").agg(F.max((F.col("pos") == F.col("first")).cast("int")).alias("__start"))
+    found = sites.join(covered, ["seq", "pos"], "left")
+    return found.withColumns({"is_start": F.coalesce("__start", F.lit(0)) == 1, "is_background": F.col("__start").isNull()}).drop("__start")

@@ -176,3 +176,19 @@ def polynomial_multiply(spark: SparkSession, folder: str) -> DataFrame:
     u = t.select("user_id", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("c").alias("c2"))
     m = t.join(u, "user_id").groupBy("user_id", (F.col("a") + F.col("a2")).alias("a"), (F.col("b") + F.col("b2")).alias("b")).agg(F.sum(F.col("c") * F.col("c2")).alias("c"))
     return m.where("c <> 0")
+
+
+@query(f"""WITH {b.HISTORY}, w AS (SELECT step, {", ".join(f"max(CASE WHEN chain = {k} THEN posterior END) AS y{k}" for k in range(4))} FROM history GROUP BY step)
+SELECT 0 AS step, 'x y1 y2 y3 y4' AS line UNION ALL
+SELECT CAST(step AS INT), printf('%d %.6f %.6f %.6f %.6f', step, y0, y1, y2, y3) FROM w WHERE y0 IS NOT NULL AND y1 IS NOT NULL AND y2 IS NOT NULL AND y3 IS NOT NULL""")
+def posterior_value_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The four chains' posterior values as lines of a table."""
+    return h.value_lines(b.history(spark, folder), 4)
+
+
+@query(f"""WITH {b.counts_sql()}, g AS (SELECT user_id, {", ".join(f"(floor((c{k} + 0.234) * 100 - 0.5) + 1) / 100 AS g{k}" for k in range(5))}, (floor((c0 + c1 + c2 + c3 + c4 + 5 * 0.234) * 100 - 0.5) + 1) / 100 AS total FROM counts)
+SELECT user_id, round({" + ".join(f"lgamma(g{k})" for k in range(5))} - lgamma(total), 6) + 0.0 AS lbeta FROM g""")
+def grid_log_beta(spark: SparkSession, folder: str) -> DataFrame:
+    """Log beta functions of counts and pseudocounts from log gamma values on a grid of hundredths."""
+    c = b.counts(spark, folder)
+    return c.select("user_id", (F.round(mathx.grid_lbeta([x + 0.234 for x in b.count_columns()]), 6) + F.lit(0.0)).alias("lbeta"))

@@ -271,3 +271,24 @@ def append_alignments(spark: SparkSession, folder: str) -> DataFrame:
     """Every alignment and behind it its own first columns."""
     a = b.alignment_blocks(spark, folder)
     return alignments.append(a, alignments.site_slice(a, 0, 20)).select("aln", F.col("pos").cast("long").alias("pos"), F.array_join("codes", "").alias("codes"))
+
+
+@query(f"""WITH {b.SEQ}
+SELECT doc_id, translate(seq, 'GATC', '') = '' AS is_dna, md5(array_to_string(list_transform(range(1, length(seq) + 1), lambda i: strpos('GATC', substr(seq, i, 1)) - 1), ',')) AS places,
+md5(regexp_replace(seq, '[^GATC]', '', 'g')) AS letters, CASE WHEN translate(seq, 'GATC', '') = '' THEN 'dna' WHEN translate(seq, 'GATC-', '') = '' THEN 'gapped' WHEN translate(seq, 'GATC-N', '') = '' THEN 'missing' END AS alphabet FROM seqs""")
+def alphabet_helpers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sequence: whether it is of four letters, digests of its letters' places and of the letters they give, and the first alphabet that has all of them."""
+    places, seq = alphabet.ordinals(F.col("seq"), "GATC"), F.col("seq")
+    kinds = {"dna": "GATC", "gapped": "GATC-", "missing": "GATC-N"}
+    s = b.sequences(spark, folder)
+    return s.select("doc_id", alphabet.alphabetic(seq, "GATC").alias("is_dna"), F.md5(F.array_join(places, ",")).alias("places"), F.md5(alphabet.characters(places, "GATC")).alias("letters"), alphabet.first_alphabet(seq, kinds).alias("alphabet"))
+
+
+@query(f"""WITH {b.SITES}, e AS (SELECT doc_id, doc_id % 20 AS first FROM seqs WHERE length(seq) >= 40)
+SELECT s.doc_id AS seq, s.pos, coalesce(s.pos = e.first, false) AS is_start, NOT coalesce(s.pos BETWEEN e.first AND e.first + 9, false) AS is_background
+FROM sites s LEFT JOIN e ON e.doc_id = s.doc_id""")
+def site_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Which places of every sequence start an element, and which none covers."""
+    s = b.sites(spark, folder).select(F.col("doc_id").alias("seq"), "pos")
+    elements = b.sequences(spark, folder).where(F.length("seq") >= 40).select(F.col("doc_id").alias("seq"), (F.col("doc_id") % 20).cast("int").alias("pos"))
+    return motifs.site_kinds(s, elements, 10)

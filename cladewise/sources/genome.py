@@ -113,3 +113,8 @@ def trim_to_regions(rows: DataFrame, found: DataFrame, species: str) -> DataFram
     letters = lambda x: F.length(F.regexp_replace(x, "-", "")).cast("long")
     met = rows.join(cut, block).withColumns({"gone": F.substring(F.col("text"), F.lit(1), F.col("left")), "text": F.substring(F.col("text"), F.col("left") + 1, F.col("right") - F.col("left"))})
     return met.select("id", *block, "rec", "src", (F.col("start") + letters(F.col("gone"))).alias("start"), letters(F.col("text")).alias("size"), "strand", "src_size", "text")
+
+
+def clear_names(records: DataFrame, column: str = "src") -> DataFrame:
+    """``records`` with sources cut before their first dot, so that contigs of one species share its name."""
+    return records.withColumn(column, F.element_at(F.split(F.col(column), r"\."), 1))

@@ -68,3 +68,10 @@ def test_partitions(spark, tmp_path):
         (1, "other", 8, 2, 0, False),
     ]
     assert [r["value"] for r in partitions.partition_lines(found.orderBy("line")).collect()] == lines
+
+
+def test_names_are_cleared_before_the_first_dot(spark):
+    from cladewise.sources.genome import clear_names
+
+    rows = clear_names(spark.createDataFrame([("hg19.chr1.x",), ("mm",), ("",), (None,)], "src string")).collect()
+    assert [r["src"] for r in rows] == ["hg19", "mm", "", None]
