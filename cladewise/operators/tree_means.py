@@ -1,7 +1,7 @@
 """Means and medians in the space of trees, by walks along geodesics.
 
 A walk goes toward one tree at a time, and every tree takes part. For means the trees are split by hash into blocks of
-bounded size; each block is walked for a number of passes in its own task, and the blocks' ends are combined by weight in a
+bounded size; each block is walked for a number of passes, thousands of blocks side by side in a task (``tree_arrays``), and the blocks' ends are combined by weight in a
 tree of merges. A median of blocks' medians is not the median of all, so a walk to a median passes over all trees in one task.
 
 ``geometric_median`` has no such task. One job a pass measures all trees from the present place and lets each pull its own copy of it by the same
@@ -15,18 +15,22 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tree_arrays
 from .saved import Saved
-from .trees import Edges, geodesic, parse_newick, splits_of
+from .trees import Edges, geodesic, parse_newick, split_reader, splits_of
 
 SCHEMA = "walk int, kind string, mask long, d double"
 ENDS = "walk int, block long, weight double, masks array<long>, edges array<double>, leaves array<double>"
 #: Trees that a block has on average, and ends that one task merges.
 BLOCK_TREES, FAN = 256, 16
+#: Walks of blocks that a task takes side by side, and the trees whose arrays it holds at a time.
+SIDE_BY_SIDE, HELD = 8192, 1 << 21
 
 
 def step_size(k: int, slow: float = 1.0) -> float:
@@ -74,9 +78,8 @@ def random_walks(trees: DataFrame, names: list[str], kind: str = "mean", walks:
     weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in trees.columns else F.lit(1.0)
     rows = trees.where("newick IS NOT NULL").select("tree", "newick", weight.alias("weight"))
     blocks = 1 if kind == "median" else max(1, -(-rows.count() // BLOCK_TREES))
-    rows = rows.withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))))
-    rows = rows.withColumn("h", F.xxhash64("tree", "newick", "walk", F.lit(seed)))
-    rows = rows.withColumn("block", F.pmod("h", F.lit(blocks)))
+    cores = trees.sparkSession.sparkContext.defaultParallelism
+    block = F.pmod("h", F.lit(blocks)).alias("block")
 
     def ended(own: pd.DataFrame, weight: float, place: tuple[Edges, list[float]]) -> pd.DataFrame:
         edges = sorted(place[0].items())
@@ -86,19 +89,29 @@ def random_walks(trees: DataFrame, names: list[str], kind: str = "mean", walks:
     def walked(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["h", "tree", "newick"])
         found, weights = [splits_of(parse_newick(t), names) for t in own["newick"]], own["weight"].tolist()
-        start = merge(found, weights) if kind == "median" else None  # the steps to a median are too short to come from afar
-        place = walk(found, weights, steps * len(own) - (start is None), share, start)
-        return ended(own, float(own["weight"].sum()), place)
+        start = merge(found, weights)  # the steps to a median are too short to come from afar
+        return ended(own, float(own["weight"].sum()), walk(found, weights, steps * len(own), share, start))
 
     def merged(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("block").assign(block=own["block"].min() // FAN)
         places = [({int(m): d for m, d in zip(r.masks, r.edges)}, list(r.leaves)) for r in own.itertuples()]
         return ended(own, float(own["weight"].sum()), merge(places, own["weight"].tolist()))
 
-    ends = rows.groupBy("walk", "block").applyInPandas(walked, ENDS)
+    if kind == "median":
+        every = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"))
+        ends = every.withColumn("h", F.xxhash64("tree", "newick", "walk", F.lit(seed))).select("*", block).groupBy("walk", "block").applyInPandas(walked, ENDS)
+    else:
+        # a text is read once, before the walks, and its rows stay small; the number of tasks is given, as sizes in bytes don't tell how long the walks are
+        hashes = F.array(*(F.xxhash64("tree", "newick", F.lit(w), F.lit(seed)) for w in range(walks)))
+        parsed = _parsed(rows.select(F.struct("tree", F.xxhash64("tree", "newick").alias("text"), hashes.alias("h")).alias("key"), "newick", "weight").repartition(4 * cores), names)
+        placed = parsed.select("key.tree", "key.text", F.posexplode("key.h").alias("walk", "h"), *PREPARED_COLUMNS).select("*", block)
+        tasks = cores * -(-walks * blocks // (SIDE_BY_SIDE * cores))
+        dealt = placed.repartition(tasks, "walk", "block").sortWithinPartitions("walk", "block", "h", "tree", "text").select("walk", "block", *PREPARED_COLUMNS)
+        ends = dealt.mapInArrow(_walks_side_by_side(steps), ENDS)
     while blocks > 1:
         blocks = -(-blocks // FAN)
-        ends = ends.groupBy("walk", F.floor(F.col("block") / FAN).alias("part")).applyInPandas(merged, ENDS)
+        part = F.floor(F.col("block") / FAN).alias("part")
+        ends = ends.select("*", part).repartition(min(4 * cores, walks * blocks), "walk", "part").groupBy("walk", "part").applyInPandas(lambda own: merged(own.drop(columns="part")), ENDS)
     edges = F.transform(F.arrays_zip("masks", "edges"), lambda x: F.struct(F.lit("split").alias("kind"), x["masks"].alias("mask"), x["edges"].alias("d")))
     leaves = F.transform("leaves", lambda d, n: F.struct(F.lit("leaf").alias("kind"), n.cast("long").alias("mask"), d.alias("d")))
     return ends.select("walk", F.explode(F.concat(edges, leaves)).alias("x")).select("walk", "x.kind", "x.mask", "x.d")
@@ -110,6 +123,7 @@ Place = tuple[Edges, list[float]]
 #: How much shorter pulls become where they gain nothing, and the shortest ones, as a share of the harmonic mean of the distances.
 SHRINK, LEAST_PULL = 6, 0.003
 PREPARED = "weight double, masks array<long>, edges array<double>, leaves array<double>"
+PREPARED_COLUMNS = ["weight", "masks", "edges", "leaves"]
 PULLED = "part long, weight double, loss double, inverse double, masks array<long>, edges array<double>, leaves array<double>"
 TRACE = "pass int, loss double, pull double"
 
@@ -121,18 +135,96 @@ def _between(place: Place, other: Place, share: float) -> Place:
     return geodesic(place, other).point(share)
 
 
-def _prepared(trees: DataFrame, names: list[str]) -> DataFrame:
-    """weight, masks, edges, leaves of every tree (newick, maybe weight: 1 where missing or null); trees without weight take no part."""
+def _parsed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(key, weight, masks, edges, leaves) of rows (key, newick, weight)."""
+    key = rows.schema["key"].dataType.simpleString()
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = split_reader(names)
         for batch in batches:
-            found = [splits_of(parse_newick(t), names) for t in batch.column(0).to_pylist()]
+            found = [read(t) for t in batch.column(1).to_pylist()]
             arrays = [[list(e) for e, _ in found], [list(e.values()) for e, _ in found], [x for _, x in found]]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(a, pa.list_(t)) for a, t in zip(arrays, (pa.int64(), pa.float64(), pa.float64())))], ["weight", "masks", "edges", "leaves"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(a, pa.list_(t)) for a, t in zip(arrays, (pa.int64(), pa.float64(), pa.float64())))], ["key", *PREPARED_COLUMNS])
+
+    return rows.mapInArrow(parsed, f"key {key}, {PREPARED}")
 
+
+def _prepared(trees: DataFrame, names: list[str]) -> DataFrame:
+    """weight, masks, edges, leaves of every tree (newick, maybe weight: 1 where missing or null), dealt evenly; trees without weight take no part."""
     weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in trees.columns else F.lit(1.0)
-    rows = trees.where("newick IS NOT NULL").select("newick", weight.alias("weight")).where("weight > 0")
-    return rows.mapInArrow(parsed, PREPARED)
+    rows = trees.where("newick IS NOT NULL").select(F.lit(0).alias("key"), "newick", weight.alias("weight")).where("weight > 0")
+    return _parsed(rows.repartition(4 * trees.sparkSession.sparkContext.defaultParallelism), names).drop("key")
+
+
+def _arrays(rows: pa.Table | pa.RecordBatch, more: list[int] = []) -> tuple[list[int], np.ndarray] | None:
+    """All edges that occur, those of ``more`` too, and an array as in ``tree_arrays``; None where they are too many."""
+    flat = lambda name: pa.concat_arrays([c.flatten() for c in rows.column(name).chunks]) if isinstance(rows, pa.Table) else rows.column(name).flatten()
+    masks, at = np.unique(flat("masks").to_numpy(), return_inverse=True)
+    if len(masks) + len(more) > tree_arrays.MOST_EDGES:
+        return None
+    every = sorted({*masks.tolist(), *more})
+    counts = np.concatenate([c.value_lengths().to_numpy() for c in rows.column("masks").chunks]) if isinstance(rows, pa.Table) else rows.column("masks").value_lengths().to_numpy()
+    leaves = flat("leaves").to_numpy().reshape(rows.num_rows, -1)
+    out = np.zeros((len(every) + leaves.shape[1], rows.num_rows))
+    out[np.searchsorted(every, masks)[at] if len(at) else at, np.repeat(np.arange(rows.num_rows), counts)] = flat("edges").to_numpy()
+    out[len(every) :] = leaves.T
+    return every, out
+
+
+def _tree(masks: list[int], column: np.ndarray) -> Place:
+    n = len(masks)
+    return {m: float(d) for m, d in zip(masks, column[:n]) if d > 0}, column[n:].tolist()
+
+
+def _ends(rows: pa.Table, first: np.ndarray, sizes: np.ndarray, steps: int) -> list[Place]:
+    """Ends of the walks over trees ``first[k]`` to ``first[k] + sizes[k] - 1``."""
+    arrays, weights = _arrays(rows), rows.column("weight").to_numpy()
+    if arrays is None:
+        places = [({m: d for m, d in zip(r["masks"], r["edges"])}, r["leaves"]) for r in rows.select(["masks", "edges", "leaves"]).to_pylist()]
+        return [walk(places[a : a + n], weights[a : a + n].tolist(), steps * n - 1, toward_mean) for a, n in zip(first.tolist(), sizes.tolist())]
+    masks, trees = arrays
+    # lengths that all trees share stay as they are
+    low = trees.min(1)
+    moves = np.flatnonzero((low < trees.max(1)) | (np.arange(len(low)) < len(masks)))
+    found = np.repeat(low[:, None], len(first), 1)
+    found[moves] = tree_arrays.mean_walks(tree_arrays.Space(masks), trees[moves], weights, first, sizes, steps)
+    return [_tree(masks, found[:, k]) for k in range(len(first))]
+
+
+def _walks_side_by_side(steps: int):
+    """Walks toward means over blocks of rows (walk, block, weight, masks, edges, leaves) in order of block: one row (ENDS) each."""
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 2]
+
+        def done(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+            first, sizes = cuts[:-1], np.diff(cuts)
+            ends = [(sorted(edges.items()), leaves) for edges, leaves in _ends(rows, first, sizes, steps)]
+            walk, block, weight = (rows.column(c).to_numpy() for c in ("walk", "block", "weight"))
+            columns = [walk[first], block[first], np.add.reduceat(weight, first), [[m for m, _ in e] for e, _ in ends], [[d for _, d in e] for e, _ in ends], [x for _, x in ends]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["walk", "block", *PREPARED_COLUMNS])
+
+        def cuts_of(rows: pa.Table) -> np.ndarray:
+            walk, block = rows.column("walk").to_numpy(), rows.column("block").to_numpy()
+            return np.r_[0, np.flatnonzero((walk[1:] != walk[:-1]) | (block[1:] != block[:-1])) + 1, len(walk)]
+
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD:
+                rows = pa.Table.from_batches(held)
+                cuts = cuts_of(rows)
+                if len(cuts) > 2:  # the last block may go on
+                    yield done(rows.slice(0, cuts[-2]), cuts[:-1])
+                    held = rows.slice(cuts[-2]).to_batches()
+                    n = int(cuts[-1] - cuts[-2])
+        if n:
+            rows = pa.Table.from_batches(held)
+            yield done(rows, cuts_of(rows))
+
+    return walked
 
 
 def _row(place: Place) -> tuple[list[int], list[float], list[float]]:
@@ -157,6 +249,44 @@ def _mean_of_parts(pulled: DataFrame, parts: int) -> tuple[Place, float, float,
     return r and (({int(m): d for m, d in zip(r["masks"], r["edges"])}, list(r["leaves"])), r["weight"], r["loss"], r["inverse"])
 
 
+def _held(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.Table]:
+    """Batches together, as arrays gain by their width."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= most:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pulled(rows: pa.Table, place: Place | None, length: float) -> Iterator[tuple[Place, float, float, float]]:
+    """Means of pulled copies with their weight, and the sums of weighted distances and inverse distances: one for all rows, or one a row where their edges are too many for an array."""
+    arrays = _arrays(rows, list(place[0]) if place else [])
+    weights = rows.column("weight").to_numpy()
+    if arrays is None:
+        for weight, masks, edges, leaves in zip(*(c.to_pylist() for c in rows.columns)):
+            copy: Place = (dict(zip(masks, edges)), leaves)
+            d = 0.0
+            if place is not None:
+                way = geodesic(place, copy)
+                d = way.length()
+                copy = way.point(min(1.0, length / d)) if d > 0 else place
+            yield copy, weight, weight * d, weight / max(d, 1e-12)
+        return
+    masks, trees = arrays
+    space, d = tree_arrays.Space(masks), np.zeros(len(weights))
+    if place is not None:
+        start = np.array([*(place[0].get(m, 0.0) for m in masks), *place[1]])[:, None]
+        d = space.lengths(start, trees)
+        trees = space.between(start, trees, np.minimum(1.0, length / np.maximum(d, 1e-300)))
+    mean, weight = space.mean(trees, weights)
+    yield _tree(masks, mean), weight, float(weights @ d), float((weights / np.maximum(d, 1e-12)).sum())
+
+
 def _pull(trees: DataFrame, place: Place | None, length: float) -> tuple[Place, float, float, float] | None:
     """One job: the mean of copies of ``place`` that every tree has pulled by ``length``, as above; without a place, the mean of the trees."""
     parts = trees.rdd.getNumPartitions()
@@ -165,16 +295,10 @@ def _pull(trees: DataFrame, place: Place | None, length: float) -> tuple[Place,
         from pyspark import TaskContext
 
         mean, total, loss, inverse = None, 0.0, 0.0, 0.0
-        for batch in batches:
-            for weight, masks, edges, leaves in zip(*(c.to_pylist() for c in batch.columns)):
-                copy: Place = (dict(zip(masks, edges)), leaves)
-                if place is not None:
-                    way = geodesic(place, copy)
-                    d = way.length()
-                    loss, inverse = loss + weight * d, inverse + weight / max(d, 1e-12)
-                    copy = way.point(min(1.0, length / d)) if d > 0 else place
-                total += weight
-                mean = copy if mean is None else _between(mean, copy, weight / total)
+        for rows in _held(batches):
+            for here, weight, d, close in _pulled(rows, place, length):
+                mean = here if mean is None else _between(mean, here, weight / (total + weight))
+                total, loss, inverse = total + weight, loss + d, inverse + close
         if mean is not None:
             columns = [[TaskContext.get().partitionId()], [total], [loss], [inverse], *([x] for x in _row(mean))]
             kinds = [pa.int64(), *[pa.float64()] * 3, pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
