@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters in the order of their codes. N (nucleotides) and X (proteins) are missing data, code -1.
@@ -52,12 +57,44 @@ def wrap(seq: Column, width: int = 80) -> Column:
     return F.regexp_replace(F.regexp_replace(seq, f"(.{{{width}}})", "$1\n"), "\n$", "")
 
 
-def translate_codons(seq: Column) -> Column:
-    """Amino acids of a sequence read in frame; incomplete or unknown codons give X."""
-    table = F.create_map(*[F.lit(v) for i, a in enumerate(CODON_BASES) for j, b in enumerate(CODON_BASES) for k, c in enumerate(CODON_BASES) for v in (a + b + c, CODON_ACIDS[16 * i + 4 * j + k])])
-    starts = F.sequence(F.lit(1), F.length(seq) - 2, F.lit(3))
-    codons = F.transform(starts, lambda i: F.coalesce(F.element_at(table, F.upper(F.substring(seq, i, F.lit(3)))), F.lit("X")))
-    return F.when(F.length(seq) < 3, F.lit("")).otherwise(F.array_join(codons, ""))
+def _codon_codes() -> np.ndarray:
+    """Letter of each triple of places in CODON_BASES; place 4 is of any other letter."""
+    out = np.full((5, 5, 5), ord("X"), np.uint8)
+    out[:4, :4, :4] = np.frombuffer(CODON_ACIDS.encode(), np.uint8).reshape(4, 4, 4)
+    return out
+
+
+def translated(texts: pa.Array) -> pa.Array:
+    """Amino acids of ASCII or other texts, read in frame: all codons of an array at once."""
+    texts = texts.cast(pa.large_string())
+    ascii_only = pc.all(pc.string_is_ascii(texts)).as_py()
+    if ascii_only is False:  # places are those of letters, not of bytes
+        texts = pc.replace_substring_regex(texts, "[^\\x00-\\x7F]", "N")
+    place = np.full(256, 4, np.intp)
+    for k, c in enumerate(CODON_BASES):
+        place[[ord(c), ord(c.lower())]] = k
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    sizes = np.diff(offsets) // 3
+    ends = np.r_[0, np.cumsum(sizes)]
+    data = texts.buffers()[2]
+    letters = place[np.frombuffer(data, np.uint8)] if data is not None and ends[-1] else np.zeros(0, np.intp)
+    first = np.repeat(offsets[:-1] - 3 * ends[:-1], sizes) + 3 * np.arange(ends[-1])
+    acids = _codon_codes()[letters[first], letters[first + 1], letters[first + 2]] if ends[-1] else np.zeros(0, np.uint8)
+    valid = texts.is_valid() if texts.null_count else None
+    out = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(acids))])
+    return pc.if_else(valid, out, pa.scalar(None, pa.large_string())) if valid is not None else out
+
+
+def translate_codons(rows: DataFrame, seq: str, name: str) -> DataFrame:
+    """``rows`` with the amino acids of the sequences in ``seq``, read in frame, as ``name`` in their place; unknown codons give X, an incomplete last codon nothing."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != seq)
+
+    def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others = [n for n in batch.schema.names if n != seq]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in others), translated(batch.column(seq)).cast(pa.string())], [*others, name])
+
+    return rows.mapInArrow(translate, f"{fields}, `{name}` string")
 
 
 def alphabetic(seq: Column, alphabet: str) -> Column:

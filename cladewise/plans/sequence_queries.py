@@ -185,8 +185,8 @@ SELECT doc_id, array_to_string(list_transform(range(0, length(seq) // 3), lambda
 substr('{alphabet.CODON_ACIDS}', 16 * (instr('{alphabet.CODON_BASES}', seq[3 * i + 1]) - 1) + 4 * (instr('{alphabet.CODON_BASES}', seq[3 * i + 2]) - 1) + instr('{alphabet.CODON_BASES}', seq[3 * i + 3]), 1) END), '') AS protein FROM u""")
 def codon_translate(spark: SparkSession, folder: str) -> DataFrame:
     """Gaps go first; a codon with N gives X and an incomplete last codon nothing."""
-    s = b.sequences(spark, folder)
-    return s.select("doc_id", alphabet.translate_codons(alphabet.ungap(F.col("seq"))).alias("protein"))
+    s = b.sequences(spark, folder).select("doc_id", alphabet.ungap(F.col("seq")).alias("seq"))
+    return alphabet.translate_codons(s, "seq", "protein")
 
 
 @query(f"""WITH {b.SEQ} SELECT doc_id, lower(replace(seq, '-', '')) AS ungapped, regexp_replace(seq, '[^GATC]', 'N', 'g') AS masked,
