@@ -1,16 +1,18 @@
 """Dirichlet process mixture of bivariate normal distributions with a known covariance, sampled in blocks.
 
 Given the mixture's weights and means the points are independent, so a sweep over all points is one
-Spark job without Python: each point takes the component of the largest score with Gumbel noise from a
-hash of its id. The weights (broken sticks, until what is left weighs less than ``rest``, whatever the number of components) and means
+Spark job: each point takes the component of the largest score with Gumbel noise from a
+hash of its id, a batch of points at a time. The weights (broken sticks, until what is left weighs less than ``rest``, whatever the number of components) and means
 are drawn on the driver from one row of sums per component. Nothing is stored by point; the assignments of any sweep can be computed again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +45,29 @@ def log_density(x: Column, y: Column, mx: Column, my: Column, sigma) -> Column:
 
 def assigned(points: DataFrame, state: State, model: Model, seed: int) -> DataFrame:
     """``points`` (i, x, y) with ``cluster`` and ``logp``, the log density under that cluster. Points with a null are left out."""
-    parts = [F.struct(F.lit(k).alias("k"), F.lit(float(np.log(w))).alias("lw"), F.lit(float(m[0])).alias("mx"), F.lit(float(m[1])).alias("my")) for k, (w, m) in enumerate(zip(state.weights, state.means)) if w > 1e-12]
-
-    def scored(c: Column) -> Column:
-        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(state.step), c["k"], F.col("i")), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
-        p = log_density(F.col("x"), F.col("y"), c["mx"], c["my"], model.sigma)
-        return F.struct((c["lw"] + p - F.log(-F.log(u))).alias("score"), c["k"].alias("k"), p.alias("logp"))
-
-    best = points.select("i", "x", "y").dropna().withColumn("best", F.array_max(F.transform(F.array(*parts), scored)))
-    return best.select("i", "x", "y", F.col("best.k").alias("cluster"), F.col("best.logp").alias("logp"))
+    kept = np.flatnonzero(state.weights > 1e-12)
+    logs, means = np.log(state.weights[kept]), state.means[kept]
+    inv = np.linalg.inv(np.array(model.sigma))
+    base = float(np.log(2 * np.pi) + 0.5 * np.log(np.linalg.det(model.sigma)))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).cast(pa.float64()).to_numpy() for c in (1, 2))
+            best, cluster, density = (np.full(len(x), v, t) for v, t in ((-np.inf, float), (-1, np.int32), (0.0, float)))
+            for n, k in enumerate(kept.tolist()):
+                u = ((batch.column(3 + n).to_numpy() & ((1 << 52) - 1)) + 0.5) / float(1 << 52)
+                dx, dy = x - means[n, 0], y - means[n, 1]
+                p = -0.5 * (inv[0, 0] * dx * dx + (inv[0, 1] + inv[1, 0]) * dx * dy + inv[1, 1] * dy * dy) - base
+                score = logs[n] + p - np.log(-np.log(u))
+                better = score >= best  # of equal scores the last component's
+                best, density = np.where(better, score, best), np.where(better, p, density)
+                cluster[better] = k
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(cluster), pa.array(density)], ["i", "x", "y", "cluster", "logp"])
+
+    hashes = (F.xxhash64(F.lit(seed), F.lit(state.step), F.lit(k), F.col("i")).alias(f"h{k}") for k in kept.tolist())
+    rows = points.select("i", "x", "y").dropna().select("i", "x", "y", *hashes)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(placed, f"i {kinds['i']}, x {kinds['x']}, y {kinds['y']}, cluster int, logp double")
 
 
 def _drawn(sums: dict[int, tuple[int, float, float]], model: Model, rng: np.random.Generator, step: int) -> State:
