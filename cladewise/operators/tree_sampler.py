@@ -38,7 +38,10 @@ def _shape(node: Node) -> str:
 
 
 def log_posteriors(patterns: DataFrame, roots: list[Node], taxa: list[str], alpha: list[float], shape: float, scale: float) -> list[float]:
-    """Of every tree, from the distinct columns (codes, n) in one job with partial sums."""
+    """Of every tree, from the distinct columns (codes, n) or their ``alike_columns``, in one job with partial sums."""
+    from .tree_gradients import alike_columns
+
+    alike = patterns if "own" in patterns.columns else alike_columns(patterns)
     # lengths go apart from the text, which has six decimals and leaves edges of length 0 out
     texts, lengths = [_shape(r) for r in roots], [[n.d for n in nodes(r)] for r in roots]
 
@@ -49,12 +52,19 @@ def log_posteriors(patterns: DataFrame, roots: list[Node], taxa: list[str], alph
                 n.d = d
         for batch in batches:
             sums = [0.0] * len(own)
-            for codes, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for codes, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                # letters of the same prior weights give the same value
+                kinds: dict[tuple[float, ...], int] = {}
+                for m in members:
+                    order = [*m["letters"], *(k for k in range(len(alpha)) if k not in m["letters"])]
+                    prior = tuple(alpha[k] for k in order)
+                    kinds[prior] = kinds.get(prior, 0) + m["n"]
                 for k, root in enumerate(own):
-                    sums[k] += n * log_marginal(column_polynomial(root, dict(zip(taxa, codes)), len(alpha)), alpha)
+                    poly = column_polynomial(root, dict(zip(taxa, codes)), len(alpha))
+                    sums[k] += sum(n * log_marginal(poly, list(prior)) for prior, n in kinds.items())
             yield pa.RecordBatch.from_arrays([pa.array(range(len(own)), pa.int32()), pa.array(sums, pa.float64())], ["tree", "x"])
 
-    total = patterns.select("codes", F.col("n").cast("long").alias("n")).mapInArrow(summed, "tree int, x double").groupBy("tree").agg(F.sum("x").alias("x"))
+    total = alike.select("codes", "own").mapInArrow(summed, "tree int, x double").groupBy("tree").agg(F.sum("x").alias("x"))
     likelihood = {r["tree"]: r["x"] for r in total.collect()}
     return [likelihood.get(k, 0.0) + log_prior(r, shape, scale) for k, r in enumerate(roots)]
 
@@ -83,8 +93,11 @@ def metropolis_hastings(
     """The trace of one chain for each temperature, with exchanges between neighbouring temperatures after every step.
 
     The last child of the root, where it is a leaf, is the outgroup and keeps its place.
-    Without columns the chains sample the prior. ``patterns`` is evaluated once a step: save it first.
+    Without columns the chains sample the prior. ``patterns`` is read once; the steps read its stored ``alike_columns``.
     """
+    from .tree_gradients import _stored
+
+    patterns = _stored(patterns)
     rng = np.random.default_rng(seed)
     state = [parse_newick(newick) for _ in temperatures]
     now = log_posteriors(patterns, state, taxa, alpha, shape, scale)

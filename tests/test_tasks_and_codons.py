@@ -22,3 +22,35 @@ def test_tasks_of_the_cone_queries_grow_with_the_table(spark, tmp_path, monkeypa
         found = query(spark, str(tmp_path))
         assert "hashpartitioning(pair" in (plan := found._jdf.queryExecution().toString()) and ", 60)" in plan
         assert found.count() == rows
+
+
+def test_chains_read_their_columns_once(spark, monkeypatch):
+    """Columns that differ in the letters' names alone are one evaluation, also under unequal prior weights."""
+    import pytest
+
+    from cladewise.operators import tree_gradients, tree_sampler, trees
+
+    taxa, alpha = ["x", "y", "z"], [0.3, 0.5, 0.2, 1.0]
+    columns = {(0, 1, 1): 3, (2, 0, 0): 1, (3, 2, 2): 2, (1, 1, 1): 5, (-1, 2, 0): 2, (3, -1, 1): 1}
+    p = spark.createDataFrame([(list(c), n) for c, n in columns.items()], "codes array<int>, n long")
+    assert tree_gradients.alike_columns(p).count() == 4
+    root = trees.parse_newick("((x:0.2,y:0.1):0.3,z:0.4);")
+    want = sum(n * trees.log_marginal(trees.column_polynomial(root, dict(zip(taxa, c)), 4), alpha) for c, n in columns.items()) + tree_sampler.log_prior(root, 1.0, 0.1)
+    assert tree_sampler.log_posteriors(p, [root], taxa, alpha, 1.0, 0.1) == [pytest.approx(want)]
+    stored, calls = tree_gradients._stored, []
+    monkeypatch.setattr(tree_gradients, "_stored", lambda x: calls.append(1) or stored(x))
+    assert tree_sampler.metropolis_hastings(p, "((x:0.2,y:0.1):0.3,z:0.4);", taxa, alpha, 2, [1.0]).count() == 2
+    assert calls == [1]
+
+
+def test_points_are_assigned_in_batches(spark):
+    """No function over an array of components, which Spark would interpret point by point."""
+    import numpy as np
+
+    from cladewise.operators import dirichlet_process as dp
+
+    points = spark.createDataFrame([(k, k % 2 * 50.0, 0.0) for k in range(20)] + [(99, None, 1.0)], "i long, x double, y double")
+    state = dp.State(np.array([0.5, 0.0, 0.5]), np.array([[0.0, 0.0], [25.0, 0.0], [50.0, 0.0]]))
+    found = dp.assigned(points, state, dp.Model(), 1)
+    assert "transform(" not in found._jdf.queryExecution().toString()
+    assert sorted((r["i"], r["cluster"]) for r in found.collect()) == [(k, k % 2 * 2) for k in range(20)]
