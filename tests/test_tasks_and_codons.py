@@ -54,3 +54,31 @@ def test_points_are_assigned_in_batches(spark):
     found = dp.assigned(points, state, dp.Model(), 1)
     assert "transform(" not in found._jdf.queryExecution().toString()
     assert sorted((r["i"], r["cluster"]) for r in found.collect()) == [(k, k % 2 * 2) for k in range(20)]
+
+
+def test_alike_columns_are_evaluated_once(spark, monkeypatch):
+    import itertools
+
+    import pyarrow as pa
+    import pytest
+
+    from cladewise.operators import trees
+
+    taxa, text = ["x", "y", "z"], "((x:0.2,y:0.1):0.3,z:0.4);"
+    columns = list(itertools.product(range(-1, 3), repeat=3))
+    for alpha, most in (([0.5] * 3, 15), ([0.5, 0.2, 0.2], 64)):
+        captured = []
+
+        class Table:
+            select = lambda self, *a: self
+            mapInArrow = lambda self, f, schema: captured.append(f)
+
+        trees.pattern_likelihoods(Table(), text, taxa, alpha)
+        calls, plain = [], trees.column_polynomial
+        monkeypatch.setattr(trees, "column_polynomial", lambda *a: calls.append(1) or plain(*a))
+        (found,) = captured[0](iter([pa.RecordBatch.from_arrays([pa.array([list(c) for c in columns]), pa.array([1] * 64)], ["codes", "n"])]))
+        monkeypatch.setattr(trees, "column_polynomial", plain)
+        assert len(calls) <= most
+        for c, r in zip(columns, found.to_pylist()):
+            poly = plain(trees.parse_newick(text), dict(zip(taxa, c)), 3)
+            assert r["logml"] == pytest.approx(trees.log_marginal(poly, alpha)) and r["expectation"] == pytest.approx(trees.expectation(poly, alpha)) and r["n_terms"] == len(poly)
