@@ -105,3 +105,20 @@ def test_many_walks_take_arrays(monkeypatch):
     whole = list(tree_means._walks_side_by_side(4)(iter(rows.to_batches())))
     edges = lambda found: [e for x in found for e in x.column("edges").to_pylist()]
     assert [pytest.approx(e) for e in edges(plain)] == edges(whole)
+
+
+def test_passes_take_arrays(monkeypatch):
+    """A pass to the median measures and pulls all trees of a batch at once, with the distances of single geodesics."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    pool = [trees.splits_of(random_tree(rng), NAMES) for _ in range(5)] * 8
+    weights = [1.0 + k % 3 for k in range(40)]
+    kinds = [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    columns = [weights, [list(e) for e, _ in pool], [list(e.values()) for e, _ in pool], [x for _, x in pool]]
+    rows = pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], tree_means.PREPARED_COLUMNS)
+    ways = [trees.geodesic(pool[0], t) for t in pool]
+    monkeypatch.setattr(tree_means, "geodesic", lambda *a: pytest.fail("one pair at a time"))
+    ((place, weight, loss, _),) = tree_means._pulled(rows, pool[0], 0.0)
+    assert weight == sum(weights) and loss == pytest.approx(sum(w * g.length() for w, g in zip(weights, ways)))
+    assert place[0] == pytest.approx(pool[0][0]) and place[1] == pytest.approx(pool[0][1])
