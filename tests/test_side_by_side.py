@@ -7,7 +7,7 @@ import time
 import numpy as np
 
 from cladewise.operators import binding_sites as bs
-from cladewise.operators import side_by_side
+from cladewise.operators import side_by_side, site_search
 
 
 def _state(lengths: list[int], seed: int = 1, sharp: float = 1.0, temperature: float = 1.0) -> bs.State:
@@ -99,3 +99,9 @@ def test_sweeps_make_their_sequences_once(spark):
     table, made = _read(spark, _SEQS)
     assert bs.sample(table, bs.Model(lengths=(4, 5)), 2, seed=1)[0].count() == 2
     assert made.value == len(_SEQS)
+
+
+def test_populations_make_their_sequences_once_a_call(spark, tmp_path):
+    table, made = _read(spark, _SEQS)
+    assert site_search.population(table, bs.Model(lengths=(4, 5)), 2, 2, f"file://{tmp_path}/states", seed=1).count() == 4
+    assert made.value == len(_SEQS)
