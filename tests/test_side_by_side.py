@@ -105,3 +105,34 @@ def test_populations_make_their_sequences_once_a_call(spark, tmp_path):
     table, made = _read(spark, _SEQS)
     assert site_search.population(table, bs.Model(lengths=(4, 5)), 2, 2, f"file://{tmp_path}/states", seed=1).count() == 4
     assert made.value == len(_SEQS)
+
+
+def test_searches_make_their_sequences_once(spark):
+    table, made = _read(spark, _SEQS)
+    sites = spark.createDataFrame([(0, 0, 7, False), (2, 0, 10, False)], bs.SITES)
+    _, trace = site_search.optimise(table, sites, [5], bs.Model(lengths=(4, 6)), rounds=3, tries=2)
+    assert trace.count() >= 2
+    assert made.value == len(_SEQS)
+
+
+def test_best_sites_of_long_and_short_motifs_equal_one_sequence_at_a_time():
+    rng = np.random.default_rng(9)
+    seqs = [rng.integers(0, 6, n) for n in (1, 3, 9, 40, 700, *rng.integers(1, 90, 60))]
+    tables = [(n, -1.0, np.hstack([rng.normal(0, 1, (n, 5)), np.zeros((n, 1))])) for n in (3, 3, 10)]
+    for many, (seq,) in zip(site_search.best_sites(seqs, tables), ([s] for s in seqs)):
+        best, taken = [0.0], [None]
+        for i in range(1, len(seq) + 1):
+            value, site = best[-1], None
+            for n in (3, 10):
+                ways = [(base + sum((t[::-1][:, bs.COMPLEMENT] if r else t)[j][seq[i - n + j]] for j in range(n)), k, r) for k, (length, base, t) in enumerate(tables) if length == n <= i for r in (False, True)]
+                for own, k, r in ways:
+                    if own + best[i - n] > value + 1e-12:
+                        value, site = own + best[i - n], (i - n, k, r)
+            best.append(value)
+            taken.append(site)
+        found, i = [], len(seq)
+        while i > 0:
+            if taken[i]:
+                found.append(taken[i])
+            i = taken[i][0] if taken[i] else i - 1
+        assert many == found
