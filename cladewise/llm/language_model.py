@@ -39,6 +39,8 @@ COUNTED_TOKENS, RARE = 3_000_000, 500_000
 #: Tokens scored side by side.
 GROUP_TOKENS = 3_000_000
 END = 0
+#: Keeps logarithms of sums finite.
+TINY = np.finfo(np.float32).tiny
 FOLDS, HELD_OUT = 7, 2
 END_WORD = np.uint64(0x656E64)
 FLUSH = 1_000_000
@@ -123,31 +125,32 @@ def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if x.size and x.max() > 60:  # else no exponential of a 32-bit float overflows
         x = x - x.max(1, keepdims=True)
     e = np.exp(x)
-    return e, e @ np.ones(x.shape[1], x.dtype) + np.finfo(x.dtype).tiny, x
+    return e, e @ np.ones(x.shape[1], x.dtype) + TINY, x
 
 
 def _classes_of(target: np.ndarray) -> np.ndarray:
     return np.where(target < HEAD, target // PER_CLASS, target - HEAD + HEAD_CLASSES)
 
 
-def _by_class(cls: np.ndarray, target: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    """Rows of frequent words, class by class, with the class' first word."""
+def _by_class(cls: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, int]]]:
+    """Rows of frequent words in order of class, and each class' part of them with the class' first word."""
     head = np.flatnonzero(target < HEAD)
     order = head[np.argsort(cls[head].astype(np.uint8), kind="stable")]
     start, count = runs(cls[order])
-    for s, c in zip(start.tolist(), count.tolist()):
-        rows = order[s : s + c]
-        yield rows, int(cls[rows[0]]) * PER_CLASS
+    return order, [(slice(s, s + c), k * PER_CLASS) for s, c, k in zip(start.tolist(), count.tolist(), cls[order[start]].tolist())]
 
 
 def log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each target's class, times that of the word inside it for frequent words."""
     cls = _classes_of(target)
     _, total, x = _exp(h @ p["wc"].T + p["bc"])
-    out = x[np.arange(len(target)), cls] - np.log(total)
-    for rows, k in _by_class(cls, target):
-        _, total, x = _exp(h[rows] @ p["wi"][k : k + PER_CLASS].T + p["bi"][k : k + PER_CLASS])
-        out[rows] += x[np.arange(len(rows)), target[rows] - k] - np.log(total)
+    out = np.take(x, np.arange(0, x.size, CLASSES) + cls) - np.log(total)
+    order, parts = _by_class(cls, target)
+    own, place, inside = h[order], target[order] % PER_CLASS, np.empty(len(order), h.dtype)
+    for rows, k in parts:
+        _, total, x = _exp(own[rows] @ p["wi"][k : k + PER_CLASS].T + p["bi"][k : k + PER_CLASS])
+        inside[rows] = np.take(x, np.arange(0, x.size, PER_CLASS) + place[rows]) - np.log(total)
+    out[order] += inside
     return out
 
 
@@ -200,23 +203,25 @@ def gradients(p: dict[str, np.ndarray], given: np.ndarray, target: np.ndarray, h
     count = len(flat)
     cls = _classes_of(flat)
     d, total, x = _exp(hs @ p["wc"].T + p["bc"])
-    at = np.arange(count)
-    loss = float(np.log(total).sum() - x[at, cls].sum())
+    at = np.arange(0, d.size, CLASSES) + cls
+    loss = float(np.log(total).sum() - np.take(x, at).sum())
     d *= (1 / (total * count))[:, None]
-    d[at, cls] -= 1 / count
+    d.reshape(-1)[at] -= 1 / count
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    g["wc"], g["bc"] = d.T @ hs, d.sum(0)
+    g["wc"], g["bc"] = d.T @ hs, np.ones(count, d.dtype) @ d
     dh_out = d @ p["wc"]
-    for rows, k in _by_class(cls, flat):
-        own = hs[rows]
-        e, total, x = _exp(own @ p["wi"][k : k + PER_CLASS].T + p["bi"][k : k + PER_CLASS])
-        at, mine = np.arange(len(rows)), flat[rows] - k
-        loss += float(np.log(total).sum() - x[at, mine].sum())
+    order, parts = _by_class(cls, flat)
+    own, place, back = hs[order], flat[order] % PER_CLASS, np.empty((len(order), HIDDEN), h0.dtype)
+    for rows, k in parts:
+        e, total, x = _exp(own[rows] @ p["wi"][k : k + PER_CLASS].T + p["bi"][k : k + PER_CLASS])
+        at = np.arange(0, e.size, PER_CLASS) + place[rows]
+        loss += float(np.log(total).sum() - np.take(x, at).sum())
         e *= (1 / (total * count))[:, None]
-        e[at, mine] -= 1 / count
-        g["wi"][k : k + PER_CLASS] = e.T @ own
-        g["bi"][k : k + PER_CLASS] = e.sum(0)
-        dh_out[rows] += e @ p["wi"][k : k + PER_CLASS]
+        e.reshape(-1)[at] -= 1 / count
+        g["wi"][k : k + PER_CLASS] = e.T @ own[rows]
+        g["bi"][k : k + PER_CLASS] = np.ones(len(e), e.dtype) @ e
+        back[rows] = e @ p["wi"][k : k + PER_CLASS]
+    dh_out[order] += back
     dh_out = dh_out.reshape(steps, width, HIDDEN)
     da = np.empty((steps, width, 3 * HIDDEN), h0.dtype)
     du = np.empty((steps, width, 3 * HIDDEN), h0.dtype)

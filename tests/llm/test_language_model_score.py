@@ -62,3 +62,28 @@ def test_score_is_that_of_a_plain_forward_pass(spark, monkeypatch):
     for r in rows:
         want = plain_score(words[r["doc_id"]], kept[0], counts)
         assert abs(r["score"] - want) < 1e-5 * max(1.0, abs(want)), (r["doc_id"], r["score"], want)
+
+
+def test_gradients_equal_differences_of_the_loss_for_words_of_few_classes():
+    """Classes without rows, with one and with many; texts end inside the window."""
+    rng = np.random.default_rng(4)
+    p = {k: rng.normal(0, 0.3, s) for k, s in lm.SHAPES.items()}
+    given = rng.choice([lm.END, 1, 40, 41, lm.HEAD - 1, lm.HEAD, lm.INPUTS - 1], (4, 6))
+    target, h0 = np.roll(given, -1, 0), rng.normal(0, 0.3, (6, lm.HIDDEN))
+    g, _, loss = lm.gradients(p, given, target, h0)
+    for name, at in (("wc", (3, 2)), ("bc", (0,)), ("wi", (40, 5)), ("wi", (200, 1)), ("bi", (lm.HEAD - 1,)), ("bi", (41,)), ("wh", (1, 30)), ("emb", (lm.END, 2))):
+        ends = []
+        for by in (1e-5, -1e-5):
+            q = {k: v.copy() for k, v in p.items()}
+            q[name][at] += by
+            ends.append(lm.gradients(q, given, target, h0)[2])
+        assert abs((ends[0] - ends[1]) / 2e-5 - g[name][at]) < 1e-7
+    h = rng.normal(0, 0.5, (24, lm.HIDDEN))
+    x = h @ p["wi"].T + p["bi"]
+    plain = h @ p["wc"].T + p["bc"]
+    plain = plain[np.arange(24), lm._classes_of(target.ravel())] - np.log(np.exp(plain).sum(1))
+    for k, t in enumerate(target.ravel().tolist()):
+        if t < lm.HEAD:
+            own = x[k, t // lm.PER_CLASS * lm.PER_CLASS :][: lm.PER_CLASS]
+            plain[k] += own[t % lm.PER_CLASS] - np.log(np.exp(own).sum())
+    assert np.allclose(lm.log_probabilities(p, h, target.ravel()), plain, atol=1e-9)
