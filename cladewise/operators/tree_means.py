@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import tree_arrays
 from .saved import Saved
-from .trees import Edges, geodesic, parse_newick, split_reader, splits_of
+from .trees import Edges, array_reader, geodesic, parse_newick, split_reader, splits_of
 
 SCHEMA = "walk int, kind string, mask long, d double"
 ENDS = "walk int, block long, weight double, masks array<long>, edges array<double>, leaves array<double>"
@@ -124,6 +124,10 @@ Place = tuple[Edges, list[float]]
 SHRINK, LEAST_PULL = 6, 0.003
 PREPARED = "weight double, masks array<long>, edges array<double>, leaves array<double>"
 PREPARED_COLUMNS = ["weight", "masks", "edges", "leaves"]
+#: Trees side by side (as in ``tree_arrays``) are one row: masks, weights, lengths that all leaves of a number share (null where they differ) and the other
+#: lengths; trees whose edges are too many for an array are one row of Arrow data, as in PREPARED. ``trees`` and bytes that a row has at most.
+PACKED = "masks array<long>, weights binary, shared array<double>, lengths binary, apart binary"
+PACKED_TREES, PACKED_BYTES = 1 << 16, 8_000_000
 PULLED = "part long, weight double, loss double, inverse double, masks array<long>, edges array<double>, leaves array<double>"
 TRACE = "pass int, loss double, pull double"
 
@@ -149,11 +153,67 @@ def _parsed(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.mapInArrow(parsed, f"key {key}, {PREPARED}")
 
 
-def _prepared(trees: DataFrame, names: list[str]) -> DataFrame:
-    """weight, masks, edges, leaves of every tree (newick, maybe weight: 1 where missing or null), dealt evenly; trees without weight take no part."""
+def _packed(trees: DataFrame, names: list[str]) -> DataFrame:
+    """PACKED rows of all trees (newick, maybe weight: 1 where missing or null), dealt evenly; trees without weight take no part."""
     weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in trees.columns else F.lit(1.0)
-    rows = trees.where("newick IS NOT NULL").select(F.lit(0).alias("key"), "newick", weight.alias("weight")).where("weight > 0")
-    return _parsed(rows.repartition(4 * trees.sparkSession.sparkContext.defaultParallelism), names).drop("key")
+    rows = trees.where("newick IS NOT NULL").select("newick", weight.alias("weight")).where("weight > 0")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        together, one = array_reader(names), split_reader(names)
+        held: list[tuple[list[int], np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            every = sorted({m for masks, _, _ in held for m in masks})
+            lengths = np.zeros((len(every) + len(names), sum(len(w) for _, _, w in held)))
+            at = 0
+            for masks, own, w in held:
+                lengths[[*np.searchsorted(every, masks).tolist(), *range(len(every), len(lengths))], at : at + len(w)] = own
+                at += len(w)
+            yield _packed_row(every, lengths, np.concatenate([w for _, _, w in held]))
+            held.clear()
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, PACKED_TREES):
+                texts, weights = batch.column(0).slice(k, PACKED_TREES), batch.column(1).slice(k, PACKED_TREES).to_numpy()
+                arrays = together(texts)
+                if arrays is None:
+                    found = [one(t) for t in texts.to_pylist()]
+                    lists = [[list(e) for e, _ in found], [list(e.values()) for e, _ in found], [x for _, x in found]]
+                    part = pa.RecordBatch.from_arrays([pa.array(weights), *(pa.array(a, pa.list_(t)) for a, t in zip(lists, (pa.int64(), pa.float64(), pa.float64())))], PREPARED_COLUMNS)
+                    arrays = _arrays(part)
+                    if arrays is None:
+                        yield _apart_row(part)
+                        continue
+                masks, lengths = arrays
+                every = {*masks, *(m for own, _, _ in held for m in own)}
+                n = len(weights) + sum(len(w) for _, _, w in held)
+                if held and (len(every) > tree_arrays.MOST_EDGES or n > PACKED_TREES or 8 * n * (len(every) + len(names)) > PACKED_BYTES):
+                    yield from flush()
+                held.append((masks, lengths, weights))
+        if held:
+            yield from flush()
+
+    return rows.repartition(4 * trees.sparkSession.sparkContext.defaultParallelism).mapInArrow(packed, PACKED)
+
+
+def _packed_row(masks: list[int], lengths: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+    low = lengths[len(masks) :].min(1)
+    shared = low == lengths[len(masks) :].max(1)
+    rest = lengths[[*range(len(masks)), *(len(masks) + np.flatnonzero(~shared)).tolist()]]
+    row = [masks, weights.tobytes(), [x if same else None for x, same in zip(low.tolist(), shared)], rest.tobytes(), None]
+    return _packed_batch(row)
+
+
+def _apart_row(rows: pa.RecordBatch) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as stream:
+        stream.write_batch(rows)
+    return _packed_batch([None, None, None, None, sink.getvalue().to_pybytes()])
+
+
+def _packed_batch(row: list) -> pa.RecordBatch:
+    kinds = [pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64()), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["masks", "weights", "shared", "lengths", "apart"])
 
 
 def _arrays(rows: pa.Table | pa.RecordBatch, more: list[int] = []) -> tuple[list[int], np.ndarray] | None:
@@ -249,42 +309,70 @@ def _mean_of_parts(pulled: DataFrame, parts: int) -> tuple[Place, float, float,
     return r and (({int(m): d for m, d in zip(r["masks"], r["edges"])}, list(r["leaves"])), r["weight"], r["loss"], r["inverse"])
 
 
-def _held(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.Table]:
-    """Batches together, as arrays gain by their width."""
-    held, n = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            n += batch.num_rows
-        if n >= most:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _pulled(rows: pa.Table, place: Place | None, length: float) -> Iterator[tuple[Place, float, float, float]]:
     """Means of pulled copies with their weight, and the sums of weighted distances and inverse distances: one for all rows, or one a row where their edges are too many for an array."""
     arrays = _arrays(rows, list(place[0]) if place else [])
-    weights = rows.column("weight").to_numpy()
     if arrays is None:
         for weight, masks, edges, leaves in zip(*(c.to_pylist() for c in rows.columns)):
-            copy: Place = (dict(zip(masks, edges)), leaves)
-            d = 0.0
-            if place is not None:
-                way = geodesic(place, copy)
-                d = way.length()
-                copy = way.point(min(1.0, length / d)) if d > 0 else place
-            yield copy, weight, weight * d, weight / max(d, 1e-12)
+            yield _pulled_one((dict(zip(masks, edges)), leaves), weight, place, length)
         return
     masks, trees = arrays
-    space, d = tree_arrays.Space(masks), np.zeros(len(weights))
+    start = None if place is None else np.array([*(place[0].get(m, 0.0) for m in masks), *place[1]])
+    mean, *sums = _pulled_together(masks, trees, rows.column("weight").to_numpy(), start, length)
+    yield _tree(masks, mean), *sums
+
+
+def _pulled_one(copy: Place, weight: float, place: Place | None, length: float) -> tuple[Place, float, float, float]:
+    d = 0.0
     if place is not None:
-        start = np.array([*(place[0].get(m, 0.0) for m in masks), *place[1]])[:, None]
-        d = space.lengths(start, trees)
-        trees = space.between(start, trees, np.minimum(1.0, length / np.maximum(d, 1e-300)))
+        way = geodesic(place, copy)
+        d = way.length()
+        copy = way.point(min(1.0, length / d)) if d > 0 else place
+    return copy, weight, weight * d, weight / max(d, 1e-12)
+
+
+def _pulled_together(masks: list[int], trees: np.ndarray, weights: np.ndarray, start: np.ndarray | None, length: float) -> tuple[np.ndarray, float, float, float]:
+    space, d = tree_arrays.Space(masks), np.zeros(len(weights))
+    if start is not None:
+        d = space.lengths(start[:, None], trees)
+        trees = space.between(start[:, None], trees, np.minimum(1.0, length / np.maximum(d, 1e-300)))
     mean, weight = space.mean(trees, weights)
-    yield _tree(masks, mean), weight, float(weights @ d), float((weights / np.maximum(d, 1e-12)).sum())
+    return mean, weight, float(weights @ d), float((weights / np.maximum(d, 1e-12)).sum())
+
+
+def _pulled_packed(batch: pa.RecordBatch, place: Place | None, length: float) -> Iterator[tuple[Place, float, float, float]]:
+    """``_pulled`` for PACKED rows."""
+    for k in range(batch.num_rows):
+        apart = batch.column(4)[k]
+        if apart.is_valid:
+            yield from _pulled(pa.ipc.open_stream(apart.as_buffer()).read_all(), place, length)
+            continue
+        masks, shared = (batch.column(c)[k].as_py() for c in (0, 2))
+        weights, lengths = (np.frombuffer(batch.column(c)[k].as_buffer()) for c in (1, 3))
+        lengths = lengths.reshape(-1, len(weights))
+        every = sorted({*masks, *(place[0] if place else [])})
+        # lengths that all trees share with the place stay as they are
+        moves = [j for j, x in enumerate(shared) if x is None or place is not None and x != place[1][j]]
+        if len(every) == len(masks) and len(moves) == shared.count(None):
+            trees = lengths
+        else:
+            trees, own = np.zeros((len(every) + len(moves), len(weights))), iter(lengths[len(masks) :])
+            trees[np.searchsorted(every, masks).tolist()] = lengths[: len(masks)]
+            for row, j in enumerate(moves, len(every)):
+                trees[row] = next(own) if shared[j] is None else shared[j]
+
+        def whole(column: np.ndarray) -> Place:
+            edges, leaves = _tree(every, column)
+            moved = dict(zip(moves, leaves))
+            return edges, [moved.get(j, x) for j, x in enumerate(shared)]
+
+        if len(every) > tree_arrays.MOST_EDGES:
+            for column, weight in zip(trees.T, weights.tolist()):
+                yield _pulled_one(whole(column), weight, place, length)
+            continue
+        start = None if place is None else np.array([*(place[0].get(m, 0.0) for m in every), *(place[1][j] for j in moves)])
+        mean, *sums = _pulled_together(every, trees, weights, start, length)
+        yield whole(mean), *sums
 
 
 def _pull(trees: DataFrame, place: Place | None, length: float) -> tuple[Place, float, float, float] | None:
@@ -295,8 +383,8 @@ def _pull(trees: DataFrame, place: Place | None, length: float) -> tuple[Place,
         from pyspark import TaskContext
 
         mean, total, loss, inverse = None, 0.0, 0.0, 0.0
-        for rows in _held(batches):
-            for here, weight, d, close in _pulled(rows, place, length):
+        for batch in batches:
+            for here, weight, d, close in _pulled_packed(batch, place, length):
                 mean = here if mean is None else _between(mean, here, weight / (total + weight))
                 total, loss, inverse = total + weight, loss + d, inverse + close
         if mean is not None:
@@ -315,7 +403,7 @@ def geometric_median(trees: DataFrame, names: list[str], passes: int = 60, enoug
     of the harmonic mean, or after ``passes`` passes. Rows without a newick text or a positive weight take no part; without trees there are no rows.
     """
     spark = trees.sparkSession
-    own = Saved(spark, "median").save(_prepared(trees, names))
+    own = Saved(spark, "median").save(_packed(trees, names))
     start = _pull(own, None, 0.0)
     if start is None:
         return spark.createDataFrame([], SCHEMA), spark.createDataFrame([], TRACE)

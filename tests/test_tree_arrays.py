@@ -122,3 +122,46 @@ def test_passes_take_arrays(monkeypatch):
     ((place, weight, loss, _),) = tree_means._pulled(rows, pool[0], 0.0)
     assert weight == sum(weights) and loss == pytest.approx(sum(w * g.length() for w, g in zip(weights, ways)))
     assert place[0] == pytest.approx(pool[0][0]) and place[1] == pytest.approx(pool[0][1])
+
+
+def test_texts_of_one_shape_are_read_together(monkeypatch):
+    """Trees are read and packed side by side once, not text by text; odd texts and trees of many edges keep their place."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [trees.to_newick(random_tree(rng)) for _ in range(3)]
+    texts = [t.replace("0.", f"{k % 7}.") for k in range(60) for t in texts]
+    one, together = trees.split_reader(NAMES), trees.array_reader(NAMES)
+    masks, lengths = together(pa.array(texts))
+    found = [({m: d for m, d in zip(masks, x) if d > 0}, x[len(masks) :].tolist()) for x in lengths.T]
+    assert found == [({m: d for m, d in sorted(e.items())}, x) for e, x in map(one, texts)]
+    assert together(pa.array([texts[0].replace("0.", "1_0.")])) is None and together(pa.array([texts[0].replace(":", ":\t")])) is None
+    spaced = together(pa.array([texts[0].replace(":", ": ")]))
+    assert found[0] == ({m: d for m, d in zip(spaced[0], spaced[1][:, 0])}, spaced[1][len(spaced[0]) :, 0].tolist())
+    weights = np.array([1.0 + k % 3 for k in range(len(texts))])
+    own = pa.table([pa.array(weights), *(pa.array(c, k) for c, k in zip(([list(e) for e, _ in found], [list(e.values()) for e, _ in found], [x for _, x in found]), (pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 2)))], tree_means.PREPARED_COLUMNS)
+    lengths[-1] = 2.5  # shared by all, not by the second place
+    own = own.set_column(3, "leaves", pa.array([x[len(masks) :].tolist() for x in lengths.T]))
+    packed = tree_means._packed_row(masks, lengths, weights)
+    assert packed.column("shared")[0].as_py()[-1] == 2.5
+    apart = tree_means._apart_row(own.combine_chunks().to_batches()[0])
+    leaves = found[0][1][:-1]
+    for place in (None, (found[0][0], [*leaves, 2.5]), (found[1][0], [*leaves, 1.0])):
+        for most in (30, 1):
+            monkeypatch.setattr(tree_means.tree_arrays, "MOST_EDGES", most)
+            plain = list(tree_means._pulled(own, place, 0.7))
+            for rows in (packed, apart):
+                got = list(tree_means._pulled_packed(rows, place, 0.7))
+                assert len(got) == len(plain)
+                for (p, *a), (q, *b) in zip(got, plain):
+                    assert p[0] == pytest.approx(q[0]) and p[1] == pytest.approx(q[1]) and a == pytest.approx(b)
+
+
+def test_median_reads_texts_side_by_side(spark):
+    rng = random.Random(9)
+    shapes = [trees.to_newick(random_tree(rng)) for _ in range(2)]
+    rows = [(k, t.replace("0.", f"{k % 5}.")) for k in range(200) for t in shapes]
+    table = spark.createDataFrame(rows, "tree long, newick string")
+    packed = tree_means._packed(table, NAMES).collect()
+    assert len(packed) <= 4 * spark.sparkContext.defaultParallelism and all(r["apart"] is None for r in packed)
+    assert sum(len(r["weights"]) // 8 for r in packed) == 400
