@@ -2,14 +2,14 @@
 
 The posterior of the letters' probabilities given a column is a mixture of Dirichlet distributions (one a term of the column's polynomial), so
 its divergence from another Dirichlet distribution has no closed form. The simplex is mapped to a cube, which is cut in halves again and
-again: a stratum samples a part of its calls, cuts the side that leaves the least spread, and gives its halves calls by their spread. Strata are rows:
-every level is one job over all strata of all columns, and so is the last one, which samples. The error is that of the strata's means.
+again: a stratum samples a part of its calls, cuts the side that leaves the least spread, and gives its halves calls by their spread. Columns are rows, dealt
+evenly by key: a column is cut and sampled in one go, as its calls are bounded. The error is that of the strata's means.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,10 @@ from .saved import Saved
 from .trees import column_polynomial, log_marginal, parse_newick
 
 TARGET = "key long, xi array<double>, exponents array<array<int>>, coefficients array<double>, logml double"
-STRATUM = TARGET + ", stratum long, low array<double>, high array<double>, calls long"
 #: Part of a stratum's calls that looks for the best cut, and the fewest calls of a half.
 LOOK, FEWEST = 0.05, 16
+#: Points of a stratum whose random numbers are kept for the next column, and points that are evaluated at a time.
+KEPT, POINTS = 4096, 8192
 
 
 def column_targets(patterns: DataFrame, newick: str, taxa: list[str], alpha: list[float]) -> DataFrame:
@@ -73,70 +74,89 @@ class Target:
         return np.exp(q) * (q + self.volume - p)
 
 
-def _draw(rng: np.random.Generator, low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
-    return low + (high - low) * rng.random((n, len(low)))
+#: Number, lowest and highest corner, and calls of a part of the cube.
+Stratum = tuple[int, np.ndarray, np.ndarray, int]
 
 
-def best_cut(target: Target, low: np.ndarray, high: np.ndarray, calls: int, rng: np.random.Generator) -> tuple[int, float]:
-    """The side whose halves have the least summed spread, and the left half's share of calls."""
-    u = _draw(rng, low, high, max(FEWEST, int(LOOK * calls)))
-    values = target(u)
-    best = (math.inf, 0, 0.5)
-    for side in range(len(low)):
-        left = u[:, side] < (low[side] + high[side]) / 2
-        if 1 < left.sum() < len(u) - 1:
-            # shares that make the error least, if the spread falls with calls as it does inside further cuts
-            spread = [float(values[m].std()) ** (2 / 3) for m in (left, ~left)]
-            total = sum(spread)
-            if total < best[0]:
-                best = (total, side, spread[0] / total if total > 0 else 0.5)
-    return best[1], min(0.9, max(0.1, best[2]))
-
+def _draws(seed: int, sides: int) -> Callable[[int, int, int], np.ndarray]:
+    """Random points of the unit cube by stratum and level, the same for all columns; fewer are the first ones of more."""
+    known: dict[tuple[int, int], np.ndarray] = {}
 
-def _rng(seed: int, stratum: int, level: int) -> np.random.Generator:
-    return np.random.Generator(np.random.PCG64([seed, stratum, level]))
+    def draws(stratum: int, level: int, n: int) -> np.ndarray:
+        found = known.get((stratum, level))
+        if found is None or len(found) < n:
+            found = np.random.Generator(np.random.PCG64([seed, stratum, level])).random((n, sides))
+            if n <= KEPT:
+                known[stratum, level] = found
+        return found[:n]
 
+    return draws
 
-def _targets(batch: pa.RecordBatch, alpha: list[float]) -> Iterator[tuple[dict, Target]]:
-    for r in batch.to_pylist():
-        yield r, Target(r["xi"], r["exponents"], r["coefficients"], r["logml"], alpha)
 
+def _values(target: Target, strata: list[Stratum], sizes: list[int], level: int, draws: Callable[[int, int, int], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Points and values of each stratum, some strata at a time."""
+    at = 0
+    while at < len(strata):
+        to, n = at + 1, sizes[at]
+        while to < len(strata) and n + sizes[to] <= POINTS:
+            n, to = n + sizes[to], to + 1
+        points = [low + (high - low) * draws(k, level, size) for (k, low, high, _), size in zip(strata[at:to], sizes[at:to])]
+        values = target(np.concatenate(points))
+        ends = np.cumsum(sizes[at:to]).tolist()
+        yield from ((u, values[end - len(u) : end]) for u, end in zip(points, ends))
+        at = to
 
-def _halves(alpha: list[float], level: int, seed: int):
-    names = [c.split()[0] for c in STRATUM.split(", ")]
-    kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int32())), *[pa.list_(pa.float64()), pa.float64()], pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64()]
 
-    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r, target in _targets(batch, alpha):
-                if r["calls"] < 4 * FEWEST:
-                    out.append(r)
-                    continue
-                low, high = np.array(r["low"]), np.array(r["high"])
-                side, share = best_cut(target, low, high, r["calls"], _rng(seed, r["stratum"], level))
-                middle, left = (low[side] + high[side]) / 2, r["calls"] - int(LOOK * r["calls"])
-                for k, n in enumerate((round(share * left), left - round(share * left))):
-                    a, b = low.copy(), high.copy()
-                    (b if k == 0 else a)[side] = middle
-                    out.append({**r, "stratum": 2 * r["stratum"] + k, "low": a.tolist(), "high": b.tolist(), "calls": max(FEWEST, n)})
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in zip(names, kinds)], names)
-
-    return halves
-
-
-def _means(alpha: list[float], level: int, seed: int):
-    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def best_cut(u: np.ndarray, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[int, float]:
+    """The side whose halves have the least summed spread, and the left half's share of calls."""
+    left = u < (low + high) / 2
+    halves = np.concatenate([left, ~left], 1)
+    n = halves.sum(0)
+    apart = (values[:, None] - values @ halves / np.maximum(n, 1)) * halves
+    # shares that make the error least, if the spread falls with calls as it does inside further cuts
+    spread = ((apart * apart).sum(0) / np.maximum(n, 1)) ** (1 / 3)
+    sides = len(low)
+    total = np.where(np.minimum(n[:sides], n[sides:]) > 1, spread[:sides] + spread[sides:], math.inf)
+    side = int(total.argmin())
+    share = float(spread[side] / total[side]) if 0 < total[side] < math.inf else 0.5
+    return side, min(0.9, max(0.1, share))
+
+
+def _halves(target: Target, strata: list[Stratum], level: int, draws: Callable[[int, int, int], np.ndarray]) -> list[Stratum]:
+    """The strata of the next level; those of few calls stay whole."""
+    cut = [x for x in strata if x[3] >= 4 * FEWEST]
+    out = [x for x in strata if x[3] < 4 * FEWEST]
+    for (stratum, low, high, calls), (u, values) in zip(cut, _values(target, cut, [max(FEWEST, int(LOOK * x[3])) for x in cut], level, draws)):
+        side, share = best_cut(u, values, low, high)
+        middle, left = (low[side] + high[side]) / 2, calls - int(LOOK * calls)
+        for k, n in enumerate((round(share * left), left - round(share * left))):
+            a, b = low.copy(), high.copy()
+            (b if k == 0 else a)[side] = middle
+            out.append((2 * stratum + k, a, b, max(FEWEST, n)))
+    return out
+
+
+def _sampled(alpha: list[float], calls: int, levels: int, seed: int):
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = len(alpha) - 1
+        draws = _draws(seed, sides)
         for batch in batches:
             rows = []
-            for r, target in _targets(batch, alpha):
-                low, high = np.array(r["low"]), np.array(r["high"])
-                values, volume = target(_draw(_rng(seed, r["stratum"], level), low, high, r["calls"])), float(np.prod(high - low))
-                rows.append((r["key"], volume * values.mean(), volume**2 * values.var(ddof=1) / len(values)))
+            for r in batch.to_pylist():
+                target = Target(r["xi"], r["exponents"], r["coefficients"], r["logml"], alpha)
+                strata: list[Stratum] = [(1, np.zeros(sides), np.ones(sides), calls)]
+                for level in range(levels):
+                    strata = _halves(target, strata, level, draws)
+                mean, square = 0.0, 0.0
+                for (_, low, high, _), (_, values) in zip(strata, _values(target, strata, [x[3] for x in strata], levels, draws)):
+                    volume, middle = math.prod((high - low).tolist()), values.sum() / len(values)
+                    apart = values - middle
+                    mean, square = mean + volume * middle, square + volume**2 * (apart @ apart) / (len(values) - 1) / len(values)
+                rows.append((r["key"], float(mean), float(square)))
             key, mean, square = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(mean, pa.float64()), pa.array(square, pa.float64())], ["key", "mean", "square"])
 
-    return means
+    return sampled
 
 
 def divergences(targets: DataFrame, alpha: list[float], calls: int = 100_000, levels: int = 6, seed: int = 0) -> DataFrame:
@@ -145,14 +165,9 @@ def divergences(targets: DataFrame, alpha: list[float], calls: int = 100_000, le
     ``calls`` a column, those that look for cuts included, in up to 2**``levels`` strata. The same seed gives the same numbers. All alpha and xi must
     be above 0; densities that grow without bound at an edge (xi below 1) make errors larger than stated. An empty table gives no rows.
     """
-    spark, k = targets.sparkSession, len(alpha)
-    saved, tasks = Saved(spark, "divergence"), 4 * spark.sparkContext.defaultParallelism
-    edge = lambda x: F.array(*[F.lit(x)] * (k - 1))
-    strata = targets.select(*(c.split()[0] for c in TARGET.split(", ")), F.lit(1).cast("long").alias("stratum"), edge(0.0).alias("low"), edge(1.0).alias("high"), F.lit(calls).cast("long").alias("calls"))
-    for level in range(levels):
-        strata = saved.save(strata.repartition(tasks, "key", "stratum").mapInArrow(_halves(alpha, level, seed), STRATUM))
-        saved.keep_last(2)
-    sums = strata.repartition(tasks, "key", "stratum").mapInArrow(_means(alpha, levels, seed), "key long, mean double, square double")
+    tasks = 4 * targets.sparkSession.sparkContext.defaultParallelism
+    dealt = targets.select(*(c.split()[0] for c in TARGET.split(", "))).repartition(tasks, "key")
+    sums = dealt.mapInArrow(_sampled(alpha, calls, levels, seed), "key long, mean double, square double")
     return sums.groupBy("key").agg(F.sum("mean").alias("divergence"), F.sqrt(F.sum("square")).alias("error"))
 
 

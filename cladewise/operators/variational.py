@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +69,44 @@ def closest_dirichlet(logs: list[float]) -> list[float]:
     return xi
 
 
+def _polygammas(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``digamma`` and ``trigamma`` of an array."""
+    back, more, x = np.zeros(x.shape), np.zeros(x.shape), x.copy()
+    while (small := x < 8).any():
+        part = np.where(small, 1 / x, 0.0)
+        back, more, x = back + part, more + part * part, x + small
+    s = 1 / (x * x)
+    return np.log(x) - 0.5 / x - s * (1 / 12 - s * (1 / 120 - s * (1 / 252 - s / 240))) - back, more + 1 / x + s / 2 + s / x * (1 / 6 - s * (1 / 30 - s * (1 / 42 - s / 30)))
+
+
+def _inverse_digammas(y: np.ndarray, steps: int = 50) -> np.ndarray:
+    x = np.where(y >= -2.22, np.exp(np.maximum(y, -2.22)) + 0.5, -1 / np.minimum(y - digamma(1.0), -1e-9))
+    todo = np.arange(len(y))
+    for _ in range(steps):
+        own = x[todo]
+        value, slope = _polygammas(own)
+        new = own - (value - y[todo]) / slope
+        new = np.where(new > 0, new, own / 2)
+        x[todo] = new
+        todo = todo[np.abs(new - own) > 1e-13 * own]
+        if not len(todo):
+            break
+    return x
+
+
+def closest_dirichlets(logs: np.ndarray) -> np.ndarray:
+    """``closest_dirichlet`` of each row, side by side."""
+    xi, todo = np.ones(logs.shape), np.arange(len(logs))
+    for _ in range(MOST_STEPS):
+        if not len(todo):
+            break
+        own = xi[todo]
+        new = _inverse_digammas((_polygammas(own.sum(1))[0][:, None] + logs[todo]).ravel()).reshape(own.shape)
+        xi[todo] = new
+        todo = todo[np.abs(new - own).max(1) >= TOLERANCE]
+    return xi
+
+
 def pattern_approximations(patterns: DataFrame, newick: str, taxa: list[str], alpha: list[float]) -> DataFrame:
     """(codes, n, xi) of each distinct column; xi - alpha are the counts that stand for the column. All alpha must be above 0."""
 
@@ -75,7 +114,9 @@ def pattern_approximations(patterns: DataFrame, newick: str, taxa: list[str], al
         root = parse_newick(newick)
         for batch in batches:
             polys = [column_polynomial(root, dict(zip(taxa, c)), len(alpha)) for c in batch.column(0).to_pylist()]
-            xi = [closest_dirichlet(expected_logs(p, alpha)) for p in polys]
+            xi = closest_dirichlets(np.array([expected_logs(p, alpha) for p in polys]).reshape(-1, len(alpha))).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(xi, pa.list_(pa.float64()))], ["codes", "n", "xi"])
 
-    return patterns.select("codes", F.col("n").cast("long").alias("n")).mapInArrow(fitted, "codes array<int>, n long, xi array<double>")
+    # columns take long for their bytes, so the number of tasks is given
+    dealt = patterns.select("codes", F.col("n").cast("long").alias("n")).repartition(4 * patterns.sparkSession.sparkContext.defaultParallelism, "codes")
+    return dealt.mapInArrow(fitted, "codes array<int>, n long, xi array<double>")

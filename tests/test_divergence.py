@@ -61,3 +61,39 @@ def test_mixture_and_best_scale(spark):
     start = dv.divergences(far, ALPHA, 10_000, 3).first()["divergence"]
     assert found["divergence"] < start and found["scale"] < 1.0
     assert found["divergence"] == pytest.approx(dv.divergences(spark.createDataFrame([target(7, [found["scale"] * 1.3 * x for x in xi], poly)], dv.TARGET), ALPHA, 10_000, 3).first()["divergence"], abs=1e-9)
+
+
+def test_columns_are_dealt_and_take_no_job_a_level(spark):
+    """No table is written on the way, columns of few bytes go to all tasks, and they are fitted side by side as one at a time."""
+    from cladewise.operators import variational
+    from cladewise.plans.likelihood_queries import TAXA, TREE
+    from cladewise.plans.likelihood_queries import ALPHA as PRIOR
+
+    rng = np.random.default_rng(4)
+    columns = sorted({tuple(int(x) for x in rng.integers(-1, 5, 8)) for _ in range(120)})
+    table = spark.createDataFrame([(list(c), 1) for c in columns], "codes array<int>, n long").groupBy("codes").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    fit = variational.pattern_approximations(table, TREE, TAXA, PRIOR)
+    assert fit.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    root = trees.parse_newick(TREE)
+    for r in fit.collect():
+        poly = trees.column_polynomial(root, dict(zip(TAXA, r["codes"])), len(PRIOR))
+        assert r["xi"] == pytest.approx(variational.closest_dirichlet(variational.expected_logs(poly, PRIOR)), rel=1e-9)
+    rows = [target(k, [3.0, 2.5, 4.0], {(2, 1, 3): 0.3, (1, 1, k): 0.2}) for k in range(40)]
+    got = {r["key"]: r["divergence"] for r in dv.divergences(spark.createDataFrame(rows, dv.TARGET), ALPHA, 2000, 3).collect()}
+    alone = dv.divergences(spark.createDataFrame(rows[7:8], dv.TARGET), ALPHA, 2000, 3)
+    assert "divergence-" not in alone._jdf.queryExecution().toString() and alone.first()["divergence"] == pytest.approx(got[7], rel=1e-12)
+
+
+def test_halves_have_the_spread_of_plain_standard_deviations():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        low, high = np.array([0.0, 0.25, 0.5]), np.array([1.0, 0.5, 1.0])
+        u = low + (high - low) * rng.random((50, 3))
+        values = np.exp(3 * u[:, int(rng.integers(3))]) * rng.random(50)
+        want = (math.inf, 0, 0.5)
+        for side in range(3):
+            left = u[:, side] < (low[side] + high[side]) / 2
+            spread = [float(values[m].std()) ** (2 / 3) for m in (left, ~left)]
+            want = min(want, (sum(spread), side, spread[0] / sum(spread)))
+        assert dv.best_cut(u, values, low, high) == (want[1], pytest.approx(min(0.9, max(0.1, want[2]))))
+    assert dv.best_cut(u, np.zeros(50), low, high) == (0, 0.5)
