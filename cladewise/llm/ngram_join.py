@@ -50,6 +50,8 @@ FLUSH = 1_500_000
 #: and the least number of documents for that. A flush of ``FLUSH`` shingles reports those it holds ``SEEN`` times at least.
 HOT_SHARE, HOT_LEAST, SEEN = 200, 10_000, 8
 OFTEN = np.iinfo(np.uint32).max
+#: A round that names fewer than one in so many sets takes those sets out before it shuffles their shingles.
+NEEDED_SHARE = 8
 
 
 def document_sets(docs: DataFrame, size: int = WORDS, seen: int = SEEN) -> DataFrame:
@@ -265,6 +267,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
     return full.mapInArrow(verified, "a long, b long, link boolean")
 
 
+def _needed(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The sets that occur in ``pairs``, or all of them where those are many. The keys are a saved table, so that Spark knows whether they are few enough to leave the sets where they lie."""
+    keys = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("skey")).distinct())
+    if NEEDED_SHARE * keys.count() > sets.count():
+        return sets
+    return scratch.save(sets.select("skey", "n", "shared").join(keys, "skey", "left_semi"))
+
+
 def upper_bound(p: np.ndarray, q: np.ndarray, seen_p, seen_q):
     """The most elements that two sets can have in common, from their bitmaps of one width (rows of ``q``) and numbers of shared elements.
 
@@ -459,7 +469,8 @@ def _joined_by_rounds(sets: DataFrame, units: DataFrame, labels: DataFrame, chec
         ordered = full.repartition(shuffle_partitions(sets.sparkSession), "unit").sortWithinPartitions("unit", "n", "skey")
         named = scratch.save(ordered.mapInArrow(_naming(limit, most), NAMING))
         pairs = named.select("skey", F.explode("partners").alias("other")).select(F.least("skey", "other").alias("a"), F.greatest("skey", "other").alias("b")).distinct()
-        new = scratch.save(_verified(pairs.join(checked, ["a", "b"], "left_anti"), sets, limit))
+        pairs = scratch.save(pairs.join(checked, ["a", "b"], "left_anti"))
+        new = scratch.save(_verified(pairs, _needed(pairs, sets, scratch), limit))
         checked = checked.unionByName(new.select("a", "b"))
         joins = not new.where("link").limit(1).isEmpty()
         if joins:

@@ -299,3 +299,48 @@ def test_pipeline(spark, docs, tmp_path):
     base = base.where(F.col("doc_id").isin([r[0] for r in sql(base, exact_dedup.REPORT_SQL).values() if r[3]]))
     base = base.where(F.col("doc_id").isin([r[0] for r in sql(base, ngram_join.REPORT_SQL).values() if r[0] == r[2]]))
     assert got == {r["doc_id"] for r in mixing.mix_report(base).where("selected").collect()}
+
+
+def test_rounds_take_only_the_named_sets_along(spark, monkeypatch):
+    """Few pairs of a round do not move the shingles of all sets; many do, once."""
+    from cladewise.llm import ngram_join
+    from cladewise.llm.common import Scratch
+
+    rows = [(k, 4, bytes(8 * 4)) for k in range(100)]
+    sets = spark.createDataFrame(rows, "skey long, n long, shared binary")
+    few = spark.createDataFrame([(1, 5), (1, 7), (5, 9)], "a long, b long")
+    scratch = Scratch(spark, "needed-test")
+    assert sorted(r["skey"] for r in ngram_join._needed(few, sets, scratch).collect()) == [1, 5, 7, 9]
+    many = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
+    assert ngram_join._needed(many, sets, scratch) is sets
+    # rounds over large tiles: the sets that are compared are those of the round's pairs, and no link is lost
+    rng, shared, docs = random.Random(8), [f"s{k}" for k in range(30)], []
+    for d in range(30):
+        own = list(shared)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            own[rng.randrange(30)] = f"v{rng.randrange(6)}"
+        docs.append((d, " ".join(own[: rng.randrange(22, 31)])))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(map(tuple, ngram_join.jaccard_components(table).collect()))
+    verified, taken = ngram_join._verified, []
+    rounds = ngram_join._joined_by_rounds
+
+    def noted(pairs, own, limit):
+        taken.append((pairs.count(), own.count()))
+        return verified(pairs, own, limit)
+
+    def noting(*args):
+        monkeypatch.setattr(ngram_join, "_verified", noted)
+        try:
+            return rounds(*args)
+        finally:
+            monkeypatch.setattr(ngram_join, "_verified", verified)
+
+    monkeypatch.setattr(ngram_join, "NEEDED_SHARE", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 2)
+    monkeypatch.setattr(ngram_join, "NAMED", 1)
+    monkeypatch.setattr(ngram_join, "EARLY_ROUNDS", 1)
+    monkeypatch.setattr(ngram_join, "PAIR_DOCS", 0)
+    monkeypatch.setattr(ngram_join, "_joined_by_rounds", noting)
+    assert sorted(map(tuple, ngram_join.jaccard_components(table).collect())) == want
+    assert taken and all(own <= 2 * pairs for pairs, own in taken)
