@@ -3,10 +3,14 @@
 Exact: no pair of different texts whose similarity reaches the limit is lost, and every link is
 decided by intersecting the sorted arrays of both documents.
 
-1.  Each document's distinct shingles go, packed by hash bucket, to one shuffle that finds for every
+1.  A set that links has at most n - ceil(limit * n) shingles of its own. A first shuffle takes the
+    shingles of one part of the hash space alone, 32 bits each, and counts for every set those that
+    others have too. Sets with more shingles of their own in that part than all may be are done, and
+    so are most of them; no partner of another set is among them.
+    The distinct shingles of the rest go, packed by hash bucket, to a second shuffle that finds for every
     shingle the number of distinct sets it lies in. Copies (equal sets) count once. Shingles of one
     set alone can't be shared, so only the others go back to their documents. Shingles that a first
-    count finds in more than one of ``HOT_SHARE`` documents skip that shuffle: they are shared and
+    count finds in more than one of ``HOT_SHARE`` documents skip both shuffles: they are shared and
     come last in the order, so nothing need be counted.
 2.  In the order (number of sets, hash) two sets that link share a shingle among their first
     n - ceil(limit * n) + 1 ones. Most documents have that many shingles of their own and are done.
@@ -52,15 +56,27 @@ HOT_SHARE, HOT_LEAST, SEEN = 200, 10_000, 8
 OFTEN = np.iinfo(np.uint32).max
 #: A round that names fewer than one in so many sets takes those sets out before it shuffles their shingles.
 NEEDED_SHARE = 8
+#: The part of the hash space that the first shuffle takes: at least this share, and so many times the share of its own shingles that a set that links can have.
+PART_SHARE, PART_TIMES = 0.375, 1.5
+#: Shingles of a bucket, in the part and of whole sets, where the shuffle's partitions would get more.
+PART_BUCKET, WHOLE_BUCKET = 1_000_000, 500_000
+#: Bits of the filter for each set that is left, the most of all (32 MB), and those that Spark's bitmaps hold; the filter's size has no part in the result.
+BITS_A_SET, MOST_BITS, BITMAP = 32, 1 << 28, 1 << 15
 
 
-def document_sets(docs: DataFrame, size: int = WORDS, seen: int = SEEN) -> DataFrame:
-    """doc_id, tkey (a hash of the text), n_shingles and ``skey``, a digest that stands for the set (null for an empty one).
+def in_part(values: np.ndarray, limit: int) -> np.ndarray:
+    """Which shingles lie in the part of the hash space that is looked at first; their upper 16 bits decide."""
+    share = min(1.0, max(PART_SHARE, PART_TIMES * (1 - limit / 100)))
+    return (values >> np.uint64(48)) < np.uint64(round(share * (1 << 16)))
+
+
+def document_sets(docs: DataFrame, size: int = WORDS, seen: int = SEEN, limit: int = LIMIT) -> DataFrame:
+    """doc_id, tkey (a hash of the text), n_shingles, ``n_part`` of them in the part, and ``skey``, a digest that stands for the set (null for an empty one).
 
     Further rows have ``shingle`` and ``times`` alone: a shingle that lies in so many of the documents of one flush, ``seen`` at least.
     """
 
-    names = ["doc_id", "tkey", "n_shingles", "skey", "shingle", "times"]
+    names = ["doc_id", "tkey", "n_shingles", "n_part", "skey", "shingle", "times"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -70,15 +86,15 @@ def document_sets(docs: DataFrame, size: int = WORDS, seen: int = SEEN) -> DataF
             start, count = runs(values)
             often = count >= seen
             none = pa.nulls(int(often.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(signed(values[start[often]])), pa.array(count[often])], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(signed(values[start[often]])), pa.array(count[often])], names)
 
         for batch in batches:
             for texts in slices(batch.column(2)):
                 values, bounds = shingles_of(words_of(texts), size)
-                n = np.diff(bounds)
+                n, part = np.diff(bounds), np.diff(np.r_[0, np.cumsum(in_part(values, limit))][bounds])
                 key = pa.array(signed(set_digest(values, bounds)), mask=n == 0)
                 none = pa.nulls(len(n), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[texts.rows], batch.column(1)[texts.rows], pa.array(n, pa.int64()), key, none, none], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[texts.rows], batch.column(1)[texts.rows], pa.array(n, pa.int64()), pa.array(part, pa.int64()), key, none, none], names)
                 held.append(values)
                 total += len(values)
                 if total >= FLUSH:
@@ -88,7 +104,7 @@ def document_sets(docs: DataFrame, size: int = WORDS, seen: int = SEEN) -> DataF
             yield frequent()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("tkey"), docs["text"].alias("text"))
-    return rows.mapInArrow(sets, "doc_id long, tkey long, n_shingles long, skey long, shingle long, times long")
+    return rows.mapInArrow(sets, "doc_id long, tkey long, n_shingles long, n_part long, skey long, shingle long, times long")
 
 
 def _hot(rows: DataFrame, least: int) -> np.ndarray:
@@ -123,44 +139,124 @@ def _distinct(*columns: np.ndarray) -> np.ndarray:
     return np.sort(order[new])
 
 
-def _shingle_buckets(docs: DataFrame, size: int, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Shingles packed by bucket; equal sets of a flush go once.
+def _flushes(batches: Iterator[pa.RecordBatch], size: int, bits: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """About ``FLUSH`` shingles at a time, equal sets once: the shingles, the place of each one's set, and all sets' digests and sizes.
+
+    With ``bits`` come those texts alone whose hash passes the filter.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    total = 0
+
+    def flush() -> tuple[np.ndarray, ...]:
+        values = np.concatenate([v for v, _ in held])
+        n = np.concatenate([np.diff(b) for _, b in held])
+        keys = np.concatenate([set_digest(v, b) for v, b in held])
+        one = _distinct(keys, n)
+        return values[gather((np.cumsum(n) - n)[one], n[one])], np.repeat(one, n[one]), keys, n
+
+    for batch in batches:
+        column = batch.column(0)
+        if bits is not None:
+            at = batch.column(1).to_numpy() & (8 * len(bits) - 1)
+            column = column.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+        for texts in slices(column):
+            held.append(shingles_of(words_of(texts), size))
+            total += len(held[-1][0])
+            if total >= FLUSH:
+                yield flush()
+                held, total = [], 0
+    if total:
+        yield flush()
+
+
+def _bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
+    """The low 16 bits of a hash give its bucket."""
+    return ((values & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int32)
+
+
+def _part_buckets(docs: DataFrame, size: int, limit: int, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Shingles of the part packed by bucket, and the number of the hot ones of each set, by bucket of the set.
+
+    The 32 bits above a bucket's go along: shingles that agree in them are taken for shared, and the set is looked at once more.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for values, doc, keys, n in _flushes(batches, size):
+            own = in_part(values, limit)
+            values, doc = values[own], doc[own]
+            common = np.isin(values, hot)
+            v, d = values[~common], doc[~common]
+            rows = [(r[0], False, r[1], r[3], r[4]) for r in _pack(_bucket_of(v, buckets), d, keys, n, [(v >> np.uint64(16)).astype(np.uint32)])]
+            d = doc[common]
+            rows += [(r[0], True, r[1], r[3], b"") for r in _pack(_bucket_of(mix(keys[d]), buckets), d, keys, n, [])]
+            counts = [np.frombuffer(r[3], np.uint32) for r in rows]
+            counts = [(c.astype(np.uint8) if c.max() < 256 else c).tobytes() for c in counts]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), binary([r[2] for r in rows]), binary(counts), binary([r[4] for r in rows])], ["bucket", "hot", "keys", "counts", "values"])
+
+    return docs.select(docs["text"].alias("text")).mapInArrow(packed, "bucket int, hot boolean, keys binary, counts binary, values binary")
+
+
+def _seen_in_part(table: pa.Table) -> pa.Table:
+    """(skey, seen) of the sets of one bucket: how many of their shingles there lie in other sets too."""
+
+    def sets_of(own: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = ([x.as_buffer() for x in own[c]] for c in ("keys", "counts"))
+        counts = [np.frombuffer(c, np.uint8 if 8 * c.size == k.size else np.uint32).astype(np.int64) for k, c in zip(keys, counts)]
+        return joined(own["keys"], np.uint64), np.concatenate([np.zeros(0, np.int64), *counts])
+
+    cold, hot = table.filter(pc.invert(table["hot"])), table.filter(table["hot"])
+    keys, counts = sets_of(cold)
+    one = _distinct(keys)
+    values = joined(cold["values"], np.uint32)[gather((np.cumsum(counts) - counts)[one], counts[one])]
+    order = np.argsort(values, kind="stable")
+    _, times = runs(values[order])
+    doc = np.repeat(np.arange(len(one)), counts[one])[order[np.repeat(times > 1, times)]]
+    seen = np.bincount(doc, minlength=len(one))
+    also, times = sets_of(hot)
+    once = _distinct(also)
+    skey, seen = np.concatenate([keys[one][seen > 0], also[once]]), np.concatenate([seen[seen > 0], times[once]])
+    return pa.table({"skey": pa.array(signed(skey)), "seen": pa.array(seen, pa.int64())})
+
+
+def _left(rows: DataFrame, seen: DataFrame, limit: int) -> DataFrame:
+    """(tkey, n): one text of each set that may still have a partner, after the part was looked at."""
+    sets = rows.where("skey IS NOT NULL").groupBy("skey", F.col("n_shingles").alias("n")).agg(F.min("tkey").alias("tkey"), F.min("n_part").alias("n_part"))
+    seen = seen.groupBy("skey").agg(F.sum("seen").alias("seen"))
+    alone = F.col("n_part") - F.coalesce("seen", F.lit(0))
+    return sets.join(seen, "skey", "left").where(alone <= F.col("n") - F.floor((limit * F.col("n") + 99) / 100)).select("tkey", "n")
+
+
+def _filter(left: DataFrame, sets: int) -> np.ndarray:
+    """A bitmap of the texts' hashes, at most MOST_BITS bits: the tasks give it in blocks."""
+    bits = BITMAP
+    while bits < min(MOST_BITS, BITS_A_SET * sets):
+        bits *= 2
+    place = F.col("tkey").bitwiseAND(F.lit(bits - 1))
+    blocks = left.select(F.shiftright(place, 15).alias("block"), place.bitwiseAND(F.lit(BITMAP - 1)).alias("bit"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in blocks.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        out[row["block"] * BITMAP // 8 : (row["block"] + 1) * BITMAP // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _shingle_buckets(docs: DataFrame, size: int, buckets: int, hot: np.ndarray, bits: np.ndarray) -> DataFrame:
+    """Shingles of the texts that pass the filter, packed by bucket; equal sets of a flush go once.
 
     The low 16 bits of a hash give its bucket, the other 48 go along. A hot shingle's bucket comes from the set too, and it goes along whole.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        total = 0
-
-        def flush() -> pa.RecordBatch:
-            values = np.concatenate([v for v, _ in held])
-            n = np.concatenate([np.diff(b) for _, b in held])
-            keys = np.concatenate([set_digest(v, b) for v, b in held])
-            one = _distinct(keys, n)
-            values = values[gather((np.cumsum(n) - n)[one], n[one])]
-            doc = np.repeat(one, n[one])
+        for values, doc, keys, n in _flushes(batches, size, shared.value):
             common = np.isin(values, hot)
             rows = []
             for kind, own in ((False, ~common), (True, common)):
                 v, d = values[own], doc[own]
-                low = (mix(v ^ keys[d]) if kind else v) & np.uint64(0xFFFF)
-                bucket = (low * np.uint64(buckets) >> np.uint64(16)).astype(np.int32)
                 sent = v if kind else v.view(np.uint8).reshape(-1, 8)[:, 2:]
-                rows += [(r[0], kind, *r[1:]) for r in _pack(bucket, d, keys, n, [sent])]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), *(binary([r[k] for r in rows]) for k in range(2, 6))], ["bucket", "hot", "keys", "sizes", "counts", "values"])
-
-        for batch in batches:
-            for texts in slices(batch.column(0)):
-                held.append(shingles_of(words_of(texts), size))
-                total += len(held[-1][0])
-                if total >= FLUSH:
-                    yield flush()
-                    held, total = [], 0
-        if total:
-            yield flush()
+                rows += [(r[0], kind, *r[1:]) for r in _pack(_bucket_of(mix(v ^ keys[d]) if kind else v, buckets), d, keys, n, [sent])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), *(binary([r[k] for r in rows]) for k in range(2, 6))], ["bucket", "hot", "keys", "sizes", "counts", "values"])
 
-    return docs.select(docs["text"].alias("text")).mapInArrow(packed, PACKED)
+    return docs.select(docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("tkey")).mapInArrow(packed, PACKED)
 
 
 def _shared(buckets: int):
@@ -193,7 +289,7 @@ def _shared(buckets: int):
             values, doc = joined(hot["values"], np.uint64), np.repeat(np.arange(len(keys)), counts)
             one = _distinct(values, keys[doc], sizes[doc])
             # the sets are told apart, so the same set's shingles need not lie together
-            parts.append((np.arange(len(one)), keys[doc[one]], sizes[doc[one]], values[one], np.full(len(one), OFTEN)))
+            parts.append((np.arange(len(one)), keys[doc[one]], sizes[doc[one]], values[one], np.full(len(one), OFTEN, np.uint32)))
         rows = [r for d, k, n, v, o in parts for r in _pack((mix(k) % np.uint64(buckets)).astype(np.int32)[d], d, k, n, [v, o])]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32())} | {c: binary([r[k] for r in rows]) for k, c in enumerate(("keys", "sizes", "counts", "values", "often"), 1)})
 
@@ -498,11 +594,17 @@ def _rooted(docs: DataFrame, size: int, limit: int, hot_least: int, seen: int) -
     """doc_id, tkey, n_shingles and ``root``, the component of the document's set (null for an empty one)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
-    buckets = min(1 << 16, 2 * shuffle_partitions(spark))
-    found = scratch.save(document_sets(docs, size, seen))
-    rows = found.where("times IS NULL").select("doc_id", "tkey", "n_shingles", "skey")
+    found = scratch.save(document_sets(docs, size, seen, limit))
+    rows = found.where("times IS NULL").select("doc_id", "tkey", "n_shingles", "n_part", "skey")
+    hot = _hot(found, hot_least)
+    enough = lambda shingles, most: min(1 << 16, max(shuffle_partitions(spark), 1 + (shingles or 0) // most))
+    buckets = enough(rows.agg(F.sum("n_part")).first()[0], PART_BUCKET)
+    seen_in_part = _part_buckets(docs, size, limit, buckets, hot).groupBy("bucket").applyInArrow(_seen_in_part, "skey long, seen long")
+    left = scratch.save(_left(rows, seen_in_part, limit))
+    count, shingles = left.agg(F.count("*"), F.sum("n")).first()
+    buckets = enough(shingles, WHOLE_BUCKET)
     packed = "bucket int, keys binary, sizes binary, counts binary, values binary, often binary"
-    back = _shingle_buckets(docs, size, buckets, _hot(found, hot_least)).groupBy("bucket").applyInArrow(_shared(buckets), packed)
+    back = _shingle_buckets(docs, size, buckets, hot, _filter(left, count)).groupBy("bucket").applyInArrow(_shared(buckets), packed)
     schema = "skey long, n long, prefix array<long>, shared binary, bits binary"
     sets = scratch.save(back.groupBy("bucket").applyInArrow(_candidates(limit), schema))
     led = scratch.save(_verified(_leaders(sets), sets, limit))

@@ -344,3 +344,57 @@ def test_rounds_take_only_the_named_sets_along(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "_joined_by_rounds", noting)
     assert sorted(map(tuple, ngram_join.jaccard_components(table).collect())) == want
     assert taken and all(own <= 2 * pairs for pairs, own in taken)
+
+
+def test_hot_shingles_leave_the_order_of_others_alone():
+    """Sets that share the same shingles take the same ones first, wherever hot shingles lie among their rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    values = np.arange(1, 9, dtype=np.uint64) << np.uint64(16)
+    keys, sizes = np.arange(100, 140, dtype=np.uint64), np.full(40, 8, np.uint32)
+    doc, sent = np.repeat(np.arange(40), 8), np.tile(values, 40)
+    cold = [(0, False, *r[1:]) for r in ngram_join._pack(np.zeros(320, np.int32), doc, keys, sizes, [sent.view(np.uint8).reshape(-1, 8)[:, 2:]])]
+    few = np.arange(0, 40, 3)
+    hot = [(0, True, *r[1:]) for r in ngram_join._pack(np.zeros(len(few), np.int32), few, keys, sizes, [np.full(len(few), 99, np.uint64)])]
+    names = ["bucket", "hot", "keys", "sizes", "counts", "values"]
+    back = ngram_join._shared(1)((pa.scalar(0),), pa.table({c: [r[k] for r in cold + hot] for k, c in enumerate(names)}))
+    # the rows of the hot shingle may come first
+    back = ngram_join._candidates(75)(back.take(list(range(len(back)))[::-1]))
+    assert len(back) == 40
+    assert {tuple(p[:1]) for p in back["prefix"].to_pylist()} == {(int(values[0]),)}
+
+
+def test_ngram_join_moves_whole_only_sets_that_may_link(spark, monkeypatch):
+    """Texts of their own leave after the part of their shingles; with any filter and part the links are those of SQL."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    alone = [[word() for _ in range(200)] for _ in range(60)]
+    near = []
+    for _ in range(6):
+        base = ["the", "same", "six", "words", "start", "all"] + [word() for _ in range(rng.choice([3, 8, 40, 150]))]
+        for _ in range(4):
+            own = list(base)
+            own[rng.randrange(6, len(own))] = word()
+            near.append(own)
+    table = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate([*alone, *near, *near[:5]])], "doc_id long, text string")
+    want = {k: tuple(r) for k, r in sql(table, ngram_join.REPORT_SQL).items()}
+    assert any(r[0] != r[2] for r in want.values())
+    buckets, passed = ngram_join._shingle_buckets, []
+
+    def noted(docs, size, count, hot, bits):
+        out = buckets(docs, size, count, hot, bits)
+        keys = [k for r in out.select("hot", "keys").collect() if not r["hot"] for k in (r["keys"][i : i + 8] for i in range(0, len(r["keys"]), 8))]
+        passed.append(len(set(keys)))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_shingle_buckets", noted)
+    got = lambda **more: {r["doc_id"]: tuple(r) for r in ngram_join.jaccard_components(table, **more).collect()}
+    assert got() == want
+    assert passed[0] <= len(near) + 6, "most texts without a partner go no further"
+    monkeypatch.setattr(ngram_join, "PART_BUCKET", 50)
+    monkeypatch.setattr(ngram_join, "WHOLE_BUCKET", 50)
+    assert got(hot_least=3, seen=1) == want
+    monkeypatch.setattr(ngram_join, "MOST_BITS", 0)
+    monkeypatch.setattr(ngram_join, "PART_SHARE", 1.0)
+    assert got() == want
